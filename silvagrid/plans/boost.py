@@ -70,8 +70,9 @@ def fit_boosted(
         # A loaded model may have other cut points, so it predicts from the raw features.
         start = initial
         raw = F.array(*[(F.col(f) if isinstance(f, str) else f).cast("double") for f in features])
-        first = fo.predict(df.withColumn("_raw", raw), start, "_raw", names=("f1", "f2"))
-        scored = fo.prepare(first, features, y1, y2, tree, row_key, thresholds=data.thresholds, keep=[*keep, "f1", "f2"]).rows
+        first = fo.predict(df.withColumn("_raw", raw), start, "_raw", names=("_est1", "_est2"))
+        scored = fo.prepare(first, features, y1, y2, tree, row_key, thresholds=data.thresholds, keep=[*keep, "_est1", "_est2"]).rows
+        scored = scored.withColumnsRenamed({"_est1": "f1", "_est2": "f2"})
     state = scored.withColumns({"v1": F.lit(0.0), "v2": F.lit(0.0)})
     elements, curve = [start], []
     for m in range(cfg.iterations + 1):
