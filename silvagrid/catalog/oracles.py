@@ -252,4 +252,46 @@ GRIDDED = {
     "largest_index": "SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS at FROM embeddings",
     "raw_float_roundtrip": "SELECT vec_id, CAST(len(embedding) AS INT) AS n, CAST(4 * len(embedding) AS INT) AS bytes, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 7) AS total FROM embeddings",
 }
-ORACLES = {**TABULAR, **GRIDDED}
+
+SCORES = "sc AS (SELECT source AS tile, CAST(quality AS DOUBLE) AS truth, CAST(n_chars AS DOUBLE) / (CAST(n_chars AS DOUBLE) + 1000.0) AS est FROM documents JOIN labels USING (doc_id))"
+CONFUSION = (f"{SCORES}, th AS (SELECT CAST(t AS DOUBLE) AS t FROM (VALUES (0.1),(0.2),(0.3),(0.4),(0.5),(0.6),(0.7),(0.8),(0.9)) x(t)), "
+             "cf AS (SELECT tile, t AS threshold, count(*) FILTER (WHERE (est > t) <> (truth <> 0)) / count(*) AS err, count(*) FILTER (WHERE est > t AND truth <> 0) AS tp, "
+             "count(*) FILTER (WHERE est > t AND truth = 0) AS fp, count(*) FILTER (WHERE truth <> 0) AS pos, count(*) FILTER (WHERE truth = 0) AS neg, count(*) AS n FROM sc, th GROUP BY tile, t)")
+POOLED = (f"{CONFUSION}, pl AS (SELECT threshold, CAST(sum(tp * n) AS BIGINT) AS tp, CAST(sum(fp * n) AS BIGINT) AS fp, CAST(sum(pos * n) AS BIGINT) AS pos, CAST(sum(neg * n) AS BIGINT) AS neg, "
+          "sum(err * n) / sum(n) AS err FROM cf GROUP BY threshold), "
+          "pf AS (SELECT *, 2.0 * (tp / nullif(tp + fp, 0)) * (tp / pos) / ((tp / nullif(tp + fp, 0)) + tp / pos) AS score FROM pl)")
+_AFF0 = f"{affinity_view(64, 64)}, cl AS MATERIALIZED (SELECT tile, coalesce(a1, 0) AS est, coalesce(y1, false) AS truth FROM aff UNION ALL SELECT tile, coalesce(a2, 0), coalesce(y2, false) FROM aff)"
+
+
+def _search() -> str:
+    """Four zoom levels of the pixel-error search, chained."""
+    parts = ["g0 AS (SELECT 0.5 + i * CAST(0.05 AS DOUBLE) AS t, i FROM (SELECT unnest(range(0, 15)) AS i))"]
+    step, level = 0.05, 0
+    while True:
+        parts.append(f"s{level} AS (SELECT i, t, avg(CASE WHEN (est > t) <> truth THEN 1.0 ELSE 0.0 END) AS e FROM g{level}, cl GROUP BY i, t), "
+                     f"o{level} AS (SELECT * FROM s{level} ORDER BY e, t LIMIT 1)")
+        if step <= 0.001:
+            break
+        parts.append(f"g{level + 1} AS (SELECT t - CAST({step!r} AS DOUBLE) + CAST({2 * step / 14!r} AS DOUBLE) * j AS t, j AS i FROM o{level}, (SELECT unnest(range(0, 15)) AS j))")
+        step, level = 2 * step / 14, level + 1
+    union = " UNION ALL ".join(f"SELECT t, e FROM o{k}" for k in range(level + 1))
+    return f"WITH {_AFF0}, {', '.join(parts)} SELECT CAST({15 + 14 * level} AS INT) AS points, round(t, 6) AS threshold, round(e, 7) AS score FROM ({union}) ORDER BY e, t LIMIT 1"
+
+
+_CT = "ct AS (SELECT l_returnflag AS tile, l_linenumber - 1 AS gt, CAST(floor(l_quantity / 10) AS INT) AS seg, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY ALL)"
+
+SCORED = {
+    "pixel_confusion": f"WITH {CONFUSION} SELECT tile, threshold, round(err, 7) AS err, tp, fp, pos, neg, n FROM cf",
+    "mse": f"WITH {SCORES} SELECT tile, round(avg((est - truth) * (est - truth)), 7) AS mse FROM sc GROUP BY tile",
+    "pooled_fscore": f"WITH {POOLED} SELECT threshold, tp, fp, pos, neg, round(err, 7) AS err, round(score, 7) AS score FROM pf",
+    "best_threshold": f"WITH {POOLED} (SELECT 'rand' AS kind, threshold, round(score, 7) AS score FROM pf WHERE score IS NOT NULL ORDER BY score DESC, threshold LIMIT 1) UNION ALL (SELECT 'pixel', threshold, round(err, 7) FROM pf ORDER BY err, threshold LIMIT 1)",
+    "roc_monotone": f"WITH {CONFUSION}, al AS (SELECT threshold, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(pos) AS BIGINT) AS pos, CAST(sum(neg) AS BIGINT) AS neg FROM cf GROUP BY threshold), tp2 AS (SELECT *, max(tp) OVER (ORDER BY fp, tp, threshold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM al) SELECT threshold, tp, fp, pos, neg FROM tp2 WHERE top IS NULL OR tp > top",
+    "affinity_confusion": f"WITH {_AFF0}, g AS (SELECT 0.5 + i * CAST(0.05 AS DOUBLE) AS t FROM (SELECT unnest(range(0, 15)) AS i)) SELECT tile, round(t, 4) AS threshold, round(avg(CASE WHEN (est > t) <> truth THEN 1.0 ELSE 0.0 END), 7) AS err, count(*) FILTER (WHERE est > t AND truth) AS tp, count(*) FILTER (WHERE est > t AND NOT truth) AS fp, count(*) FILTER (WHERE truth) AS pos, count(*) FILTER (WHERE NOT truth) AS neg, count(*) // 2 AS n FROM cl, g GROUP BY tile, t",
+    "adaptive_pixel_threshold": _search(),
+    "rand_contingency": f"WITH {_CT}, f AS (SELECT * FROM ct WHERE gt > 0), a AS (SELECT tile, sum(m * m) AS a2 FROM (SELECT tile, gt, sum(n) AS m FROM f GROUP BY ALL) GROUP BY tile), b AS (SELECT tile, sum(m * m) AS b2 FROM (SELECT tile, seg, sum(n) AS m FROM f WHERE seg > 0 GROUP BY ALL) GROUP BY tile), c AS (SELECT tile, sum(CASE WHEN seg > 0 THEN n * n ELSE 0 END) AS ab, sum(CASE WHEN seg = 0 THEN n ELSE 0 END) AS lone FROM f GROUP BY tile), q AS (SELECT tile, (ab + lone) / (b2 + lone) AS p, (ab + lone) / a2 AS r FROM c JOIN a USING (tile) JOIN b USING (tile)) SELECT tile, round(p, 7) AS precision, round(r, 7) AS recall, round(2 * p * r / (p + r), 7) AS fscore FROM q",
+    "rand_index": f"WITH {_CT}, j AS (SELECT tile, sum(n * (n - 1) / 2) AS tp, sum(n) AS m FROM ct GROUP BY tile), a AS (SELECT tile, sum(n * (n - 1) / 2) AS pos FROM (SELECT tile, gt, sum(n) AS n FROM ct GROUP BY ALL) GROUP BY tile), b AS (SELECT tile, sum(n * (n - 1) / 2) AS same FROM (SELECT tile, seg, sum(n) AS n FROM ct GROUP BY ALL) GROUP BY tile), q AS (SELECT tile, tp, same - tp AS fp, pos, m * (m - 1) / 2 - pos AS neg, tp / same AS p, tp / pos AS r FROM j JOIN a USING (tile) JOIN b USING (tile)) SELECT tile, tp, fp, pos, neg, round((tp + neg - fp) / (pos + neg), 7) AS ri, round(p, 7) AS precision, round(r, 7) AS recall, round(2 * p * r / (p + r), 7) AS fscore FROM q",
+    "regex_threshold": "SELECT s_suppkey, round(CAST(regexp_extract('Description: ' || s_name || chr(10) || 'Best Threshold for Rand F-score: ' || printf('%.6f', abs(s_acctbal) / 10000) || chr(10) || 'end', 'Rand F-score: ([0-9.]*)', 1) AS DOUBLE), 4) AS threshold FROM supplier",
+    "natural_sort": "SELECT 'r' || (o_orderkey % 4) || 'f' || (o_custkey % 2) || 's' || o_orderkey AS name, 'r' || lpad(CAST(o_orderkey % 4 AS VARCHAR), 10, '0') || 'f' || lpad(CAST(o_custkey % 2 AS VARCHAR), 10, '0') || 's' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS key FROM orders",
+    "skip_done": "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
+}
+ORACLES = {**TABULAR, **GRIDDED, **SCORED}

@@ -87,7 +87,7 @@ def segment_affinities(voxels: DataFrame) -> DataFrame:
     flags = []
     here = voxels.select("tile", "x", "y", "z", "seg")
     for i, axis in enumerate(("x", "y", "z"), 1):
-        nxt = voxels.select("tile", *[(F.col(a) - (a == axis)).alias(a) for a in ("x", "y", "z")], F.col("seg").alias(f"s{i}"))
+        nxt = voxels.select("tile", *[(F.col(a) - int(a == axis)).alias(a) for a in ("x", "y", "z")], F.col("seg").alias(f"s{i}"))
         here = here.join(nxt, ["tile", "x", "y", "z"], "left")
         same = (F.col("seg") != 0) & F.coalesce(F.col("seg") == F.col(f"s{i}"), F.lit(False))
         flags.append(same.cast("int").alias(f"y{i}"))
@@ -179,7 +179,7 @@ def stencil_blocks(pixels: DataFrame, values: Sequence[str], offsets: Sequence[O
         rows, cols = mine["r"].to_numpy() - r0, mine["c"].to_numpy() - c0
         gathered = dense[feature[None, :], rows[:, None] + shift[None, :, 0], cols[:, None] + shift[None, :, 1]]
         result = mine[["tile", "r", "c"]].reset_index(drop=True)
-        result["feats"] = list(gathered.astype(np.float32))
+        result["feats"] = pd.Series(list(gathered.astype(np.float32)), dtype=object)
         return result
 
     placed = with_blocks(pixels.select("tile", "r", "c", *values), block, halo)
