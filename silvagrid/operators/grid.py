@@ -133,6 +133,10 @@ def with_blocks(pixels: DataFrame, block: int, halo: int) -> DataFrame:
             .filter("br >= 0 AND bc >= 0"))
 
 
+def _tile_type(pixels: DataFrame) -> str:
+    return f"tile {pixels.schema['tile'].dataType.simpleString()}"
+
+
 def _dense(frame: pd.DataFrame, values: Sequence[str], block: int, halo: int) -> tuple[np.ndarray, int, int]:
     """Values of one block and its halo as a dense array (channels, rows, cols) and its origin."""
     r0, c0 = int(frame["br"].iloc[0]) * block - halo, int(frame["bc"].iloc[0]) * block - halo
@@ -149,7 +153,7 @@ def over_blocks(pixels: DataFrame, values: Sequence[str], outputs: Sequence[str]
     ``kernel(dense, rows, cols, r0, c0, h, w)`` returns (outputs, pixels) values at the given
     global coordinates.
     """
-    schema = "tile bigint, r bigint, c bigint, " + ", ".join(f"{name} double" for name in outputs)
+    schema = f"{_tile_type(pixels)}, r bigint, c bigint, " + ", ".join(f"{name} double" for name in outputs)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         dense, r0, c0 = _dense(frame, values, block, halo)
@@ -183,7 +187,7 @@ def stencil_blocks(pixels: DataFrame, values: Sequence[str], offsets: Sequence[O
         return result
 
     placed = with_blocks(pixels.select("tile", "r", "c", *values), block, halo)
-    return placed.groupBy("tile", "br", "bc").applyInPandas(run, "tile bigint, r bigint, c bigint, feats array<float>")
+    return placed.groupBy("tile", "br", "bc").applyInPandas(run, f"{_tile_type(pixels)}, r bigint, c bigint, feats array<float>")
 
 
 # Fixed filter bank: derivative orders per axis, Gaussian widths, and the cut-off in widths.

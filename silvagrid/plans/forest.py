@@ -99,6 +99,7 @@ class ForestModel:
     def from_df(nodes: DataFrame, weights: Sequence[float] | None = None, strategy: str = "average",
                 elems: Sequence[int] | None = None) -> ForestModel:
         rows = [Node(**row.asDict()) for row in nodes.select(*NODE_SCHEMA.fieldNames()).collect()]
+        rows.sort(key=lambda node: (node.tree, node.node_id))
         count = max(node.tree for node in rows) + 1
         return ForestModel(rows, list(weights or [1.0] * count), strategy, list(elems or []))
 
