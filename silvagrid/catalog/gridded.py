@@ -11,7 +11,7 @@ from silvagrid.functions import raster
 from silvagrid.operators import grid, malis, segment
 from silvagrid.plans import boost, evaluate
 from silvagrid.plans.losses import MalisLoss
-from silvagrid.session import small_frame
+from silvagrid.session import cut_lineage, small_frame
 from silvagrid.sources import raw
 
 THRESHOLDS = [0.85, 0.9, 0.95]
@@ -144,16 +144,19 @@ def _image_scored(spark: SparkSession, sf_dir: str, rows: int | None = None) ->
 
 def _tiled_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = _image_scored(spark, sf_dir)
-    windows = malis.tiling_windows(grid.extents(scored), SMALL)
-    return malis.window_gradients_only(scored, windows, SMALL)
+    return malis.window_gradients_only(scored, _tiling(scored), SMALL)
+
+
+def _tiling(scored: DataFrame) -> DataFrame:
+    return malis.tiling_windows(grid.extents(scored), SMALL)
 
 
 def malis_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loss of every window of a tiling of the whole image."""
     grads = _tiled_gradients(spark, sf_dir)
-    total = grads.groupBy("win").agg(F.sum("loss").alias("loss"))
-    count = total.agg(F.count(F.lit(1)).alias("m"))  # one row
-    return total.crossJoin(F.broadcast(count)).selectExpr("win", "round(loss * m, 7) AS loss")
+    total = grads.groupBy("tile", "win").agg(F.sum("loss").alias("loss"))
+    counted = _tiling(_image_scored(spark, sf_dir)).select("tile", "win", "num_win")
+    return total.join(counted, ["tile", "win"]).selectExpr("win", "round(loss * num_win, 7) AS loss")
 
 
 def malis_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +187,7 @@ def malis_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     image = tiled(pixels(spark, sf_dir))
     points = affinities(image).na.fill(0.0, ["y1", "y2"])
     near = grid.with_neighbours(image, "v", {"down": (1, 0), "right": (0, 1)}).na.fill(0.0).drop("v")
-    points = points.join(near, ["tile", "r", "c"])
+    points = cut_lineage(points.join(near, ["tile", "r", "c"]))  # read by every pass and round
     dims = grid.extents(image)
     model = boost.fit_boosted(
         points, ["v", "down", "right"], "y1", "y2", TreeConfig(max_depth=3, max_bins=10),

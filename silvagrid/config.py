@@ -82,9 +82,11 @@ class TreeConfig:
     categorical: Mapping[int, int] = field(default_factory=dict)
     checkpoint_interval: int = 10
     max_memory_mb: int = 500
+    quantiles: str = "sort"
 
     def __post_init__(self) -> None:
         checks = {
+            "only the sort quantile strategy is supported": self.quantiles == "sort",
             "num_trees must be at least 1": self.num_trees >= 1,
             "max_depth must lie in 0..30": 0 <= self.max_depth <= 30,
             "max_bins must be at least 2": self.max_bins >= 2,

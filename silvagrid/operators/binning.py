@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from silvagrid.session import cut_lineage, small_frame
 
@@ -96,6 +98,97 @@ def stride_splits(counts: DataFrame, num_splits: int, chunk_values: int = CHUNK_
     )
 
 
+#: Up to this many (estimated) distinct values, exact counts of a feature are a small aggregate.
+COUNTED_VALUES = 20_000
+
+
+def find_thresholds(df: DataFrame, features: Sequence[Column], num_splits: int) -> list[list[float]]:
+    """Cut points of every feature by the stride rule, exact over all rows, without shuffling
+    the distinct values of continuous features.
+
+    Features with few distinct values go through ``value_counts`` and ``stride_splits``. For the
+    others a quantile sketch brackets each multiple of the stride, and one pass counts exact
+    values inside the brackets and plain totals outside, which is enough as long as no single
+    value holds more rows than a stride: then the k-th cut is the value before the first
+    midpoint beyond k strides. Everything the sketch suggests is verified by exact counts; a
+    feature that fails the check is scanned in full.
+    """
+    x = df.select(*[f.cast("double").alias(f"x{i}") for i, f in enumerate(features)])
+    size = x.agg(F.count(F.lit(1)).alias("rows"), *[
+        agg for i in range(len(features)) for agg in (
+            F.approx_count_distinct(f"x{i}").alias(f"d{i}"), F.count(F.when(~F.isnan(f"x{i}"), 1)).alias(f"ok{i}"))]).first()
+    total = size["rows"]
+    if any(size[f"ok{i}"] != total for i in range(len(features))):
+        raise ValueError("no bin for a null or NaN feature")
+    wide = [i for i in range(len(features)) if size[f"d{i}"] > COUNTED_VALUES]
+    found = _bracketed_thresholds(x, wide, total, num_splits) if wide else {}
+    rest = [i for i in range(len(features)) if i not in found]
+    if rest:
+        counts = value_counts(df, [features[i] for i in rest])
+        for i, cuts in zip(rest, thresholds_of(stride_splits(counts, num_splits), len(rest)), strict=True):
+            found[i] = cuts
+    return [found[i] for i in range(len(features))]
+
+
+def _bracketed_thresholds(x: DataFrame, wide: Sequence[int], total: int, num_splits: int) -> dict[int, list[float]]:
+    """Cut points of the features whose brackets are confirmed by exact counts."""
+    accuracy = int(min(max(total // 100_000, 10_000), 1_000_000))
+    margin = 3.0 / accuracy
+    shares = [k / (num_splits + 1) + side for k in range(1, num_splits + 1) for side in (-margin, margin)]
+    probs = F.array(*[F.lit(min(max(p, 0.0), 1.0)) for p in shares])
+    sketch = x.agg(*[F.percentile_approx(f"x{i}", probs, F.lit(accuracy)).alias(f"q{i}") for i in wide]).first()
+    brackets = {i: sketch[f"q{i}"] for i in wide}
+    # Brackets that touch each other mean a value heavier than a stride.
+    brackets = {i: b for i, b in brackets.items() if all(b[j] < b[j + 1] for j in range(1, len(b) - 1, 2))}
+    if not brackets:
+        return {}
+
+    def zone(value: Column, bounds: Sequence[float]) -> Column:
+        """2k-1 inside the k-th closed bracket, even numbers between brackets."""
+        def search(lo: int, hi: int) -> Column:
+            if lo == hi:
+                return F.lit(lo)
+            mid = (lo + hi) // 2
+            passed = value >= bounds[mid] if mid % 2 == 0 else value > bounds[mid]
+            return F.when(passed, search(mid + 1, hi)).otherwise(search(lo, mid))
+
+        return search(0, len(bounds))
+
+    cells = F.array(*[F.struct(F.lit(i).alias("feature"), F.col(f"x{i}").alias("value"), zone(F.col(f"x{i}"), b).alias("zone"))
+                      for i, b in brackets.items()])
+    counts = x.select(F.explode(cells).alias("cell")).select("cell.*").groupBy(
+        "feature", "zone", F.expr("CASE WHEN zone % 2 = 1 THEN value END").alias("inside")).agg(
+        F.count(F.lit(1)).alias("n"), F.max("value").alias("value"))
+    counts = cut_lineage(counts)
+    zones: dict[int, dict[int, tuple[int, float, int]]] = {i: {} for i in brackets}
+    for row in counts.groupBy("feature", "zone").agg(F.sum("n"), F.max("value"), F.max("n")).collect():  # features x 2 splits rows
+        zones[row[0]][row[1]] = (row[2], row[3], row[4])
+    starts = []
+    for i, seen in zones.items():
+        n0, top = 0, None
+        for z in range(2 * num_splits + 1):
+            if z % 2 == 1:
+                starts.append((i, z, n0, top))
+            if z in seen:
+                n0, top = n0 + seen[z][0], seen[z][1]
+    bounds = small_frame(x.sparkSession, starts, "feature int, zone int, n0 bigint, top double")
+    near = counts.filter("zone % 2 = 1").join(F.broadcast(bounds), ["feature", "zone"])
+    up = "(PARTITION BY feature, zone ORDER BY value"
+    ranked = near.selectExpr("feature", "zone", "n0", "value", "n", "top", f"n0 + sum(n) OVER {up} ROWS UNBOUNDED PRECEDING) AS cum")
+    ranked = ranked.selectExpr("*", f"({num_splits + 1} * (2 * cum - n) - 1) div (2 * {total}L) AS q")
+    ranked = ranked.selectExpr("feature", "(zone + 1) div 2 AS k", "n0", "q", f"lag(q) OVER {up}) AS q0", f"coalesce(lag(value) OVER {up}), top) AS prev")
+    crossing = ranked.filter("q >= k AND (q0 IS NULL OR q0 < k)").collect()  # features x splits rows
+    result: dict[int, list[float]] = {}
+    for i, seen in zones.items():
+        mine = {row["k"]: row for row in crossing if row["feature"] == i}
+        light = all(z % 2 == 0 or n * (num_splits + 1) <= total for z, (_, _, n) in seen.items())
+        sound = all(k in mine and mine[k]["n0"] * (num_splits + 1) <= k * total and mine[k]["prev"] is not None
+                    for k in range(1, num_splits + 1))
+        if light and sound:
+            result[i] = [mine[k]["prev"] for k in range(1, num_splits + 1)]
+    return result
+
+
 def thresholds_of(splits: DataFrame, num_features: int) -> list[list[float]]:
     """Cut points per feature on the driver: at most features x (bins-1) numbers."""
     result: list[list[float]] = [[] for _ in range(num_features)]
@@ -142,6 +235,29 @@ def bins_of_array(array: Column, thresholds: Sequence[Sequence[float]]) -> Colum
     return F.zip_with(array, table, lambda x, cuts: F.size(F.filter(cuts, lambda cut: cut < x)))
 
 
+def bin_matrix(array: Column, thresholds: Sequence[Sequence[float]]) -> Column:
+    """Bin ids of an array of features in Arrow batches: one sorted search per feature and batch.
+
+    For lists of hundreds or thousands of features, where comparison trees per feature would
+    outgrow generated code.
+    """
+    tables = [np.asarray(cuts, dtype=float) for cuts in thresholds]
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def search(rows: pd.Series) -> pd.Series:
+        if not len(rows):
+            return pd.Series([], dtype=object)
+        block = np.stack(rows.to_numpy())
+        if np.isnan(block).any():
+            raise ValueError("no bin for a null or NaN feature")
+        out = np.empty(block.shape, np.int32)
+        for i, cuts in enumerate(tables):
+            out[:, i] = np.searchsorted(cuts, block[:, i], side="left")
+        return pd.Series(list(out), dtype=object)
+
+    return search(array)
+
+
 def category_subsets(arity: int) -> list[list[int]]:
     """The 2^(arity-1)-1 left sides of a two-way partition of the categories, by bit mask."""
     return [[c for c in range(arity) if mask >> c & 1] for mask in range(1, 1 << (arity - 1))]

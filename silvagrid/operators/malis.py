@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -142,18 +142,19 @@ def window_gradients_only(scored: DataFrame, windows: DataFrame, size: int = WIN
     A group is one window: at most size x size pixels. ``loss`` sits on the first pixel of a
     window and is divided by the number of windows of its tile.
     """
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        r, c = frame["r"].to_numpy(), frame["c"].to_numpy()
-        grad, loss = window_loss(r, c, frame[["y1", "y2"]].to_numpy(), frame[["f1", "f2"]].to_numpy())
-        out = frame[["tile", "win", "r", "c"]].copy()
-        out["g1"], out["g2"] = grad[:, 0], grad[:, 1]
-        out["loss"] = np.where(np.arange(len(r)) == np.lexsort((c, r))[0], loss / frame["num_win"].iloc[0], 0.0)
-        return out
+    def run(table: pa.Table) -> pa.Table:
+        r, c = table["r"].to_numpy(), table["c"].to_numpy()
+        pair = lambda x, y: np.stack([table[x].to_numpy(), table[y].to_numpy()], axis=1)
+        grad, loss = window_loss(r, c, pair("y1", "y2"), pair("f1", "f2"))
+        first = np.zeros(len(r))
+        first[np.lexsort((c, r))[0]] = loss / table["num_win"][0].as_py()
+        kept = {name: table[name] for name in ("tile", "win", "r", "c")}
+        return pa.table({**kept, "g1": grad[:, 0].copy(), "g2": grad[:, 1].copy(), "loss": first})
 
     slim = pixels_in_windows(scored.select("tile", "r", "c", "y1", "y2", "f1", "f2"), windows, size)
     tile = scored.schema["tile"].dataType.simpleString()
     schema = f"tile {tile}, win bigint, r bigint, c bigint, g1 double, g2 double, loss double"
-    return slim.select("tile", "win", "num_win", "r", "c", "y1", "y2", "f1", "f2").groupBy("tile", "win").applyInPandas(run, schema)
+    return slim.select("tile", "win", "num_win", "r", "c", "y1", "y2", "f1", "f2").groupBy("tile", "win").applyInArrow(run, schema)
 
 
 def window_gradients(scored: DataFrame, windows: DataFrame, size: int = WINDOW) -> DataFrame:

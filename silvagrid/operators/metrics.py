@@ -65,6 +65,13 @@ def contingency(pairs: DataFrame, keys: Sequence[str] = ("tile",), truth: str =
     return pairs.groupBy(*keys, F.col(truth).alias("gt"), F.col(pred).alias("seg")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join aggregates on their keys; without keys both sides have one row and meet on a constant."""
+    if keys:
+        return left.join(right, list(keys), how)
+    return left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one", how).drop("_one")
+
+
 def rand_index(table: DataFrame, keys: Sequence[str] = ("tile",)) -> DataFrame:
     """Pair counts of a contingency table: tp, fp, pos, neg, and ``ri``, precision, recall, F.
 
@@ -74,10 +81,8 @@ def rand_index(table: DataFrame, keys: Sequence[str] = ("tile",)) -> DataFrame:
     joint = table.groupBy(*keys).agg(F.sum(pair(F.col("n").cast("double"))).alias("tp"), F.sum("n").cast("double").alias("total"))
     rows = table.groupBy(*keys, "gt").agg(F.sum("n").cast("double").alias("m")).groupBy(*keys).agg(F.sum(pair(F.col("m"))).alias("pos"))
     cols = table.groupBy(*keys, "seg").agg(F.sum("n").cast("double").alias("m")).groupBy(*keys).agg(F.sum(pair(F.col("m"))).alias("same"))
-    if keys:
-        both = joint.join(rows, list(keys)).join(cols, list(keys))
-    else:
-        both = joint.crossJoin(rows).crossJoin(cols)  # three single-row aggregates
+    both = _match(joint, rows, keys)
+    both = _match(both, cols, keys)
     both = both.withColumns({"fp": F.col("same") - F.col("tp"), "neg": pair(F.col("total")) - F.col("pos")})
     both = both.withColumns({
         "ri": (F.col("tp") + F.col("neg") - F.col("fp")) / (F.col("pos") + F.col("neg")),
@@ -98,10 +103,7 @@ def rand_connectivity(table: DataFrame, keys: Sequence[str] = ("tile",)) -> Data
         F.sum(F.when(F.col("seg") == 0, F.col("m")).otherwise(0.0)).alias("lone"))
     a = fore.groupBy(*keys, "gt").agg(F.sum("m").alias("m")).groupBy(*keys).agg(F.sum(F.col("m") * F.col("m")).alias("a2"))
     b = fore.filter("seg > 0").groupBy(*keys, "seg").agg(F.sum("m").alias("m")).groupBy(*keys).agg(F.sum(F.col("m") * F.col("m")).alias("b2"))
-    if keys:
-        both = cell.join(a, list(keys)).join(b, list(keys), "left")
-    else:
-        both = cell.crossJoin(a).crossJoin(b)
+    both = _match(_match(cell, a, keys), b, keys, "left")
     b2 = F.coalesce("b2", F.lit(0.0)) + F.col("lone")
     both = both.select(*keys, ((F.col("ab") + F.col("lone")) / F.nullif(b2, F.lit(0.0))).alias("precision"),
                        ((F.col("ab") + F.col("lone")) / F.nullif(F.col("a2"), F.lit(0.0))).alias("recall"))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,12 +82,11 @@ def kruskal(src: np.ndarray, dst: np.ndarray, w: np.ndarray, eid: np.ndarray, ro
 def _kernel(keys: Sequence[str], blocked: bool):
     """Grouped-map function: label rows (kind 0), forest edges (kind 1), left-over edges (kind 2)."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        src, dst, w, eid = (frame[x].to_numpy() for x in ("src", "dst", "w", "eid"))
-        rooted = frame["rooted"].to_numpy(dtype=bool)
+    def run(table: pa.Table) -> pa.Table:
+        src, dst, w, eid, rooted = (table[x].to_numpy() for x in ("src", "dst", "w", "eid", "rooted"))
         if blocked:
-            here = frame["blk"].to_numpy()
-            outside = np.where(frame["sblk"].to_numpy() != here, 1, np.where(frame["dblk"].to_numpy() != here, 2, 0))
+            here = table["blk"].to_numpy()
+            outside = np.where(table["sblk"].to_numpy() != here, 1, np.where(table["dblk"].to_numpy() != here, 2, 0))
         else:
             outside = np.zeros(len(src), int)
         nodes, comp, is_rooted, forest, rest = kruskal(src, dst, w, eid, rooted, outside)
@@ -95,16 +94,16 @@ def _kernel(keys: Sequence[str], blocked: bool):
         inside[np.searchsorted(nodes, np.concatenate([src[outside != 1], dst[(outside != 2) & ~rooted]]))] = True
         rest = np.array(rest, dtype=int)
         rest = rest[outside[rest] != 1]  # a crossing edge is reported by the block of its src end
-        forest = np.array(forest, dtype=int)
-        parts = [
-            pd.DataFrame({"kind": 0, "a": nodes[inside], "b": comp[inside], "rooted": is_rooted[inside], "w": 0.0, "eid": 0}),
-            pd.DataFrame({"kind": 1, "a": src[forest], "b": dst[forest], "rooted": rooted[forest], "w": w[forest], "eid": eid[forest]}),
-            pd.DataFrame({"kind": 2, "a": src[rest], "b": dst[rest], "rooted": rooted[rest], "w": w[rest], "eid": eid[rest]}),
-        ]
-        result = pd.concat(parts, ignore_index=True)
-        for key in keys:
-            result[key] = frame[key].iloc[0]
-        return result
+        edges = np.concatenate([np.array(forest, dtype=int), rest])
+        labels = int(inside.sum())
+        kind = np.repeat(np.array([0, 1, 2], np.int32), [labels, len(forest), len(rest)])
+        columns = {
+            "kind": kind, "a": np.concatenate([nodes[inside], src[edges]]), "b": np.concatenate([comp[inside], dst[edges]]),
+            "rooted": np.concatenate([is_rooted[inside], rooted[edges]]), "w": np.concatenate([np.zeros(labels), w[edges]]),
+            "eid": np.concatenate([np.zeros(labels, np.int64), eid[edges]]),
+        }
+        same = {key: pa.repeat(table[key][0], len(kind)) for key in keys}
+        return pa.table({**columns, **same})
 
     return run
 
@@ -136,7 +135,7 @@ def spanning_forest(edges: DataFrame, keys: Sequence[str] = ("tile",), block: in
     placed = edges.select(*keys, "src", "dst", "w", "eid", "rooted").withColumn("sblk", block_of(F.col("src"), block))
     placed = placed.withColumn("dblk", F.when(F.col("rooted"), F.col("sblk")).otherwise(block_of(F.col("dst"), block)))
     placed = placed.withColumn("blk", F.explode(F.array_distinct(F.array("sblk", "dblk"))))
-    contracted = cut_lineage(placed.groupBy(*keys, "blk").applyInPandas(_kernel(keys, True), _schema(placed, keys)))
+    contracted = cut_lineage(placed.groupBy(*keys, "blk").applyInArrow(_kernel(keys, True), _schema(placed, keys)))
     labels = contracted.filter("kind = 0").select(*keys, F.col("a").alias("node"), F.col("b").alias("comp"), "rooted")
     forest = contracted.filter("kind = 1").select(*keys, F.col("a").alias("src"), F.col("b").alias("dst"), "w", "eid")
     rest = contracted.filter("kind = 2").select(*keys, F.col("a").alias("u"), F.col("b").alias("v"), "rooted", "w", "eid",
@@ -157,7 +156,7 @@ def spanning_forest(edges: DataFrame, keys: Sequence[str] = ("tile",), block: in
     if remaining:
         small = rest.select(*keys, F.col("u").alias("src"), F.col("v").alias("dst"), "rooted", "w", "eid",
                             F.col("src").alias("s0"), F.col("dst").alias("d0"))
-        done = cut_lineage(small.groupBy(*keys).applyInPandas(_kernel(keys, False), _schema(small, keys)))
+        done = cut_lineage(small.groupBy(*keys).applyInArrow(_kernel(keys, False), _schema(small, keys)))
         picked = done.filter("kind = 1").select(*keys, "eid")
         ends = small.select(*keys, F.col("s0").alias("src"), F.col("d0").alias("dst"), "w", "eid")
         forest = forest.unionByName(ends.join(picked, [*keys, "eid"], "left_semi"))

@@ -52,7 +52,7 @@ def flatten(elements: Sequence[fo.ForestModel], weights: Sequence[float]) -> fo.
 
 
 def fit_boosted(
-    df: DataFrame, features: Sequence[Column | str], y1: Column | str, y2: Column | str, tree: TreeConfig, cfg: BoostConfig,
+    df: DataFrame, features: Sequence[Column | str] | str, y1: Column | str, y2: Column | str, tree: TreeConfig, cfg: BoostConfig,
     initial: fo.ForestModel | int = 1, loss: Loss | None = None, row_key: Column | None = None, keep: Sequence[str] = (),
     thresholds: list[list[float]] | None = None,
 ) -> BoostedModel:
@@ -69,7 +69,8 @@ def fit_boosted(
     else:
         # A loaded model may have other cut points, so it predicts from the raw features.
         start = initial
-        raw = F.array(*[(F.col(f) if isinstance(f, str) else f).cast("double") for f in features])
+        raw = F.col(features) if isinstance(features, str) else F.array(
+            *[(F.col(f) if isinstance(f, str) else f).cast("double") for f in features])
         first = fo.predict(df.withColumn("_raw", raw), start, "_raw", names=("_est1", "_est2"))
         scored = fo.prepare(first, features, y1, y2, tree, row_key, thresholds=data.thresholds, keep=[*keep, "_est1", "_est2"]).rows
         scored = scored.withColumnsRenamed({"_est1": "f1", "_est2": "f2"})

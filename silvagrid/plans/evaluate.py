@@ -58,6 +58,8 @@ def rand_stats(pixels: DataFrame, thresholds: Sequence[float], est: Sequence[str
     Pairs are counted over the truth foreground. A tile whose estimates all lie on one side of
     a threshold has null statistics there.
     """
+    if forest is None and truth is None:
+        pixels = cut_lineage(pixels)
     forest = forest if forest is not None else maximin_forest(pixels, est)
     truth = truth if truth is not None else truth_of(pixels)
     keys = ["tile", "threshold"]
@@ -99,6 +101,7 @@ def search_thresholds(pixels: DataFrame, kind: str = "pixel", est: Sequence[str]
     """
     grid_now = list(thresholds or initial_grid())
     shared = {}
+    pixels = cut_lineage(pixels)  # every zoom level reads it again
     if kind == "rand":
         shared = {"forest": maximin_forest(pixels, est), "truth": truth_of(pixels)}
 

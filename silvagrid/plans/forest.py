@@ -16,7 +16,7 @@ from silvagrid.config import TreeConfig, subset_size
 from silvagrid.functions import heap
 from silvagrid.functions.sampling import uniform
 from silvagrid.operators import binning, splits
-from silvagrid.session import cut_lineage, small_frame
+from silvagrid.session import cut_lineage, fits_broadcast, small_frame, spread
 
 NODE_SCHEMA = T.StructType([
     T.StructField("tree", T.IntegerType(), False),
@@ -177,26 +177,32 @@ class TrainingSet:
 
 
 def prepare(
-    df: DataFrame, features: Sequence[Column | str], y1: Column | str, y2: Column | str, cfg: TreeConfig,
+    df: DataFrame, features: Sequence[Column | str] | str, y1: Column | str, y2: Column | str, cfg: TreeConfig,
     row_key: Column | None = None, weight: Column | None = None, thresholds: list[list[float]] | None = None,
     keep: Sequence[str] = (),
 ) -> TrainingSet:
     """Find cut points over all rows (unless given) and project rows to bins once.
 
+    ``features`` is a list of columns, or the name of an array column with the cut points given.
     ``keep`` names further columns that stay on the rows.
     """
-    cols = [F.col(f) if isinstance(f, str) else f for f in features]
+    if isinstance(features, str):
+        if thresholds is None or cfg.categorical:
+            raise ValueError("an array of features needs given cut points and no categories")
+        cols = []
+    else:
+        cols = [F.col(f) if isinstance(f, str) else f for f in features]
     if thresholds is None:
         continuous = [i for i in range(len(cols)) if i not in cfg.categorical]
         thresholds = [[] for _ in cols]
         if continuous:
-            counts = binning.value_counts(df, [cols[i] for i in continuous])
-            found = binning.thresholds_of(binning.stride_splits(counts, cfg.max_bins - 1), len(continuous))
+            found = binning.find_thresholds(df, [cols[i] for i in continuous], cfg.max_bins - 1)
             for i, cuts in zip(continuous, found, strict=True):
                 thresholds[i] = cuts
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
     rows = df.select(
-        binning.bins_array(cols, thresholds, dict(cfg.categorical)).alias("bins"),
+        (binning.bins_array(cols, thresholds, dict(cfg.categorical)) if cols
+         else binning.bin_matrix(F.col(features), thresholds)).alias("bins"),
         as_col(y1).cast("double").alias("y1"),
         as_col(y2).cast("double").alias("y2"),
         (weight if weight is not None else F.lit(1.0)).cast("double").alias("w"),
@@ -240,7 +246,7 @@ def route_slots(previous: Column, chosen: Sequence[tuple[int, int, list[int] | N
 
 
 def fit_forest(
-    df: DataFrame, features: Sequence[Column | str], y1: Column | str, y2: Column | str, cfg: TreeConfig,
+    df: DataFrame, features: Sequence[Column | str] | str, y1: Column | str, y2: Column | str, cfg: TreeConfig,
     row_key: Column | None = None, weight: Column | None = None, thresholds: list[list[float]] | None = None,
 ) -> ForestModel:
     """Train ``cfg.num_trees`` trees together, one Spark job per tree level."""
@@ -250,7 +256,7 @@ def fit_forest(
 
 def fit_prepared(data: TrainingSet, cfg: TreeConfig) -> ForestModel:
     """Train on binned rows, held in memory and on disk while the levels pass over them."""
-    rows = data.rows.persist()
+    rows = spread(data.rows).persist()
     try:
         return grow(replace(data, rows=rows), cfg)
     finally:
@@ -314,18 +320,21 @@ def _level_query(state: DataFrame, data: TrainingSet, cfg: TreeConfig, active: l
     if data.num_features > splits.WIDE_FEATURES:
         hist = splits.node_histogram_wide(
             state.filter(F.exists("slots", lambda s: s >= 0)), data.num_features, data.max_bins, cfg.max_memory_mb)
+        cells = None
     else:
         rows = state.select(F.explode("slots").alias("slot"), "bins", "y1", "y2", "w").filter("slot >= 0 and w > 0")
-        cells = splits.unpivot(rows)
-        hist = None
+        cells, hist = splits.unpivot(rows), None
     if tried < data.num_features:
         # Node -> sampled features, drawn on the driver; nodes x features rows.
         pairs = [(slot, f) for slot in range(len(active)) for f in rng.sample(range(data.num_features), tried)]
         allowed = small_frame(spark, pairs, "slot int, feature int")
-        if hist is None:
-            cells = cells.join(F.broadcast(allowed), ["slot", "feature"], "left_semi")
-        else:
-            hist = hist.join(F.broadcast(allowed), ["slot", "feature"], "left_semi")
+        if fits_broadcast(len(pairs), 16):
+            allowed = F.broadcast(allowed)
+            cells = cells if cells is None else cells.join(allowed, ["slot", "feature"], "left_semi")
+        elif hist is None:
+            hist = splits.node_histogram(cells)  # aggregate first, so that the join is small
+        if hist is not None:
+            hist = hist.join(allowed, ["slot", "feature"], "left_semi")
     if hist is None:
         hist = splits.node_histogram(cells)
     ordered = splits.with_order(hist, data.categorical)

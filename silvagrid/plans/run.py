@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silvagrid.config import RunSettings
-from silvagrid.operators import grid
+from silvagrid.operators import binning, grid
 from silvagrid.plans import evaluate, forest
 from silvagrid.plans.boost import fit_boosted
 from silvagrid.plans.losses import MalisLoss
@@ -23,18 +23,25 @@ def _points(spark: SparkSession, s: RunSettings, names: tuple[str, ...], from_fr
     return cut_lineage(points)
 
 
+def cut_points(spark: SparkSession, s: RunSettings) -> list[list[float]]:
+    """Cut points of every base feature over all training tiles, repeated for its offset features."""
+    base = tiles.read_features(spark, s.data_root, s.train_tiles, s.n_base_features)
+    found = binning.find_thresholds(base, [F.col("values")[i] for i in range(s.n_base_features)], s.max_bins - 1)
+    return binning.expand_splits(found, [feature for feature, _ in s.features])
+
+
 def train(spark: SparkSession, s: RunSettings, points: DataFrame) -> tuple[forest.ForestModel, object]:
     """A plain forest, or boosting on the pair-counting loss when ``iterations`` is positive."""
-    features = [F.col("feats")[i] for i in range(len(s.features))]
     key = F.pmod(F.xxhash64("tile", "inner_idx"), F.lit((1 << 31) - 1))
     cfg = s.tree_config(s.initial_trees)
     if s.iterations == 0:
         if s.load_model:
             return sinks.load_model(spark, s.load_model), None
-        return forest.fit_forest(points, features, "y1", "y2", cfg, key), None
+        return forest.fit_forest(points, "feats", "y1", "y2", cfg, key, thresholds=cut_points(spark, s)), None
     initial = sinks.load_model(spark, s.load_model) if s.load_model else s.initial_trees
     loss = MalisLoss(grid.extents(points), s.subsample_proportion)
-    boosted = fit_boosted(points, features, "y1", "y2", cfg, s.boost_config(), initial, loss, key, keep=["tile", "r", "c"])
+    boosted = fit_boosted(points, "feats", "y1", "y2", cfg, s.boost_config(), initial, loss, key, keep=["tile", "r", "c"],
+                          thresholds=cut_points(spark, s))
     return boosted.forest, boosted
 
 

@@ -48,6 +48,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores when the input has fewer partitions than there are (small single files)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small_frame(spark: SparkSession, rows: list[tuple], schema: str | StructType) -> DataFrame:
     """A driver-side table as a local relation (through Arrow, so no Python worker is involved)."""
     struct = StructType.fromDDL(schema) if isinstance(schema, str) else schema

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from silvagrid.config import Offset, tile_path
 from silvagrid.operators import grid
-from silvagrid.session import small_frame
+from silvagrid.session import lookup_join, small_frame
 from silvagrid.sources import raw
 
 # Fixed file names of a tile folder.
@@ -36,7 +36,7 @@ def read_dimensions(spark: SparkSession, root: str, tiles: Sequence[str]) -> Dat
         _folder_of(F.input_file_name()).alias("folder"), F.split(F.trim("value"), r"\s+").alias("x"))
     names = ["outer_h", "outer_w", "r0", "c0", "r1", "c1"]
     dims = text.select("folder", *[F.col("x")[i].cast("bigint").alias(name) for i, name in enumerate(names)])
-    return dims.join(F.broadcast(_folders(spark, root, tiles)), "folder").select("tile", *names)
+    return lookup_join(dims, _folders(spark, root, tiles), ["folder"], len(tiles), ["folder"]).select("tile", *names)
 
 
 def read_targets(spark: SparkSession, root: str, tiles: Sequence[str]) -> DataFrame:
@@ -56,14 +56,14 @@ def read_targets(spark: SparkSession, root: str, tiles: Sequence[str]) -> DataFr
     numbered = placed.join(counts, ["path", "block"]).select(
         _folder_of(F.col("path")).alias("folder"), (F.col("at") + F.col("skip")).cast("bigint").alias("idx"),
         F.split(F.trim("value"), r"\s+").cast("array<double>").alias("y"))
-    return numbered.join(F.broadcast(_folders(spark, root, tiles)), "folder").select("tile", "idx", "y")
+    return lookup_join(numbered, _folders(spark, root, tiles), ["folder"], len(tiles), ["idx"]).select("tile", "idx", "y")
 
 
 def read_features(spark: SparkSession, root: str, tiles: Sequence[str], n_base: int) -> DataFrame:
     """``(tile, idx, values)``: base features of every outer pixel in row-major order."""
     records = raw.read_records(spark, _paths(root, tiles, FEATURES_FILE), n_base)
-    return records.withColumn("folder", _folder_of(F.col("path"))).join(
-        F.broadcast(_folders(spark, root, tiles)), "folder").select("tile", "idx", "values")
+    named = records.withColumn("folder", _folder_of(F.col("path")))
+    return lookup_join(named, _folders(spark, root, tiles), ["folder"], len(tiles), ["idx"]).select("tile", "idx", "values")
 
 
 def load_tiles(spark: SparkSession, root: str, tiles: Sequence[str], n_base: int, offsets: Sequence[Offset],
@@ -80,7 +80,7 @@ def load_tiles(spark: SparkSession, root: str, tiles: Sequence[str], n_base: int
         raise ValueError(f"offsets reach {reach} pixels beyond the margin of tiles {short}")
     dims = grid.inner_box(all_dims, proportion, from_front)
     width = F.col("outer_w")
-    outer = read_features(spark, root, tiles, n_base).join(F.broadcast(dims), "tile")
+    outer = lookup_join(read_features(spark, root, tiles, n_base), dims, ["tile"], len(tiles), ["idx"])
     outer = outer.withColumns({"r": F.floor(F.col("idx") / width), "c": F.col("idx") % width})
     values = [f"b{i}" for i in range(n_base)]
     near = outer.filter(
@@ -89,7 +89,7 @@ def load_tiles(spark: SparkSession, root: str, tiles: Sequence[str], n_base: int
     base = near.select("tile", "r", "c", *[F.col("values")[i].alias(name) for i, name in enumerate(values)])
     gathered = grid.stencil_blocks(base, values, offsets)
 
-    targets = read_targets(spark, root, tiles).join(F.broadcast(dims), "tile")
+    targets = lookup_join(read_targets(spark, root, tiles), dims, ["tile"], len(tiles), ["idx"])
     inner_w = F.col("c1") - F.col("c0") + 1
     wanted = targets.withColumn("inner_idx", F.col("idx") - F.col("target_off")).filter("inner_idx >= 0 AND inner_idx < n_targets")
     points = wanted.select(
@@ -106,7 +106,7 @@ def read_affinities(spark: SparkSession, root: str, tiles: Sequence[str], name:
     size = spark.read.text(_paths(root, tiles, DIMENSIONS_FILE), wholetext=True).select(
         _folder_of(F.input_file_name()).alias("folder"), F.split(F.trim("value"), r"\s+")[1].cast("bigint").alias("w"))
     records = raw.read_records(spark, _paths(root, tiles, name), 2).withColumn("folder", _folder_of(F.col("path")))
-    return records.join(F.broadcast(size), "folder").select(
+    return lookup_join(records, size, ["folder"], len(tiles), ["idx"]).select(
         F.col("folder").alias("tile"), F.floor(F.col("idx") / F.col("w")).alias("r"), (F.col("idx") % F.col("w")).alias("c"),
         F.col("values")[0].alias("a1"), F.col("values")[1].alias("a2"))
 

@@ -97,3 +97,29 @@ def test_registry_and_mix(spark):
         impurity.impurity_sql("gini")
     values = [r[0] for r in spark.range(2000).select(mix(F.col("id"), 5)).collect()]
     assert len(set(values)) > 1990 and 0.45 < sum(v < 2147483647 / 2 for v in values) / 2000 < 0.55
+
+
+@pytest.mark.parametrize("counted", [0, 20_000])
+def test_sketch_path_matches_full_scan(spark, monkeypatch, counted):
+    """Smooth, tied, heavy-valued and tiny features: the three-pass search equals the full walk."""
+    monkeypatch.setattr(binning, "COUNTED_VALUES", counted)
+    rng = random.Random(11)
+    n = 3000
+    columns = [
+        [rng.random() for _ in range(n)], [round(rng.gauss(0, 1), 2) for _ in range(n)],
+        [0.0 if rng.random() < 0.4 else rng.random() for _ in range(n)], [float(rng.randint(0, 3)) for _ in range(n)],
+        [rng.random() ** 6 for _ in range(n)], [float(i // 3) for i in range(n)], [float(rng.randint(0, 12)) for _ in range(n)],
+    ]
+    df = small_frame(spark, list(zip(*columns, strict=True)), ", ".join(f"x{i} double" for i in range(len(columns)))).cache()
+    features = [F.col(c) for c in df.columns]
+    for num_splits in (3, 9, 31):
+        want = []
+        for col in columns:
+            counts = {}
+            for v in col:
+                counts[v] = counts.get(v, 0) + 1
+            want.append(walk(sorted(counts.items()), num_splits))
+        assert binning.find_thresholds(df, features, num_splits) == want
+    if counted == 0:
+        x = df.select(*[F.col(c).alias(f"x{i}") for i, c in enumerate(df.columns)])
+        assert {0, 4} <= set(binning._bracketed_thresholds(x, range(7), n, 9))
