@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +25,13 @@ def uniform(key: Column, seed: Column | int) -> Column:
     return mix(key, seed) / float(MODULUS)
 
 
+def uniform_array(keys: np.ndarray, seed: int) -> np.ndarray:
+    """``uniform`` for a batch of keys inside a task."""
+    start = (keys + seed * SEED_STRIDE) % MODULUS
+    spread = start * MULTIPLIER % MODULUS
+    return (spread * spread + spread) % MODULUS / float(MODULUS)
+
+
 def mix_sql(key: str, seed: str) -> str:
     """The same rule as text for an SQL engine with BIGINT arithmetic."""
     spread = f"((({key} + {seed} * {SEED_STRIDE}) % {MODULUS}) * {MULTIPLIER}) % {MODULUS}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,53 +26,73 @@ def node_histogram(cells: DataFrame, keys: Iterable[str] = ("slot", "feature", "
     return cells.groupBy(*keys).agg(*imp.sums(F.col("y1"), F.col("y2"), F.col("w")))
 
 
-def node_histogram_wide(rows: DataFrame, num_features: int, max_bins: int, max_memory_mb: int = 500) -> DataFrame:
-    """The same sums for wide feature lists, without exploding rows by features.
+HIST_SCHEMA = pa.schema([("slot", pa.int32()), ("feature", pa.int32()), ("bin", pa.int32())] + [(name, pa.float64()) for name in imp.STATS])
+HIST_DDL = "slot int, feature int, bin int, " + ", ".join(f"{name} double" for name in imp.STATS)
+
 
-    ``rows`` holds ``slots ARRAY<INT>`` (one per tree), ``bins ARRAY<INT>``, y1, y2, w. Every task
-    adds its Arrow batches into dense per-node arrays and emits the non-empty cells; when the
-    arrays outgrow ``max_memory_mb`` they are emitted early, which changes nothing because a
-    hash aggregation adds the partial cells up afterwards.
+class PartialHistogram:
+    """Dense five-sum tables of the nodes a task has met, emitted as sparse cells.
+
+    When the tables outgrow the memory budget they are emitted early, which changes nothing
+    because a hash aggregation adds the cells up afterwards.
     """
-    schema = pa.schema([("slot", pa.int32()), ("feature", pa.int32()), ("bin", pa.int32())]
-                       + [(name, pa.float64()) for name in imp.STATS])
-    cells = num_features * max_bins
-    limit = max(1, max_memory_mb * 1024 * 1024 // (cells * 8 * len(imp.STATS)))
 
-    def emit(held: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for slot, table in held.items():
+    def __init__(self, num_features: int, max_bins: int, max_memory_mb: int) -> None:
+        self.num_features, self.max_bins = num_features, max_bins
+        self.limit = max(1, max_memory_mb * 1024 * 1024 // (num_features * max_bins * 8 * len(imp.STATS)))
+        self.held: dict[int, np.ndarray] = {}
+
+    def add(self, slots: np.ndarray, bins_of: Callable[[np.ndarray, slice], np.ndarray], y1: np.ndarray, y2: np.ndarray,
+            w: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Add rows: ``slots`` is (rows, trees), ``bins_of(rows, features)`` their bins."""
+        terms = [w, w * y1, w * y2, w * y1 * y1, w * y2 * y2]
+        for tree in range(slots.shape[1]):
+            ordered = np.argsort(slots[:, tree], kind="stable")
+            found, first = np.unique(slots[ordered, tree], return_index=True)
+            for slot, mine in zip(found, np.split(ordered, first[1:]), strict=True):
+                if slot < 0:
+                    continue
+                table = self.held.setdefault(int(slot), np.zeros((len(imp.STATS), self.num_features * self.max_bins)))
+                for start in range(0, self.num_features, WIDE_FEATURES):
+                    part = slice(start, min(start + WIDE_FEATURES, self.num_features))
+                    width = part.stop - part.start
+                    where = (bins_of(mine, part) + np.arange(width) * self.max_bins).ravel()
+                    at = slice(start * self.max_bins, part.stop * self.max_bins)
+                    for i, term in enumerate(terms):
+                        table[i, at] += np.bincount(where, np.repeat(term[mine], width), minlength=width * self.max_bins)
+                if len(self.held) > self.limit:
+                    yield from self.emit()
+
+    def emit(self) -> Iterator[pa.RecordBatch]:
+        for slot, table in self.held.items():
             at = np.flatnonzero(table[0])
-            columns = [np.full(len(at), slot, np.int32), (at // max_bins).astype(np.int32), (at % max_bins).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in [*columns, *table[:, at]]], schema=schema)
+            keys = [np.full(len(at), slot, np.int32), (at // self.max_bins).astype(np.int32), (at % self.max_bins).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in [*keys, *table[:, at]]], schema=HIST_SCHEMA)
+        self.held.clear()
+
+
+def add_partials(parts: DataFrame) -> DataFrame:
+    """Sum the partial cells of all tasks."""
+    return parts.groupBy("slot", "feature", "bin").agg(*[F.sum(name).alias(name) for name in imp.STATS])
 
+
+def node_histogram_wide(rows: DataFrame, num_features: int, max_bins: int, max_memory_mb: int = 500) -> DataFrame:
+    """The same sums for wide feature lists, without exploding rows by features.
+
+    ``rows`` holds ``slots ARRAY<INT>`` (one per tree), ``bins ARRAY<INT>``, y1, y2, w.
+    """
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        hist = PartialHistogram(num_features, max_bins, max_memory_mb)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             slots = batch["slots"].flatten().to_numpy().reshape(batch.num_rows, -1)
             bins = batch["bins"].flatten().to_numpy().reshape(batch.num_rows, num_features)
             y1, y2, w = (batch[name].to_numpy() for name in ("y1", "y2", "w"))
-            terms = [w, w * y1, w * y2, w * y1 * y1, w * y2 * y2]
-            offsets = np.arange(num_features, dtype=np.int64) * max_bins
-            for tree in range(slots.shape[1]):
-                ordered = np.argsort(slots[:, tree], kind="stable")
-                found, first = np.unique(slots[ordered, tree], return_index=True)
-                for slot, mine in zip(found, np.split(ordered, first[1:]), strict=True):
-                    if slot < 0:
-                        continue
-                    where = (bins[mine] + offsets).ravel()
-                    table = held.setdefault(int(slot), np.zeros((len(imp.STATS), cells)))
-                    for i, term in enumerate(terms):
-                        table[i] += np.bincount(where, np.repeat(term[mine], num_features), minlength=cells)
-                    if len(held) > limit:
-                        yield from emit(held)
-                        held.clear()
-        yield from emit(held)
-
-    spark_schema = "slot int, feature int, bin int, " + ", ".join(f"{name} double" for name in imp.STATS)
-    parts = rows.select("slots", "bins", "y1", "y2", "w").mapInArrow(partial, spark_schema)
-    return parts.groupBy("slot", "feature", "bin").agg(*[F.sum(name).alias(name) for name in imp.STATS])
+            yield from hist.add(slots, lambda mine, part, bins=bins: bins[mine, part], y1, y2, w)
+        yield from hist.emit()
+
+    return add_partials(rows.select("slots", "bins", "y1", "y2", "w").mapInArrow(partial, HIST_DDL))
 
 
 def with_order(hist: DataFrame, categorical: Iterable[int] = ()) -> DataFrame:

@@ -263,21 +263,54 @@ def fit_prepared(data: TrainingSet, cfg: TreeConfig) -> ForestModel:
         rows.unpersist()
 
 
-def grow(data: TrainingSet, cfg: TreeConfig) -> ForestModel:
+class RowLevels:
+    """Level state over binned rows: node slots are a projection of the bins."""
+
+    def __init__(self, data: TrainingSet, cfg: TreeConfig) -> None:
+        self.data, self.cfg = data, cfg
+        self.state = data.rows.withColumn("slots", bag_slots(cfg))
+
+    def histogram(self, allowed: DataFrame | None, few: bool) -> DataFrame:
+        """Cells of the active nodes; ``allowed`` (small when ``few``) restricts their features."""
+        if self.data.num_features > splits.WIDE_FEATURES:
+            inside = self.state.filter(F.exists("slots", lambda s: s >= 0))
+            hist = splits.node_histogram_wide(inside, self.data.num_features, self.data.max_bins, self.cfg.max_memory_mb)
+            return restrict(hist, allowed, few)
+        rows = self.state.select(F.explode("slots").alias("slot"), "bins", "y1", "y2", "w").filter("slot >= 0 and w > 0")
+        cells = splits.unpivot(rows)
+        if few:
+            return splits.node_histogram(restrict(cells, allowed, few))
+        return restrict(splits.node_histogram(cells), allowed, few)  # aggregate first, so that the join is small
+
+    def advance(self, chosen: list, depth: int) -> None:
+        self.state = self.state.withColumn("slots", route_slots(F.col("slots"), chosen))
+        if (depth + 1) % self.cfg.checkpoint_interval == 0:
+            # Deep trees: store the node ids instead of re-walking from the root.
+            self.state = cut_lineage(self.state)
+
+
+def restrict(frame: DataFrame, allowed: DataFrame | None, few: bool) -> DataFrame:
+    if allowed is None:
+        return frame
+    return frame.join(F.broadcast(allowed) if few else allowed, ["slot", "feature"], "left_semi")
+
+
+def grow(data: TrainingSet, cfg: TreeConfig, levels=None) -> ForestModel:
     """Level-wise training.
 
     Per level one query: rows of active nodes -> histogram -> prefix sums -> gain -> best split
-    per node. Only the best splits (one row per active node) reach the driver.
+    per node. Only the best splits (one row per active node) reach the driver. ``levels`` keeps
+    the rows' nodes; by default binned rows.
     """
+    levels = levels or RowLevels(data, cfg)
     rng = random.Random(cfg.seed)
     tried = subset_size(cfg.feature_subset, data.num_features, cfg.num_trees)
     table: dict[tuple[int, int], Node] = {}
     active = [(tree, 1) for tree in range(cfg.num_trees)]
-    state = data.rows.withColumn("slots", bag_slots(cfg))
     for depth in range(cfg.max_depth + 1):
         if not active:
             break
-        found = {row["slot"]: row for row in _level_query(state, data, cfg, active, tried, rng).collect()}
+        found = {row["slot"]: row for row in _level_query(levels, data, cfg, len(active), tried, rng).collect()}
         chosen: list[tuple[int, int, list[int] | None, int, int]] = []
         following: list[tuple[int, int]] = []
         for slot, (tree, node_id) in enumerate(active):
@@ -307,37 +340,18 @@ def grow(data: TrainingSet, cfg: TreeConfig) -> ForestModel:
             chosen.append((node.feature, node.split_bin, node.categories, slots[0], slots[1]))
         active = following
         if active:
-            state = state.withColumn("slots", route_slots(F.col("slots"), chosen))
-            if (depth + 1) % cfg.checkpoint_interval == 0:
-                # Deep trees: store the node ids instead of re-walking from the root.
-                state = cut_lineage(state)
+            levels.advance(chosen, depth)
     ordered = sorted(table.values(), key=lambda node: (node.tree, node.node_id))
     return ForestModel(ordered, [1.0] * cfg.num_trees)
 
 
-def _level_query(state: DataFrame, data: TrainingSet, cfg: TreeConfig, active: list, tried: int, rng: random.Random) -> DataFrame:
-    spark = state.sparkSession
-    if data.num_features > splits.WIDE_FEATURES:
-        hist = splits.node_histogram_wide(
-            state.filter(F.exists("slots", lambda s: s >= 0)), data.num_features, data.max_bins, cfg.max_memory_mb)
-        cells = None
-    else:
-        rows = state.select(F.explode("slots").alias("slot"), "bins", "y1", "y2", "w").filter("slot >= 0 and w > 0")
-        cells, hist = splits.unpivot(rows), None
+def _level_query(levels, data: TrainingSet, cfg: TreeConfig, nodes: int, tried: int, rng: random.Random) -> DataFrame:
+    allowed, few = None, True
     if tried < data.num_features:
-        # Node -> sampled features, drawn on the driver; nodes x features rows.
-        pairs = [(slot, f) for slot in range(len(active)) for f in rng.sample(range(data.num_features), tried)]
-        allowed = small_frame(spark, pairs, "slot int, feature int")
-        if fits_broadcast(len(pairs), 16):
-            allowed = F.broadcast(allowed)
-            cells = cells if cells is None else cells.join(allowed, ["slot", "feature"], "left_semi")
-        elif hist is None:
-            hist = splits.node_histogram(cells)  # aggregate first, so that the join is small
-        if hist is not None:
-            hist = hist.join(allowed, ["slot", "feature"], "left_semi")
-    if hist is None:
-        hist = splits.node_histogram(cells)
-    ordered = splits.with_order(hist, data.categorical)
+        # Node -> sampled features, drawn on the driver: nodes x features rows.
+        pairs = [(slot, f) for slot in range(nodes) for f in rng.sample(range(data.num_features), tried)]
+        allowed, few = small_frame(data.rows.sparkSession, pairs, "slot int, feature int"), fits_broadcast(len(pairs), 16)
+    ordered = splits.with_order(levels.histogram(allowed, few), data.categorical)
     scored = splits.with_gain(splits.prefix_stats(ordered), cfg.min_instances, cfg.min_info_gain, cfg.impurity)
     return splits.best_split(scored)
 
