@@ -11,37 +11,38 @@ from pyspark.sql import functions as F
 
 from silvagrid.config import RunSettings
 from silvagrid.operators import binning, grid
-from silvagrid.plans import evaluate, forest
-from silvagrid.plans.boost import fit_boosted
+from silvagrid.plans import boost, evaluate, forest, stencil
 from silvagrid.plans.losses import MalisLoss
 from silvagrid.session import cut_lineage, session
 from silvagrid.sources import sinks, tiles
 
 
-def _points(spark: SparkSession, s: RunSettings, names: tuple[str, ...], from_front: bool) -> DataFrame:
-    points, _ = tiles.load_tiles(spark, s.data_root, names, s.n_base_features, s.features, 1.0, from_front)
-    return cut_lineage(points)
-
-
 def cut_points(spark: SparkSession, s: RunSettings) -> list[list[float]]:
-    """Cut points of every base feature over all training tiles, repeated for its offset features."""
+    """Cut points of every base feature: those of the loaded model, or found over all training tiles."""
+    if s.load_model and (saved := sinks.load_thresholds(s.load_model)):
+        return saved
     base = tiles.read_features(spark, s.data_root, s.train_tiles, s.n_base_features)
-    found = binning.find_thresholds(base, [F.col("values")[i] for i in range(s.n_base_features)], s.max_bins - 1)
-    return binning.expand_splits(found, [feature for feature, _ in s.features])
+    return binning.find_thresholds(base, [F.col("values")[i] for i in range(s.n_base_features)], s.max_bins - 1)
+
+
+def load(spark: SparkSession, s: RunSettings, names: tuple[str, ...], from_front: bool, cuts: list[list[float]]) -> tuple[stencil.Blocks, DataFrame]:
+    """Blocks of base bins and the labelled pixels of the named tiles."""
+    reach = max(max(abs(dr), abs(dc)) for _, (dr, dc) in s.features)
+    base, dims = tiles.load_base(spark, s.data_root, names, s.n_base_features, reach, 1.0, from_front)
+    blocks = stencil.make_blocks(base, [f"b{i}" for i in range(s.n_base_features)], cuts, s.features)
+    key = F.pmod(F.xxhash64("tile", "inner_idx"), F.lit((1 << 31) - 1)).alias("row_key")
+    labels = tiles.load_labels(spark, s.data_root, names, dims)
+    return blocks, cut_lineage(labels.select("tile", "r", "c", "inner_idx", "y1", "y2", F.lit(1.0).alias("w"), key))
 
 
-def train(spark: SparkSession, s: RunSettings, points: DataFrame) -> tuple[forest.ForestModel, object]:
+def train(spark: SparkSession, s: RunSettings, blocks: stencil.Blocks, labels: DataFrame) -> tuple[forest.ForestModel, boost.BoostedModel | None]:
     """A plain forest, or boosting on the pair-counting loss when ``iterations`` is positive."""
-    key = F.pmod(F.xxhash64("tile", "inner_idx"), F.lit((1 << 31) - 1))
     cfg = s.tree_config(s.initial_trees)
+    loaded = stencil.rebin(sinks.load_model(spark, s.load_model), blocks.thresholds) if s.load_model else None
     if s.iterations == 0:
-        if s.load_model:
-            return sinks.load_model(spark, s.load_model), None
-        return forest.fit_forest(points, "feats", "y1", "y2", cfg, key, thresholds=cut_points(spark, s)), None
-    initial = sinks.load_model(spark, s.load_model) if s.load_model else s.initial_trees
-    loss = MalisLoss(grid.extents(points), s.subsample_proportion)
-    boosted = fit_boosted(points, "feats", "y1", "y2", cfg, s.boost_config(), initial, loss, key, keep=["tile", "r", "c"],
-                          thresholds=cut_points(spark, s))
+        return loaded or stencil.fit_blocks(blocks, labels, cfg), None
+    loss = MalisLoss(grid.extents(labels), s.subsample_proportion)
+    boosted = stencil.fit_boosted_blocks(blocks, labels, cfg, s.boost_config(), loaded or s.initial_trees, loss)
     return boosted.forest, boosted
 
 
@@ -50,24 +51,25 @@ def main(args: list[str], spark: SparkSession | None = None) -> dict:
     spark = spark or session(s.name, s.master or None)
     stamp = datetime.now().strftime("%Y-%m-%d %H-%M-%S")
     out = f"{s.save_to}/{s.name}-{stamp}"
-    train_points = _points(spark, s, s.train_tiles, True)
+    cuts = cut_points(spark, s)
+    data = {"train": load(spark, s, s.train_tiles, True, cuts)}
     started = time.time()
-    model, boosted = train(spark, s, train_points)
+    model, boosted = train(spark, s, *data["train"])
     minutes = int((time.time() - started) / 60)
     if s.save_model_to:
-        sinks.save_model(model, spark, f"{s.save_model_to}/{stamp}", s.describe())
+        sinks.save_model(model, spark, f"{s.save_model_to}/{stamp}", s.describe(), cuts)
     if boosted is not None:
         sinks.write_curve(boosted, f"{out}/malis")
-    cuts = s.test_partial_models if s.test_partial_models is not None else (model.num_elems,)
-    if cuts:
-        test_points = _points(spark, s, s.test_tiles, False)
-        for split, points in (("train", train_points), ("test", test_points)):
-            scored = forest.predict_partial(points, model, "feats", cuts)
-            labelled = cut_lineage(scored.drop("feats").withColumns({
+    partials = s.test_partial_models if s.test_partial_models is not None else (model.num_elems,)
+    if partials:
+        data["test"] = load(spark, s, s.test_tiles, False, cuts)
+        for split, (blocks, labels) in data.items():
+            scored = stencil.predict_partial_blocks(blocks, labels, model, partials, ["inner_idx", "y1", "y2"])
+            labelled = cut_lineage(scored.withColumns({
                 "split": F.lit(split), "folder": F.concat(F.lit("partial"), F.col("partial"))}))
             sinks.write_predictions(labelled.drop("folder"), f"{out}/table/{split}")
             sinks.export_tiles(labelled, f"{out}/predictions", s.describe(), minutes, ("folder", "split", "tile"))
-    return {"out": out, "model": model, "cuts": list(cuts)}
+    return {"out": out, "model": model, "cuts": list(partials)}
 
 
 def evaluate_run(spark: SparkSession, out: str, partial: int, description: str = "") -> dict[str, float]:

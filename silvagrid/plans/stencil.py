@@ -50,29 +50,31 @@ class Blocks:
     def max_bins(self) -> int:
         return max(len(cuts) for cuts in self.base_thresholds) + 1
 
+    @property
+    def dtype(self) -> type:
+        return np.int8 if self.max_bins <= 127 else np.int32
+
 
 def make_blocks(pixels: DataFrame, values: Sequence[str], thresholds: list[list[float]], offsets: Sequence[Offset],
                 block: int = BLOCK) -> Blocks:
     """Bin the base features of ``pixels(tile, r, c, values...)`` and pack them by block. Pixels
     outside the tile read as bin 0, so labelled pixels need a margin of the largest offset."""
     result = Blocks(pixels, thresholds, list(offsets), block)
-    if result.max_bins > 127:
-        raise ValueError("base bins are stored in one byte: at most 127 bins")
-    halo, count = result.halo, len(values)
+    halo, count, kind = result.halo, len(values), result.dtype
     side = block + 2 * halo
     bins = [binning.bin_id(F.col(v).cast("double"), cuts).cast("int").alias(f"b{i}") for i, (v, cuts) in enumerate(zip(values, thresholds, strict=True))]
     placed = grid.with_blocks(pixels.select("tile", "r", "c", *bins), block, halo)
 
     def pack(table: pa.Table) -> pa.Table:
         br, bc = table["br"][0].as_py(), table["bc"][0].as_py()
-        dense = np.zeros((count, side, side), np.int8)
+        dense = np.zeros((count, side, side), kind)
         at = table["r"].to_numpy() - (br * block - halo), table["c"].to_numpy() - (bc * block - halo)
         for i in range(count):
             dense[i][at] = table[f"b{i}"].to_numpy()
         return pa.table({"tile": table["tile"][:1], "br": [br], "bc": [bc], "bins": pa.array([dense.tobytes()], pa.binary())})
 
-    kind = pixels.schema["tile"].dataType.simpleString()
-    packed = placed.groupBy("tile", "br", "bc").applyInArrow(pack, f"tile {kind}, br bigint, bc bigint, bins binary")
+    tile = pixels.schema["tile"].dataType.simpleString()
+    packed = placed.groupBy("tile", "br", "bc").applyInArrow(pack, f"tile {tile}, br bigint, bc bigint, bins binary")
     result.frame = cut_lineage(packed)
     return result
 
@@ -88,13 +90,13 @@ class _Reader:
     """Offset features of one block."""
 
     def __init__(self, blocks: Blocks) -> None:
-        self.block, self.halo, self.count = blocks.block, blocks.halo, len(blocks.base_thresholds)
+        self.block, self.halo, self.count, self.dtype = blocks.block, blocks.halo, len(blocks.base_thresholds), blocks.dtype
         self.base = np.array([f for f, _ in blocks.offsets])
         self.shift = np.array([s for _, s in blocks.offsets])
 
     def open(self, batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray, np.ndarray]:
         side = self.block + 2 * self.halo
-        dense = np.frombuffer(batch["bins"][i].as_py(), np.int8).reshape(self.count, side, side)
+        dense = np.frombuffer(batch["bins"][i].as_py(), self.dtype).reshape(self.count, side, side)
         flat = batch["px"][i].values
         px = {flat.type.field(k).name: flat.field(k).to_numpy(zero_copy_only=False) for k in range(flat.type.num_fields)}
         rows = px["r"] - (batch["br"][i].as_py() * self.block - self.halo)
@@ -159,6 +161,21 @@ def fit_blocks(blocks: Blocks, labels: DataFrame, cfg: TreeConfig) -> forest.For
         labelled.unpersist()
 
 
+def rebin(model: forest.ForestModel, thresholds: list[list[float]]) -> forest.ForestModel:
+    """The model with split bins that refer to ``thresholds``; its cut points must be among them."""
+    from dataclasses import replace
+
+    places = [{t: i for i, t in enumerate(cuts)} for cuts in thresholds]
+    nodes = []
+    for node in model.nodes:
+        if node.threshold is not None:
+            if node.threshold not in places[node.feature]:
+                raise ValueError(f"the model splits feature {node.feature} at {node.threshold}, which is no cut point of these blocks")
+            node = replace(node, split_bin=places[node.feature][node.threshold])
+        nodes.append(node)
+    return forest.ForestModel(nodes, model.weights, model.strategy, model.elems)
+
+
 def predict_blocks(blocks: Blocks, pixels: DataFrame, model: forest.ForestModel, weight_sets: Sequence[Sequence[float]],
                    names: Sequence[tuple[str, str]], keep: Sequence[str] = ()) -> DataFrame:
     """``(tile, r, c, keep..., names...)``: one weighted prediction per set of tree weights.

@@ -147,10 +147,11 @@ def write_curve(model: BoostedModel, folder: str) -> None:
     write_text(f"{folder}/malis.txt", f"Losses = {losses}\nGradients = {gradients}")
 
 
-def save_model(model: ForestModel, spark: SparkSession, path: str, description: str = "") -> None:
-    """Node table as parquet plus a JSON sidecar with weights, strategy and elements."""
+def save_model(model: ForestModel, spark: SparkSession, path: str, description: str = "",
+               thresholds: list[list[float]] | None = None) -> None:
+    """Node table as parquet plus a JSON sidecar with weights, strategy, elements and base cut points."""
     model.to_df(spark).write.mode("overwrite").parquet(f"{path}/nodes")
-    meta = {"weights": model.weights, "strategy": model.strategy, "elems": model.elems, "description": description}
+    meta = {"weights": model.weights, "strategy": model.strategy, "elems": model.elems, "description": description, "thresholds": thresholds}
     write_text(f"{path}/model.json", json.dumps(meta))
 
 
@@ -159,11 +160,18 @@ def load_model(spark: SparkSession, path: str) -> ForestModel:
     return ForestModel.from_df(spark.read.parquet(f"{path}/nodes"), meta["weights"], meta["strategy"], meta["elems"])
 
 
+def load_thresholds(path: str) -> list[list[float]] | None:
+    """Base cut points a saved model was trained with, when it was saved with them."""
+    return json.loads(read_text(f"{path}/model.json")).get("thresholds")
+
+
 def combine_models(spark: SparkSession, paths: Sequence[str], target: str) -> ForestModel:
     """Load several forests, merge their trees with equal weights, save with joined descriptions."""
     merged = merge_models([load_model(spark, path) for path in paths])
     notes = [json.loads(read_text(f"{path}/model.json"))["description"] for path in paths]
-    save_model(merged, spark, target, "\n\n".join(f"{p}:\n{note}" for p, note in zip(paths, notes, strict=True)))
+    cuts = [load_thresholds(path) for path in paths]
+    shared = cuts[0] if all(c == cuts[0] for c in cuts) else None
+    save_model(merged, spark, target, "\n\n".join(f"{p}:\n{note}" for p, note in zip(paths, notes, strict=True)), shared)
     return merged
 
 

@@ -66,39 +66,45 @@ def read_features(spark: SparkSession, root: str, tiles: Sequence[str], n_base:
     return lookup_join(named, _folders(spark, root, tiles), ["folder"], len(tiles), ["idx"]).select("tile", "idx", "values")
 
 
-def load_tiles(spark: SparkSession, root: str, tiles: Sequence[str], n_base: int, offsets: Sequence[Offset],
-               proportion: float = 1.0, from_front: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Labelled points ``(tile, r, c, inner_idx, outer_idx, y1, y2, feats)`` and the tile dimensions.
-
-    ``r``/``c`` count from the corner of the labelled box. Offsets must stay inside the margin.
+def load_base(spark: SparkSession, root: str, tiles: Sequence[str], n_base: int, reach: int, proportion: float = 1.0,
+              from_front: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Base features ``(tile, r, c, b0..)`` of the labelled box and ``reach`` pixels around it, and
+    the dimensions. Coordinates count from the corner of the box, so the margin is negative or
+    beyond it. The margin must be at least ``reach`` wide.
     """
     all_dims = read_dimensions(spark, root, tiles)
-    reach = max(max(abs(dr), abs(dc)) for _, (dr, dc) in offsets)
     room = F.least("r0", "c0", F.col("outer_h") - 1 - F.col("r1"), F.col("outer_w") - 1 - F.col("c1"))
     short = [row["tile"] for row in all_dims.filter(room < reach).select("tile").collect()]
     if short:
         raise ValueError(f"offsets reach {reach} pixels beyond the margin of tiles {short}")
     dims = grid.inner_box(all_dims, proportion, from_front)
-    width = F.col("outer_w")
     outer = lookup_join(read_features(spark, root, tiles, n_base), dims, ["tile"], len(tiles), ["idx"])
-    outer = outer.withColumns({"r": F.floor(F.col("idx") / width), "c": F.col("idx") % width})
-    values = [f"b{i}" for i in range(n_base)]
-    near = outer.filter(
-        (F.col("r") >= F.col("r0") - reach) & (F.col("r") <= F.col("r1") + reach) & (F.col("c") >= F.col("c0") - reach)
-        & (F.col("c") <= F.col("c1") + reach))
-    base = near.select("tile", "r", "c", *[F.col("values")[i].alias(name) for i, name in enumerate(values)])
-    gathered = grid.stencil_blocks(base, values, offsets)
+    outer = outer.withColumns({
+        "r": F.floor(F.col("idx") / F.col("outer_w")) - F.col("r0"), "c": F.col("idx") % F.col("outer_w") - F.col("c0")})
+    near = outer.filter((F.col("r") >= -reach) & (F.col("r") <= F.col("r1") - F.col("r0") + reach) & (F.col("c") >= -reach)
+                        & (F.col("c") <= F.col("c1") - F.col("c0") + reach))
+    return near.select("tile", "r", "c", *[F.col("values")[i].alias(f"b{i}") for i in range(n_base)]), dims
+
 
+def load_labels(spark: SparkSession, root: str, tiles: Sequence[str], dims: DataFrame) -> DataFrame:
+    """``(tile, r, c, inner_idx, outer_idx, y1, y2)`` of the pixels in the box of ``dims``."""
     targets = lookup_join(read_targets(spark, root, tiles), dims, ["tile"], len(tiles), ["idx"])
     inner_w = F.col("c1") - F.col("c0") + 1
     wanted = targets.withColumn("inner_idx", F.col("idx") - F.col("target_off")).filter("inner_idx >= 0 AND inner_idx < n_targets")
-    points = wanted.select(
-        "tile", (F.floor(F.col("inner_idx") / inner_w) + F.col("r0")).alias("r"), (F.col("inner_idx") % inner_w + F.col("c0")).alias("c"),
-        "r0", "c0", "outer_w", "inner_idx", F.col("y")[0].alias("y1"), F.col("y")[1].alias("y2"))
-    joined = points.join(gathered, ["tile", "r", "c"])
-    return joined.select(
-        "tile", (F.col("r") - F.col("r0")).alias("r"), (F.col("c") - F.col("c0")).alias("c"), "inner_idx",
-        (F.col("r") * F.col("outer_w") + F.col("c")).alias("outer_idx"), "y1", "y2", "feats"), dims
+    placed = wanted.withColumns({"r": F.floor(F.col("inner_idx") / inner_w), "c": F.col("inner_idx") % inner_w})
+    outer = (F.col("r") + F.col("r0")) * F.col("outer_w") + F.col("c") + F.col("c0")
+    return placed.select("tile", "r", "c", "inner_idx", outer.alias("outer_idx"), F.col("y")[0].alias("y1"), F.col("y")[1].alias("y2"))
+
+
+def load_tiles(spark: SparkSession, root: str, tiles: Sequence[str], n_base: int, offsets: Sequence[Offset],
+               proportion: float = 1.0, from_front: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Labelled points with their offset features, ``(tile, r, c, inner_idx, outer_idx, y1, y2, feats)``,
+    and the tile dimensions. For long offset lists prefer ``plans.stencil``, which never
+    materialises the features."""
+    reach = max(max(abs(dr), abs(dc)) for _, (dr, dc) in offsets)
+    base, dims = load_base(spark, root, tiles, n_base, reach, proportion, from_front)
+    gathered = grid.stencil_blocks(base, [f"b{i}" for i in range(n_base)], offsets)
+    return load_labels(spark, root, tiles, dims).join(gathered, ["tile", "r", "c"]), dims
 
 
 def read_affinities(spark: SparkSession, root: str, tiles: Sequence[str], name: str = "predictions.raw") -> DataFrame:
