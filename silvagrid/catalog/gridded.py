@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from silvagrid.catalog.views import SMALL, affinities, pixels, table, tiled
 from silvagrid.config import BoostConfig, TreeConfig
 from silvagrid.functions import raster
-from silvagrid.operators import grid, malis, segment
-from silvagrid.plans import boost, evaluate
+from silvagrid.operators import binning, grid, malis, segment
+from silvagrid.plans import boost, evaluate, stencil
 from silvagrid.plans.losses import MalisLoss
 from silvagrid.session import cut_lineage, small_frame
 from silvagrid.sources import raw
@@ -42,9 +42,7 @@ def affinity_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segment_affinities_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("z", "v"))
-    voxels = rows.selectExpr("0 AS tile", "vec_id div 10 AS x", "vec_id % 10 AS y", "CAST(z AS BIGINT) AS z",
-                             "CASE WHEN v > 0 THEN label + 1 ELSE 0 END AS seg")
+    voxels = _voxels(spark, sf_dir).withColumn("seg", F.expr("CASE WHEN v > 0 THEN label + 1 ELSE 0 END"))
     return grid.segment_affinities(voxels).drop("tile")
 
 
@@ -64,6 +62,34 @@ def gaussian_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("r", "c", *[F.round(f"g{i}", 7).alias(f"g{i}") for i in range(36)])
 
 
+def _voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embedding table as a volume: ten rows of vectors per slice."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("z", "v"))
+    return rows.selectExpr("0 AS tile", "vec_id div 10 AS x", "vec_id % 10 AS y", "CAST(z AS BIGINT) AS z", "CAST(v AS DOUBLE) AS v", "label")
+
+
+def gaussian_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    voxels = _voxels(spark, sf_dir)
+    extent = voxels.groupBy("tile").agg(*[(F.max(a) + 1).alias(f"d{a}") for a in "xyz"])
+    out = grid.gaussian_features_3d(voxels, extent, scales=[1], orders=[(0, 0, 0), (1, 0, 0), (0, 1, 1)])
+    return out.select("x", "y", "z", *[F.round(f"g{i}", 7).alias(f"g{i}") for i in range(3)])
+
+
+STENCIL = [(0, (0, 0)), (0, (1, 0)), (0, (0, 1)), (0, (1, 1))]
+
+
+def stencil_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree on the offset features of every pixel, trained inside blocks of base bins."""
+    image = pixels(spark, sf_dir)
+    cuts = binning.find_thresholds(image, [F.col("v")], 9)
+    blocks = stencil.make_blocks(image, ["v"], cuts, STENCIL, block=64)
+    near = grid.with_neighbours(image, "v", {"v1": (1, 0), "v2": (0, 1), "v3": (1, 1)}).filter("v3 IS NOT NULL")
+    labels = near.selectExpr("tile", "r", "c", "exp(-abs(v - v1)) AS y1", "exp(-abs(v - v2)) AS y2", "1.0D AS w", "0L AS row_key")
+    model = stencil.fit_blocks(blocks, labels, TreeConfig(max_depth=3))
+    nodes = model.to_df(spark).select("node_id", "is_leaf", "feature", "split_bin", "n", "p1", "p2", "impurity", "gain")
+    return nodes.selectExpr("node_id", "is_leaf", "feature", "split_bin", "n", *[f"round({x}, 7) AS {x}" for x in ("p1", "p2", "impurity", "gain")])
+
+
 def edge_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     image = pixels(spark, sf_dir)
     padded = grid.edge_pad(image, grid.extents(image), 5)
@@ -213,7 +239,7 @@ def raw_float_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in [
-    stencil_gather, stencil_wide, affinity_targets, segment_affinities_3d, grid_edges, gaussian_derivative, gaussian_bank, edge_pad,
+    stencil_gather, stencil_wide, affinity_targets, segment_affinities_3d, grid_edges, gaussian_derivative, gaussian_bank, gaussian_3d, stencil_forest, edge_pad,
     augment_8, index_maps, inner_box, truth_components, max_spanning_forest, image_spanning_forest, components_above,
     watershed, rand_stats, adaptive_rand_threshold, malis_loss, malis_gradient, window_sampler, window_pixels,
     malis_sampled_loss, malis_boost, gray_quantise, largest_index, raw_float_roundtrip,

@@ -230,6 +230,15 @@ GRIDDED = {
         + ", ".join(f"d{o} AS MATERIALIZED (SELECT p.r, p.c, sum(q.v * k.w) AS v FROM px p, hh, {_taps(o)} k(o, w), px q WHERE q.c = p.c AND q.r = {_MIRROR.format(x='p.r + k.o', n='hh.h')} GROUP BY p.r, p.c)" for o in range(3)) + ", "
         + ", ".join(f"x{i} AS (SELECT p.r, p.c, sum(q.v * k.w) AS v FROM d{a} p, {_taps(b)} k(o, w), d{a} q WHERE q.r = p.r AND q.c = {_MIRROR.format(x='p.c + k.o', n='64')} GROUP BY p.r, p.c)" for i, (a, b) in enumerate(((0, 0), (0, 1), (1, 0), (0, 2), (1, 1), (2, 0))))
         + " SELECT x0.r, x0.c, " + ", ".join(f"round(x{i}.v, 7) AS g{i}" for i in range(6)) + " FROM x0 " + " ".join(f"JOIN x{i} ON x{i}.r = x0.r AND x{i}.c = x0.c" for i in range(1, 6)),
+    "gaussian_3d": f"WITH {GRID}, vx AS (SELECT r // 10 AS x, r % 10 AS y, c AS z, v FROM px), dd AS (SELECT max(x) + 1 AS dx FROM vx), "
+        + ", ".join(f"x{o} AS MATERIALIZED (SELECT p.x, p.y, p.z, sum(q.v * k.w) AS v FROM vx p, dd, {_taps(o)} k(o, w), vx q WHERE q.y = p.y AND q.z = p.z AND q.x = {_MIRROR.format(x='p.x + k.o', n='dd.dx')} GROUP BY p.x, p.y, p.z)" for o in (0, 1)) + ", "
+        + ", ".join(f"y{i} AS MATERIALIZED (SELECT p.x, p.y, p.z, sum(q.v * k.w) AS v FROM x{a} p, {_taps(b)} k(o, w), x{a} q WHERE q.x = p.x AND q.z = p.z AND q.y = {_MIRROR.format(x='p.y + k.o', n='10')} GROUP BY p.x, p.y, p.z), "
+                    f"z{i} AS (SELECT p.x, p.y, p.z, sum(q.v * k.w) AS v FROM y{i} p, {_taps(c)} k(o, w), y{i} q WHERE q.x = p.x AND q.y = p.y AND q.z = {_MIRROR.format(x='p.z + k.o', n='64')} GROUP BY p.x, p.y, p.z)" for i, (a, b, c) in enumerate(((0, 0, 0), (1, 0, 0), (0, 1, 1))))
+        + " SELECT z0.x, z0.y, z0.z, " + ", ".join(f"round(z{i}.v, 7) AS g{i}" for i in range(3)) + " FROM z0 JOIN z1 USING (x, y, z) JOIN z2 USING (x, y, z)",
+    "stencil_forest": f"WITH RECURSIVE {GRID}, feat AS (SELECT p.v AS f0, d.v AS f1, e.v AS f2, g.v AS f3, exp(-abs(p.v - d.v)) AS y1, exp(-abs(p.v - e.v)) AS y2 FROM px p JOIN px d ON d.r = p.r + 1 AND d.c = p.c JOIN px e ON e.r = p.r AND e.c = p.c + 1 JOIN px g ON g.r = p.r + 1 AND g.c = p.c + 1), "
+        f"vc AS (SELECT CAST(0 AS INT) AS feature, v AS value, count(*) AS n FROM px GROUP BY v), {STRIDE}, binned AS MATERIALIZED (SELECT "
+        + ", ".join(f"CAST(len(list_filter(t0, lambda x: x < f{i})) AS INT) AS b{i}" for i in range(4)) + f", feat.* FROM feat, cuts), {tree('t', 'binned', 3)} "
+        "SELECT node_id, feature IS NULL AS is_leaf, feature, bin AS split_bin, n, round(p1, 7) AS p1, round(p2, 7) AS p2, round(impurity, 7) AS impurity, round(gain, 7) AS gain FROM t_nodes",
     "edge_pad": f"WITH {GRID}, hh AS (SELECT max(r) + 1 AS h FROM px), rr AS (SELECT unnest(range(0, h + 10)) AS r, h FROM hh), cc AS (SELECT unnest(range(0, 74)) AS c), t AS (SELECT rr.r, cc.c, px.v FROM rr, cc, px WHERE px.r = greatest(0, least(h - 1, rr.r - 5)) AND px.c = greatest(0, least(63, cc.c - 5))) SELECT r, count(*) AS n, round(avg(v * (c + 1)), 7) AS mean FROM t GROUP BY r",
     "augment_8": f"WITH {GRID}, hh AS (SELECT max(r) + 1 AS h FROM px), t AS (SELECT v, rot, fl, CASE rot WHEN 0 THEN r WHEN 1 THEN 63 - c WHEN 2 THEN h - 1 - r ELSE c END AS r2, CASE rot WHEN 0 THEN c WHEN 1 THEN r WHEN 2 THEN 63 - c ELSE h - 1 - r END AS c2, CASE WHEN rot % 2 = 0 THEN 64 ELSE h END AS w2 FROM px, hh, (VALUES (0),(1),(2),(3)) a(rot), (VALUES (0),(1)) b(fl)), u AS (SELECT *, CASE WHEN fl = 1 THEN w2 - 1 - c2 ELSE c2 END AS c3 FROM t) SELECT CAST(rot AS INT) AS rot, CAST(fl AS INT) AS flip, count(*) AS n, max(r2) AS max_r, max(c3) AS max_c, round(avg(v * (r2 + 1) * sqrt(c3 + 1)), 5) AS mean FROM u GROUP BY rot, fl",
     "index_maps": f"WITH {GRID}, o AS (SELECT (r + 3) * 70 + (c + 2) AS outer_idx, r * 64 + c AS inner_idx FROM px) SELECT inner_idx // 64 AS r, count(*) AS n, CAST(sum(outer_idx) AS BIGINT) AS sum_outer, CAST(sum(inner_idx) AS BIGINT) AS sum_inner FROM o GROUP BY 1",

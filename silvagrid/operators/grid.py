@@ -9,6 +9,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -216,18 +217,14 @@ def gaussian_features(pixels: DataFrame, value: str = "v", scales: Sequence[floa
     names = [f"g{i}" for i in range(len(scales) * len(orders))]
     extent = extent if extent is not None else extents(pixels)
 
-    def fold(index: np.ndarray, size: int) -> np.ndarray:
-        index = index % (2 * size)
-        return np.where(index >= size, 2 * size - 1 - index, index)
-
     def kernel(dense: np.ndarray, rows: np.ndarray, cols: np.ndarray, r0: int, c0: int, h: int, w: int) -> np.ndarray:
         image = dense[0]
         rlo, rhi, clo, chi = rows.min(), rows.max() + 1, cols.min(), cols.max() + 1
         out = np.empty((len(names), len(rows)))
         for s, sigma in enumerate(scales):
             radius = int(TRUNCATE * sigma + 0.5)
-            ro = fold(np.arange(rlo - radius, rhi + radius), h) - r0
-            co = fold(np.arange(clo - radius, chi + radius), w) - c0
+            ro = mirror(np.arange(rlo - radius, rhi + radius), h) - r0
+            co = mirror(np.arange(clo - radius, chi + radius), w) - c0
             area = image[np.ix_(ro, co)]
             for o, (down, right) in enumerate(orders):
                 part = np.apply_along_axis(np.correlate, 0, area, gaussian_taps(sigma, down), "valid")
@@ -238,6 +235,54 @@ def gaussian_features(pixels: DataFrame, value: str = "v", scales: Sequence[floa
     return over_blocks(pixels, [value], names, block, halo, kernel, extent)
 
 
+def gaussian_features_3d(voxels: DataFrame, extent: DataFrame, value: str = "v", scales: Sequence[float] = SCALES_3D,
+                         orders: Sequence[tuple[int, int, int]] = ORDERS_3D, block: int = 32) -> DataFrame:
+    """The same filters on volumes ``(tile, x, y, z, v)``; ``extent`` has tile, dx, dy, dz.
+
+    A block with its halo has at most (block + 2*halo)^3 voxels.
+    """
+    halo = max(int(TRUNCATE * s + 0.5) for s in scales)
+    axes = ("x", "y", "z")
+    names = [f"g{i}" for i in range(len(scales) * len(orders))]
+    placed = voxels.select("tile", *axes, F.col(value).cast("double").alias("v"))
+    for axis in axes:
+        span = F.sequence(F.floor((F.col(axis) - halo) / block), F.floor((F.col(axis) + halo) / block))
+        placed = placed.withColumn(f"b{axis}", F.explode(span)).filter(f"b{axis} >= 0")
+    placed = placed.join(extent, "tile")
+
+    def run(table: pa.Table) -> pa.Table:
+        at = [table[a].to_numpy() for a in axes]
+        low = [table[f"b{a}"][0].as_py() * block for a in axes]
+        own = np.flatnonzero(np.all([(p >= lo) & (p < lo + block) for p, lo in zip(at, low, strict=True)], axis=0))
+        result = {"tile": table["tile"].take(own), **{a: p[own] for a, p in zip(axes, at, strict=True)}}
+        if not len(own):
+            return pa.table({**result, **{name: np.zeros(0) for name in names}})
+        size = [table[f"d{a}"][0].as_py() for a in axes]
+        volume = np.zeros([block + 2 * halo] * 3)
+        volume[tuple(p - lo + halo for p, lo in zip(at, low, strict=True))] = table["v"].to_numpy()
+        first = [p[own].min() for p in at]
+        last = [p[own].max() for p in at]
+        for s, sigma in enumerate(scales):
+            radius = int(TRUNCATE * sigma + 0.5)
+            index = [mirror(np.arange(a - radius, b + radius + 1), n) - lo + halo for a, b, n, lo in zip(first, last, size, low, strict=True)]
+            area = volume[np.ix_(*index)]
+            for o, order in enumerate(orders):
+                part = area
+                for axis in range(3):
+                    part = np.apply_along_axis(np.correlate, axis, part, gaussian_taps(sigma, order[axis]), "valid")
+                result[names[s * len(orders) + o]] = part[tuple(p[own] - a for p, a in zip(at, first, strict=True))]
+        return pa.table(result)
+
+    schema = f"{_tile_type(voxels)}, x bigint, y bigint, z bigint, " + ", ".join(f"{name} double" for name in names)
+    return placed.groupBy("tile", "bx", "by", "bz").applyInArrow(run, schema)
+
+
+def mirror(index: np.ndarray, size: int) -> np.ndarray:
+    """Fold indices into [0, size), the edge sample repeated."""
+    index = index % (2 * size)
+    return np.where(index >= size, 2 * size - 1 - index, index)
+
+
 # ------------------------------------------------------------------ tiles and augmentation
 
 
