@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from silvagrid.catalog.tabular import SHIFT
 from silvagrid.functions.sampling import MODULUS, mix_sql
 
 FEAT = """feat AS (SELECT l_quantity AS f0, l_extendedprice AS f1, l_discount AS f2, l_tax AS f3,
@@ -120,35 +121,35 @@ TABULAR = {
     "value_counts": f"WITH {FEAT}, {COUNTS} SELECT feature, value, n FROM vc",
     "stride_splits": f"WITH RECURSIVE {FEAT}, {COUNTS}, {STRIDE} SELECT feature, split_idx, threshold FROM splits",
     "bin_ids": f"{BASE} SELECT feature, bin, count(*) AS n FROM ({cells('binned', '0 AS k')}) GROUP BY feature, bin",
-    "unpivot_features": f"{BASE} SELECT feature, count(*) AS n, CAST(sum(bin) AS BIGINT) AS sum_bin, round(sum(bin * y1), 3) AS sum_bin_y1 FROM ({cells('binned', '0 AS k')}) GROUP BY feature",
-    "node_histogram": f"{BASE}, {ROOT} SELECT feature, bin, n, round(s1 / n, 6) AS s1, round(s2 / n, 6) AS s2, round(q1 / n, 6) AS q1, round(q2 / n, 6) AS q2 FROM h",
-    "vector_variance": f"WITH {FEAT} SELECT l_returnflag, round(var_pop(y1) + var_pop(y2), 5) AS impurity FROM feat GROUP BY l_returnflag",
+    "unpivot_features": f"{BASE} SELECT feature, count(*) AS n, CAST(sum(bin) AS BIGINT) AS sum_bin, round(sum(bin * y1) + {SHIFT}, 3) AS sum_bin_y1 FROM ({cells('binned', '0 AS k')}) GROUP BY feature",
+    "node_histogram": f"{BASE}, {ROOT} SELECT feature, bin, n, round(s1 / n + {SHIFT}, 6) AS s1, round(s2 / n + {SHIFT}, 6) AS s2, round(q1 / n + {SHIFT}, 6) AS q1, round(q2 / n + {SHIFT}, 6) AS q2 FROM h",
+    "vector_variance": f"WITH {FEAT} SELECT l_returnflag, round(var_pop(y1) + var_pop(y2) + {SHIFT}, 5) AS impurity FROM feat GROUP BY l_returnflag",
     "prefix_histogram": f"{BASE}, {ROOT}, p AS (SELECT feature, bin, " + ", ".join(
         f"sum({x}) OVER (PARTITION BY feature ORDER BY bin) AS l_{x}, sum({x}) OVER (PARTITION BY feature) - sum({x}) OVER (PARTITION BY feature ORDER BY bin) AS r_{x}"
-        for x in ("n", "s1", "s2")) + " FROM h) SELECT feature, bin, l_n, r_n, " + ", ".join(f"round({s}_{x} / {s}_n, 6) AS {s}_{x}" for s in "lr" for x in ("s1", "s2")) + " FROM p WHERE r_n > 0",
-    "split_gain": f"{BASE}, {ROOT}, {gains('g', 'h', 'slot')} SELECT feature, bin, round(gain, 5) AS gain FROM g WHERE gain >= 0",
-    "best_split": f"{BASE}, {ROOT}, {gains('g', 'h', 'slot')}, {best('b', 'g', 'slot')} SELECT feature, bin, round(gain, 5) AS gain, round(ti, 5) AS impurity, ln AS l_n, round(ls1 / ln, 5) AS l_p1, round(ls2 / ln, 5) AS l_p2, rn AS r_n, round(rs1 / rn, 5) AS r_p1, round(rs2 / rn, 5) AS r_p2 FROM b",
-    "best_split_per_group": f"{BASE}, {GROUPS}, {gains('g', 'h', 'slot')}, {best('b', 'g', 'slot')} SELECT slot, feature, bin, round(gain, 5) AS gain, round(ti, 5) AS impurity FROM b",
-    "feature_subset_join": f"{BASE}, {GROUPS}, allowed(slot, feature) AS (VALUES (0,0),(0,1),(1,1),(1,2),(2,0),(2,3)), h2 AS (SELECT h.* FROM h JOIN allowed USING (slot, feature)), {gains('g', 'h2', 'slot')}, {best('b', 'g', 'slot')} SELECT slot, feature, bin, round(gain, 5) AS gain FROM b",
+        for x in ("n", "s1", "s2")) + " FROM h) SELECT feature, bin, l_n, r_n, " + ", ".join(f"round({s}_{x} / {s}_n + {SHIFT}, 6) AS {s}_{x}" for s in "lr" for x in ("s1", "s2")) + " FROM p WHERE r_n > 0",
+    "split_gain": f"{BASE}, {ROOT}, {gains('g', 'h', 'slot')} SELECT feature, bin, round(gain + {SHIFT}, 5) AS gain FROM g WHERE gain >= 0",
+    "best_split": f"{BASE}, {ROOT}, {gains('g', 'h', 'slot')}, {best('b', 'g', 'slot')} SELECT feature, bin, round(gain + {SHIFT}, 5) AS gain, round(ti + {SHIFT}, 5) AS impurity, ln AS l_n, round(ls1 / ln + {SHIFT}, 5) AS l_p1, round(ls2 / ln + {SHIFT}, 5) AS l_p2, rn AS r_n, round(rs1 / rn + {SHIFT}, 5) AS r_p1, round(rs2 / rn + {SHIFT}, 5) AS r_p2 FROM b",
+    "best_split_per_group": f"{BASE}, {GROUPS}, {gains('g', 'h', 'slot')}, {best('b', 'g', 'slot')} SELECT slot, feature, bin, round(gain + {SHIFT}, 5) AS gain, round(ti + {SHIFT}, 5) AS impurity FROM b",
+    "feature_subset_join": f"{BASE}, {GROUPS}, allowed(slot, feature) AS (VALUES (0,0),(0,1),(1,1),(1,2),(2,0),(2,3)), h2 AS (SELECT h.* FROM h JOIN allowed USING (slot, feature)), {gains('g', 'h2', 'slot')}, {best('b', 'g', 'slot')} SELECT slot, feature, bin, round(gain + {SHIFT}, 5) AS gain FROM b",
     "categorical_subset_split": f"{CATEGORY}, m AS (SELECT unnest(range(1, 32)) AS mask), t AS (SELECT mask, "
         + ", ".join(f"sum({x}) AS t{x}, sum(CASE WHEN (mask >> cat) & 1 = 1 THEN {x} ELSE 0 END) AS l{x}" for x in ("n", "s1", "s2", "q1", "q2"))
-        + f" FROM m, ch GROUP BY mask), u AS (SELECT *, {_RIGHT} FROM t) SELECT CAST(mask AS INT) AS mask, ln AS l_n, round(greatest({_GAIN}, 0), 5) AS gain FROM u",
+        + f" FROM m, ch GROUP BY mask), u AS (SELECT *, {_RIGHT} FROM t) SELECT CAST(mask AS INT) AS mask, ln AS l_n, round(greatest({_GAIN}, 0) + {SHIFT}, 5) AS gain FROM u",
     "categorical_ordered_split": f"{CATEGORY}, o AS (SELECT *, row_number() OVER (ORDER BY (s1 + s2) / n, cat) AS k FROM ch), t AS (SELECT a.k, string_agg(CAST(b.cat AS VARCHAR), ',' ORDER BY b.cat) AS left_set, "
         + ", ".join(f"sum(b.{x}) AS l{x}, (SELECT sum({x}) FROM ch) AS t{x}" for x in ("n", "s1", "s2", "q1", "q2"))
-        + f" FROM o a JOIN o b ON b.k <= a.k GROUP BY a.k), u AS (SELECT *, {_RIGHT} FROM t) SELECT left_set, round({_GAIN}, 5) AS gain FROM u WHERE rn > 0",
-    "tree_nodes": f"{TREE3} SELECT node_id, feature IS NULL AS is_leaf, feature, bin AS split_bin, n, round(p1, 5) AS p1, round(p2, 5) AS p2, round(impurity, 5) AS impurity, round(gain, 5) AS gain FROM t_nodes",
-    "tree_predict": f"{TREE3} SELECT round(avg(y1), 5) AS pred1, round(avg(y2), 5) AS pred2, count(*) AS n, round(avg(y1), 5) AS mean_y1, round(avg(y2), 5) AS mean_y2 FROM t_rows3 GROUP BY node",
-    "depth_capped_predict": f"{TREE3}, {routed('t', 'binned', 3, 1)} SELECT round(t_1, 5) AS pred1, round(t_2, 5) AS pred2, count(*) AS n FROM t_out GROUP BY 1, 2",
+        + f" FROM o a JOIN o b ON b.k <= a.k GROUP BY a.k), u AS (SELECT *, {_RIGHT} FROM t) SELECT left_set, round({_GAIN} + {SHIFT}, 5) AS gain FROM u WHERE rn > 0",
+    "tree_nodes": f"{TREE3} SELECT node_id, feature IS NULL AS is_leaf, feature, bin AS split_bin, n, round(p1 + {SHIFT}, 5) AS p1, round(p2 + {SHIFT}, 5) AS p2, round(impurity + {SHIFT}, 5) AS impurity, round(gain + {SHIFT}, 5) AS gain FROM t_nodes",
+    "tree_predict": f"{TREE3} SELECT round(avg(y1) + {SHIFT}, 5) AS pred1, round(avg(y2) + {SHIFT}, 5) AS pred2, count(*) AS n, round(avg(y1) + {SHIFT}, 5) AS mean_y1, round(avg(y2) + {SHIFT}, 5) AS mean_y2 FROM t_rows3 GROUP BY node",
+    "depth_capped_predict": f"{TREE3}, {routed('t', 'binned', 3, 1)} SELECT round(t_1 + {SHIFT}, 5) AS pred1, round(t_2 + {SHIFT}, 5) AS pred2, count(*) AS n FROM t_out GROUP BY 1, 2",
     "tree_stats": f"{TREE3} SELECT CAST(0 AS INT) AS tree, count(*) AS num_nodes, CAST(sum(CASE WHEN feature IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS num_leaves, CAST(max(floor(log2(node_id))) AS BIGINT) AS depth FROM t_nodes",
     "subtree_stats": f"{TREE3} SELECT a.node_id, count(*) - 1 AS num_descendants, CAST(max(floor(log2(b.node_id))) - floor(log2(a.node_id)) AS BIGINT) AS subtree_depth FROM t_nodes a JOIN t_nodes b ON b.node_id >= a.node_id AND b.node_id >> CAST(floor(log2(b.node_id)) - floor(log2(a.node_id)) AS INT) = a.node_id GROUP BY a.node_id",
-    "node_id_update": f"{BASE}, {tree('t', 'binned', 1)} SELECT node AS node_id, count(*) AS n, round(avg(y1), 5) AS m1, round(avg(y2), 5) AS m2 FROM t_rows1 GROUP BY node",
+    "node_id_update": f"{BASE}, {tree('t', 'binned', 1)} SELECT node AS node_id, count(*) AS n, round(avg(y1) + {SHIFT}, 5) AS m1, round(avg(y2) + {SHIFT}, 5) AS m2 FROM t_rows1 GROUP BY node",
     "bagged_weights": f"SELECT tree, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS sum_key FROM orders, (VALUES (0),(1),(2),(3)) t(tree) WHERE ({mix_sql('o_orderkey', '(tree + 1)')}) / {MODULUS}.0 < 0.5 GROUP BY tree",
-    "forest_average": f"{FOREST3} SELECT l_returnflag, cat, round(avg((m0_1 + m1_1 + m2_1) / 3), 5) AS pred1, round(avg((m0_2 + m1_2 + m2_2) / 3), 5) AS pred2, count(*) AS n FROM m2_out GROUP BY l_returnflag, cat",
-    "partial_ensembles": f"{FOREST3}, e AS (SELECT 1 AS partial, y1, y2, m0_1 AS e1, m0_2 AS e2 FROM m2_out UNION ALL SELECT 2, y1, y2, (m0_1 + m1_1) / 2, (m0_2 + m1_2) / 2 FROM m2_out UNION ALL SELECT 3, y1, y2, (m0_1 + m1_1 + m2_1) / 3, (m0_2 + m1_2 + m2_2) / 3 FROM m2_out) SELECT CAST(partial AS INT) AS partial, round(avg((y1 - e1) * (y1 - e1) + (y2 - e2) * (y2 - e2)), 5) AS mse, round(avg(e1), 5) AS pred1 FROM e GROUP BY partial",
-    "forest_merge": f"{BASE}, sf AS (SELECT * FROM binned WHERE l_linestatus = 'F'), so AS (SELECT * FROM binned WHERE l_linestatus = 'O'), {tree('a', 'sf', 2)}, {tree('b', 'so', 2)}, {routed('a', 'binned', 2)}, {routed('b', 'a_out', 2)} SELECT l_linestatus, cat, round(avg((a_1 + b_1) / 2), 5) AS pred1, round(avg((a_2 + b_2) / 2), 5) AS pred2, count(*) AS n FROM b_out GROUP BY l_linestatus, cat",
-    "squared_loss_gradient": f"{BASE}, {tree('t', 'binned', 1)}, {routed('t', 'binned', 1)}, d AS (SELECT l_returnflag, y1 - t_1 AS d1, y2 - t_2 AS d2 FROM t_out) SELECT l_returnflag, round(avg(d1 * d1 + d2 * d2), 5) AS loss, round(avg(2 * d1), 5) AS g1, round(avg(2 * d2), 5) AS g2, round(sqrt(avg(4 * d1 * d1 + 4 * d2 * d2)), 5) AS rms FROM d GROUP BY l_returnflag",
-    "boost_curve": _BOOST + " SELECT CAST(k AS INT) AS iteration, round(avg((g1 * g1 + g2 * g2) / 4), 5) AS loss, round(sqrt(avg(g1 * g1 + g2 * g2)), 5) AS rms_gradient FROM (SELECT 0 AS k, g1, g2 FROM r0 UNION ALL SELECT 1, g1, g2 FROM r1 UNION ALL SELECT 2, g1, g2 FROM r2) GROUP BY k",
-    "boost_predict": _BOOST + " SELECT cat, round(avg(t0_1 + 0.25 * 1.75 * t1_1 + 0.25 * 1.5 * t2_1), 5) AS pred1, round(avg(t0_2 + 0.25 * 1.75 * t1_2 + 0.25 * 1.5 * t2_2), 5) AS pred2, count(*) AS n FROM r2 GROUP BY cat",
+    "forest_average": f"{FOREST3} SELECT l_returnflag, cat, round(avg((m0_1 + m1_1 + m2_1) / 3) + {SHIFT}, 5) AS pred1, round(avg((m0_2 + m1_2 + m2_2) / 3) + {SHIFT}, 5) AS pred2, count(*) AS n FROM m2_out GROUP BY l_returnflag, cat",
+    "partial_ensembles": f"{FOREST3}, e AS (SELECT 1 AS partial, y1, y2, m0_1 AS e1, m0_2 AS e2 FROM m2_out UNION ALL SELECT 2, y1, y2, (m0_1 + m1_1) / 2, (m0_2 + m1_2) / 2 FROM m2_out UNION ALL SELECT 3, y1, y2, (m0_1 + m1_1 + m2_1) / 3, (m0_2 + m1_2 + m2_2) / 3 FROM m2_out) SELECT CAST(partial AS INT) AS partial, round(avg((y1 - e1) * (y1 - e1) + (y2 - e2) * (y2 - e2)) + {SHIFT}, 5) AS mse, round(avg(e1) + {SHIFT}, 5) AS pred1 FROM e GROUP BY partial",
+    "forest_merge": f"{BASE}, sf AS (SELECT * FROM binned WHERE l_linestatus = 'F'), so AS (SELECT * FROM binned WHERE l_linestatus = 'O'), {tree('a', 'sf', 2)}, {tree('b', 'so', 2)}, {routed('a', 'binned', 2)}, {routed('b', 'a_out', 2)} SELECT l_linestatus, cat, round(avg((a_1 + b_1) / 2) + {SHIFT}, 5) AS pred1, round(avg((a_2 + b_2) / 2) + {SHIFT}, 5) AS pred2, count(*) AS n FROM b_out GROUP BY l_linestatus, cat",
+    "squared_loss_gradient": f"{BASE}, {tree('t', 'binned', 1)}, {routed('t', 'binned', 1)}, d AS (SELECT l_returnflag, y1 - t_1 AS d1, y2 - t_2 AS d2 FROM t_out) SELECT l_returnflag, round(avg(d1 * d1 + d2 * d2) + {SHIFT}, 5) AS loss, round(avg(2 * d1) + {SHIFT}, 5) AS g1, round(avg(2 * d2) + {SHIFT}, 5) AS g2, round(sqrt(avg(4 * d1 * d1 + 4 * d2 * d2)) + {SHIFT}, 5) AS rms FROM d GROUP BY l_returnflag",
+    "boost_curve": _BOOST + f" SELECT CAST(k AS INT) AS iteration, round(avg((g1 * g1 + g2 * g2) / 4) + {SHIFT}, 5) AS loss, round(sqrt(avg(g1 * g1 + g2 * g2)) + {SHIFT}, 5) AS rms_gradient FROM (SELECT 0 AS k, g1, g2 FROM r0 UNION ALL SELECT 1, g1, g2 FROM r1 UNION ALL SELECT 2, g1, g2 FROM r2) GROUP BY k",
+    "boost_predict": _BOOST + f" SELECT cat, round(avg(t0_1 + 0.25 * 1.75 * t1_1 + 0.25 * 1.5 * t2_1) + {SHIFT}, 5) AS pred1, round(avg(t0_2 + 0.25 * 1.75 * t1_2 + 0.25 * 1.5 * t2_2) + {SHIFT}, 5) AS pred2, count(*) AS n FROM r2 GROUP BY cat",
 }
 TABULAR["node_histogram_arrow"] = TABULAR["node_histogram"]
 

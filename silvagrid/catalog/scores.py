@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silvagrid.catalog.tabular import rounded
 from silvagrid.catalog.views import affinities, pixels, scores, table, tiled
 from silvagrid.functions import text
 from silvagrid.operators import metrics
 from silvagrid.plans import evaluate
 from silvagrid.session import small_frame
 
+
+def rounded(df: DataFrame, names: list[str], digits: int) -> DataFrame:
+    return df.withColumns({name: F.round(F.col(name), digits) for name in names})
+
+
 THRESHOLDS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 
 

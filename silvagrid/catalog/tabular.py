@@ -20,8 +20,13 @@ NODE_FEATURES = [(0, 0), (0, 1), (1, 1), (1, 2), (2, 0), (2, 3)]  # node -> its
 CUT_POINTS = [1, 2, 3]
 
 
-def rounded(df: DataFrame, names: list[str], digits: int = 5) -> DataFrame:
-    return df.withColumns({name: F.round(F.col(name), digits) for name in names})
+#: Added before rounding: means of short decimals sit on rounding ties, where the order of a
+#: floating sum would decide the last digit.
+SHIFT = 1.2345678e-7
+
+
+def rounded(df: DataFrame, names: list[str], digits: int = 5, shift: float = SHIFT) -> DataFrame:
+    return df.withColumns({name: F.round(F.col(name) + shift, digits) for name in names})
 
 
 def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,8 +65,8 @@ def _group_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _means(hist: DataFrame) -> DataFrame:
-    """Statistics as means per row: sums of short decimals would sit on rounding ties."""
-    return hist.selectExpr("feature", "bin", "n", *[f"round({x} / n, 6) AS {x}" for x in impurity.STATS[1:]])
+    """Statistics as means per row."""
+    return hist.selectExpr("feature", "bin", "n", *[f"round({x} / n + {SHIFT}, 6) AS {x}" for x in impurity.STATS[1:]])
 
 
 def node_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,12 +84,12 @@ def node_histogram_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = feat(spark, sf_dir).groupBy("l_returnflag").agg(*[s.alias(f"t_{n}") for s, n in zip(
         impurity.sums(F.col("y1"), F.col("y2")), impurity.STATS, strict=True)])
-    return stats.selectExpr("l_returnflag", f"round({impurity.variance_sql('t')}, 5) AS impurity")
+    return stats.selectExpr("l_returnflag", f"round({impurity.variance_sql('t')} + {SHIFT}, 5) AS impurity")
 
 
 def prefix_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     prefixed = splits.prefix_stats(splits.with_order(_root_histogram(spark, sf_dir)))
-    means = [f"round({s}_{x} / {s}_n, 6) AS {s}_{x}" for s in "lr" for x in ("s1", "s2")]
+    means = [f"round({s}_{x} / {s}_n + {SHIFT}, 6) AS {s}_{x}" for s in "lr" for x in ("s1", "s2")]
     return prefixed.filter("r_n > 0").selectExpr("feature", "bin", "l_n", "r_n", *means)
 
 
@@ -145,13 +150,13 @@ def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tree_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per predicted value: the prediction of each leaf is the mean of the rows that reach it."""
     out = forest.predict(feat(spark, sf_dir), _tree(spark, sf_dir), FEATURES)
-    return rounded(out.groupBy(F.round("pred1", 5).alias("pred1"), F.round("pred2", 5).alias("pred2")).agg(
+    return rounded(out.groupBy(*[F.round(F.col(p) + SHIFT, 5).alias(p) for p in ("pred1", "pred2")]).agg(
         F.count(F.lit(1)).alias("n"), F.avg("y1").alias("mean_y1"), F.avg("y2").alias("mean_y2")), ["mean_y1", "mean_y2"])
 
 
 def depth_capped_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = forest.predict(feat(spark, sf_dir), _tree(spark, sf_dir), FEATURES, max_level=1)
-    return out.groupBy(F.round("pred1", 5).alias("pred1"), F.round("pred2", 5).alias("pred2")).agg(F.count(F.lit(1)).alias("n"))
+    return out.groupBy(*[F.round(F.col(p) + SHIFT, 5).alias(p) for p in ("pred1", "pred2")]).agg(F.count(F.lit(1)).alias("n"))
 
 
 def tree_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
