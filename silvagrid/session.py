@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +32,21 @@ def session(app: str = "silvagrid", master: str | None = None, **conf: str) -> S
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_silvagrid_shipped", None) is None:
+        folder = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="silvagrid-")) / "silvagrid.zip"
+        with zipfile.ZipFile(archive, "w") as target:
+            for source in sorted(folder.rglob("*.py")):
+                target.write(source, source.relative_to(folder.parent))
+        context.addPyFile(str(archive))
+        context._silvagrid_shipped = str(archive)
+    return spark
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
