@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silvagrid.llm import raking, shards, url_rules
+import public_tokenizers
+
+from silvagrid.llm import leaks, raking, shards, token_counts, url_rules, wavelet
 from silvagrid.llm.sql import ORACLES
 from silvagrid.session import small_frame
 
@@ -21,6 +23,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counted = token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
 def op3_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shards.shard_report(table(spark, folder, "documents"))
 
@@ -30,11 +37,20 @@ def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_rules.judge(table(spark, folder, "pages"), rules)
 
 
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leak_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return wavelet.token_report(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = raking.mix(table(spark, folder, "documents"))
     return mixed.withColumn("probability", F.round("probability", 6))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_shards, op4_url_filter, op9_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_token_counts, op3_shards, op4_url_filter, op5_decontamination, op8_token_files, op9_mixing)}
 
 __all__ = ["ORACLES", "QUERIES"]
