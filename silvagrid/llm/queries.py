@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from silvagrid.llm import leaks, raking, shards, token_counts, url_rules, wavelet
+from silvagrid.llm import embed_dedup, leaks, near_dedup, raking, shards, token_counts, url_rules, wavelet
 from silvagrid.llm.sql import ORACLES
 from silvagrid.session import small_frame
 
@@ -28,6 +28,10 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op2_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embed_dedup.near_vectors(table(spark, folder, "embeddings"))
+
+
 def op3_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shards.shard_report(table(spark, folder, "documents"))
 
@@ -41,6 +45,10 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leak_report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, folder, "documents"), shingle=4)
+
+
 def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return wavelet.token_report(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -51,6 +59,6 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_token_counts, op3_shards, op4_url_filter, op5_decontamination, op8_token_files, op9_mixing)}
+    op1_token_counts, op2_embedding_dedup, op3_shards, op4_url_filter, op5_decontamination, op6_near_dedup, op8_token_files, op9_mixing)}
 
 __all__ = ["ORACLES", "QUERIES"]
