@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from silvagrid.llm import embed_dedup, leaks, near_dedup, raking, shards, token_counts, url_rules, wavelet
+from silvagrid.llm import embed_dedup, leaks, near_dedup, raking, repeats, shards, token_counts, url_rules, wavelet
 from silvagrid.llm.sql import ORACLES
 from silvagrid.session import small_frame
 
@@ -58,7 +58,11 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.withColumn("probability", F.round("probability", 6))
 
 
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.repeat_report(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_token_counts, op2_embedding_dedup, op3_shards, op4_url_filter, op5_decontamination, op6_near_dedup, op8_token_files, op9_mixing)}
+    op1_token_counts, op2_embedding_dedup, op3_shards, op4_url_filter, op5_decontamination, op6_near_dedup, op8_token_files, op9_mixing, op10_suffix_dedup)}
 
 __all__ = ["ORACLES", "QUERIES"]
