@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from silvagrid.llm import embed_dedup, leaks, near_dedup, raking, repeats, shards, token_counts, url_rules, wavelet
+from silvagrid.llm import embed_dedup, leaks, near_dedup, quality_kn, raking, repeats, shards, token_counts, url_rules, wavelet
 from silvagrid.llm.sql import ORACLES
 from silvagrid.session import small_frame
 
@@ -49,6 +49,10 @@ def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"), shingle=4)
 
 
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_kn.judge_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return wavelet.token_report(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -63,6 +67,6 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_token_counts, op2_embedding_dedup, op3_shards, op4_url_filter, op5_decontamination, op6_near_dedup, op8_token_files, op9_mixing, op10_suffix_dedup)}
+    op1_token_counts, op2_embedding_dedup, op3_shards, op4_url_filter, op5_decontamination, op6_near_dedup, op7_quality, op8_token_files, op9_mixing, op10_suffix_dedup)}
 
 __all__ = ["ORACLES", "QUERIES"]
