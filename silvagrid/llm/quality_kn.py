@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from silvagrid.llm.common import byte_rows, settle, slices
+from silvagrid.session import lookup_join
 
 #: Length of the grams, and bits of a symbol: the whole table has at most 2 ** (ORDER * BITS) rows, whatever the input.
 ORDER, BITS = 4, 5
@@ -114,15 +116,52 @@ def _score(cost):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", BATCH_BYTES):
             codes, lengths = gram_codes(byte_rows(part, "text"))
-            total = np.concatenate([[0.0], np.cumsum(cost.value[codes], dtype=np.float64)])
-            ends = np.cumsum(lengths)
-            sums = total[ends] - total[ends - lengths]
+            full = np.flatnonzero(lengths)
+            sums = np.zeros(len(lengths))
+            if len(full):  # summed per document, so that the place in the batch does not show in the last digits
+                sums[full] = np.add.reduceat(cost.value[codes].astype(np.float64), (np.cumsum(lengths) - lengths)[full])
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("lang"), pa.array(lengths), pa.array(sums)], ["doc_id", "lang", "n_symbols", "cost"])
+                [*part.columns, pa.array(lengths), pa.array(sums)], [*part.schema.names, "_symbols", "_cost"])
 
     return run
 
 
+class Fitted:
+    """A trained model with the limits of the languages: broadcast costs, trusted mean, (lang, limit) and the limit of all."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, quantile: float):
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("lang", F.lit("")).alias("lang"))
+        good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
+            F.min((F.col("quality") == 1) & F.coalesce(F.col("toxic") == 0, F.lit(False))).alias("good"))
+        good = good.where("good").select("doc_id")
+        trusted = settle(rows.join(good, "doc_id", "left_semi"), "trusted")
+        self.cost = docs.sparkSession.sparkContext.broadcast(surprise(train(trusted)))
+        scored = settle(_scored(trusted, self.cost), "scores").where("_symbols > 0")
+        self.mean = scored.agg(F.sum("_cost") / F.sum("_symbols")).first()[0] or 0.0
+        scored = scored.select("lang", self.perplexity().alias("perplexity"))
+        self.overall = scored.agg(F.percentile_approx("perplexity", quantile, ACCURACY)).first()[0]
+        self.limits = settle(scored.groupBy(F.col("lang").alias("_lang")).agg(
+            F.percentile_approx("perplexity", quantile, ACCURACY).alias("_limit")), "limits")
+
+    def perplexity(self) -> Column:
+        smooth = F.exp((F.col("_cost") + PRIOR * self.mean) / (F.col("_symbols") + PRIOR))
+        return F.when(F.col("_symbols") > 0, smooth)
+
+    def judged(self, docs: DataFrame) -> DataFrame:
+        """``docs`` with _perplexity, _threshold and _kept."""
+        found = _scored(docs, self.cost).withColumn("_lang", F.coalesce("lang", F.lit("")))
+        found = lookup_join(found, self.limits, ["_lang"], self.limits.count(), ["doc_id"], "left")
+        found = found.withColumn("_threshold", F.coalesce("_limit", F.lit(self.overall).cast("double")))
+        found = found.withColumn("_perplexity", self.perplexity())
+        fine = F.coalesce(F.col("_perplexity") <= F.col("_threshold"), F.lit(True))
+        return found.withColumn("_kept", F.col("_perplexity").isNotNull() & fine)
+
+
+def _scored(docs: DataFrame, cost) -> DataFrame:
+    schema = StructType([*docs.schema.fields, StructField("_symbols", LongType()), StructField("_cost", DoubleType())])
+    return docs.mapInArrow(_score(cost), schema)
+
+
 def judge_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, n_symbols, perplexity, threshold and kept for every row of ``docs``.
 
@@ -133,23 +172,12 @@ def judge_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE
     text every document with symbols is kept. Repeated rows are judged alike; several labels of one id trust
     it if all do. Only doc_id, text and lang are read.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("lang", F.lit("")).alias("lang"))
-    good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
-        F.min((F.col("quality") == 1) & F.coalesce(F.col("toxic") == 0, F.lit(False))).alias("good"))
-    good = good.where("good").select("doc_id")
-    model = train(rows.join(good, "doc_id", "left_semi"))
-    cost = spark.sparkContext.broadcast(surprise(model))
-    scored = settle(rows.mapInArrow(_score(cost), "doc_id long, lang string, n_symbols long, cost double"), "scores")
-    trusted = scored.where("n_symbols > 0").join(good, "doc_id", "left_semi")
-    mean = trusted.agg(F.sum("cost") / F.sum("n_symbols")).first()[0]
-    smooth = F.when(F.col("n_symbols") > 0, F.exp((F.col("cost") + PRIOR * (mean or 0.0)) / (F.col("n_symbols") + PRIOR)))
-    limits = trusted.withColumn("perplexity", smooth)
-    overall = limits.agg(F.percentile_approx("perplexity", quantile, ACCURACY)).first()[0]
-    limits = limits.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, ACCURACY).alias("limit"))
-    out = scored.withColumn("perplexity", smooth).join(limits, "lang", "left")
-    threshold = F.coalesce("limit", F.lit(overall).cast("double"))
-    out = out.withColumn("threshold", threshold)
-    return out.select(
-        "doc_id", F.nullif("lang", F.lit("")).alias("lang"), "n_symbols", "perplexity", "threshold",
-        (F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).alias("kept"))
+    fitted = Fitted(docs, labels, quantile)
+    return fitted.judged(docs.select("doc_id", "text", "lang")).select(
+        "doc_id", "lang", F.col("_symbols").alias("n_symbols"), F.col("_perplexity").alias("perplexity"),
+        F.col("_threshold").alias("threshold"), F.col("_kept").alias("kept"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``judge_quality`` keeps."""
+    return Fitted(docs, labels, quantile).judged(docs).where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
