@@ -4,52 +4,55 @@ from __future__ import annotations
 
 import json
 import math
-import os
+import re
 from collections.abc import Iterable, Mapping
 from dataclasses import asdict, dataclass, field
+from itertools import chain, product
 
-# Fixed default feature list: base features by scale, each at a grid of row and column offsets.
-DEFAULT_FEATURES = ";".join(
-    f"{6 * i}:{6 * i + 6}({{{o}}},{{{o}}})"
-    for i, o in enumerate(
-        [
-            "-32|-16|-8|-4|-2|0|2|4|8|16|32",
-            "-64|-32|-16|-8|-4|0|4|8|16|32|64",
-            "-64|-32|-16|-8|0|8|16|32|64",
-            "-64|-32|-16|0|16|32|64",
-            "-64|-32|0|32|64",
-            "-64|0|64",
-        ]
-    )
+from pyarrow import fs
+
+from silvagrid.sources.files import open_at
+
+# Fixed value: the default feature list, base features by scale with their row and column offsets.
+DEFAULT_FEATURES = (
+    "0:6({-32|-16|-8|-4|-2|0|2|4|8|16|32},{-32|-16|-8|-4|-2|0|2|4|8|16|32});"
+    "6:12({-64|-32|-16|-8|-4|0|4|8|16|32|64},{-64|-32|-16|-8|-4|0|4|8|16|32|64});"
+    "12:18({-64|-32|-16|-8|0|8|16|32|64},{-64|-32|-16|-8|0|8|16|32|64});"
+    "18:24({-64|-32|-16|0|16|32|64},{-64|-32|-16|0|16|32|64});"
+    "24:30({-64|-32|0|32|64},{-64|-32|0|32|64});"
+    "30:36({-64|0|64},{-64|0|64})"
 )
 
 Offset = tuple[int, tuple[int, int]]
 
+_NUMBER = r"-?\d+"
+_SET = re.compile(rf"\{{({_NUMBER}(?:\|{_NUMBER})*)\}}")
+_RANGE = re.compile(rf"({_NUMBER})(?::({_NUMBER}))?(?::({_NUMBER}))?")
+_BOX = re.compile(r"\(([^(),]+),([^(),]+)\)")
+_ENTRY = re.compile(rf"([^()]+)((?:{_BOX.pattern})+)")
+
 
 def parse_ints(text: str) -> list[int]:
     """``n``, ``a:b`` (half open), ``a:step:b`` or ``{x|y|z}``."""
-    if text.startswith("{") and text.endswith("}"):
-        return [int(item) for item in text[1:-1].split("|")]
-    parts = [int(item) for item in text.split(":")]
-    if len(parts) == 1:
-        return parts
-    if len(parts) == 2:
-        return list(range(parts[0], parts[1]))
-    if len(parts) == 3:
-        return list(range(parts[0], parts[2], parts[1]))
-    raise ValueError(f"not an integer list: {text!r}")
+    if found := _SET.fullmatch(text):
+        return [int(item) for item in found[1].split("|")]
+    if not (found := _RANGE.fullmatch(text)):
+        raise ValueError(f"not an integer list: {text!r}")
+    start, *more = [int(item) for item in found.groups() if item is not None]
+    stop = more[-1] if more else start + 1
+    return [*range(start, stop, more[0] if len(more) == 2 else 1)]
 
 
 def parse_features(text: str) -> list[Offset]:
     """``feats(rowOffsets,colOffsets)[(...)...]`` entries separated by ``;`` as (feature, (dr, dc)) pairs."""
     result: list[Offset] = []
-    for entry in filter(None, text.split(";")):
-        feats, _, rest = entry.partition("(")
-        boxes = [box.rstrip(")").split(",") for box in rest.split("(")]
-        if not all(len(box) == 2 for box in boxes):
+    for entry in text.split(";"):
+        if not entry:
+            continue
+        if not (found := _ENTRY.fullmatch(entry)):
             raise ValueError(f"each offset box needs a row and a column list: {entry!r}")
-        shifts = [(dr, dc) for rows, cols in boxes for dr in parse_ints(rows) for dc in parse_ints(cols)]
-        result += [(f, shift) for f in parse_ints(feats) for shift in shifts]
+        grids = (product(parse_ints(rows), parse_ints(cols)) for rows, cols in _BOX.findall(found[2]))
+        result += product(parse_ints(found[1]), chain.from_iterable(grids))
     return result
 
 
@@ -169,6 +172,61 @@ class BoostConfig:
             raise ValueError("iterations must be >= 0 and trees_per_iteration >= 1")
 
 
+def folder_names(root: str) -> list[str]:
+    """Folders below ``root`` in order, on any filesystem that tasks reach; none if it does not exist."""
+    system, inner = open_at(root)
+    found = system.get_file_info(fs.FileSelector(inner, allow_not_found=True))
+    return sorted(x.base_name for x in found if x.type == fs.FileType.Directory)
+
+
+def _flag(text: str) -> bool:
+    return text.lower() == "true"
+
+
+def _tiles(text: str) -> tuple[str, ...]:
+    return tuple(expand_tiles(text))
+
+
+def _cut_points(text: str) -> tuple[int, ...] | None:
+    """``none``, or a comma list; an empty list leaves the choice to the run."""
+    points = tuple(int(item) for item in text.split(",") if item and text != "none")
+    if points:
+        check_cut_points(points)
+    return points if points or text == "none" else None
+
+
+# Setting, argument name, parser.
+_ARGUMENTS = {
+    "name": ("name", str),
+    "num_executors": ("numExecutors", int),
+    "max_memory_mb": ("maxMemoryInMB", int),
+    "data_root": ("data_root", str),
+    "save_to": ("save_to", str),
+    "save_model_to": ("save_model_to", str),
+    "train_tiles": ("subvolumes_train", _tiles),
+    "test_tiles": ("subvolumes_test", _tiles),
+    "max_depth": ("maxDepth", int),
+    "max_bins": ("maxBins", int),
+    "leaf_size": ("leafSize", int),
+    "load_model": ("loadModel", str),
+    "initial_trees": ("initialTrees", int),
+    "n_base_features": ("nBaseFeatures", int),
+    "features": ("features", lambda text: tuple(parse_features(text))),
+    "feature_subset": ("featureSubsetStrategy", str),
+    "master": ("master", str),
+    "iterations": ("iterations", int),
+    "trees_per_iteration": ("treesPerIteration", int),
+    "learning_rate": ("learningRate", float),
+    "momentum": ("momentum", float),
+    "subsample_proportion": ("subsampleProportion", float),
+    "save_gradients": ("saveGradients", _flag),
+    "use_node_id_cache": ("useNodeIdCache", _flag),
+    "bagging": ("bagging", float),
+    "seed": ("seed", int),
+    "test_partial_models": ("testPartialModels", _cut_points),
+}
+
+
 @dataclass(frozen=True)
 class RunSettings:
     """Everything a run reads from its ``key=value`` arguments."""
@@ -200,57 +258,20 @@ class RunSettings:
     bagging: float = 0.5
     seed: int = 1
     test_partial_models: tuple[int, ...] | None = None
-    test_depths: tuple[int, ...] = ()
 
     @staticmethod
     def from_args(args: Iterable[str]) -> RunSettings:
+        """Settings from ``key=value`` arguments; a key that no setting has is ignored, ``testDepths`` is refused."""
         given = {key: value for key, _, value in (arg.partition("=") for arg in args)}
-        root = given.get("data_root", "/data/tiles")
-        listing = sorted(os.listdir(root)) if os.path.isdir(root) else []
-
-        def tiles(key: str, fallback: list[str]) -> tuple[str, ...]:
-            return tuple(expand_tiles(given[key])) if key in given else tuple(fallback)
-
-        def numbers(key: str) -> tuple[int, ...]:
-            return tuple(int(item) for item in given.get(key, "").split(",") if item)
-
-        partial: tuple[int, ...] | None
-        if given.get("testPartialModels") == "none":
-            partial = ()
-        else:
-            partial = numbers("testPartialModels") or None
-            if partial:
-                check_cut_points(partial)
-        return RunSettings(
-            name=given.get("name", "expt"),
-            num_executors=int(given.get("numExecutors", 1)),
-            max_memory_mb=int(given.get("maxMemoryInMB", 500)),
-            data_root=root,
-            save_to=given.get("save_to", "/data/predictions"),
-            save_model_to=given.get("save_model_to", ""),
-            train_tiles=tiles("subvolumes_train", listing[:1]),
-            test_tiles=tiles("subvolumes_test", listing[1:2]),
-            max_depth=int(given.get("maxDepth", 10)),
-            max_bins=int(given.get("maxBins", 10)),
-            leaf_size=int(given.get("leafSize", 1)),
-            load_model=given.get("loadModel"),
-            initial_trees=int(given.get("initialTrees", 1)),
-            n_base_features=int(given.get("nBaseFeatures", 36)),
-            features=tuple(parse_features(given.get("features", DEFAULT_FEATURES))),
-            feature_subset=given.get("featureSubsetStrategy", "all"),
-            master=given.get("master", "local"),
-            iterations=int(given.get("iterations", 0)),
-            trees_per_iteration=int(given.get("treesPerIteration", 10)),
-            learning_rate=float(given.get("learningRate", 1)),
-            momentum=float(given.get("momentum", 0)),
-            subsample_proportion=float(given.get("subsampleProportion", 1)),
-            save_gradients=given.get("saveGradients", "false").lower() == "true",
-            use_node_id_cache=given.get("useNodeIdCache", "true").lower() == "true",
-            bagging=float(given.get("bagging", 0.5)),
-            seed=int(given.get("seed", 1)),
-            test_partial_models=partial,
-            test_depths=numbers("testDepths"),
-        )
+        if given.get("testDepths"):
+            raise ValueError("testDepths is not supported: predictions always use whole trees")
+        values = {name: parse(given[key]) for name, (key, parse) in _ARGUMENTS.items() if key in given}
+        values.setdefault("features", tuple(parse_features(DEFAULT_FEATURES)))
+        if not {"train_tiles", "test_tiles"} <= values.keys():
+            tiles = folder_names(values.get("data_root", RunSettings.data_root))
+            values.setdefault("train_tiles", tuple(tiles[:1]))
+            values.setdefault("test_tiles", tuple(tiles[1:2]))
+        return RunSettings(**values)
 
     def tree_config(self, num_trees: int) -> TreeConfig:
         return TreeConfig(

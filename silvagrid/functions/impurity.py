@@ -30,10 +30,6 @@ def variance_sql(prefix: str) -> str:
     return f"CASE WHEN {n} > 0 THEN greatest(({q1} + {q2} - ({s1} * {s1} + {s2} * {s2}) / {n}) / {n}, 0.0D) ELSE 0.0D END"
 
 
-def mean_or_zero(n: Column, s: Column) -> Column:
-    return F.when(n > 0, s / n).otherwise(F.lit(0.0))
-
-
 def gain(impurity: Column, n: Column, nl: Column, impl: Column, nr: Column, impr: Column) -> Column:
     return impurity - nl / n * impl - nr / n * impr
 

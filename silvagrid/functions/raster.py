@@ -33,12 +33,6 @@ def reflect(index: Column, size: Column | int) -> Column:
     return F.when(folded >= size, period - 1 - folded).otherwise(folded)
 
 
-def clamp(index: Column, size: Column | int) -> Column:
-    """Edge padding: indices outside the image take the nearest edge."""
-    last = (F.lit(size) if isinstance(size, int) else size) - 1
-    return F.least(F.greatest(index, F.lit(0)), last)
-
-
 def gray(value: Column) -> Column:
     """A value in [0, 1] as an 8-bit gray level, truncated and clamped."""
     return F.least(F.lit(255), F.greatest(F.lit(0), (value * 255).cast("int")))

@@ -17,7 +17,3 @@ def natural_key(name: Column, digits: int = 20) -> Column:
     """A sort key in which runs of digits compare as numbers: each run is left-padded with zeros."""
     padded = F.regexp_replace(name, r"(\d+)", "0" * digits + "$1")
     return F.regexp_replace(padded, r"\d*(\d{" + str(digits) + "})", "$1")
-
-
-def run_stamp(moment: Column | None = None) -> Column:
-    return F.date_format(moment if moment is not None else F.current_timestamp(), "yyyy-MM-dd HH-mm-ss")

@@ -21,10 +21,6 @@ def sub(x: Vec2, y: Vec2) -> Vec2:
     return x[0] - y[0], x[1] - y[1]
 
 
-def mul(x: Vec2, y: Vec2) -> Vec2:
-    return x[0] * y[0], x[1] * y[1]
-
-
 def div(x: Vec2, y: Vec2) -> Vec2:
     return x[0] / y[0], x[1] / y[1]
 
@@ -61,7 +57,3 @@ def sq(x: Vec2) -> Column:
 def component(x: Vec2, direction: Column) -> Column:
     """Component 1 or 2, chosen per row."""
     return F.when(direction == 1, x[0]).when(direction == 2, x[1])
-
-
-def one_hot(direction: Column, value: Column) -> Vec2:
-    return F.when(direction == 1, value).otherwise(F.lit(0.0)), F.when(direction == 2, value).otherwise(F.lit(0.0))

@@ -22,11 +22,6 @@ def value_counts(df: DataFrame, features: Sequence[Column]) -> DataFrame:
     return _count_cells(df.select(F.explode(cells).alias("cell")).select("cell.feature", "cell.value"))
 
 
-def value_counts_array(df: DataFrame, array: Column) -> DataFrame:
-    """The same for features held in one array column."""
-    return _count_cells(df.select(F.posexplode(array.cast("array<double>")).alias("feature", "value")))
-
-
 def _count_cells(cells: DataFrame) -> DataFrame:
     good = F.col("value").isNotNull() & ~F.isnan("value")
     checked = cells.select("feature", F.when(good, F.col("value")).otherwise(F.raise_error(F.lit("no bin for a null or NaN feature"))).alias("value"))
@@ -205,7 +200,8 @@ def expand_splits(base: list[list[float]], base_of: Sequence[int]) -> list[list[
 def bin_id(value: Column, thresholds: Sequence[float]) -> Column:
     """Number of cut points strictly below ``value``: bins are (low, high].
 
-    A balanced comparison tree keeps this inside generated code and costs log2(bins) tests.
+    A balanced comparison tree keeps this inside generated code and costs log2(bins) tests. A null or NaN value
+    has no bin and is an error.
     """
 
     def search(lo: int, hi: int) -> Column:
@@ -214,7 +210,11 @@ def bin_id(value: Column, thresholds: Sequence[float]) -> Column:
         mid = (lo + hi) // 2
         return F.when(value <= thresholds[mid], search(lo, mid)).otherwise(search(mid + 1, hi))
 
-    return search(0, len(thresholds))
+    return F.when(value.isNull() | F.isnan(value.cast("double")), _no_bin()).otherwise(search(0, len(thresholds)))
+
+
+def _no_bin() -> Column:
+    return F.raise_error(F.lit("no bin for a null or NaN feature")).cast("int")
 
 
 def category_id(value: Column, arity: int) -> Column:
@@ -232,7 +232,8 @@ def bins_array(features: Sequence[Column], thresholds: Sequence[Sequence[float]]
 def bins_of_array(array: Column, thresholds: Sequence[Sequence[float]]) -> Column:
     """Bin ids of an array of features, for feature lists too wide to unroll into columns."""
     table = F.array(*[F.array(*[F.lit(float(t)) for t in row]).cast("array<double>") for row in thresholds])
-    return F.zip_with(array, table, lambda x, cuts: F.size(F.filter(cuts, lambda cut: cut < x)))
+    place = lambda x, cuts: F.size(F.filter(cuts, lambda cut: cut < x))
+    return F.zip_with(array, table, lambda x, cuts: F.when(x.isNull() | F.isnan(x.cast("double")), _no_bin()).otherwise(place(x, cuts)))
 
 
 def bin_matrix(array: Column, thresholds: Sequence[Sequence[float]]) -> Column:

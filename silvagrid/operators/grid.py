@@ -312,11 +312,6 @@ def augment8(pixels: DataFrame, extent: DataFrame) -> DataFrame:
     return joined.select("tile", *keep, F.explode(F.array(*variants)).alias("t")).select("tile", "t.*", *keep)
 
 
-def augmented_name(slice_id: Column) -> Column:
-    """Folder name of an augmented tile."""
-    return F.concat(F.lit("r"), F.col("rot").cast("string"), F.lit("f"), F.col("flip").cast("string"), F.lit("s"), slice_id.cast("string"))
-
-
 def split_volume(size: Sequence[int], parts: Sequence[int], margin: int) -> list[dict[str, tuple[int, ...]]]:
     """Sub-boxes of a volume: the product of the axis parts, each with its margin-included box."""
     inner_lo = [margin] * len(size)
@@ -346,4 +341,3 @@ def inner_box(dims: DataFrame, proportion: float = 1.0, from_front: bool = True)
     return dims.withColumns({
         "target_off": (lo - F.col("r0")) * width, "n_targets": (hi - lo + 1) * width, "_lo": lo, "_hi": hi,
     }).withColumns({"r0": F.col("_lo"), "r1": F.col("_hi")}).drop("_lo", "_hi")
-

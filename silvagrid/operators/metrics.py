@@ -40,6 +40,8 @@ def pixel_confusion(cells: DataFrame, thresholds: Sequence[float], keys: Sequenc
     found = F.lit(np.array(cuts))
     # How many thresholds lie strictly below the estimate.
     place = F.size(F.filter(found, lambda t: t < F.col("est"))) if len(cuts) > 64 else _below(F.col("est"), cuts)
+    # A null or NaN estimate lies above no threshold, whichever way is taken.
+    place = F.when(F.col("est").isNull() | F.isnan("est"), F.lit(0)).otherwise(place)
     counts = cells.select(*keys, place.alias("k"), F.col("truth")).groupBy(*keys, "k").agg(
         F.sum(F.when(F.col("truth") != 0, 1).otherwise(0)).alias("p"),
         F.sum(F.when(F.col("truth") == 0, 1).otherwise(0)).alias("q"))
@@ -113,10 +115,15 @@ def rand_connectivity(table: DataFrame, keys: Sequence[str] = ("tile",)) -> Data
 def pool(stats: DataFrame, kind: str = "rand") -> DataFrame:
     """Pool tile statistics per threshold, each tile weighted by its number of examples ``n``.
 
-    ``rand``: F-score of the pooled pair counts. ``pixel``: weighted mean of the error.
+    ``rand``: F-score of the pooled pair counts. ``pixel``: weighted mean of the error. A threshold at
+    which any tile has no value (null or NaN) gets no score.
     """
-    weighted = [F.sum(F.col(name) * F.col("n")).alias(name) for name in ("tp", "fp", "pos", "neg")]
-    pooled = stats.groupBy("threshold").agg(*weighted, (F.sum(F.col("err") * F.col("n")) / F.sum("n")).alias("err"))
+    def total(name: str) -> Column:
+        known = F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double")) * F.col("n")
+        return F.when(F.count(known) == F.count(F.lit(1)), F.sum(known))
+
+    weighted = [total(name).alias(name) for name in ("tp", "fp", "pos", "neg")]
+    pooled = stats.groupBy("threshold").agg(*weighted, (total("err") / F.sum("n")).alias("err"))
     if kind == "pixel":
         return pooled.withColumn("score", F.col("err"))
     precision = F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), F.lit(0))

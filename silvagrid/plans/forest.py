@@ -33,7 +33,7 @@ NODE_SCHEMA = T.StructType([
     T.StructField("gain", T.DoubleType()),
 ])
 
-#: Child impurities at or below this count as pure: differences of sums are rarely exactly 0.
+#: Impurities at or below this part of a node's mean square count as pure: differences of sums are rarely exactly 0.
 PURE = 1e-12
 
 #: Up to this many nodes in a tree, prediction is one generated CASE expression per tree.
@@ -56,6 +56,11 @@ class Node:
     gain: float | None = None
 
 
+def is_pure(node: Node) -> bool:
+    """Whether both labels are constant in the node, whatever their unit."""
+    return node.impurity <= PURE * (node.impurity + node.p1 * node.p1 + node.p2 * node.p2)
+
+
 @dataclass
 class ForestModel:
     """Trees as a flat node list plus one weight per tree.
@@ -199,6 +204,8 @@ def prepare(
             found = binning.find_thresholds(df, [cols[i] for i in continuous], cfg.max_bins - 1)
             for i, cuts in zip(continuous, found, strict=True):
                 thresholds[i] = cuts
+    if cfg.bagging < 1.0 and row_key is None:
+        raise ValueError("bagging below 1 needs a row_key: without one a tree would hold every row or none")
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
     rows = df.select(
         (binning.bins_array(cols, thresholds, dict(cfg.categorical)) if cols
@@ -321,7 +328,7 @@ def grow(data: TrainingSet, cfg: TreeConfig, levels=None) -> ForestModel:
                 continue
             node = table.setdefault((tree, node_id), Node(
                 tree, node_id, n=row["t_n"], p1=row["t_p1"], p2=row["t_p2"], impurity=row["impurity"]))
-            if depth == cfg.max_depth or row["gain"] is None or row["gain"] <= 0 or node.impurity <= PURE:
+            if depth == cfg.max_depth or row["gain"] is None or row["gain"] <= 0 or is_pure(node):
                 chosen.append((-1, 0, None, -1, -1))
                 continue
             node.is_leaf, node.feature, node.gain = False, row["feature"], row["gain"]
@@ -332,7 +339,7 @@ def grow(data: TrainingSet, cfg: TreeConfig, levels=None) -> ForestModel:
             for child_id, p in ((heap.left(node_id), "l"), (heap.right(node_id), "r")):
                 child = Node(tree, child_id, n=row[f"{p}_n"], p1=row[f"{p}_p1"], p2=row[f"{p}_p2"], impurity=row[f"{p}_imp"])
                 table[(tree, child_id)] = child
-                if depth + 1 >= cfg.max_depth or child.impurity <= PURE:
+                if depth + 1 >= cfg.max_depth or is_pure(child):
                     slots.append(-1)
                 else:
                     slots.append(len(following))

@@ -51,9 +51,3 @@ class MalisLoss:
 
 
 LOSSES: dict[str, Callable[..., Loss]] = {"squared": SquaredLoss, "malis": MalisLoss}
-
-
-def loss_named(name: str, **options) -> Loss:
-    if name not in LOSSES:
-        raise ValueError(f"unknown loss {name!r}; known: {sorted(LOSSES)}")
-    return LOSSES[name](**options)

@@ -57,7 +57,7 @@ def main(args: list[str], spark: SparkSession | None = None) -> dict:
     model, boosted = train(spark, s, *data["train"])
     minutes = int((time.time() - started) / 60)
     if s.save_model_to:
-        sinks.save_model(model, spark, f"{s.save_model_to}/{stamp}", s.describe(), cuts)
+        sinks.save_model(model, spark, f"{s.save_model_to}/{s.name}-{stamp}", s.describe(), cuts)
     if boosted is not None:
         sinks.write_curve(boosted, f"{out}/malis")
     partials = s.test_partial_models if s.test_partial_models is not None else (model.num_elems,)

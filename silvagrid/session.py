@@ -52,15 +52,16 @@ def ship_package(spark: SparkSession) -> SparkSession:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's checkpoint folder and return a frame that reads it back.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a session that names none
-    (a local test) gets a temporary one.
+    The folder comes from ``spark.checkpoint.dir``. Only a local session that names none gets a temporary one;
+    on a cluster its absence is an error, as executors would write to their own disks.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="silvagrid-")
-        )
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="silvagrid-"))
     return df.checkpoint(eager=True)
 
 

@@ -35,11 +35,6 @@ def decode_floats(content: pd.Series) -> pd.Series:
     return content.map(lambda blob: np.frombuffer(blob, dtype=FLOAT32).astype(np.float32))
 
 
-@F.pandas_udf(BinaryType())
-def encode_ints(values: pd.Series) -> pd.Series:
-    return values.map(lambda row: np.asarray(row, dtype=INT32).tobytes())
-
-
 def file_list(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``(path, length)`` of files; the contents are not read."""
     return spark.read.format("binaryFile").load(paths).select("path", "length")
@@ -73,8 +68,3 @@ def read_records(spark: SparkSession, paths: str | list[str], width: int, kind:
                                         "values": pd.Series(list(part), dtype=object)})
 
     return ranges.mapInPandas(decode, f"path string, idx bigint, values array<{target}>")
-
-
-def value_at(values: Column, feature: Column | int) -> Column:
-    """Value of a base feature of a decoded record."""
-    return F.element_at(values, (feature if isinstance(feature, Column) else F.lit(feature)) + 1)

@@ -5,21 +5,21 @@ from __future__ import annotations
 import json
 import struct
 import zlib
-from collections.abc import Callable, Sequence
-from dataclasses import asdict, is_dataclass
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silvagrid.plans.boost import BoostedModel
 from silvagrid.plans.forest import ForestModel, merge_models
+from silvagrid.session import lookup_join
 from silvagrid.sources.files import open_at, read_text, write_file
 from silvagrid.sources.raw import FLOAT32, INT32
 
 #: Rows of a tile that one task turns into one file. A tile with more rows is written as
-#: numbered parts that read back in order.
+#: numbered parts, which the readers of ``tiles`` take in order.
 PART_ROWS = 1 << 20
 
 
@@ -48,13 +48,13 @@ def export_parts(df: DataFrame, folder_cols: Sequence[str], order: str, root: st
                  files: dict[str, Callable[[pd.DataFrame], bytes]]) -> DataFrame:
     """Write files per folder in the order of ``order`` (0-based positions) and list them.
 
-    A group is one part of at most ``PART_ROWS`` rows. ``files`` maps a name to an encoder of
-    the part's sorted rows.
+    A group is one part of about ``PART_ROWS`` rows; a frame with pixel coordinates ``r`` and ``c`` is cut at whole
+    image rows. ``files`` maps a name to an encoder of the part's sorted rows.
     """
     folder_cols = list(folder_cols)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        part = int(frame["part"].iloc[0])
+        part = int(frame["_part"].iloc[0])
         rows = frame.sort_values(order)
         folder = "/".join([root, *[str(frame[c].iloc[0]) for c in folder_cols]])
         written = []
@@ -65,8 +65,33 @@ def export_parts(df: DataFrame, folder_cols: Sequence[str], order: str, root: st
             written.append((folder, target, len(rows)))
         return pd.DataFrame(written, columns=["folder", "file", "rows"])
 
-    parts = df.withColumn("part", F.floor(F.col(order) / PART_ROWS))
-    return parts.groupBy(*folder_cols, "part").applyInPandas(run, "folder string, file string, rows bigint")
+    if {"r", "c"} <= set(df.columns):
+        extent = df.groupBy(*folder_cols).agg(F.greatest(F.floor(F.lit(PART_ROWS) / (F.max("c") + 1)), F.lit(1)).alias("_rows"))
+        sized = lookup_join(df, extent, folder_cols, extent.count(), [order])
+        parts = sized.withColumn("_part", F.floor(F.col("r") / F.col("_rows"))).drop("_rows")
+    else:
+        parts = df.withColumn("_part", F.floor(F.col(order) / PART_ROWS))
+    return parts.groupBy(*folder_cols, "_part").applyInPandas(run, "folder string, file string, rows bigint")
+
+
+def export_notes(df: DataFrame, folder_cols: Sequence[str], root: str, notes: dict[str, Column]) -> DataFrame:
+    """One small text per folder and name, made from an aggregate over the folder's rows."""
+    folder_cols, names = list(folder_cols), list(notes)
+    texts = df.groupBy(*folder_cols).agg(*[text.alias(f"_{i}") for i, text in enumerate(notes.values())])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.to_dict("records"):
+                folder = "/".join([root, *[str(row[c]) for c in folder_cols]])
+                for i, name in enumerate(names):
+                    write_file(f"{folder}/{name}", row[f"_{i}"].encode())
+            yield frame[folder_cols].astype(str).agg("/".join, axis=1).to_frame("folder")
+
+    return texts.mapInPandas(run, "folder string")
+
+
+def _extent() -> Column:
+    return F.concat_ws(" ", (F.max("r") + 1).cast("bigint"), (F.max("c") + 1).cast("bigint"))
 
 
 def _floats(*names: str) -> Callable[[pd.DataFrame], bytes]:
@@ -91,21 +116,18 @@ def export_tiles(predicted: DataFrame, root: str, description: str, minutes: int
     ``predicted`` has r, c, inner_idx, y1, y2, pred1, pred2. Returns the number of tiles and
     raises when a tile has no files.
     """
-    text = f"{description}\nTraining took {minutes} minutes.".encode()
-
-    def size(rows: pd.DataFrame) -> bytes:
-        return f"{int(rows['c'].size // (rows['c'].max() + 1))} {int(rows['c'].max()) + 1}".encode()
-
+    text = f"{description}\nTraining took {minutes} minutes."
     files = {
         "predictions.raw": _floats("pred1", "pred2"), "labels.raw": _floats("y1", "y2"),
         "predictions.png": _picture("pred1", "pred2"), "labels.png": _picture("y1", "y2"),
-        "dimensions.txt": size, "description.txt": lambda rows: text,
     }
     keep = [*folder_cols, "r", "c", "inner_idx", "y1", "y2", "pred1", "pred2"]
-    written = export_parts(predicted.select(*dict.fromkeys(keep)), folder_cols, "inner_idx", root, files)
+    rows = predicted.select(*dict.fromkeys(keep))
+    written = export_parts(rows, folder_cols, "inner_idx", root, files)
     saved = written.agg(F.count_distinct("folder").alias("n")).first()["n"]
+    noted = export_notes(rows, folder_cols, root, {"dimensions.txt": _extent(), "description.txt": F.max(F.lit(text))}).count()
     expected = predicted.select(*folder_cols).distinct().count()
-    if saved != expected:
+    if saved != expected or noted != expected:
         raise RuntimeError(f"saved {saved} of {expected} tiles")
     return saved
 
@@ -116,9 +138,9 @@ def export_segments(segments: DataFrame, root: str, name: str = "seg.raw") -> in
 
 
 def export_gray(values: DataFrame, root: str, name: str, column: str) -> int:
-    """A gray image of one value column with its ``dims.txt``: needs tile, r, c, inner_idx."""
-    size = lambda rows: f"{int(rows['r'].max()) + 1} {int(rows['c'].max()) + 1}".encode()
-    return export_parts(values, ["tile"], "inner_idx", root, {f"{name}.png": _picture(column), "dims.txt": size}).count()
+    """A gray image of one value column with its ``dims.txt``: needs tile, r, c, inner_idx. Returns the tiles."""
+    export_parts(values, ["tile"], "inner_idx", root, {f"{name}.png": _picture(column)}).count()
+    return export_notes(values, ["tile"], root, {"dims.txt": _extent()}).count()
 
 
 def export_training_tile(features: DataFrame, targets: DataFrame, dims: dict[str, tuple[int, ...]], root: str) -> None:
@@ -175,10 +197,6 @@ def combine_models(spark: SparkSession, paths: Sequence[str], target: str) -> Fo
     return merged
 
 
-def dump_settings(settings) -> str:
-    return json.dumps(asdict(settings) if is_dataclass(settings) else settings, indent=1, default=str)
-
-
 def exists(path: str) -> bool:
     system, inner = open_at(path)
     return system.get_file_info(inner).type.name != "NotFound"

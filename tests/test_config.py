@@ -22,6 +22,21 @@ def test_tiles_and_settings():
     assert config.RunSettings.from_args(["testPartialModels=none"]).test_partial_models == ()
     with pytest.raises(ValueError):
         config.RunSettings.from_args(["testPartialModels=0,5"])
+    with pytest.raises(ValueError, match="testDepths"):
+        config.RunSettings.from_args(["testDepths=1,2"])
+    with pytest.raises(ValueError, match="offset box"):
+        config.parse_features("1(2)")
+    with pytest.raises(ValueError, match="integer list"):
+        config.parse_ints("1:2:3:4")
+
+
+def test_tiles_default_to_the_first_two_folders(tmp_path):
+    for name in ("b", "a", "c"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "a.txt").write_text("")
+    s = config.RunSettings.from_args([f"data_root={tmp_path}"])
+    assert (s.train_tiles, s.test_tiles) == (("a",), ("b",))
+    assert config.RunSettings.from_args([f"data_root={tmp_path}/none"]).train_tiles == ()
 
 
 def test_validation():

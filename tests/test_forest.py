@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from silvagrid.config import BoostConfig, TreeConfig
-from silvagrid.operators import splits
+from silvagrid.operators import binning, splits
 from silvagrid.plans import boost, forest
 from silvagrid.session import small_frame
 
@@ -110,3 +110,28 @@ def test_boosting_lowers_loss_and_matches_flat_model(points):
     flat = forest.ForestModel(model.forest.nodes, weights, "sum", model.forest.elems)
     error = F.avg((F.col("y1") - F.col("pred1")) ** 2 + (F.col("y2") - F.col("pred2")) ** 2)
     assert forest.predict(points, flat, FEATURES).agg(error).first()[0] == pytest.approx(losses[-1])
+
+
+def test_bagging_needs_a_key(spark):
+    rows = spark.range(50).selectExpr("id", "CAST(id AS DOUBLE) AS x", "CAST(id % 2 AS DOUBLE) AS y")
+    with pytest.raises(ValueError, match="row_key"):
+        forest.fit_forest(rows, ["x"], "y", "y", TreeConfig(bagging=0.5))
+    model = forest.fit_forest(rows, ["x"], "y", "y", TreeConfig(num_trees=3, max_depth=1, bagging=0.5), row_key=F.col("id"))
+    assert all(0 < node.n < 50 for node in model.nodes if node.node_id == 1)
+
+
+def test_purity_does_not_depend_on_the_unit(spark):
+    rows = spark.range(64).selectExpr("CAST(id AS DOUBLE) AS x", "CAST(id AS DOUBLE) * 1e-8 AS tiny", "CAST(id AS DOUBLE) AS plain")
+    cfg = TreeConfig(max_depth=3, max_bins=32)
+    small, large = (forest.fit_forest(rows, ["x"], y, y, cfg) for y in ("tiny", "plain"))
+    shape = lambda model: [(n.node_id, n.feature, n.split_bin) for n in model.nodes]
+    assert shape(small) == shape(large) and len(small.nodes) > 7
+
+
+@pytest.mark.parametrize("bad", ["CAST(NULL AS DOUBLE)", "CAST('NaN' AS DOUBLE)"])
+def test_values_without_a_bin_are_errors(spark, bad):
+    rows = spark.range(3).selectExpr(f"CASE WHEN id = 1 THEN {bad} ELSE 1.0D END AS x")
+    with pytest.raises(Exception, match="null or NaN"):
+        rows.select(binning.bin_id(F.col("x"), [0.5])).collect()
+    with pytest.raises(Exception, match="null or NaN"):
+        rows.select(binning.bins_of_array(F.array("x"), [[0.5]])).collect()

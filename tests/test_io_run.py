@@ -107,3 +107,54 @@ def test_stream(spark, tmp_path):
     score_stream(stream, model, ["a", "b"], str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == sorted(tuple(r) for r in forest.predict(df, model, ["a", "b"]).collect())
+
+
+@pytest.mark.parametrize("part_rows", [7, 96, 1 << 20])
+def test_tiles_of_several_parts_and_nested_ids(spark, tmp_path, monkeypatch, part_rows):
+    monkeypatch.setattr(sinks, "PART_ROWS", part_rows)
+    root = str(tmp_path / "data")
+    truth = write_tiles(spark, root, ["im1/000", "im2/000"])
+    names = ["im1/000", "im2/000"]
+    features = tiles.read_features(spark, root, names, BASE).collect()
+    assert sorted((x["tile"], x["idx"]) for x in features) == [(t, i) for t in names for i in range(H * W)]
+    for x in features:
+        assert x["values"][0] == truth[(x["tile"], 0)][3].flat[x["idx"]]
+    targets = tiles.read_targets(spark, root, names).collect()
+    assert {(x["tile"], x["idx"]): x["y"] for x in targets} == {k: v[0] for k, v in truth.items()}
+    points, _ = tiles.load_tiles(spark, root, names, BASE, [(0, (0, 0))])
+    assert points.count() == len(truth)
+
+    shown = points.withColumns({"pred1": F.col("y1") / 2, "pred2": F.col("y2") / 4})
+    out = str(tmp_path / "out")
+    assert sinks.export_tiles(shown, out, "note") == 2
+    inner = (H - 2 * MARGIN, W - 2 * MARGIN)
+    with open(f"{out}/im2/000/dimensions.txt") as handle:
+        assert handle.read() == f"{inner[0]} {inner[1]}"
+    back = {(x["tile"], x["r"], x["c"]): x["a1"] for x in tiles.read_affinities(spark, out, names).collect()}
+    assert back == {(x["tile"], x["r"], x["c"]): x["pred1"] for x in shown.collect()}
+    pictures = glob.glob(f"{out}/im1/000/labels*.png")
+    assert len(pictures) == -(-inner[0] // max(1, part_rows // inner[1]))
+    gray = tiles.read_gray(spark, sorted(pictures)).groupBy("path").count().collect()
+    assert sum(x["count"] for x in gray) == inner[0] * inner[1]
+    segments = points.select("tile", "inner_idx", F.col("inner_idx").cast("int").alias("seg"))
+    assert sinks.export_segments(segments, str(tmp_path / "seg")) >= 2
+
+    os.truncate(f"{root}/im1/000/features.raw", 2 * BASE * 4)
+    with pytest.raises(ValueError, match="do not fill"):
+        tiles.load_tiles(spark, root, names, BASE, [(0, (0, 0))])
+
+
+def test_colour_images_are_refused(spark, tmp_path):
+    pa_png = sinks.png_gray(np.zeros((2, 2)))
+    (tmp_path / "gray.png").write_bytes(pa_png)
+    assert tiles.read_gray(spark, str(tmp_path / "gray.png")).count() == 4
+    import struct
+    import zlib
+
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    colour = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\1\2\3")) + chunk(b"IEND", b"")
+    (tmp_path / "colour.png").write_bytes(colour)
+    with pytest.raises(Exception, match="not a gray image"):
+        tiles.read_gray(spark, str(tmp_path / "colour.png")).count()

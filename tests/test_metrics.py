@@ -59,3 +59,19 @@ def test_bounded_edges(spark):
     df = small_frame(spark, [(0, r, c, 1.0, 1.0) for r in range(3) for c in range(4)], "tile bigint, r bigint, c bigint, a1 double, a2 double")
     edges = grid.grid_edges(grid.bounded(df, grid.extents(df)))
     assert edges.filter("dir = 1").count() == 8 and edges.filter("dir = 2").count() == 9
+
+
+@pytest.mark.parametrize("number", [64, 65])
+def test_null_estimates_count_below_every_threshold(spark, number):
+    rows = small_frame(spark, [(1.0, 0.9), (1.0, None), (0.0, float("nan")), (0.0, 0.1)], "truth double, est double")
+    cuts = [i / 100 for i in range(number)]
+    first = metrics.pixel_confusion(rows, cuts).orderBy("threshold").first()
+    assert (first["tp"], first["fp"], first["pos"], first["neg"]) == (1, 1, 2, 2)
+
+
+def test_a_threshold_without_a_value_in_one_tile_is_not_pooled(spark):
+    stats = small_frame(spark, [("a", 0.5, 8.0, 1.0, 9.0, 9.0, 0.1, 10), ("b", 0.5, 8.0, 1.0, 9.0, 9.0, 0.1, 10),
+                                ("a", 0.9, 9.0, 0.0, 9.0, 9.0, 0.0, 10), ("b", 0.9, None, None, 9.0, 9.0, float("nan"), 10)],
+                        "tile string, threshold double, tp double, fp double, pos double, neg double, err double, n long")
+    for kind in ("rand", "pixel"):
+        assert metrics.best_threshold(metrics.pool(stats, kind), kind).first()["threshold"] == 0.5
