@@ -159,7 +159,7 @@ def rand_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def adaptive_rand_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Refined search for the threshold of the best pooled F-score on 64-row tiles."""
-    found = evaluate.search_thresholds(affinities(tiled(pixels(spark, sf_dir))), "rand", ("a1", "a2"), min_step=0.01)
+    found = evaluate.search_thresholds(affinities(tiled(pixels(spark, sf_dir))), "rand", ("a1", "a2"))
     return small_frame(spark, found.points, "threshold double, score double, tp double, fp double")
 
 

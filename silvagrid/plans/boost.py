@@ -12,7 +12,7 @@ from silvagrid.config import BoostConfig, TreeConfig
 from silvagrid.functions import vec2
 from silvagrid.plans import forest as fo
 from silvagrid.plans.losses import Loss, SquaredLoss
-from silvagrid.session import cut_lineage, small_frame
+from silvagrid.session import cut_lineage, small_frame, spread
 
 
 def momentum_weights(iterations: int, learning_rate: float, momentum: float) -> list[float]:
@@ -59,12 +59,16 @@ def fit_boosted(
     """Boost from a loaded ``initial`` model or from a freshly trained forest of that many trees.
 
     ``keep`` names extra columns a loss needs (tile, r, c). Predictions are kept incrementally:
-    with velocity v, v <- mu*v + lr*h and f <- f + v equals re-weighting all earlier elements.
+    with velocity v, v <- mu*v + lr*h and f <- f + v equals re-weighting all earlier elements. Binned rows
+    and the state of the last round stay in memory and on disk, so a round does not repeat earlier ones.
     """
     loss = loss or SquaredLoss()
+    if cfg.save_gradients and "tile" not in keep:
+        raise ValueError("saving gradients needs the columns tile, r and c")
     data = fo.prepare(df, features, y1, y2, tree, row_key, thresholds=thresholds, keep=keep)
+    data = replace(data, rows=spread(data.rows).persist())
     if isinstance(initial, int):
-        start = fo.fit_prepared(data, replace(tree, num_trees=initial))
+        start = fo.grow(data, replace(tree, num_trees=initial))
         scored = fo.predict(data.rows, bin_space(start), "bins", names=("f1", "f2"))
     else:
         # A loaded model may have other cut points, so it predicts from the raw features.
@@ -74,13 +78,16 @@ def fit_boosted(
         first = fo.predict(df.withColumn("_raw", raw), start, "_raw", names=("_est1", "_est2"))
         scored = fo.prepare(first, features, y1, y2, tree, row_key, thresholds=data.thresholds, keep=[*keep, "_est1", "_est2"]).rows
         scored = scored.withColumnsRenamed({"_est1": "f1", "_est2": "f2"})
-    state = scored.withColumns({"v1": F.lit(0.0), "v2": F.lit(0.0)})
-    elements, curve = [start], []
+    state = scored.withColumns({"v1": F.lit(0.0), "v2": F.lit(0.0)}).persist()
+    elements, curve, held = [start], [], [data.rows]
     for m in range(cfg.iterations + 1):
         grads = loss.gradients(state, cfg.seed + m).persist()
         stats = grads.agg(loss.mean_loss().alias("loss"), F.sqrt(F.avg(vec2.sq(vec2.vec("g1", "g2")))).alias("rms")).first()
         curve.append((m, stats["loss"], stats["rms"]))
-        if cfg.save_gradients and "tile" in grads.columns:
+        for old in held[1:]:  # the present state is computed now
+            old.unpersist()
+        held[1:] = [state]
+        if cfg.save_gradients:
             grads.select("tile", "win", "r", "c", "g1", "g2", "loss").write.mode("overwrite").parquet(
                 f"{cfg.save_gradients}/gradient{m + 1}")
         if m < cfg.iterations:
@@ -93,6 +100,9 @@ def fit_boosted(
             state = state.withColumns({f"f{c}": F.col(f"f{c}") + F.col(f"v{c}") for c in (1, 2)}).drop("h1", "h2")
             if (m + 1) % cfg.checkpoint_interval == 0:
                 state = cut_lineage(state)
+            state = state.persist()
         grads.unpersist()
+    for old in held:
+        old.unpersist()
     weights = momentum_weights(cfg.iterations, cfg.learning_rate, cfg.momentum)
     return BoostedModel(flatten(elements, weights), weights, curve)
