@@ -21,9 +21,11 @@ from silvagrid.llm.suffixes import common_prefixes, suffix_array
 
 SPAN, GRAM = 100, 16
 #: Text bytes that are searched for anchors at a time; longer texts go in overlapping pieces.
-PIECE = 2 << 20
+PIECE = 1 << 18
+#: Text bytes of a batch.
+BATCH_BYTES = 4 << 20
 #: Context bytes of a shard that one task sorts; contexts of one gram that meet at most in one group.
-SHARD_BYTES, GRAM_CONTEXTS = 2 << 20, 8192
+SHARD_BYTES, GRAM_CONTEXTS = 1 << 20, 4096
 
 _DRAWS = np.random.default_rng(77003)
 _BYTE = _DRAWS.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -120,11 +122,22 @@ def text_anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def _in_row(row: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Contexts told apart by the row of the batch that holds them."""
+    return context.view(np.uint64) ^ _mixed(row.astype(np.uint64) + np.uint64(1)) * _STEP
+
+
+def _wanted(lists: pa.Array) -> np.ndarray:
+    """The contexts of a list column, told apart by row."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return _in_row(lists.value_parent_indices().to_numpy(), flat)
+
+
 def _list_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(gram, context, doc) once per text and context."""
-    for part in slices(batches, "text", PIECE):
+    for part in slices(batches, "text", BATCH_BYTES):
         row, _, _, gram, context = text_anchors(byte_rows(part, "text"))
-        _, once = np.unique(np.stack([row, gram, context]), axis=1, return_index=True) if len(row) else (None, row)
+        _, once = np.unique(_in_row(row, context), return_index=True)
         doc = part.column("doc").to_numpy()[row[once]]
         yield pa.RecordBatch.from_arrays([pa.array(gram[once]), pa.array(context[once]), pa.array(doc)], ["gram", "context", "doc"])
 
@@ -169,16 +182,13 @@ def _select_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes of the wanted contexts at their first place in the document."""
-    for part in slices(batches, "text", PIECE):
+    for part in slices(batches, "text", BATCH_BYTES):
         texts = byte_rows(part, "text")
         row, first, last, gram, context = text_anchors(texts)
-        cuts = np.searchsorted(row, np.arange(len(texts) + 1))
-        out = []
-        for i, (doc, wanted) in enumerate(zip(part.column("doc").to_pylist(), part.column("contexts").to_pylist())):
-            here = slice(cuts[i], cuts[i + 1])
-            _, once = np.unique(context[here], return_index=True)
-            once = once[np.isin(context[here][once], wanted)] + cuts[i]
-            out += [(int(gram[k]), int(context[k]), doc, int(first[k]), texts[i][first[k] : last[k] + SPAN]) for k in once]
+        names, once = np.unique(_in_row(row, context), return_index=True)
+        once = once[np.isin(names, _wanted(part.column("contexts")))]
+        doc = part.column("doc").to_pylist()
+        out = [(int(gram[k]), int(context[k]), doc[row[k]], int(first[k]), texts[row[k]][first[k] : last[k] + SPAN]) for k in once.tolist()]
         kinds = [("gram", pa.int64()), ("context", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("bytes", pa.binary())]
         columns = zip(*out) if out else [[]] * len(kinds)
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, (_, k) in zip(columns, kinds)], schema=pa.schema(kinds))
@@ -192,9 +202,9 @@ def repeated_starts(contexts: list[bytes], doc: np.ndarray, at: np.ndarray) -> t
     text[ends] = 1
     text = np.append(text, np.int16(0))
     order = suffix_array(text, 258)
-    shared = common_prefixes(text, order, SPAN)
     owner = np.append(np.repeat(np.arange(len(contexts)), lengths + 1), 0)
     rest = np.append(ends[owner[:-1]] - np.arange(len(text) - 1), 0)
+    shared = common_prefixes(text, order, SPAN, rest >= SPAN)
     order = order[rest[order] >= SPAN]
     # Suffixes between two that share SPAN bytes share them too, so none was left out inside a group.
     group = np.cumsum(np.concatenate([[1], (shared[order[1:]] < SPAN)]).astype(np.int64)) if len(order) else order
@@ -229,18 +239,19 @@ def _covered(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text's repeated ranges: later contexts, contexts repeated inside the text, and what the shards found."""
-    for part in slices(batches, "text", PIECE):
+    for part in slices(batches, "text", BATCH_BYTES):
         texts = byte_rows(part, "text")
         row, first, last, _, context = text_anchors(texts)
         cuts = np.searchsorted(row, np.arange(len(texts) + 1))
+        names = _in_row(row, context)
+        again = np.isin(names, _wanted(part.column("later")))
+        own = np.ones(len(names), bool)
+        own[np.unique(names, return_index=True)[1]] = False
+        again |= own
         found, kept = [], []
-        for i, (later, cut) in enumerate(zip(part.column("later").to_pylist(), part.column("cut").to_pylist())):
-            here = slice(cuts[i], cuts[i + 1])
-            again = np.ones(cuts[i + 1] - cuts[i], bool)
-            again[np.unique(context[here], return_index=True)[1]] = False
-            if later:
-                again |= np.isin(context[here], later)
-            spans = [(int(a), int(b) + SPAN) for a, b in zip(first[here][again], last[here][again])]
+        for i, cut in enumerate(part.column("cut").to_pylist()):
+            here = np.flatnonzero(again[cuts[i] : cuts[i + 1]]) + cuts[i]
+            spans = list(zip(first[here].tolist(), (last[here] + SPAN).tolist()))
             spans = _covered(spans + [(c["start"], c["stop"]) for c in cut or []])
             at, rest = 0, []
             for start, stop in spans:

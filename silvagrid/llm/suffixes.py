@@ -104,7 +104,7 @@ def _order_of(names: np.ndarray) -> np.ndarray:
         after = np.zeros(len(rank), np.int64)
         after[:-span] = rank[span:] + 1
         key = rank * top + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         rank = np.empty(len(key), np.int64)
         rank[order] = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
         span *= 2
@@ -131,10 +131,11 @@ def suffix_array(text: np.ndarray, symbols: int) -> np.ndarray:
     return induce(text, types, spots[order], symbols)
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:
+def common_prefixes(text: np.ndarray, order: np.ndarray, limit: int, where: np.ndarray | None = None) -> np.ndarray:
     """Permuted common prefixes: for each place, symbols shared with the suffix before it in ``order``, up to ``limit``.
 
-    Compared in steps of eight bytes and then one; places drop out where they differ.
+    Compared in steps of eight bytes and then one; places drop out where they differ. ``where`` marks the places
+    asked for; the others get 0.
     """
     before = np.full(len(text), -1, np.int64)
     before[order[1:]] = order[:-1]
@@ -143,7 +144,8 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, limit: int) -> np.ndarr
     for i in range(8):
         words |= raw[i : i + len(words)].astype(np.uint64) << np.uint64(8 * i)
     shared = np.zeros(len(text), np.int64)
-    active = np.flatnonzero(before >= 0)
+    asked = before >= 0 if where is None else where & (before >= 0)
+    active = np.flatnonzero(asked)
     for unit, view in ((8, words), (1, raw)):
         while len(active):
             active = active[shared[active] + unit <= limit]
@@ -152,5 +154,5 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, limit: int) -> np.ndarr
             same = view[active + shared[active]] == view[before[active] + shared[active]]
             active = active[same]
             shared[active] += unit
-        active = np.flatnonzero((before >= 0) & (shared < limit)) if unit == 8 else active
+        active = np.flatnonzero(asked & (shared < limit)) if unit == 8 else active
     return shared
