@@ -19,6 +19,8 @@ TREES, DEPTH, LEAST_DEPTH = 20, 6, 4
 #: A pair goes to the full-set check unless its signatures agree so rarely that a link has odds below one in a million.
 SKETCH_MARGIN = 5.0
 BATCH_BYTES = 4 << 20
+#: Rows of a region that meet in one task.
+BLOCK = 512
 CACHED_WORDS, CACHED_LENGTH = 200_000, 32
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -140,6 +142,49 @@ def _jaccard_links(size: int, percent: int):
     return run
 
 
+def _links_across(size: int, percent: int):
+    def run(group: pa.Table) -> pa.Table:
+        """Links that join the components of a region: those among them that first connect two, so fewer than rows.
+
+        An index from shingles to rows counts the exact intersections of a row with all others at once. Rows of
+        the largest component need no turn of their own: the others meet them.
+        """
+        rep, component, block = (group.column(c).to_numpy() for c in ("rep", "component", "block"))
+        texts = group.select(["text"]).combine_chunks().to_batches()
+        sets = [shingle_set(t, size) for batch in texts for t in byte_rows(batch, "text")]
+        lengths = np.array([len(x) for x in sets])
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), lengths)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        names, home, times = np.unique(component, return_inverse=True, return_counts=True)
+        up = list(range(len(names)))
+
+        def root(k: int) -> int:
+            while up[k] != k:
+                up[k] = k = up[up[k]]
+            return k
+
+        halves = group.column("i")[0] != group.column("j")[0]
+        found = []
+        for x in np.flatnonzero(home != times.argmax()):
+            low, high = np.searchsorted(flat, sets[x], "left"), np.searchsorted(flat, sets[x], "right")
+            take = np.repeat(low - np.cumsum(high - low) + (high - low), high - low) + np.arange((high - low).sum())
+            both = np.bincount(owner[take], minlength=len(sets))
+            near = (100 * both >= percent * (lengths[x] + lengths - both)) & (home != home[x])
+            if halves:
+                near &= block != block[x]
+            at = np.flatnonzero(near)
+            for y in at[np.unique(home[at], return_index=True)[1]].tolist():
+                a, b = root(int(home[x])), root(int(home[y]))
+                if a != b:
+                    up[b] = a
+                    found.append((int(rep[x]), int(rep[y])))
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": pairs.min(1), "b": pairs.max(1)} if len(pairs) else {"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+
+    return run
+
+
 def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
@@ -159,10 +204,10 @@ def near_duplicates(
     2. Every tree sorts the classes by its signature values. Rows that share ``LEAST_DEPTH`` values form a region;
        inside it neighbours in the order share the longest prefix, so the depth that decides grows where a
        region is crowded. The order is range-partitioned with the key as last column: a region is no one task.
-    3. Of all neighbours each class checks the one whose signature agrees most, on the full sets. In each region
-       that still holds several components, the rows outside its largest one meet all rows of other components;
-       pairs whose signatures do not rule a link out are checked on full sets. A group of any
-       size whose members are already linked costs no further pairs, and none is capped.
+    3. Of its neighbours each class checks the one whose signature agrees most, on the full sets; then those neighbours
+       that are still in another component. In each region that still holds several components, the rows outside
+       its largest one count their exact intersections with all other rows; large regions are cut
+       into blocks that meet two by two. What is already linked is not compared again, and nothing is capped.
 
     A pair at exactly 80 % shares no region with odds of 3e-5; a higher similarity is missed more rarely. Null and
     empty texts have no shingles and link with nothing: each is its own component, kept. A null key is a row of its own
@@ -203,15 +248,17 @@ def near_duplicates(
     placed = near.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select(
         "tree", "region", "rep", F.coalesce("component", "rep").alias("component")).distinct()
     placed = settle(placed, "placed")
-    shares = placed.groupBy("tree", "region", "component").agg(F.count("*").alias("n"))
-    mixed = shares.groupBy("tree", "region").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts"))
-    mixed = mixed.where("parts > 1").select("tree", "region", F.col("m.component").alias("largest"))
-    rest = placed.join(mixed, ["tree", "region"])
-    apart = rest.where("component <> largest").select("tree", "region", F.col("rep").alias("x"), F.col("component").alias("cx"))
-    across = apart.join(rest.select("tree", "region", F.col("rep").alias("y"), F.col("component").alias("cy")), ["tree", "region"])
-    across = across.where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = settle(checked(agreeing(across.join(links, ["a", "b"], "left_anti")).select("a", "b")), "links")
-    final = components(links.unionByName(more))
+    # Regions that hold the same classes in several trees are compared once.
+    mixed = placed.groupBy("tree", "region").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("rows"))
+    mixed = mixed.where("low < high").groupBy("n", "rows").agg(F.min(F.struct("tree", "region")).alias("m"))
+    mixed = mixed.select("m.tree", "m.region", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rest = placed.join(mixed, ["tree", "region"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "tree", "region", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component")
+    more = rest.join(texts.toDF("rep", "text"), "rep").groupBy("tree", "region", "i", "j").applyInArrow(
+        _links_across(shingle, percent), "a long, b long")
+    final = components(links.unionByName(settle(more, "links")))
     discard(placed)
     homes = classes.select("mark", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left").select(
         "mark", F.coalesce("component", "rep").alias("component"))
