@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Iterator
-from itertools import count
+from itertools import count, islice
 from zlib import crc32
 
 import numpy as np
@@ -19,7 +20,7 @@ from silvagrid.llm.packing import pack_arrays, unpack_arrays
 from silvagrid.llm.token_counts import tokenizer
 
 #: Tokens after which a shard file is closed (a document is never cut).
-SHARD_TOKENS = 1 << 21
+SHARD_TOKENS = 1 << 19
 #: Texts encoded at a time, in bytes.
 BATCH_BYTES = 4 << 20
 #: Words whose ids a worker remembers, and the longest such word.
@@ -48,7 +49,7 @@ class WaveletMatrix:
         planes = []
         now = np.ascontiguousarray(values, np.uint32 if bits > 16 else np.uint16)
         for level in range(bits - 1, -1, -1):
-            bit = ((now >> level) & 1).astype(bool)
+            bit = (now & np.array(1 << level, now.dtype)) != 0
             planes.append(np.packbits(bit))
             now = np.concatenate([now[~bit], now[bit]])
         return cls(len(values), planes)
@@ -115,8 +116,7 @@ class WaveletMatrix:
             bit = np.unpackbits(self.planes[level], count=self.length).astype(bool)
             up = np.empty(self.length, kind)
             up[~bit] = now[: self.zeros[level]]
-            up[bit] = now[self.zeros[level] :]
-            up |= bit.astype(kind) << np.array(len(self.planes) - 1 - level, kind)
+            up[bit] = now[self.zeros[level] :] | np.array(1 << (len(self.planes) - 1 - level), kind)
             now = up
         return now
 
@@ -138,6 +138,16 @@ def read_shard(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray
     return WaveletMatrix(length, planes), [None if m else int(k) for k, m in zip(keys, missing)], lengths
 
 
+#: The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for U+0100 and following.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = {**{b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PLAIN)))}, **{b: b for b in _PLAIN}}
+
+
+_START = {" ": "\u0120", "": ""}
+#: Punctuation that joins into one pre-token behind letters.
+_TAIL = ".,;:!?%&*$#|)]}"
+
+
 class Encoder:
     """Ids of texts, as the library gives them, with a memory of frequent words.
 
@@ -148,39 +158,81 @@ class Encoder:
 
     def __init__(self, path: str):
         self.coder = tokenizer(path)
-        self.known: dict[str, bytes | None] = {}
+        if self.coder.normalizer is not None:
+            raise ValueError("needs a byte-level tokenizer without a normaliser")
+        self.special = [t.content for t in self.coder.get_added_tokens_decoder().values()]
+        self.tokenize = self.coder.model.tokenize
+        self.line = self._raw(["\n"])[0]
+        self.tails: dict[str, bytes] = {}
+        self.stems: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
+        self.known = _Known(self)
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, np.uint32).tobytes() for x in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _plain(self, word: str, lead: str) -> bytes | None:
+        """Ids of letters below U+0250 behind ``lead`` (a space or nothing) with a tail of punctuation: at most two pre-tokens."""
+        stem = word.rstrip(_TAIL)
+        if not stem.isalpha() or not (stem.isascii() or max(stem) < "\u0250"):
+            return None
+        if len(stem) == len(word):
+            return self._letters(stem, lead)
+        tail, mine = word[len(stem) :], self.stems[lead]
+        if tail not in self.tails:
+            self.tails[tail] = self._raw([tail])[0]
+        if stem not in mine:
+            mine[stem] = self._letters(stem, lead)
+        return mine[stem] + self.tails[tail]
+
+    def _letters(self, stem: str, lead: str) -> bytes:
+        piece = _START[lead] + stem if stem.isascii() else (lead + stem).encode().decode("latin-1").translate(_ALPHABET)
+        return array("I", [t.id for t in self.tokenize(piece)]).tobytes()
+
+    def _word(self, word: str) -> bytes | None:
+        """Ids of " word" by the library's pre-tokeniser and model; None if its surroundings matter.
+
+        A line end between two letter words is a pre-token of its own, as is each of the words.
+        """
+        above, line, below = word.partition("\n")
+        ids = self._plain(above, " ")
+        if ids is not None and not line:
+            return ids
+        rest = self._plain(below, "") if ids is not None else None
+        if rest is not None:
+            return ids + self.line + rest
+        if not word or word[0].isspace() or word[-1].isspace():
+            return None
+        if any(s in word for s in self.special):
+            return self._raw([" " + word])[0]
+        pieces = self.coder.pre_tokenizer.pre_tokenize_str(" " + word)
+        return array("I", [t.id for piece, _ in pieces for t in self.tokenize(piece)]).tobytes()
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [t.split(" ") for t in texts]
-        new = list({w for words in cut for w in words[1:]} - self.known.keys())
-        plain = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
-        fresh: dict[str, bytes | None] = dict.fromkeys(new)
-        fresh.update(zip(plain, self._raw([" " + w for w in plain])))
-        heads = self._raw([words[0] for words in cut])
-        look = {**self.known, **fresh} if len(fresh) > len(self.known) else _Either(fresh, self.known)
-        out = []
-        for text, words, head in zip(texts, cut, heads):
-            rest = list(map(look.__getitem__, words[1:]))
-            whole = None in rest or (rest and words[0][-1:].isspace())
-            out.append(np.frombuffer(self._raw([text])[0] if whole else head + b"".join(rest), np.uint32))
-        room = CACHED_WORDS - len(self.known)
-        if room > 0:
-            self.known.update([(w, x) for w, x in fresh.items() if len(w) <= CACHED_LENGTH][:room])
+        look, out = self.known.__getitem__, []
+        for text in texts:
+            head, *words = text.split(" ")
+            ids = list(map(look, words))
+            whole = None in ids or (words and head[-1:].isspace())
+            first = [] if whole else [self._plain(head, "") or self._raw([head])[0]]
+            out.append(np.frombuffer(self._raw([text])[0] if whole else b"".join(first + ids), np.uint32))
+        if len(self.known) > 2 * CACHED_WORDS:  # the words met first are the frequent ones
+            kept = [(w, x) for w, x in islice(self.known.items(), CACHED_WORDS) if len(w) <= CACHED_LENGTH]
+            self.known.clear()
+            self.known.update(kept)
+            self.tails, self.stems = {}, {" ": {}, "": {}}
         return out
 
 
-class _Either(dict):
-    """Look-ups in one dictionary, then in another."""
+class _Known(dict):
+    """Ids of words, asked of the encoder where they are missing."""
 
-    def __init__(self, first: dict, second: dict):
-        super().__init__(first)
-        self.second = second
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
 
-    def __missing__(self, key: str):
-        return self.second[key]
+    def __missing__(self, word: str) -> bytes | None:
+        ids = self[word] = self.encoder._word(word)
+        return ids
 
 
 def _write(folder: str, path: str, bits: int, end_id: int, shard_tokens: int):
