@@ -22,6 +22,8 @@ PRIOR = 60
 #: Quantile of the trusted documents of a language beyond which a document is rejected.
 QUANTILE = 0.998
 ACCURACY = 100_000
+#: One trusted document in so many does not train the model but sets the limits, as text that the model saw looks too plain.
+APART = 5
 
 #: Symbol classes of UTF-8 bytes: white space 0, a-z 1 to 26, letters beyond ASCII 27 (once per character),
 #: A-Z 28, digits 29, punctuation of sentences 30, all else 31; continuation bytes are skipped (255).
@@ -112,7 +114,7 @@ def surprise(model: dict[str, np.ndarray]) -> np.ndarray:
     return -np.log(np.maximum(below, 1e-12)).astype(np.float32)
 
 
-def _score(cost):
+def _score(cost, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", BATCH_BYTES):
             codes, lengths = gram_codes(byte_rows(part, "text"))
@@ -121,35 +123,45 @@ def _score(cost):
             if len(full):  # summed per document, so that the place in the batch does not show in the last digits
                 sums[full] = np.add.reduceat(cost.value[codes].astype(np.float64), (np.cumsum(lengths) - lengths)[full])
             yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array(lengths), pa.array(sums)], [*part.schema.names, "_symbols", "_cost"])
+                [*(part.column(c) for c in names), pa.array(lengths), pa.array(sums)], [*names, "_symbols", "_cost"])
 
     return run
 
 
+def _scored(docs: DataFrame, cost, names: list[str]) -> DataFrame:
+    """The named columns with the symbols of the text and what they cost under the model."""
+    kept = [f for f in docs.schema.fields if f.name in names]
+    schema = StructType([*kept, StructField("_symbols", LongType()), StructField("_cost", DoubleType())])
+    return docs.mapInArrow(_score(cost, [f.name for f in kept]), schema)
+
+
 class Fitted:
-    """A trained model with the limits of the languages: broadcast costs, trusted mean, (lang, limit) and the limit of all."""
+    """A trained model: broadcast costs, scores of all documents, trusted mean, limits of the languages and of all."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, quantile: float):
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("lang", F.lit("")).alias("lang"))
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
             F.min((F.col("quality") == 1) & F.coalesce(F.col("toxic") == 0, F.lit(False))).alias("good"))
         good = good.where("good").select("doc_id")
-        trusted = settle(rows.join(good, "doc_id", "left_semi"), "trusted")
+        apart = F.pmod(F.xxhash64("doc_id"), F.lit(APART)) == 0
+        # The hint keeps one plan at every size: the ids are never broadcast.
+        trusted = rows.join(good.where(~apart).hint("shuffle_hash"), "doc_id", "left_semi")
         self.cost = docs.sparkSession.sparkContext.broadcast(surprise(train(trusted)))
-        scored = settle(_scored(trusted, self.cost), "scores").where("_symbols > 0")
-        self.mean = scored.agg(F.sum("_cost") / F.sum("_symbols")).first()[0] or 0.0
-        scored = scored.select("lang", self.perplexity().alias("perplexity"))
-        self.overall = scored.agg(F.percentile_approx("perplexity", quantile, ACCURACY)).first()[0]
-        self.limits = settle(scored.groupBy(F.col("lang").alias("_lang")).agg(
-            F.percentile_approx("perplexity", quantile, ACCURACY).alias("_limit")), "limits")
+        self.scores = settle(_scored(docs.select("doc_id", "lang", "text"), self.cost, ["doc_id", "lang"]), "scores")
+        held = self.scores.where("_symbols > 0").join(good.where(apart), "doc_id", "left_semi")
+        self.mean = held.agg(F.sum("_cost") / F.sum("_symbols")).first()[0] or 0.0
+        held = held.select(F.coalesce("lang", F.lit("")).alias("_lang"), self.perplexity().alias("perplexity"))
+        limit = F.percentile_approx("perplexity", quantile, ACCURACY).alias("_limit")
+        self.overall = held.agg(limit).first()[0]
+        self.limits = settle(held.groupBy("_lang").agg(limit), "limits")
 
     def perplexity(self) -> Column:
         smooth = F.exp((F.col("_cost") + PRIOR * self.mean) / (F.col("_symbols") + PRIOR))
         return F.when(F.col("_symbols") > 0, smooth)
 
-    def judged(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with _perplexity, _threshold and _kept."""
-        found = _scored(docs, self.cost).withColumn("_lang", F.coalesce("lang", F.lit("")))
+    def judged(self, scores: DataFrame) -> DataFrame:
+        """Rows with _symbols and _cost, with _perplexity, _threshold and _kept added."""
+        found = scores.withColumn("_lang", F.coalesce("lang", F.lit("")))
         found = lookup_join(found, self.limits, ["_lang"], self.limits.count(), ["doc_id"], "left")
         found = found.withColumn("_threshold", F.coalesce("_limit", F.lit(self.overall).cast("double")))
         found = found.withColumn("_perplexity", self.perplexity())
@@ -157,27 +169,24 @@ class Fitted:
         return found.withColumn("_kept", F.col("_perplexity").isNotNull() & fine)
 
 
-def _scored(docs: DataFrame, cost) -> DataFrame:
-    schema = StructType([*docs.schema.fields, StructField("_symbols", LongType()), StructField("_cost", DoubleType())])
-    return docs.mapInArrow(_score(cost), schema)
-
-
 def judge_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, n_symbols, perplexity, threshold and kept for every row of ``docs``.
 
-    Trusted texts are those with a label of quality 1 and toxic 0 (all of them: the counts grow with the
-    corpus). A document's perplexity per symbol, smoothed by ``PRIOR`` symbols at the trusted mean, must not exceed the
-    ``quantile`` of the trusted documents of its language; a language without any takes that of all. An empty or
+    Trusted texts are those with a label of quality 1 and toxic 0, all of them: four fifths train the model, the rest
+    set the limits. A document's perplexity per symbol, smoothed by ``PRIOR`` symbols at the trusted mean, must not exceed
+    the ``quantile`` of the set-apart documents of its language; a language without any takes that of all. An empty or
     null text is rejected, its perplexity null; null language is a language. Without trusted
     text every document with symbols is kept. Repeated rows are judged alike; several labels of one id trust
     it if all do. Only doc_id, text and lang are read.
     """
     fitted = Fitted(docs, labels, quantile)
-    return fitted.judged(docs.select("doc_id", "text", "lang")).select(
+    return fitted.judged(fitted.scores).select(
         "doc_id", "lang", F.col("_symbols").alias("n_symbols"), F.col("_perplexity").alias("perplexity"),
         F.col("_threshold").alias("threshold"), F.col("_kept").alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """The rows of ``docs``, all columns, that ``judge_quality`` keeps."""
-    return Fitted(docs, labels, quantile).judged(docs).where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    fitted = Fitted(docs, labels, quantile)
+    found = fitted.judged(_scored(docs, fitted.cost, docs.columns))
+    return found.where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
