@@ -20,6 +20,8 @@ CELL, WIDTH = 64, 1.5
 COLLISIONS, RECALL = 2, 0.995
 #: Rows of a bin that meet in one task; larger bins are cut into blocks and every two blocks meet.
 BLOCK = 2048
+#: Pairs that a task holds at a time.
+PAIRS = 100_000
 
 
 def plan(count: int, cosine: float) -> tuple[int, int, float]:
@@ -94,18 +96,27 @@ def _collide(width: float):
             line, rep, guest, block = (group[c][order] for c in ("line", "rep", "guest", "block"))
             low, high = group["i"][0], group["j"][0]
             starts, ends = np.arange(len(line)) + 1, np.searchsorted(line, line + width, "right")
-            left = np.repeat(np.arange(len(line)), ends - starts)
-            right = np.arange(len(left)) - np.repeat(np.cumsum(ends - starts) - (ends - starts), ends - starts) + np.repeat(starts, ends - starts)
-            # A pair counts once: not between guests, and only in the group of its own two blocks.
-            good = ~(guest[left] & guest[right]) & (rep[left] != rep[right])
-            if low != high:
-                good &= block[left] != block[right]
-            x, y = rep[left[good]], rep[right[good]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+            for rows in _runs(ends - starts, PAIRS):
+                many = (ends - starts)[rows]
+                left = np.repeat(np.arange(len(line))[rows], many)
+                right = np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(starts[rows], many)
+                # A pair counts once: not between guests, and only in the group of its own two blocks.
+                good = ~(guest[left] & guest[right]) & (rep[left] != rep[right])
+                if low != high:
+                    good &= block[left] != block[right]
+                x, y = rep[left[good]], rep[right[good]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
     return run
 
 
+def _runs(sizes: np.ndarray, limit: int) -> Iterator[slice]:
+    """Consecutive rows whose sizes add up to about ``limit``."""
+    turn = np.cumsum(sizes) // limit
+    cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(sizes)]
+    return (slice(a, b) for a, b in zip(cuts, cuts[1:]))
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
     """Runs of equal (size, axis, cell, bin, i, j) in sorted rows."""
     names = ("size", "axis", "cell", "bin", "i", "j")
