@@ -269,13 +269,24 @@ def _scan(find: Finder):
     return run
 
 
+def joined(cuts: list[dict]) -> list[dict]:
+    """Union of spans by their word ranges; the bytes of each reach from its first word to its last."""
+    out: list[dict] = []
+    for cut in sorted(cuts, key=lambda c: (c["word"], c["end"])):
+        if out and cut["word"] <= out[-1]["end"]:
+            if cut["end"] > out[-1]["end"]:
+                out[-1].update(stop=cut["stop"], end=cut["end"])
+        else:
+            out.append(dict(cut))
+    return out
+
+
 def _merge(group: pa.Table) -> pa.Table:
     """What several passes found in one document; the group has a row per pass and copy of the row."""
     rows = group.to_pylist()
-    cuts = [c for r in rows for c in r["spans"]]
-    bytes_, words = (merged([(c[a], c[b]) for c in cuts]) for a, b in (("start", "stop"), ("word", "end")))
-    spans = [{"start": s, "stop": t, "word": a, "end": b} for (s, t), (a, b) in zip(bytes_, words)]
-    row = {**rows[0], "n_hit": sum(b - a for a, b in words), "items": sorted({i for r in rows for i in r["items"]}), "spans": spans}
+    spans = joined([c for r in rows for c in r["spans"]])
+    n_hit = sum(c["end"] - c["word"] for c in spans)
+    row = {**rows[0], "n_hit": n_hit, "items": sorted({i for r in rows for i in r["items"]}), "spans": spans}
     return pa.Table.from_pylist([row], schema=group.schema)
 
 

@@ -247,6 +247,22 @@ def test_leaks(spark, docs, messy, none, monkeypatch, passes):
         assert all(r["items_sha256"] == hashlib.sha256(",".join(sorted(map(str, found[i]["items"]))).encode()).hexdigest() for i, r in digest.items())
 
 
+def test_leaks_that_touch_across_passes(spark, monkeypatch):
+    """Two items that touch and a third further on, all in passes of their own, go as in one pass."""
+    parts = [prose(60 + i, 10) for i in range(3)]
+    between = prose(70, 40)
+    text = f"{parts[0]} {parts[1]} {between} {parts[2]} end"
+    docs = small_frame(ship_package(spark), [(1, text)], "doc_id long, text string")
+    items = small_frame(spark, list(enumerate(parts)), "item_id long, text string")
+    ways = []
+    for size in (leaks.AUTOMATON_TEXT, 24):  # at 24 bytes each item has a pass of its own
+        monkeypatch.setattr(leaks, "AUTOMATON_TEXT", size)
+        monkeypatch.setattr(leaks, "PASS_AUTOMATA", 1)
+        ways.append((leaks.find_leaks(docs, items).first(), leaks.remove_leaks(docs, items).first()["text"]))
+    assert ways[0] == ways[1]
+    assert ways[1][1] == f" {between}  end" and ways[1][0]["n_hit"] == 30
+
+
 def brute_shingles(text, size):
     words = re.findall("[^\x20\x09-\x0d]+", (text or "").translate(LOWER))
     return frozenset(tuple(words[k : k + min(size, len(words))]) for k in range(max(1, len(words) - size + 1))) if words else frozenset()
