@@ -282,7 +282,7 @@ def joined(cuts: list[dict]) -> list[dict]:
 
 
 def _merge(group: pa.Table) -> pa.Table:
-    """What several passes found in one document; the group has a row per pass and copy of the row."""
+    """What several passes found in one text; the group has a row per pass."""
     rows = group.to_pylist()
     spans = joined([c for r in rows for c in r["spans"]])
     n_hit = sum(c["end"] - c["word"] for c in spans)
@@ -290,22 +290,38 @@ def _merge(group: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([row], schema=group.schema)
 
 
+def _per_text(rows: DataFrame, finders: list[Finder]) -> DataFrame:
+    """A row per (key, mark) with what all passes found and ``copies``, the number of its rows.
+
+    Copies are counted and collapsed by partial aggregation, so a group to merge has one row per pass.
+    """
+    first = [F.first(c).alias(c) for c in ("n_words", "n_hit", "items", "spans")]
+    passes = [rows.mapInArrow(_scan(f), FOUND).groupBy("key", "mark").agg(*first, F.count("*").alias("copies")) for f in finders]
+    found = passes[0]
+    for more in passes[1:]:
+        found = found.unionByName(more)
+    return found.groupBy("key", "mark").applyInArrow(_merge, f"{FOUND}, copies long")
+
+
+def _marked(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).cast("long").alias("key"), F.sha2(text, 256).alias("mark"), F.col(text).alias("text"))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: key, mark (digest of the text), n_words, n_hit (words in any window), items (ids met) and spans.
 
     A window is ``width`` consecutive words of an item, or the whole of a shorter item that has words. Items are
     dealt into automata of bounded size; a pass over the documents carries ``PASS_AUTOMATA`` of them, so
     larger benchmarks mean more passes, whose findings are merged per document. Null text has no words; null item
-    ids are left out, an empty benchmark hits nothing. Rows with equal keys stay apart; where several passes are
-    needed, rows with equal key and text become one. Other columns are not read.
+    ids are left out, an empty benchmark hits nothing. Rows with equal keys stay apart, repeated rows included.
+    Other columns are not read.
     """
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.sha2(text, 256).alias("mark"), F.col(text).alias("text"))
-    scans = [rows.mapInArrow(_scan(find), FOUND) for find in _finders(docs.sparkSession, benchmark, width)]
-    found = scans[0]
-    if len(scans) > 1:
-        for scan in scans[1:]:
-            found = found.unionByName(scan)
-        found = found.groupBy("key", "mark").applyInArrow(_merge, FOUND)
+    rows, finders = _marked(docs, key, text), _finders(docs.sparkSession, benchmark, width)
+    if len(finders) == 1:
+        found = rows.mapInArrow(_scan(finders[0]), FOUND)
+    else:
+        copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy")
+        found = _per_text(rows, finders).select("*", copy).drop("copies", "_copy")
     return found.withColumnRenamed("key", key)
 
 
@@ -333,8 +349,8 @@ def remove_leaks(
     many = len(finders) > 1
     rows, find = docs, finders[0]
     if many:
-        spans = find_leaks(docs, benchmark, width, key, text).select(
-            F.col(key).alias("_key"), F.col("mark").alias("_mark"), F.struct("n_words", "n_hit", "items", "spans").alias("_found"))
+        spans = _per_text(_marked(docs, key, text), finders).select(
+            F.col("key").alias("_key"), F.col("mark").alias("_mark"), F.struct("n_words", "n_hit", "items", "spans").alias("_found"))
         rows = docs.join(spans.where("_found.n_hit > 0"), F.col("_key").eqNullSafe(F.col(key)) & (F.col("_mark") == F.sha2(text, 256)), "left")
         rows = rows.drop("_key", "_mark")
 

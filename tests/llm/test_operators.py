@@ -263,6 +263,18 @@ def test_leaks_that_touch_across_passes(spark, monkeypatch):
     assert ways[1][1] == f" {between}  end" and ways[1][0]["n_hit"] == 30
 
 
+@pytest.mark.parametrize("size", [1 << 20, 24])
+def test_leaks_keep_repeated_rows(spark, monkeypatch, size):
+    monkeypatch.setattr(leaks, "AUTOMATON_TEXT", size)
+    monkeypatch.setattr(leaks, "PASS_AUTOMATA", 1)
+    rows = [(9, PASSAGE), (9, PASSAGE), (9, "A"), (None, PASSAGE), (None, PASSAGE), (None, None), (None, None), (4, None)]
+    docs = small_frame(ship_package(spark), rows, "doc_id long, text string")
+    items = [(1, PASSAGE), (2, prose(60, 10))]
+    got = leaks.find_leaks(docs, small_frame(spark, items, "item_id long, text string")).collect()
+    want = [(i, *brute_leaks(t, items)) for i, t in rows]
+    assert sorted(repr((r["doc_id"], r["n_words"], r["n_hit"], r["items"])) for r in got) == sorted(map(repr, want))
+
+
 def brute_shingles(text, size):
     words = re.findall("[^\x20\x09-\x0d]+", (text or "").translate(LOWER))
     return frozenset(tuple(words[k : k + min(size, len(words))]) for k in range(max(1, len(words) - size + 1))) if words else frozenset()
