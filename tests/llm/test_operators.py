@@ -395,6 +395,19 @@ def test_raking_meets_the_targets(spark, docs, messy, none):
     assert raking.mix(messy).count() == messy.count() and raking.mix(none).count() == 0
 
 
+def test_raking_converges_where_axes_hang_together():
+    rng = np.random.default_rng(3)
+    tokens = np.array([[[int(rng.integers(50, 90)) * (200 if a == b else 1) for _ in range(3)] for b in range(4)] for a in range(4)])
+    grid = [(a, b, c) for a in range(4) for b in range(4) for c in range(3)]
+    cells = pa.table({**{axis: [str(g[i]) for g in grid] for i, axis in enumerate(raking.AXES)}, "tokens": [int(tokens[g]) for g in grid]})
+    goal = [tokens.sum(axis=tuple({0, 1, 2} - {i})) ** 0.5 * np.linspace(1, 2, tokens.shape[i]) ** (i == 0) for i in range(3)]
+    goal = [g / g.sum() for g in goal]
+    targets = {axis: {str(k): float(v) for k, v in enumerate(goal[i])} for i, axis in enumerate(raking.AXES)}
+    weight = raking._rake_local(cells, targets, 6).reshape(4, 4, 3)
+    for i in range(3):
+        assert np.allclose(weight.sum(axis=tuple({0, 1, 2} - {i})), goal[i], rtol=1e-8)
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(1)
     for _ in range(200):
