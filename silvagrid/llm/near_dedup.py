@@ -204,8 +204,7 @@ def near_duplicates(
     2. Every tree sorts the classes by its signature values. Rows that share ``LEAST_DEPTH`` values form a region;
        inside it neighbours in the order share the longest prefix, so the depth that decides grows where a
        region is crowded. The order is range-partitioned with the key as last column: a region is no one task.
-    3. Of its neighbours each class checks the one whose signature agrees most, on the full sets; then those neighbours
-       that are still in another component. In each region that still holds several components, the rows outside
+    3. Of its neighbours each class checks the one whose signature agrees most, on the full sets. In each region that still holds several components, the rows outside
        its largest one count their exact intersections with all other rows; large regions are cut
        into blocks that meet two by two. What is already linked is not compared again, and nothing is capped.
 
