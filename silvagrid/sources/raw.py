@@ -68,3 +68,8 @@ def read_records(spark: SparkSession, paths: str | list[str], width: int, kind:
                                         "values": pd.Series(list(part), dtype=object)})
 
     return ranges.mapInPandas(decode, f"path string, idx bigint, values array<{target}>")
+
+
+def value_at(values: Column, feature: Column | int) -> Column:
+    """Value of a base feature (from 0) of a decoded record."""
+    return F.element_at(values, (feature if isinstance(feature, Column) else F.lit(feature)) + 1)

@@ -158,3 +158,10 @@ def test_colour_images_are_refused(spark, tmp_path):
     (tmp_path / "colour.png").write_bytes(colour)
     with pytest.raises(Exception, match="not a gray image"):
         tiles.read_gray(spark, str(tmp_path / "colour.png")).count()
+
+
+def test_value_at(spark):
+    from silvagrid.sources.raw import value_at
+
+    row = spark.sql("SELECT array(5.0, 6.0, 7.0) AS v, 1 AS f").select(value_at(F.col("v"), 2), value_at(F.col("v"), F.col("f"))).first()
+    assert [float(x) for x in row] == [7.0, 6.0]
