@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from silvagrid.llm import embed_dedup, leaks, near_dedup, quality_kn, raking, repeats, shards, token_counts, url_rules, wavelet
+from silvagrid.llm import (
+    embed_dedup, fingerprints, leaks, near_dedup, quality_kn, raking, repeats, shards, token_counts, url_rules,
+    wavelet,
+)
 from silvagrid.llm.sql import ORACLES
 from silvagrid.session import small_frame
 
@@ -66,7 +69,11 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.repeat_report(table(spark, folder, "documents"))
 
 
+def op12_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.edit_report(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_token_counts, op2_embedding_dedup, op3_shards, op4_url_filter, op5_decontamination, op6_near_dedup, op7_quality, op8_token_files, op9_mixing, op10_suffix_dedup)}
+    op1_token_counts, op2_embedding_dedup, op3_shards, op4_url_filter, op5_decontamination, op6_near_dedup, op7_quality, op8_token_files, op9_mixing, op10_suffix_dedup, op12_fingerprints)}
 
 __all__ = ["ORACLES", "QUERIES"]
