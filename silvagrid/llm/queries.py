@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from silvagrid.llm import (
-    embed_dedup, fingerprints, leaks, near_dedup, quality_kn, raking, repeats, shards, token_counts, url_rules,
+    collocations, conversations, embed_dedup, fingerprints, leaks, near_dedup, quality_kn, raking, repeats, shards, token_counts, url_rules,
     wavelet,
 )
 from silvagrid.llm.sql import ORACLES
@@ -69,11 +69,20 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.repeat_report(table(spark, folder, "documents"))
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 def op12_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.edit_report(table(spark, folder, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repair_report(conversations.damaged(table(spark, folder, "conversations")))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_token_counts, op2_embedding_dedup, op3_shards, op4_url_filter, op5_decontamination, op6_near_dedup, op7_quality, op8_token_files, op9_mixing, op10_suffix_dedup, op12_fingerprints)}
+    op1_token_counts, op2_embedding_dedup, op3_shards, op4_url_filter, op5_decontamination, op6_near_dedup, op7_quality, op8_token_files, op9_mixing, op10_suffix_dedup, op11_collocations,
+    op12_fingerprints, op13_conversation_repair)}
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -53,4 +53,36 @@ MIXING = f"""WITH {raking("documents")}
 SELECT ax_source AS source, ax_lang AS lang, ax_topic AS topic, doc_id, n_tokens,
   round(probability, 6) AS probability, kept FROM mixed"""
 
-ORACLES = {"op4_url_filter": URL_FILTER, "op9_mixing": MIXING}
+COLLOCATIONS = r"""
+WITH cut AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+    regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces
+  FROM documents),
+piece AS (SELECT lang, unnest(pieces) AS piece FROM cut),
+words AS (SELECT row_number() OVER () AS p, lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM piece),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, k, w[i : i + k - 1] AS g
+  FROM (SELECT p, lang, w, unnest(range(1, len(w) + 1)) AS i FROM words), (SELECT unnest(range(1, 6)) AS k)
+  WHERE i + k - 1 <= len(w)),
+f AS MATERIALIZED (SELECT lang, k, g, count(*)::BIGINT AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (
+  SELECT c.lang, c.k, c.g, c.f AS a, h.f AS l, t.f AS r, n, h.k AS cut,
+    ((1000::HUGEINT * c.f * n) // (h.f::HUGEINT * t.f))::BIGINT AS score
+  FROM f c JOIN f h ON h.lang = c.lang AND h.k < c.k AND h.g = c.g[1 : h.k]
+    JOIN f t ON t.lang = c.lang AND t.k = c.k - h.k AND t.g = c.g[h.k + 1 : c.k] JOIN totals ON totals.lang = c.lang
+  WHERE c.k > 1),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+inner_parts AS (
+  SELECT lang, f, g[i : j] AS g
+  FROM (SELECT lang, f, g, k, unnest(range(1, k + 1)) AS i FROM f WHERE k > 2), (SELECT unnest(range(1, 6)) AS j)
+  WHERE j > i AND j <= k AND j - i + 1 < k),
+longest AS (SELECT lang, g, max(f) AS outer_f FROM inner_parts GROUP BY ALL),
+kept AS (
+  SELECT best.*, array_to_string(best.g, ' ') AS phrase FROM best LEFT JOIN longest USING (lang, g)
+  WHERE NOT coalesce(100 * outer_f >= 100 * a, false)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+ORACLES = {"op4_url_filter": URL_FILTER, "op9_mixing": MIXING, "op11_collocations": COLLOCATIONS}
