@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from silvagrid.catalog.tabular import SHIFT
-from silvagrid.functions.sampling import MODULUS, mix_sql
+from silvagrid.catalog.tabular import DEEP, SHIFT, SUBSET_SEED
+from silvagrid.functions.sampling import MODULUS, FeatureDraw, mix_sql
 
 FEAT = """feat AS (SELECT l_quantity AS f0, l_extendedprice AS f1, l_discount AS f2, l_tax AS f3,
   l_quantity * (1 - l_discount) AS y1, l_extendedprice * (1 - l_discount) / 1000 AS y2,
@@ -59,7 +59,14 @@ def best(name: str, gains_name: str, key: str) -> str:
             f"FROM {gains_name} WHERE gain >= 0) WHERE rk = 1)")
 
 
-def tree(p: str, source: str, depth: int, labels: tuple[str, str] = ("y1", "y2")) -> str:
+def drawn(name: str, hist: str, draw: FeatureDraw, of_tree: int) -> str:
+    """The cells of a histogram by node whose feature the node drew."""
+    scores = ", ".join(f"{{'score': {draw.sql('node', str(f), of_tree)}, 'feature': {f}}}" for f in range(draw.num_features))
+    return (f"{name}_d AS (SELECT node, unnest(list_sort([{scores}])[1 : {draw.tried}]).feature AS feature FROM (SELECT DISTINCT node FROM {hist})), "
+            f"{name} AS (SELECT h.* FROM {hist} h JOIN {name}_d USING (node, feature))")
+
+
+def tree(p: str, source: str, depth: int, labels: tuple[str, str] = ("y1", "y2"), draw: FeatureDraw | None = None, of_tree: int = 0) -> str:
     """CTEs that grow one tree level by level: ``{p}_nodes`` and the rows of every level ``{p}_rows{d}``."""
     parts = [f"{p}_rows0 AS MATERIALIZED (SELECT *, CAST(1 AS BIGINT) AS node FROM {source})"]
     y1, y2 = labels
@@ -69,7 +76,12 @@ def tree(p: str, source: str, depth: int, labels: tuple[str, str] = ("y1", "y2")
         rows = f"{p}_rows{d}"
         here = f"{rows} WHERE node >= {1 << d}"
         if d < depth:
-            parts += [histogram(f"{p}_h{d}", here, "node", labels), gains(f"{p}_g{d}", f"{p}_h{d}", "node"),
+            parts.append(histogram(f"{p}_h{d}", here, "node", labels))
+            cells_of = f"{p}_h{d}"
+            if draw is not None:
+                parts.append(drawn(f"{p}_a{d}", cells_of, draw, of_tree))
+                cells_of = f"{p}_a{d}"
+            parts += [gains(f"{p}_g{d}", cells_of, "node"),
                       f"{p}_b{d} AS (SELECT x.* FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, feature, bin) AS rk FROM {p}_g{d} WHERE gain > 0 AND ti > 1e-12) x WHERE rk = 1)",
                       f"{p}_rows{d + 1} AS MATERIALIZED (SELECT s.* EXCLUDE (node), CASE WHEN t.node IS NULL THEN s.node WHEN {bin_of} <= t.bin THEN 2 * s.node ELSE 2 * s.node + 1 END AS node FROM {rows} s LEFT JOIN {p}_b{d} t ON s.node = t.node)"]
             join = f"LEFT JOIN {p}_b{d} t ON t.node = s.node"
@@ -117,7 +129,21 @@ _BOOST = (
     "r2 AS (SELECT * EXCLUDE (g1, g2), 2 * (y1 - t0_1 - 0.25 * 1.5 * t1_1 - 0.25 * t2_1) AS g1, 2 * (y2 - t0_2 - 0.25 * 1.5 * t1_2 - 0.25 * t2_2) AS g2 FROM t2_out)"
 )
 
+def _node_tables(trees: list[str]) -> str:
+    """Nodes of several trees below one another."""
+    return " UNION ALL ".join(
+        f"SELECT CAST({t} AS INT) AS tree, node_id, feature, bin AS split_bin, n, round(p1 + {SHIFT}, 5) AS p1, round(p2 + {SHIFT}, 5) AS p2 FROM {p}_nodes"
+        for t, p in enumerate(trees))
+
+
+_GROUPED = BASE + "".join(f", in{t} AS (SELECT * FROM binned WHERE {_bag(t)}), {tree(f'm{t}', f'in{t}', 3)}" for t in range(3))
+_SUBSET = BASE + "".join(f", {tree(f's{t}', 'binned', 3, draw=FeatureDraw(SUBSET_SEED, 4, 2), of_tree=t)}" for t in range(2))
+_DEEP = f"{BASE}, {tree('d', 'binned', DEEP, ('floor(f1 / 256)', 'f0'))}"
+
 TABULAR = {
+    "forest_grouped": f"{_GROUPED} {_node_tables(['m0', 'm1', 'm2'])}",
+    "forest_subset": f"{_SUBSET} {_node_tables(['s0', 's1'])}",
+    "forest_deep": f"{_DEEP} {_node_tables(['d'])}",
     "value_counts": f"WITH {FEAT}, {COUNTS} SELECT feature, value, n FROM vc",
     "stride_splits": f"WITH RECURSIVE {FEAT}, {COUNTS}, {STRIDE} SELECT feature, split_idx, threshold FROM splits",
     "bin_ids": f"{BASE} SELECT feature, bin, count(*) AS n FROM ({cells('binned', '0 AS k')}) GROUP BY feature, bin",

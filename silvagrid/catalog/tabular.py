@@ -18,6 +18,8 @@ ARITY = 6  # values of ``cat``
 FLAGS = ["A", "N", "R"]
 NODE_FEATURES = [(0, 0), (0, 1), (1, 1), (1, 2), (2, 0), (2, 3)]  # node -> its two candidate features
 CUT_POINTS = [1, 2, 3]
+SUBSET_SEED = 5
+DEEP = 15
 
 
 #: Added before rounding: means of short decimals sit on rounding ties, where the order of a
@@ -147,6 +149,31 @@ def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
                    ["p1", "p2", "impurity", "gain"])
 
 
+def _node_table(spark: SparkSession, model: forest.ForestModel) -> DataFrame:
+    return rounded(model.to_df(spark).select("tree", "node_id", "feature", "split_bin", "n", "p1", "p2"), ["p1", "p2"])
+
+
+def forest_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bagged trees whose levels are cut into node groups: the budget holds the histograms of two nodes."""
+    budget = 2 * forest.histogram_bytes(1e9, [BINS] * len(FEATURES), len(FEATURES)) / (1 << 20)
+    cfg = TreeConfig(num_trees=3, max_depth=3, max_bins=BINS, bagging=0.5, max_memory_mb=budget)
+    return _node_table(spark, forest.fit_prepared(_prepared(spark, sf_dir), cfg))
+
+
+def forest_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees whose nodes try two drawn features of four."""
+    cfg = TreeConfig(num_trees=2, max_depth=3, max_bins=BINS, feature_subset="sqrt", seed=SUBSET_SEED)
+    return _node_table(spark, forest.fit_prepared(_prepared(spark, sf_dir), cfg))
+
+
+def forest_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of depth 15: nodes of up to 2,000 rows are grown to the end in one group. Whole labels, so that sums are exact."""
+    cfg = TreeConfig(max_depth=DEEP, max_bins=BINS, finish_rows=2000)
+    whole = feat(spark, sf_dir).withColumns({"d1": F.floor(F.col("f1") / 256).cast("double"), "d2": F.col("f0")})
+    data = forest.prepare(whole, FEATURES, "d1", "d2", cfg, row_key=F.col("row_key"))
+    return _node_table(spark, forest.fit_prepared(data, cfg))
+
+
 def tree_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per predicted value: the prediction of each leaf is the mean of the rows that reach it."""
     out = forest.predict(feat(spark, sf_dir), _tree(spark, sf_dir), FEATURES)
@@ -243,6 +270,6 @@ def boost_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in [
     value_counts, stride_splits, bin_ids, unpivot_features, node_histogram, node_histogram_arrow, vector_variance,
     prefix_histogram, split_gain, best_split, best_split_per_group, feature_subset_join, categorical_subset_split,
-    categorical_ordered_split, tree_nodes, tree_predict, depth_capped_predict, tree_stats, subtree_stats, node_id_update,
+    categorical_ordered_split, tree_nodes, forest_grouped, forest_subset, forest_deep, tree_predict, depth_capped_predict, tree_stats, subtree_stats, node_id_update,
     bagged_weights, forest_average, partial_ensembles, forest_merge, squared_loss_gradient, boost_curve, boost_predict,
 ]}

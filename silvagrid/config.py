@@ -84,7 +84,8 @@ class TreeConfig:
     seed: int = 1
     categorical: Mapping[int, int] = field(default_factory=dict)
     checkpoint_interval: int = 10
-    max_memory_mb: int = 500
+    max_memory_mb: float = 500
+    finish_rows: int = 0
     quantiles: str = "sort"
 
     def __post_init__(self) -> None:
@@ -94,7 +95,8 @@ class TreeConfig:
             "max_depth must lie in 0..30": 0 <= self.max_depth <= 30,
             "max_bins must be at least 2": self.max_bins >= 2,
             "min_instances must be at least 1": self.min_instances >= 1,
-            "max_memory_mb must be at most 10240": self.max_memory_mb <= 10240,
+            "max_memory_mb must be at most 10240": 0 < self.max_memory_mb <= 10240,
+            "finish_rows must not be negative": self.finish_rows >= 0,
             "bagging must lie in (0, 1]": 0 < self.bagging <= 1,
             "categorical arity must be at least 2": all(k >= 2 for k in self.categorical.values()),
             "categorical arity must not exceed max_bins": all(k <= self.max_bins for k in self.categorical.values()),
@@ -268,7 +270,8 @@ class RunSettings:
         values = {name: parse(given[key]) for name, (key, parse) in _ARGUMENTS.items() if key in given}
         values.setdefault("features", tuple(parse_features(DEFAULT_FEATURES)))
         if not {"train_tiles", "test_tiles"} <= values.keys():
-            tiles = folder_names(values.get("data_root", RunSettings.data_root))
+            # A root that nobody named is not searched.
+            tiles = folder_names(values["data_root"]) if "data_root" in values else []
             values.setdefault("train_tiles", tuple(tiles[:1]))
             values.setdefault("test_tiles", tuple(tiles[1:2]))
         return RunSettings(**values)

@@ -37,9 +37,9 @@ class PartialHistogram:
     because a hash aggregation adds the cells up afterwards.
     """
 
-    def __init__(self, num_features: int, max_bins: int, max_memory_mb: int) -> None:
-        self.num_features, self.max_bins = num_features, max_bins
-        self.limit = max(1, max_memory_mb * 1024 * 1024 // (num_features * max_bins * 8 * len(imp.STATS)))
+    def __init__(self, num_features: int, max_bins: int, max_memory_mb: float, drawn: Callable[[int], np.ndarray] | None = None) -> None:
+        self.num_features, self.max_bins, self.drawn = num_features, max_bins, drawn
+        self.limit = max(1, int(max_memory_mb * 1024 * 1024) // (num_features * max_bins * 8 * len(imp.STATS)))
         self.held: dict[int, np.ndarray] = {}
 
     def add(self, slots: np.ndarray, bins_of: Callable[[np.ndarray, slice], np.ndarray], y1: np.ndarray, y2: np.ndarray,
@@ -66,6 +66,8 @@ class PartialHistogram:
     def emit(self) -> Iterator[pa.RecordBatch]:
         for slot, table in self.held.items():
             at = np.flatnonzero(table[0])
+            if self.drawn is not None:
+                at = at[self.drawn(slot)[at // self.max_bins]]
             keys = [np.full(len(at), slot, np.int32), (at // self.max_bins).astype(np.int32), (at % self.max_bins).astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in [*keys, *table[:, at]]], schema=HIST_SCHEMA)
         self.held.clear()
@@ -76,13 +78,15 @@ def add_partials(parts: DataFrame) -> DataFrame:
     return parts.groupBy("slot", "feature", "bin").agg(*[F.sum(name).alias(name) for name in imp.STATS])
 
 
-def node_histogram_wide(rows: DataFrame, num_features: int, max_bins: int, max_memory_mb: int = 500) -> DataFrame:
+def node_histogram_wide(rows: DataFrame, num_features: int, max_bins: int, max_memory_mb: float = 500,
+                        drawn: Callable[[int], np.ndarray] | None = None) -> DataFrame:
     """The same sums for wide feature lists, without exploding rows by features.
 
-    ``rows`` holds ``slots ARRAY<INT>`` (one per tree), ``bins ARRAY<INT>``, y1, y2, w.
+    ``rows`` holds ``slots ARRAY<INT>`` (one per tree), ``bins ARRAY<INT>``, y1, y2, w. ``drawn`` names the
+    features that a slot may try; cells of others are not sent on.
     """
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hist = PartialHistogram(num_features, max_bins, max_memory_mb)
+        hist = PartialHistogram(num_features, max_bins, max_memory_mb, drawn)
         for batch in batches:
             if batch.num_rows == 0:
                 continue

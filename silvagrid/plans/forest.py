@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -14,9 +14,10 @@ from pyspark.sql import types as T
 
 from silvagrid.config import TreeConfig, subset_size
 from silvagrid.functions import heap
-from silvagrid.functions.sampling import uniform
+from silvagrid.functions.sampling import FeatureDraw, uniform
 from silvagrid.operators import binning, splits
-from silvagrid.session import cut_lineage, fits_broadcast, small_frame, spread
+from silvagrid.plans import subtree
+from silvagrid.session import BROADCAST_BYTES, cut_lineage, small_frame, spread
 
 NODE_SCHEMA = T.StructType([
     T.StructField("tree", T.IntegerType(), False),
@@ -233,7 +234,8 @@ def route_slots(previous: Column, chosen: Sequence[tuple[int, int, list[int] | N
     """Move every row from its active node to the child it falls into.
 
     ``chosen[slot]`` is (feature, split bin, left categories, left slot, right slot); feature -1
-    marks a node that stopped. The lookups are literal arrays indexed by slot, so routing is a
+    marks a node that stopped; a negative slot is a row outside (-1) or one of a node that is finished apart
+    (below -1) and stays. The lookups are literal arrays indexed by slot, so routing is a
     projection: no join, no shuffle, no stored state.
     """
     lookup = [F.lit(np.array(column, dtype=np.int32)) for column in zip(*[(c[0], c[1], c[3], c[4]) for c in chosen], strict=True)]
@@ -247,7 +249,7 @@ def route_slots(previous: Column, chosen: Sequence[tuple[int, int, list[int] | N
         if sets is not None:
             is_cat = F.lit(np.array([c[2] is not None for c in chosen]).astype(np.int32))[slot] == 1
             goes_left = F.when(is_cat, F.array_contains(sets[slot], bin_here)).otherwise(goes_left)
-        return F.when((slot < 0) | (feature[slot] < 0), F.lit(-1)).when(goes_left, left[slot]).otherwise(right[slot])
+        return F.when(slot < 0, slot).when(feature[slot] < 0, F.lit(-1)).when(goes_left, left[slot]).otherwise(right[slot])
 
     return F.transform(previous, step)
 
@@ -270,6 +272,44 @@ def fit_prepared(data: TrainingSet, cfg: TreeConfig) -> ForestModel:
         rows.unpersist()
 
 
+@dataclass(frozen=True)
+class NodeGroup:
+    """Active nodes ``low`` to ``high`` of a level, whose histograms fit into the memory budget together."""
+
+    low: int
+    high: int
+    nodes: list[tuple[int, int]]
+    draw: FeatureDraw | None = None
+
+    def drawn(self) -> Callable[[int], np.ndarray] | None:
+        if self.draw is None:
+            return None
+        mine, low, draw = self.nodes[self.low : self.high], self.low, self.draw
+        return lambda slot: draw.mask(*mine[slot - low])
+
+    def pairs(self, spark: SparkSession) -> DataFrame:
+        """(slot, feature) that the nodes drew. The driver sends nodes, tasks draw; ``group_nodes`` bounds the rows."""
+        rows = [(slot, *self.nodes[slot]) for slot in range(self.low, self.high)]
+        return self.draw.apply(small_frame(spark, rows, "slot int, tree int, node_id bigint")).select("slot", "feature")
+
+
+def group_nodes(sizes: Sequence[int], budget: int, most: int) -> list[tuple[int, int]]:
+    """Cut the queue of active nodes into runs of at most ``most`` nodes and ``budget`` bytes; a larger node stands alone."""
+    groups, low, held = [], 0, 0
+    for i, size in enumerate(sizes):
+        if i > low and (held + size > budget or i - low >= most):
+            groups.append((low, i))
+            low, held = i, 0
+        held += size
+    return [*groups, (low, len(sizes))] if sizes else []
+
+
+def histogram_bytes(rows: float, bins: Sequence[int], tried: int) -> int:
+    """At most this many bytes of sums for a node: its ``tried`` widest features, and no more cells than rows."""
+    cells = sum(min(b, rows) for b in sorted(bins, reverse=True)[:tried])
+    return int(cells) * 8 * len(splits.imp.STATS)
+
+
 class RowLevels:
     """Level state over binned rows: node slots are a projection of the bins."""
 
@@ -277,17 +317,19 @@ class RowLevels:
         self.data, self.cfg = data, cfg
         self.state = data.rows.withColumn("slots", bag_slots(cfg))
 
-    def histogram(self, allowed: DataFrame | None, few: bool) -> DataFrame:
-        """Cells of the active nodes; ``allowed`` (small when ``few``) restricts their features."""
+    def histogram(self, group: NodeGroup) -> DataFrame:
+        """Cells of a group of active nodes, of the features that each of them drew."""
         if self.data.num_features > splits.WIDE_FEATURES:
-            inside = self.state.filter(F.exists("slots", lambda s: s >= 0))
-            hist = splits.node_histogram_wide(inside, self.data.num_features, self.data.max_bins, self.cfg.max_memory_mb)
-            return restrict(hist, allowed, few)
-        rows = self.state.select(F.explode("slots").alias("slot"), "bins", "y1", "y2", "w").filter("slot >= 0 and w > 0")
+            mine = F.transform("slots", lambda s: F.when(s.between(group.low, group.high - 1), s).otherwise(-1))
+            inside = self.state.withColumn("slots", mine).filter(F.exists("slots", lambda s: s >= 0))
+            return splits.node_histogram_wide(
+                inside, self.data.num_features, self.data.max_bins, self.cfg.max_memory_mb, group.drawn())
+        rows = self.state.select(F.explode("slots").alias("slot"), "bins", "y1", "y2", "w").filter(
+            F.col("slot").between(group.low, group.high - 1) & (F.col("w") > 0))
         cells = splits.unpivot(rows)
-        if few:
-            return splits.node_histogram(restrict(cells, allowed, few))
-        return restrict(splits.node_histogram(cells), allowed, few)  # aggregate first, so that the join is small
+        if group.draw is not None:
+            cells = cells.join(F.broadcast(group.pairs(self.state.sparkSession)), ["slot", "feature"], "left_semi")
+        return splits.node_histogram(cells)
 
     def advance(self, chosen: list, depth: int) -> None:
         self.state = self.state.withColumn("slots", route_slots(F.col("slots"), chosen))
@@ -295,29 +337,41 @@ class RowLevels:
             # Deep trees: store the node ids instead of re-walking from the root.
             self.state = cut_lineage(self.state)
 
-
-def restrict(frame: DataFrame, allowed: DataFrame | None, few: bool) -> DataFrame:
-    if allowed is None:
-        return frame
-    return frame.join(F.broadcast(allowed) if few else allowed, ["slot", "feature"], "left_semi")
+    def finish(self, small: list[tuple[int, int]]) -> list:
+        """Nodes below the ``small`` ones: their rows are shuffled by node once and each is grown in one group."""
+        rows = self.state.select(F.explode("slots").alias("slot"), "bins", "y1", "y2", "w").filter("slot < -1 and w > 0")
+        finisher = subtree.Finisher(self.cfg, self.data.num_features, self.data.categorical, small)
+        return rows.groupBy("slot").applyInArrow(lambda group: finisher(group), subtree.SUBTREE_DDL).collect()
 
 
 def grow(data: TrainingSet, cfg: TreeConfig, levels=None) -> ForestModel:
     """Level-wise training.
 
-    Per level one query: rows of active nodes -> histogram -> prefix sums -> gain -> best split
-    per node. Only the best splits (one row per active node) reach the driver. ``levels`` keeps
-    the rows' nodes; by default binned rows.
+    Per level one query, or several where the histograms of its nodes pass ``max_memory_mb`` together: rows of
+    active nodes -> histogram -> prefix sums -> gain -> best split per node. Only the best splits (one row per
+    active node) reach the driver. A node of at most ``finish_rows`` rows leaves the levels; at the end the rows of
+    all such nodes are shuffled by node and each is grown to the end in one group. ``levels`` keeps the rows' nodes;
+    by default binned rows.
     """
+    if cfg.finish_rows and not hasattr(levels or RowLevels, "finish"):
+        raise ValueError("finish_rows needs rows, blocks keep theirs")
     levels = levels or RowLevels(data, cfg)
-    rng = random.Random(cfg.seed)
     tried = subset_size(cfg.feature_subset, data.num_features, cfg.num_trees)
     table: dict[tuple[int, int], Node] = {}
     active = [(tree, 1) for tree in range(cfg.num_trees)]
+    small: list[tuple[int, int]] = []
+    draw = FeatureDraw(cfg.seed, data.num_features, tried) if tried < data.num_features else None
+    bins = [data.categorical.get(f, len(cuts) + 1) for f, cuts in enumerate(data.thresholds)]
     for depth in range(cfg.max_depth + 1):
         if not active:
             break
-        found = {row["slot"]: row for row in _level_query(levels, data, cfg, len(active), tried, rng).collect()}
+        rows_in = [table[node].n if node in table else float("inf") for node in active]
+        runs = group_nodes([histogram_bytes(n, bins, tried) for n in rows_in], int(cfg.max_memory_mb * 1024 * 1024),
+                           max(1, BROADCAST_BYTES // (16 * tried)))
+        found = {}
+        for low, high in runs:
+            query = _level_query(levels, data, cfg, NodeGroup(low, high, active, draw))
+            found.update((row["slot"], row) for row in query.collect())
         chosen: list[tuple[int, int, list[int] | None, int, int]] = []
         following: list[tuple[int, int]] = []
         for slot, (tree, node_id) in enumerate(active):
@@ -341,24 +395,30 @@ def grow(data: TrainingSet, cfg: TreeConfig, levels=None) -> ForestModel:
                 table[(tree, child_id)] = child
                 if depth + 1 >= cfg.max_depth or is_pure(child):
                     slots.append(-1)
+                elif child.n <= cfg.finish_rows:
+                    small.append((tree, child_id))
+                    slots.append(-1 - len(small))
                 else:
                     slots.append(len(following))
                     following.append((tree, child_id))
             chosen.append((node.feature, node.split_bin, node.categories, slots[0], slots[1]))
         active = following
-        if active:
+        if active or small:
             levels.advance(chosen, depth)
+    for row in levels.finish(small) if small else []:
+        key = (row["tree"], row["node_id"])
+        node = table.setdefault(key, Node(*key, n=row["n"], p1=row["p1"], p2=row["p2"], impurity=row["impurity"]))
+        if row["feature"] is not None:
+            node.is_leaf, node.feature, node.gain = False, row["feature"], row["gain"]
+            node.split_bin, node.categories = row["split_bin"], row["left_bins"]
+            if node.categories is None:
+                node.threshold = data.thresholds[node.feature][node.split_bin]
     ordered = sorted(table.values(), key=lambda node: (node.tree, node.node_id))
     return ForestModel(ordered, [1.0] * cfg.num_trees)
 
 
-def _level_query(levels, data: TrainingSet, cfg: TreeConfig, nodes: int, tried: int, rng: random.Random) -> DataFrame:
-    allowed, few = None, True
-    if tried < data.num_features:
-        # Node -> sampled features, drawn on the driver: nodes x features rows.
-        pairs = [(slot, f) for slot in range(nodes) for f in rng.sample(range(data.num_features), tried)]
-        allowed, few = small_frame(data.rows.sparkSession, pairs, "slot int, feature int"), fits_broadcast(len(pairs), 16)
-    ordered = splits.with_order(levels.histogram(allowed, few), data.categorical)
+def _level_query(levels, data: TrainingSet, cfg: TreeConfig, group: NodeGroup) -> DataFrame:
+    ordered = splits.with_order(levels.histogram(group), data.categorical)
     scored = splits.with_gain(splits.prefix_stats(ordered), cfg.min_instances, cfg.min_info_gain, cfg.impurity)
     return splits.best_split(scored)
 

@@ -9,13 +9,14 @@ pixels, and a block has at most (block + 2*halo)^2 pixels however large its tile
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from silvagrid.config import BoostConfig, Offset, TreeConfig
 from silvagrid.functions import vec2
@@ -23,7 +24,7 @@ from silvagrid.functions.sampling import uniform_array
 from silvagrid.operators import binning, grid, splits
 from silvagrid.plans import boost, forest
 from silvagrid.plans.losses import Loss
-from silvagrid.session import cut_lineage
+from silvagrid.session import cut_lineage, delete_shared, write_shared
 
 #: Side of a block; with the default margin of 64 a block and its halo have 256 x 256 pixels.
 BLOCK = 128
@@ -114,41 +115,80 @@ class _Reader:
 
 
 class BlockLevels:
-    """Level state over blocks: every level walks its pixels from the root by the splits so far."""
+    """Level state over blocks: the pixels' node slots, stored in the block, and the steps since they were stored."""
 
     def __init__(self, labelled: DataFrame, blocks: Blocks, cfg: TreeConfig) -> None:
         self.labelled, self.blocks, self.cfg = labelled, blocks, cfg
         self.history: list[list[np.ndarray]] = []
+        self.stored: str | None = None
+
+    def _walk(self) -> Callable[[pa.RecordBatch, int, tuple], np.ndarray]:
+        """Slots (pixels, trees) of a block: the stored ones, or the roots, moved by the steps since."""
+        reader, cfg, history, kept = _Reader(self.blocks), self.cfg, list(self.history), self.stored is not None
+
+        def run(batch: pa.RecordBatch, i: int, opened: tuple) -> np.ndarray:
+            dense, px, rows, cols = opened
+            if kept:
+                slots = np.frombuffer(batch["slots"][i].as_py(), np.int32).reshape(len(rows), cfg.num_trees).astype(np.int64)
+            else:
+                inside = px["w"] > 0
+                slots = np.where(inside[:, None], np.arange(cfg.num_trees)[None, :], -1)
+                if cfg.bagging < 1.0:
+                    for t in range(cfg.num_trees):
+                        slots[uniform_array(px["row_key"], t + cfg.seed) >= cfg.bagging, t] = -1
+            for feature, split_bin, left, right in history:
+                for t in range(cfg.num_trees):
+                    slot = slots[:, t]
+                    live = (slot >= 0) & (feature[slot] >= 0)
+                    here = reader.one(dense, rows, cols, np.where(live, feature[slot], 0))
+                    slots[:, t] = np.where(live, np.where(here <= split_bin[slot], left[slot], right[slot]), -1)
+            return slots
+
+        return run
 
-    def histogram(self, allowed: DataFrame | None, few: bool) -> DataFrame:
-        reader, cfg, history = _Reader(self.blocks), self.cfg, list(self.history)
-        num_features, max_bins = len(self.blocks.offsets), self.blocks.max_bins
+    def histogram(self, group: forest.NodeGroup) -> DataFrame:
+        reader, walk, limit = _Reader(self.blocks), self._walk(), self.cfg.max_memory_mb
+        num_features, max_bins, low, high, drawn = len(self.blocks.offsets), self.blocks.max_bins, group.low, group.high, group.drawn()
 
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hist = splits.PartialHistogram(num_features, max_bins, cfg.max_memory_mb)
+            hist = splits.PartialHistogram(num_features, max_bins, limit, drawn)
             for batch in batches:
                 for i in range(batch.num_rows):
-                    dense, px, rows, cols = reader.open(batch, i)
-                    slots = np.empty((len(rows), cfg.num_trees), np.int64)
-                    for t in range(cfg.num_trees):
-                        inside = px["w"] > 0
-                        if cfg.bagging < 1.0:
-                            inside = inside & (uniform_array(px["row_key"], t + cfg.seed) < cfg.bagging)
-                        slot = np.where(inside, t, -1)
-                        for feature, split_bin, left, right in history:
-                            live = (slot >= 0) & (feature[slot] >= 0)
-                            here = reader.one(dense, rows, cols, np.where(live, feature[slot], 0))
-                            slot = np.where(live, np.where(here <= split_bin[slot], left[slot], right[slot]), -1)
-                        slots[:, t] = slot
+                    dense, px, rows, cols = opened = reader.open(batch, i)
+                    slots = walk(batch, i, opened)
+                    slots = np.where((slots >= low) & (slots < high), slots, -1)
                     yield from hist.add(slots, lambda mine, part, d=dense, r=rows, c=cols: reader.bins(d, r[mine], c[mine], part),
                                         px["y1"], px["y2"], px["w"])
             yield from hist.emit()
 
-        parts = self.labelled.select("br", "bc", "bins", "px").mapInArrow(partial, splits.HIST_DDL)
-        return forest.restrict(splits.add_partials(parts), allowed, few)
+        columns = ["br", "bc", "bins", "px"] + ["slots"] * (self.stored is not None)
+        return splits.add_partials(self.labelled.select(columns).mapInArrow(partial, splits.HIST_DDL))
 
     def advance(self, chosen: list, depth: int) -> None:
         self.history.append([np.array(column) for column in zip(*[(c[0], c[1], c[3], c[4]) for c in chosen], strict=True)])
+        if (depth + 1) % self.cfg.checkpoint_interval == 0:
+            self._store()
+
+    def _store(self) -> None:
+        """Write the blocks with their pixels' slots and delete the table they supersede."""
+        reader, walk = _Reader(self.blocks), self._walk()
+        columns = ["br", "bc", "bins", "px"]
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                slots = [walk(batch, i, reader.open(batch, i)).astype(np.int32).tobytes() for i in range(batch.num_rows)]
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch[c] for c in columns], pa.array(slots, pa.binary())], [*columns, "slots"])
+
+        source = self.labelled.select(columns + ["slots"] * (self.stored is not None))
+        schema = T.StructType([*self.labelled.select(columns).schema.fields, T.StructField("slots", T.BinaryType())])
+        before = self.stored
+        self.labelled, self.stored = write_shared(source.mapInArrow(keep, schema), "slots")
+        self.history = []
+        delete_shared(source.sparkSession, before)
+
+    def close(self) -> None:
+        delete_shared(self.labelled.sparkSession, self.stored)
 
 
 def fit_blocks(blocks: Blocks, labels: DataFrame, cfg: TreeConfig) -> forest.ForestModel:
@@ -156,7 +196,11 @@ def fit_blocks(blocks: Blocks, labels: DataFrame, cfg: TreeConfig) -> forest.For
     labelled = with_pixels(blocks, labels, ["y1", "y2", "w", "row_key"]).persist()
     try:
         data = forest.TrainingSet(labels, blocks.thresholds, {})
-        return forest.grow(data, cfg, BlockLevels(labelled, blocks, cfg))
+        levels = BlockLevels(labelled, blocks, cfg)
+        try:
+            return forest.grow(data, cfg, levels)
+        finally:
+            levels.close()
     finally:
         labelled.unpersist()
 

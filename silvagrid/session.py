@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -50,19 +51,39 @@ def ship_package(spark: SparkSession) -> SparkSession:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and return a frame that reads it back.
+    """Write ``df`` to the cluster's checkpoint folder and return a frame that reads it back."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, set from ``spark.checkpoint.dir`` where it is not yet.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local session that names none gets a temporary one;
-    on a cluster its absence is an error, as executors would write to their own disks.
+    Only a local session that names none gets a temporary one; on a cluster its absence is an error, as executors
+    would write to their own disks.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local["):
+        if folder is None and not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="silvagrid-"))
-    return df.checkpoint(eager=True)
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="silvagrid-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def write_shared(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as a table in the shared folder; the frame that reads it and its path, for ``delete_shared``."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/silvagrid-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def delete_shared(spark: SparkSession, path: str | None) -> None:
+    """Delete a table of ``write_shared`` that no later plan reads."""
+    if path is not None:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
