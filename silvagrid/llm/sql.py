@@ -20,7 +20,7 @@ FROM parts LEFT JOIN (SELECT * FROM fit WHERE place = 1) USING (n)
 """
 
 
-def raking(documents: str, power: float = 0.9, sweeps: int = 6, seed: int = 29) -> str:
+def raking(documents: str, power: float = 0.9, sweeps: int = 30, seed: int = 29) -> str:
     """CTEs up to ``mixed``: every row of ``documents`` with its probability and decision."""
     parts = [f"""
 marked AS (SELECT *, coalesce(source, '(none)') AS ax_source, coalesce(lang, '(none)') AS ax_lang,
