@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from silvagrid.catalog.tabular import DEEP, SHIFT, SUBSET_SEED
+from silvagrid.catalog.tabular import ARITY, DEEP, SHIFT, SUBSET_SEED
 from silvagrid.functions.sampling import MODULUS, FeatureDraw, mix_sql
 
 FEAT = """feat AS (SELECT l_quantity AS f0, l_extendedprice AS f1, l_discount AS f2, l_tax AS f3,
@@ -95,6 +95,40 @@ def tree(p: str, source: str, depth: int, labels: tuple[str, str] = ("y1", "y2")
     return ", ".join(parts)
 
 
+def subset_tree(p: str, source: str, depth: int, labels: tuple[str, str], arity: int) -> str:
+    """Like ``tree`` with a fifth feature, ``cat``, for which every subset of its values is tried."""
+    y1, y2 = labels
+    stats = ["n", "s1", "s2", "q1", "q2"]
+    imp = lambda x: f"greatest(({x}q1 + {x}q2 - ({x}s1 * {x}s1 + {x}s2 * {x}s2) / {x}n) / {x}n, 0)"
+    bin_of = "CASE t.feature WHEN 0 THEN b0 WHEN 1 THEN b1 WHEN 2 THEN b2 ELSE b3 END"
+    left = f"CASE WHEN t.feature = 4 THEN (t.bin >> cat) & 1 = 1 ELSE {bin_of} <= t.bin END"
+    parts, nodes = [f"{p}_rows0 AS MATERIALIZED (SELECT *, CAST(1 AS BIGINT) AS node FROM {source})"], []
+    for d in range(depth + 1):
+        rows, here = f"{p}_rows{d}", f"{p}_rows{d} WHERE node >= {1 << d}"
+        if d < depth:
+            parts += [
+                histogram(f"{p}_h{d}", here, "node", labels), gains(f"{p}_g{d}", f"{p}_h{d}", "node"),
+                f"{p}_c{d} AS (SELECT node, cat, CAST(count(*) AS DOUBLE) AS n, sum({y1}) AS s1, sum({y2}) AS s2, sum(({y1}) * ({y1})) AS q1, "
+                f"sum(({y2}) * ({y2})) AS q2 FROM {here} GROUP BY node, cat)",
+                f"{p}_s{d} AS (SELECT node, mask, " + ", ".join(
+                    f"sum(CASE WHEN (mask >> cat) & 1 = 1 THEN {x} ELSE 0 END) AS l{x}, sum({x}) AS t{x}" for x in stats)
+                + f" FROM {p}_c{d}, (SELECT unnest(range(1, {1 << (arity - 1)})) AS mask) GROUP BY node, mask)",
+                f"{p}_r{d} AS (SELECT *, " + ", ".join(f"t{x} - l{x} AS r{x}" for x in stats) + f" FROM {p}_s{d})",
+                f"{p}_m{d} AS (SELECT node, 4 AS feature, mask AS bin, {imp('t')} AS ti, {imp('t')} - ln / tn * {imp('l')} - rn / tn * {imp('r')} AS gain "
+                f"FROM {p}_r{d} WHERE ln > 0 AND rn > 0)",
+                f"{p}_b{d} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, feature, bin) AS rk FROM "
+                f"(SELECT node, feature, bin, ti, gain FROM {p}_g{d} UNION ALL SELECT node, feature, bin, ti, gain FROM {p}_m{d}) "
+                "WHERE gain > 0 AND ti > 1e-12) WHERE rk = 1)",
+                f"{p}_rows{d + 1} AS MATERIALIZED (SELECT s.* EXCLUDE (node), CASE WHEN t.node IS NULL THEN s.node WHEN {left} THEN 2 * s.node "
+                f"ELSE 2 * s.node + 1 END AS node FROM {rows} s LEFT JOIN {p}_b{d} t ON s.node = t.node)"]
+            join, cols = f"LEFT JOIN {p}_b{d} t ON t.node = s.node", "any_value(t.feature) AS feature, any_value(t.bin) AS bin"
+        else:
+            join, cols = "", "CAST(NULL AS INT) AS feature, CAST(NULL AS INT) AS bin"
+        nodes.append(f"SELECT s.node AS node_id, {cols}, CAST(count(*) AS DOUBLE) AS n, avg({y1}) AS p1, avg({y2}) AS p2 "
+                     f"FROM {rows} s {join} WHERE s.node >= {1 << d} GROUP BY s.node")
+    return ", ".join([*parts, f"{p}_nodes AS MATERIALIZED ({' UNION ALL '.join(nodes)})"])
+
+
 def routed(p: str, source: str, depth: int, cap: int | None = None) -> str:
     """``{p}_out``: rows of ``source`` routed through the tree ``p`` by bins, with its prediction."""
     levels = depth if cap is None else min(cap, depth)
@@ -138,11 +172,14 @@ def _node_tables(trees: list[str]) -> str:
 
 _GROUPED = BASE + "".join(f", in{t} AS (SELECT * FROM binned WHERE {_bag(t)}), {tree(f'm{t}', f'in{t}', 3)}" for t in range(3))
 _SUBSET = BASE + "".join(f", {tree(f's{t}', 'binned', 3, draw=FeatureDraw(SUBSET_SEED, 4, 2), of_tree=t)}" for t in range(2))
+_CATEGORIES = f"{BASE}, " + subset_tree("k", "binned", 3, ("(CASE WHEN cat IN (1, 4) THEN 40 ELSE 0 END + floor(f1 / 4096))", "f0"), ARITY)
 _DEEP = f"{BASE}, {tree('d', 'binned', DEEP, ('floor(f1 / 256)', 'f0'))}"
 
 TABULAR = {
     "forest_grouped": f"{_GROUPED} {_node_tables(['m0', 'm1', 'm2'])}",
     "forest_subset": f"{_SUBSET} {_node_tables(['s0', 's1'])}",
+    "forest_categories": f"{_CATEGORIES} SELECT node_id, feature, CASE WHEN feature < 4 THEN bin END AS split_bin, CASE WHEN feature = 4 THEN "
+        f"array_to_string(list_filter(range({ARITY}), lambda v: (bin >> v) & 1 = 1), ',') END AS left_set, n, round(p1 + {SHIFT}, 5) AS p1, round(p2 + {SHIFT}, 5) AS p2 FROM k_nodes",
     "forest_deep": f"{_DEEP} {_node_tables(['d'])}",
     "value_counts": f"WITH {FEAT}, {COUNTS} SELECT feature, value, n FROM vc",
     "stride_splits": f"WITH RECURSIVE {FEAT}, {COUNTS}, {STRIDE} SELECT feature, split_idx, threshold FROM splits",

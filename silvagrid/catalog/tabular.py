@@ -174,6 +174,19 @@ def forest_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _node_table(spark, forest.fit_prepared(data, cfg))
 
 
+def forest_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree that tries all subsets of a category besides the cut points of four features. Whole labels."""
+    cfg = TreeConfig(max_depth=3, max_bins=BINS, categorical={len(FEATURES): ARITY})
+    mixed = F.expr("CASE WHEN cat IN (1, 4) THEN 40 ELSE 0 END") + F.floor(F.col("f1") / 4096)
+    whole = feat(spark, sf_dir).withColumns({"d1": mixed.cast("double"), "d2": F.col("f0")})
+    data = forest.prepare(whole, [*FEATURES, "cat"], "d1", "d2", cfg, row_key=F.col("row_key"))
+    wide = TreeConfig(max_depth=3, max_bins=2 << (ARITY - 1), categorical={len(FEATURES): ARITY}, subset_splits=True)
+    nodes = forest.fit_prepared(data, wide).to_df(spark)
+    left = F.when(F.col("categories").isNotNull(), F.concat_ws(",", "categories")).alias("left_set")
+    bin_at = F.when(F.col("categories").isNull(), F.col("split_bin")).alias("split_bin")
+    return rounded(nodes.select("node_id", "feature", bin_at, left, "n", "p1", "p2"), ["p1", "p2"])
+
+
 def tree_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per predicted value: the prediction of each leaf is the mean of the rows that reach it."""
     out = forest.predict(feat(spark, sf_dir), _tree(spark, sf_dir), FEATURES)
@@ -270,6 +283,6 @@ def boost_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in [
     value_counts, stride_splits, bin_ids, unpivot_features, node_histogram, node_histogram_arrow, vector_variance,
     prefix_histogram, split_gain, best_split, best_split_per_group, feature_subset_join, categorical_subset_split,
-    categorical_ordered_split, tree_nodes, forest_grouped, forest_subset, forest_deep, tree_predict, depth_capped_predict, tree_stats, subtree_stats, node_id_update,
+    categorical_ordered_split, tree_nodes, forest_grouped, forest_subset, forest_deep, forest_categories, tree_predict, depth_capped_predict, tree_stats, subtree_stats, node_id_update,
     bagged_weights, forest_average, partial_ensembles, forest_merge, squared_loss_gradient, boost_curve, boost_predict,
 ]}

@@ -86,6 +86,7 @@ class TreeConfig:
     checkpoint_interval: int = 10
     max_memory_mb: float = 500
     finish_rows: int = 0
+    subset_splits: bool = False
     quantiles: str = "sort"
 
     def __post_init__(self) -> None:
@@ -225,6 +226,7 @@ _ARGUMENTS = {
     "use_node_id_cache": ("useNodeIdCache", _flag),
     "bagging": ("bagging", float),
     "seed": ("seed", int),
+    "loss": ("loss", str),
     "test_partial_models": ("testPartialModels", _cut_points),
 }
 
@@ -234,7 +236,7 @@ class RunSettings:
     """Everything a run reads from its ``key=value`` arguments."""
 
     name: str = "expt"
-    num_executors: int = 1
+    num_executors: int | None = None
     max_memory_mb: int = 500
     data_root: str = "/data/tiles"
     save_to: str = "/data/predictions"
@@ -259,6 +261,7 @@ class RunSettings:
     use_node_id_cache: bool = True
     bagging: float = 0.5
     seed: int = 1
+    loss: str = "malis"
     test_partial_models: tuple[int, ...] | None = None
 
     @staticmethod
@@ -296,7 +299,7 @@ class RunSettings:
             learning_rate=self.learning_rate,
             momentum=self.momentum,
             subsample=self.subsample_proportion,
-            loss="malis",
+            loss=self.loss,
             seed=self.seed,
             save_gradients=f"{self.save_to}/malis" if self.save_gradients else None,
         )

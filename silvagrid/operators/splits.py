@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -158,6 +158,30 @@ def best_split(scored: DataFrame) -> DataFrame:
     return best.select("slot", "best.*")
 
 
+def subset_splits(hist: DataFrame, arity: Mapping[int, int], min_instances: float = 1, min_info_gain: float = 0.0,
+                  impurity: str = "variance") -> DataFrame:
+    """Candidates of unordered features: every two-way partition of a feature's values, with its gain.
+
+    ``ord`` and ``bin`` are the bit mask of the values that go left, ``left_bins`` lists them. Sums of a subset come
+    from the cells of a node, of which a feature has one per value, so rows are never exploded over subsets.
+    """
+    from silvagrid.operators.binning import in_subset, subset_masks
+
+    arities = F.create_map(*[F.lit(x) for pair in arity.items() for x in pair])
+    masks = F.create_map(*[x for k in sorted(set(arity.values())) for x in (F.lit(k), subset_masks(k))])
+    known = hist.withColumn("arity", F.element_at(arities, F.col("feature")))
+    tried = known.withColumn("mask", F.explode(F.element_at(masks, F.col("arity"))))
+    inside = in_subset(F.col("mask"), F.col("bin"))
+    sums = tried.groupBy("slot", "feature", "arity", "mask").agg(
+        *[F.sum(F.when(inside, F.col(name)).otherwise(0.0)).alias(f"l_{name}") for name in imp.STATS],
+        *[F.sum(name).alias(f"t_{name}") for name in imp.STATS])
+    left = F.filter(F.sequence(F.lit(0), F.col("arity") - 1), lambda v: in_subset(F.col("mask"), v))
+    sums = sums.withColumns({
+        **{f"r_{name}": F.col(f"t_{name}") - F.col(f"l_{name}") for name in imp.STATS}, "left_bins": left, "bin": F.col("mask").cast("int"),
+        "ord": F.col("mask").cast("int"), "last_ord": F.col("mask").cast("int") + 1})
+    return with_gain(sums.drop("mask", "arity"), min_instances, min_info_gain, impurity)
+
+
 def best_subset_split(hist: DataFrame, arity: int) -> DataFrame:
     """Best two-way partition of the categories of one feature, all subsets tried.
 

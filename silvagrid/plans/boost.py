@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from silvagrid.config import BoostConfig, TreeConfig
 from silvagrid.functions import vec2
 from silvagrid.plans import forest as fo
-from silvagrid.plans.losses import Loss, SquaredLoss
+from silvagrid.plans.losses import Loss, named_loss
 from silvagrid.session import cut_lineage, small_frame, spread
 
 
@@ -62,7 +62,7 @@ def fit_boosted(
     with velocity v, v <- mu*v + lr*h and f <- f + v equals re-weighting all earlier elements. Binned rows
     and the state of the last round stay in memory and on disk, so a round does not repeat earlier ones.
     """
-    loss = loss or SquaredLoss()
+    loss = loss or named_loss(cfg.loss)
     if cfg.save_gradients and "tile" not in keep:
         raise ValueError("saving gradients needs the columns tile, r and c")
     data = fo.prepare(df, features, y1, y2, tree, row_key, thresholds=thresholds, keep=keep)

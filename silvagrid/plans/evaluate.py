@@ -91,6 +91,8 @@ class Search:
     points: list[tuple[float, float | None, float | None, float | None]]
     best_threshold: float
     best_score: float
+    pos: float | None = None
+    neg: float | None = None
 
 
 def search_thresholds(pixels: DataFrame, kind: str = "pixel", est: Sequence[str] = ("pred1", "pred2"),
@@ -100,15 +102,16 @@ def search_thresholds(pixels: DataFrame, kind: str = "pixel", est: Sequence[str]
     Every zoom level is one pooled Spark query; only its few rows reach the driver.
     """
     grid_now = list(thresholds or initial_grid())
-    shared = {}
+    shared, totals = {}, {}
     pixels = cut_lineage(pixels)  # every zoom level reads it again
     if kind == "rand":
         shared = {"forest": maximin_forest(pixels, est), "truth": truth_of(pixels)}
 
     def score(cuts: Sequence[float]) -> list[tuple]:
         stats = rand_stats(pixels, cuts, est, **shared) if kind == "rand" else pixel_stats(pixels, cuts, est)
-        rows = metrics.pool(stats, kind).select("threshold", "score", "tp", "fp").collect()
-        by_cut = {row["threshold"]: tuple(row) for row in rows}
+        rows = metrics.pool(stats, kind).select("threshold", "score", "tp", "fp", "pos", "neg").collect()
+        by_cut = {row["threshold"]: tuple(row)[:4] for row in rows}
+        totals.update({name: row[name] for row in rows for name in ("pos", "neg") if row[name] is not None})
         return [by_cut.get(float(cut), (float(cut), None, None, None)) for cut in cuts]
 
     def best_of(points: list[tuple]) -> int:
@@ -132,13 +135,42 @@ def search_thresholds(pixels: DataFrame, kind: str = "pixel", est: Sequence[str]
         offset += where
         level, where = zoomed, best_of(zoomed)
     best = spliced[best_of(spliced)]
-    return Search(spliced, best[0], best[1])
+    return Search(spliced, best[0], best[1], totals.get("pos"), totals.get("neg"))
 
 
-def report_lines(pixels: DataFrame, description: str = "", est: Sequence[str] = ("pred1", "pred2")) -> list[str]:
+def search_both(pixels: DataFrame, est: Sequence[str] = ("pred1", "pred2"), **options) -> dict[str, Search]:
+    """The refined grids of the Rand F-score and of the pixel error."""
+    return {kind: search_thresholds(pixels, kind, est, **options) for kind in ("rand", "pixel")}
+
+
+def curve_lines(searches: dict[str, Search], first_grid: int | None = None) -> list[str]:
+    """The curves behind a report, one line per threshold: score, true and false positive rates.
+
+    ``roc`` marks the operating points of the ROC curve: for the Rand pairs only those, by false positives, whose true
+    positives exceed all before them, for pixels all. ``shown`` is the range a plot of the score covers: it leaves out
+    the first grid's outer halves (``first_grid`` points, the fixed grid's by default).
+    """
+    out = ["kind,threshold,score,tp,fp,tp_rate,fp_rate,roc,shown"]
+    edge = ((first_grid or len(initial_grid())) + 1) // 2
+    for kind, search in searches.items():
+        on_curve, top = set(), -np.inf
+        known = [i for i, p in enumerate(search.points) if p[2] is not None and p[3] is not None]
+        for i in sorted(known, key=lambda i: (search.points[i][3], search.points[i][2], search.points[i][0])):
+            if kind != "rand" or search.points[i][2] > top:
+                on_curve.add(i)
+                top = max(top, search.points[i][2])
+        for i, (threshold, score, tp, fp) in enumerate(search.points):
+            rates = [x / total if x is not None and total else None for x, total in ((tp, search.pos), (fp, search.neg))]
+            cells = ["" if x is None else f"{x:.6g}" for x in (threshold, score, tp, fp, *rates)]
+            out.append(",".join([kind, *cells, str(int(i in on_curve)), str(int(edge <= i + 1 <= len(search.points) + 1 - edge))]))
+    return out
+
+
+def report_lines(pixels: DataFrame, description: str = "", est: Sequence[str] = ("pred1", "pred2"),
+                 searches: dict[str, Search] | None = None) -> list[str]:
     """The evaluation report: mean squared error, best thresholds and scores."""
-    rand = search_thresholds(pixels, "rand", est)
-    pixel = search_thresholds(pixels, "pixel", est)
+    searches = searches or search_both(pixels, est)
+    rand, pixel = searches["rand"], searches["pixel"]
     mse = metrics.mean_squared_error(metrics.both_channels(pixels, est=est)).first()["mse"]
     return [
         "Description:", description, "",

@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from silvagrid.config import TreeConfig, subset_size
+from silvagrid.config import TreeConfig, plan_bins, subset_size
 from silvagrid.functions import heap
 from silvagrid.functions.sampling import FeatureDraw, uniform
 from silvagrid.operators import binning, splits
 from silvagrid.plans import subtree
+from silvagrid.plans.phases import PhaseLog
 from silvagrid.session import BROADCAST_BYTES, cut_lineage, small_frame, spread
 
 NODE_SCHEMA = T.StructType([
@@ -263,11 +264,11 @@ def fit_forest(
     return fit_prepared(data, cfg)
 
 
-def fit_prepared(data: TrainingSet, cfg: TreeConfig) -> ForestModel:
+def fit_prepared(data: TrainingSet, cfg: TreeConfig, log: PhaseLog | None = None) -> ForestModel:
     """Train on binned rows, held in memory and on disk while the levels pass over them."""
     rows = spread(data.rows).persist()
     try:
-        return grow(replace(data, rows=rows), cfg)
+        return grow(replace(data, rows=rows), cfg, log=log)
     finally:
         rows.unpersist()
 
@@ -344,17 +345,21 @@ class RowLevels:
         return rows.groupBy("slot").applyInArrow(lambda group: finisher(group), subtree.SUBTREE_DDL).collect()
 
 
-def grow(data: TrainingSet, cfg: TreeConfig, levels=None) -> ForestModel:
+def grow(data: TrainingSet, cfg: TreeConfig, levels=None, log: PhaseLog | None = None) -> ForestModel:
     """Level-wise training.
 
     Per level one query, or several where the histograms of its nodes pass ``max_memory_mb`` together: rows of
     active nodes -> histogram -> prefix sums -> gain -> best split per node. Only the best splits (one row per
     active node) reach the driver. A node of at most ``finish_rows`` rows leaves the levels; at the end the rows of
-    all such nodes are shuffled by node and each is grown to the end in one group. ``levels`` keeps the rows' nodes;
-    by default binned rows.
+    all such nodes are shuffled by node and each is grown to the end in one group. With ``subset_splits`` a category
+    whose value subsets fit into ``max_bins`` tries all of them instead of its values in order. ``levels`` keeps the rows' nodes;
+    by default binned rows. ``log`` takes a phase per level: its seconds, groups, active nodes, cells and weighted rows.
     """
+    log = log or PhaseLog()
     if cfg.finish_rows and not hasattr(levels or RowLevels, "finish"):
         raise ValueError("finish_rows needs rows, blocks keep theirs")
+    if cfg.finish_rows and cfg.subset_splits:
+        raise ValueError("finish_rows orders categories, subset_splits does not")
     levels = levels or RowLevels(data, cfg)
     tried = subset_size(cfg.feature_subset, data.num_features, cfg.num_trees)
     table: dict[tuple[int, int], Node] = {}
@@ -369,9 +374,13 @@ def grow(data: TrainingSet, cfg: TreeConfig, levels=None) -> ForestModel:
         runs = group_nodes([histogram_bytes(n, bins, tried) for n in rows_in], int(cfg.max_memory_mb * 1024 * 1024),
                            max(1, BROADCAST_BYTES // (16 * tried)))
         found = {}
-        for low, high in runs:
-            query = _level_query(levels, data, cfg, NodeGroup(low, high, active, draw))
-            found.update((row["slot"], row) for row in query.collect())
+        with log.phase(f"level {depth}") as phase:
+            phase.add(groups=len(runs), nodes=len(active))
+            for low, high in runs:
+                query = _level_query(levels, data, cfg, NodeGroup(low, high, active, draw), log)
+                found.update((row["slot"], row) for row in query.collect())
+        # Every row adds its weight to a cell of each feature that its node tries.
+        phase.counters = {"groups": len(runs), "nodes": len(active), "cells": phase.counters["rows"], "rows": phase.counters["weight"] / tried}
         chosen: list[tuple[int, int, list[int] | None, int, int]] = []
         following: list[tuple[int, int]] = []
         for slot, (tree, node_id) in enumerate(active):
@@ -405,7 +414,12 @@ def grow(data: TrainingSet, cfg: TreeConfig, levels=None) -> ForestModel:
         active = following
         if active or small:
             levels.advance(chosen, depth)
-    for row in levels.finish(small) if small else []:
+    finished = []
+    if small:
+        with log.phase("small nodes") as phase:
+            finished = levels.finish(small)
+            phase.add(groups=len(small), nodes=len(finished))
+    for row in finished:
         key = (row["tree"], row["node_id"])
         node = table.setdefault(key, Node(*key, n=row["n"], p1=row["p1"], p2=row["p2"], impurity=row["impurity"]))
         if row["feature"] is not None:
@@ -417,10 +431,17 @@ def grow(data: TrainingSet, cfg: TreeConfig, levels=None) -> ForestModel:
     return ForestModel(ordered, [1.0] * cfg.num_trees)
 
 
-def _level_query(levels, data: TrainingSet, cfg: TreeConfig, group: NodeGroup) -> DataFrame:
-    ordered = splits.with_order(levels.histogram(group), data.categorical)
-    scored = splits.with_gain(splits.prefix_stats(ordered), cfg.min_instances, cfg.min_info_gain, cfg.impurity)
-    return splits.best_split(scored)
+def _level_query(levels, data: TrainingSet, cfg: TreeConfig, group: NodeGroup, log: PhaseLog) -> DataFrame:
+    hist, limits = log.watch(levels.histogram(group), weight=F.sum("n")), (cfg.min_instances, cfg.min_info_gain, cfg.impurity)
+    free = plan_bins(data.num_features, cfg.max_bins, cfg.max_bins, data.categorical, cfg.subset_splits).unordered
+    if not free:
+        return splits.best_split(splits.with_gain(splits.prefix_stats(splits.with_order(hist, data.categorical)), *limits))
+    hist = cut_lineage(hist)  # cells only; both kinds of candidates read them, the rows are read once
+    is_free = F.col("feature").isin(sorted(free))
+    arranged = {f: k for f, k in data.categorical.items() if f not in free}
+    scored = splits.with_gain(splits.prefix_stats(splits.with_order(hist.filter(~is_free), arranged)), *limits)
+    subsets = splits.subset_splits(hist.filter(is_free), {f: data.categorical[f] for f in free}, *limits)
+    return splits.best_split(scored.select(subsets.columns).unionByName(subsets))
 
 
 def fit_serial(df: DataFrame, features: Sequence[Column | str], y1: Column | str, y2: Column | str, cfg: TreeConfig,

@@ -51,3 +51,14 @@ class MalisLoss:
 
 
 LOSSES: dict[str, Callable[..., Loss]] = {"squared": SquaredLoss, "malis": MalisLoss}
+
+
+def named_loss(name: str, dims: DataFrame | None = None, subsample: float = 1.0) -> Loss:
+    """The loss of this name; the pair-counting one needs the tile dimensions and takes the window proportion."""
+    if name not in LOSSES:
+        raise ValueError(f"unknown loss {name!r}; known: {sorted(LOSSES)}")
+    if name != "malis":
+        return LOSSES[name]()
+    if dims is None:
+        raise ValueError("the malis loss needs tile dimensions")
+    return LOSSES[name](dims, subsample)

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from silvagrid.config import RunSettings
 from silvagrid.operators import binning, grid
 from silvagrid.plans import boost, evaluate, forest, stencil
-from silvagrid.plans.losses import MalisLoss
+from silvagrid.plans.losses import named_loss
+from silvagrid.plans.phases import PhaseLog
 from silvagrid.session import cut_lineage, session
 from silvagrid.sources import sinks, tiles
 
@@ -35,29 +36,33 @@ def load(spark: SparkSession, s: RunSettings, names: tuple[str, ...], from_front
     return blocks, cut_lineage(labels.select("tile", "r", "c", "inner_idx", "y1", "y2", F.lit(1.0).alias("w"), key))
 
 
-def train(spark: SparkSession, s: RunSettings, blocks: stencil.Blocks, labels: DataFrame) -> tuple[forest.ForestModel, boost.BoostedModel | None]:
-    """A plain forest, or boosting on the pair-counting loss when ``iterations`` is positive."""
+def train(spark: SparkSession, s: RunSettings, blocks: stencil.Blocks, labels: DataFrame,
+          log: PhaseLog | None = None) -> tuple[forest.ForestModel, boost.BoostedModel | None]:
+    """A plain forest, or boosting on the named loss when ``iterations`` is positive."""
     cfg = s.tree_config(s.initial_trees)
     loaded = stencil.rebin(sinks.load_model(spark, s.load_model), blocks.thresholds) if s.load_model else None
     if s.iterations == 0:
-        return loaded or stencil.fit_blocks(blocks, labels, cfg), None
-    loss = MalisLoss(grid.extents(labels), s.subsample_proportion)
+        return loaded or stencil.fit_blocks(blocks, labels, cfg, log), None
+    loss = named_loss(s.loss, grid.extents(labels), s.subsample_proportion)
     boosted = stencil.fit_boosted_blocks(blocks, labels, cfg, s.boost_config(), loaded or s.initial_trees, loss)
     return boosted.forest, boosted
 
 
 def main(args: list[str], spark: SparkSession | None = None) -> dict:
     s = RunSettings.from_args(args)
-    spark = spark or session(s.name, s.master or None)
+    sized = {"spark.executor.instances": str(s.num_executors)} if s.num_executors else {}
+    spark = spark or session(s.name, s.master or None, **sized)
+    log = PhaseLog()
     stamp = datetime.now().strftime("%Y-%m-%d %H-%M-%S")
     out = f"{s.save_to}/{s.name}-{stamp}"
     cuts = cut_points(spark, s)
     data = {"train": load(spark, s, s.train_tiles, True, cuts)}
     started = time.time()
-    model, boosted = train(spark, s, *data["train"])
+    model, boosted = train(spark, s, *data["train"], log)
+    description = "\n".join([s.describe(), *log.lines()])
     minutes = int((time.time() - started) / 60)
     if s.save_model_to:
-        sinks.save_model(model, spark, f"{s.save_model_to}/{s.name}-{stamp}", s.describe(), cuts)
+        sinks.save_model(model, spark, f"{s.save_model_to}/{s.name}-{stamp}", description, cuts)
     if boosted is not None:
         sinks.write_curve(boosted, f"{out}/malis")
     partials = s.test_partial_models if s.test_partial_models is not None else (model.num_elems,)
@@ -68,15 +73,17 @@ def main(args: list[str], spark: SparkSession | None = None) -> dict:
             labelled = cut_lineage(scored.withColumns({
                 "split": F.lit(split), "folder": F.concat(F.lit("partial"), F.col("partial"))}))
             sinks.write_predictions(labelled.drop("folder"), f"{out}/table/{split}")
-            sinks.export_tiles(labelled, f"{out}/predictions", s.describe(), minutes, ("folder", "split", "tile"))
+            sinks.export_tiles(labelled, f"{out}/predictions", description, minutes, ("folder", "split", "tile"))
     return {"out": out, "model": model, "cuts": list(partials)}
 
 
 def evaluate_run(spark: SparkSession, out: str, partial: int, description: str = "") -> dict[str, float]:
     """Search thresholds on the training predictions, report, then apply the best one to the test tiles."""
     scored = spark.read.parquet(f"{out}/table/train").filter(F.col("partial") == partial)
-    lines = evaluate.report_lines(scored, description)
+    searches = evaluate.search_both(scored)
+    lines = evaluate.report_lines(scored, description, searches=searches)
     folder = f"{out}/predictions/partial{partial}"
+    sinks.write_text(f"{folder}/train/errors_new_curves.csv", evaluate.curve_lines(searches))
     sinks.write_text(f"{folder}/train/errors_new.txt", lines)
     found = float(next(line for line in lines if line.startswith(evaluate.BEST_RAND_LINE))[len(evaluate.BEST_RAND_LINE):])
     test = spark.read.parquet(f"{out}/table/test").filter(F.col("partial") == partial)

@@ -24,6 +24,7 @@ from silvagrid.functions.sampling import uniform_array
 from silvagrid.operators import binning, grid, splits
 from silvagrid.plans import boost, forest
 from silvagrid.plans.losses import Loss
+from silvagrid.plans.phases import PhaseLog
 from silvagrid.session import cut_lineage, delete_shared, write_shared
 
 #: Side of a block; with the default margin of 64 a block and its halo have 256 x 256 pixels.
@@ -191,14 +192,14 @@ class BlockLevels:
         delete_shared(self.labelled.sparkSession, self.stored)
 
 
-def fit_blocks(blocks: Blocks, labels: DataFrame, cfg: TreeConfig) -> forest.ForestModel:
+def fit_blocks(blocks: Blocks, labels: DataFrame, cfg: TreeConfig, log: PhaseLog | None = None) -> forest.ForestModel:
     """Train a forest on ``labels(tile, r, c, y1, y2, w, row_key)`` with the blocks' offset features."""
     labelled = with_pixels(blocks, labels, ["y1", "y2", "w", "row_key"]).persist()
     try:
         data = forest.TrainingSet(labels, blocks.thresholds, {})
         levels = BlockLevels(labelled, blocks, cfg)
         try:
-            return forest.grow(data, cfg, levels)
+            return forest.grow(data, cfg, levels, log)
         finally:
             levels.close()
     finally:

@@ -113,3 +113,38 @@ def test_named_root_only(tmp_path):
     listed = config.RunSettings.from_args([f"data_root={tmp_path}"])
     assert (listed.train_tiles, listed.test_tiles) == (("a",), ("b",))
     assert config.RunSettings.from_args(["subvolumes_train=x"]).test_tiles == ()
+
+
+def test_all_subsets_of_a_category(points):
+    """The root tries every subset of the values; deeper nodes predict what their rows say."""
+    rows = points.collect()
+    cfg = TreeConfig(max_depth=3, max_bins=32, categorical={0: 5}, subset_splits=True)
+    model = forest.fit_forest(points, ["cat"], "y1", "y2", cfg)
+    spread = lambda part: np.var([[r["y1"], r["y2"]] for r in part], axis=0).sum() * len(part) / len(rows) if part else 0.0
+    best = max(spread(rows) - spread([r for r in rows if mask >> r["cat"] & 1]) - spread([r for r in rows if not mask >> r["cat"] & 1])
+               for mask in range(1, 16))
+    assert model.tree(0)[1].gain == pytest.approx(best) and 4 not in model.tree(0)[1].categories
+    found = forest.predict(points, model, ["cat"]).groupBy("pred1", "pred2").agg(F.avg("y1").alias("m1"), F.avg("y2").alias("m2")).collect()
+    assert len(found) > 3 and all((r["pred1"], r["pred2"]) == pytest.approx((r["m1"], r["m2"])) for r in found)
+    ordered = forest.fit_forest(points, ["cat"], "y1", "y2", replace(cfg, max_bins=29))  # 30 subset bins do not fit
+    assert shape(ordered) == shape(forest.fit_forest(points, ["cat"], "y1", "y2", replace(cfg, subset_splits=False)))
+    with pytest.raises(ValueError, match="subset_splits"):
+        forest.fit_forest(points, ["cat"], "y1", "y2", replace(cfg, finish_rows=3))
+
+
+def test_phase_log(points):
+    """Rows, cells, nodes and groups of every level, counted by the level's own query."""
+    from silvagrid.plans.phases import PhaseLog
+
+    log = PhaseLog()
+    cfg = TreeConfig(max_depth=4, max_bins=8, finish_rows=100, max_memory_mb=2 * forest.histogram_bytes(1e9, [8] * 3, 3) / (1 << 20))
+    data = forest.prepare(points, FEATURES[:3], "y1", "y2", cfg)
+    model = forest.fit_prepared(data, cfg, log)
+    levels = [p for p in log.phases if p.name.startswith("level")]
+    assert [p.name for p in levels] == [f"level {i}" for i in range(len(levels))] and len(levels) == 4
+    assert levels[0].counters == {"groups": 1, "nodes": 1, "cells": 24, "rows": 900} and levels[0].seconds > 0
+    split = [n for n in model.nodes if not n.is_leaf]
+    for depth, phase in enumerate(levels[1:], 1):
+        # Small and pure nodes have left the levels.
+        assert 0 < phase.counters["rows"] <= sum(n.n for n in split if 1 << depth <= n.node_id < 2 << depth)
+    assert levels[2].counters["groups"] == 2 and log.phases[-1].name == "small nodes" and "rows 900" in log.lines()[0]

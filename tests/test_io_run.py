@@ -78,6 +78,11 @@ def test_formats_and_whole_run(spark, tmp_path):
     run.evaluate_run(spark, result["out"], 2)
     assert {x["partial"] for x in tiles.experiments(spark, result["out"], split="train").collect()} == {1}
     assert glob.glob(f"{result['out']}/predictions/partial2/test/errors_new_threshold.txt")
+    with open(f"{result['out']}/predictions/partial2/train/errors_new_curves.csv") as handle:
+        lines = [line.split(",") for line in handle.read().split("\n")[1:-1]]
+    assert {x[0] for x in lines} == {"rand", "pixel"} and any(x[7] == "1" for x in lines) and all(len(x) == 9 for x in lines)
+    with open(f"{folder}/description.txt") as handle:
+        assert "level 0: " in handle.read()
 
     saved = glob.glob(f"{tmp_path}/models/*")[0]
     loaded = sinks.load_model(spark, saved)
@@ -87,6 +92,8 @@ def test_formats_and_whole_run(spark, tmp_path):
 
     boosted = run.main([*args, f"loadModel={saved}", "iterations=1", "treesPerIteration=1", "testPartialModels=none"], spark)
     assert os.path.exists(f"{boosted['out']}/malis/malis.txt") and boosted["model"].strategy == "sum"
+    with pytest.raises(ValueError, match="unknown loss"):
+        run.main([*args, "iterations=1", "loss=cubic", "testPartialModels=none"], spark)
 
 
 def test_parts_and_segments(spark, tmp_path, monkeypatch):

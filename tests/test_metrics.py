@@ -75,3 +75,13 @@ def test_a_threshold_without_a_value_in_one_tile_is_not_pooled(spark):
                         "tile string, threshold double, tp double, fp double, pos double, neg double, err double, n long")
     for kind in ("rand", "pixel"):
         assert metrics.best_threshold(metrics.pool(stats, kind), kind).first()["threshold"] == 0.5
+
+
+def test_curves():
+    """Pair ROC keeps strict rises only; rates are shares of all pairs; the plotted range leaves out the outer halves."""
+    points = [(0.1 * i, 0.5, tp, fp) for i, (tp, fp) in enumerate([(6.0, 9.0), (4.0, 5.0), (3.0, 4.0), (5.0, 3.0), (1.0, 1.0), (None, None)])]
+    search = evaluate.Search(points, 0.1, 0.5, 10.0, 20.0)
+    lines = [x.split(",") for x in evaluate.curve_lines({"rand": search, "pixel": search}, first_grid=3)]
+    assert [x[7] for x in lines[1:7]] == ["1", "0", "0", "1", "1", "0"] and [x[7] for x in lines[7:]] == ["1"] * 5 + ["0"]
+    assert lines[1][5:7] == ["0.6", "0.45"] and lines[6][3:7] == [""] * 4
+    assert [x[8] for x in lines[1:7]] == ["0", "1", "1", "1", "1", "0"]
