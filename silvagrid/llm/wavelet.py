@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import count, islice
 from zlib import crc32
 
@@ -46,6 +47,8 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, values: np.ndarray, bits: int) -> WaveletMatrix:
+        if len(values) and int(values.max()) >> bits:
+            raise ValueError(f"{bits} planes do not hold the id {int(values.max())}")
         planes = []
         now = np.ascontiguousarray(values, np.uint32 if bits > 16 else np.uint16)
         for level in range(bits - 1, -1, -1):
@@ -223,6 +226,12 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """The encoder of a vocabulary file, which later tasks of a worker take over with the words it knows."""
+    return Encoder(path)
+
+
 class _Known(dict):
     """Ids of words, asked of the encoder where they are missing."""
 
@@ -253,7 +262,7 @@ def _write(folder: str, path: str, bits: int, end_id: int, shard_tokens: int):
         return pa.RecordBatch.from_arrays([pa.array([x], k) for x, (_, k) in zip(row, kinds)], schema=pa.schema(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, numbers = Encoder(path), count()
+        encode, numbers = encoder(path), count()
         held: list[np.ndarray] = []
         keys: list[int | None] = []
         tokens = 0
