@@ -283,7 +283,10 @@ WINDOWS = (f"{GRID}, dm AS (SELECT r // 64 AS tile, max(r % 64) + 1 AS h, CAST(6
            f"sw AS (SELECT tile, win, num_win, {_CORNER(0, 'h')} AS wr, {_CORNER(1, 'w')} AS wc, least(h, 16) AS wh, least(w, 16) AS ww FROM wi)")
 
 GRIDDED = {
-    "stencil_gather": f"WITH {GRID} SELECT CAST(0 AS BIGINT) AS tile, p.r, p.c, p.v AS x0, a.v AS x1, b.v AS x2 FROM px p LEFT JOIN px a ON a.r = p.r - 2 AND a.c = p.c + 1 LEFT JOIN px b ON b.r = p.r + 3 AND b.c = p.c - 4",
+    # Every pixel is looked at by the pixels that see it; one aggregation by coordinate gathers the looks.
+    "stencil_gather": f"WITH {GRID.replace('px AS (', 'px AS MATERIALIZED (', 1)}, looks AS (SELECT r, c, 0 AS k, v FROM px UNION ALL SELECT r + 2, c - 1, 1, v FROM px "
+        "UNION ALL SELECT r - 3, c + 4, 2, v FROM px) SELECT CAST(0 AS BIGINT) AS tile, r, c, max(v) FILTER (WHERE k = 0) AS x0, max(v) FILTER (WHERE k = 1) AS x1, "
+        "max(v) FILTER (WHERE k = 2) AS x2 FROM looks GROUP BY r, c HAVING count(*) FILTER (WHERE k = 0) > 0",
     "stencil_wide": f"WITH {GRID}, o AS {_OFFSETS} SELECT CAST(o.k AS INT) AS k, count(a.v) AS n, round(avg(a.v), 7) AS mean FROM o, px p LEFT JOIN px a ON a.r = p.r + o.dr AND a.c = p.c + o.dc GROUP BY o.k",
     "affinity_targets": f"WITH {GRID} SELECT r, c, CASE WHEN v > 0 AND lead(v) OVER (PARTITION BY c ORDER BY r) > 0 THEN 1 ELSE 0 END AS y1, CASE WHEN v > 0 AND lead(v) OVER (PARTITION BY r ORDER BY c) > 0 THEN 1 ELSE 0 END AS y2 FROM px",
     "segment_affinities_3d": f"WITH {GRID}, vx AS (SELECT px.r // 10 AS x, px.r % 10 AS y, px.c AS z, CASE WHEN v > 0 THEN label + 1 ELSE 0 END AS seg FROM px JOIN embeddings ON vec_id = px.r) SELECT x, y, z, "
