@@ -2,7 +2,7 @@
 
 Reading plans record-aligned ranges. Filters on ``tile`` and ``idx`` decide which ranges exist at all, and the schema
 names the record fields that are decoded. Writing stages files and moves them to their tile folders in the commit, so a
-job that fails leaves no tile behind.
+job whose tasks fail leaves no tile behind.
 """
 
 from __future__ import annotations
@@ -236,16 +236,22 @@ class TileWriter(DataSourceArrowWriter):
                     at += count
                 if not self.overwrite and self.layout.parts(tile):
                     raise ValueError(f"tile {tile} has a {self.layout.name} already")
-            for tile, runs in by_tile.items():
-                system.create_dir(f"{root}/{tile}", recursive=True)
-                old = {path for _, path, _ in self.layout.parts(tile)}
-                new = set()
+            staging = open_at(self.staging)[1]
+            for number, (tile, runs) in enumerate(by_tile.items()):
+                target = f"{root}/{tile}"
+                # A new tile is put together aside and appears by one rename; a folder with other files gets its parts one by one.
+                fresh = system.get_file_info(target).type == fs.FileType.NotFound
+                home = f"{staging}/tile-{number}" if fresh else target
+                old = set() if fresh else {path.rpartition("/")[2] for _, path, _ in self.layout.parts(tile)}
+                system.create_dir(home, recursive=True)
                 for part, (_, _, path) in enumerate(sorted(runs)):
-                    target = f"{root}/{tile}/{self.layout.part_name(part)}"
-                    system.move(path, target)
-                    new.add(f"{self.layout.root}/{tile}/{self.layout.part_name(part)}")
-                for path in old - new:
-                    system.delete_file(open_at(path)[1])
+                    system.move(path, f"{home}/{self.layout.part_name(part)}")
+                    old.discard(self.layout.part_name(part))
+                if fresh:
+                    system.create_dir(target.rpartition("/")[0], recursive=True)
+                    system.move(home, target)
+                for name in old:
+                    system.delete_file(f"{target}/{name}")
         finally:
             self.abort([])
 

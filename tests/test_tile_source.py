@@ -98,6 +98,16 @@ def test_parts(spark, tmp_path, monkeypatch):
     assert rows(tile_source.read_tiles(spark, str(tmp_path), WIDTH)) == rows(frame(spark, {"t": 2}))
 
 
+def test_nested_and_shared_folders(spark, tmp_path):
+    """A tile two folders deep, and one whose folder holds other files."""
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "targets.txt").write_text("1 0")
+    given = frame(spark, {"t": 4, "deep/er": 6})
+    tile_source.write_tiles(given, str(tmp_path), WIDTH)
+    assert rows(tile_source.read_tiles(spark, str(tmp_path), WIDTH, ["t", "deep/er"])) == rows(given)
+    assert sorted(os.listdir(tmp_path / "t"))[-1] == "targets.txt" and sorted(os.listdir(tmp_path)) == ["deep", "t"]
+
+
 def test_killed_task_leaves_no_tile(spark, tmp_path):
     """A worker that dies after other tasks have written: no tile, no staged file, and older tiles are untouched."""
     tile_source.write_tiles(frame(spark, {"old": 5}), str(tmp_path), WIDTH)
