@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from silvagrid.llm.common import byte_rows, discard, settle, slices
@@ -79,8 +79,8 @@ def _sign(size: int):
                     made[i] = row.tobytes()
             marks = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary()), pa.array(made, pa.binary())],
-                ["key", "n_shingles", "mark", "signature"])
+                [part.column("key"), part.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary()), pa.array(made, pa.binary())],
+                ["key", "row", "n_shingles", "mark", "signature"])
 
     return run
 
@@ -200,30 +200,55 @@ def near_duplicates(
     """(key, n_shingles, component_id, kept) per row: components of pairs with 100 |A n B| >= percent |A u B|.
 
     1. Each text becomes its set of distinct ``shingle``-word hashes (fewer words: the sequence as one) and a
-       signature of ``TREES`` x ``DEPTH`` minima. Equal sets are one class, represented by the smallest key.
+       signature of ``TREES`` x ``DEPTH`` minima. Equal sets are one class, represented by a row of the smallest key.
     2. Every tree sorts the classes by its signature values. Rows that share ``LEAST_DEPTH`` values form a region;
        inside it neighbours in the order share the longest prefix, so the depth that decides grows where a
        region is crowded. The order is range-partitioned with the key as last column: a region is no one task.
-    3. Of its neighbours each class checks the one whose signature agrees most, on the full sets. In each region that still holds several components, the rows outside
-       its largest one count their exact intersections with all other rows; large regions are cut
-       into blocks that meet two by two. What is already linked is not compared again, and nothing is capped.
+    3. Of its neighbours each class checks the one whose signature agrees most, on the full sets. In each region
+       that still holds several components, the rows outside its largest one count their exact intersections with
+       all other rows; large regions are cut into blocks that meet two by two. What is already linked is not
+       compared again, and nothing is capped.
 
     A pair at exactly 80 % shares no region with odds of 3e-5; a higher similarity is missed more rarely. Null and
     empty texts have no shingles and link with nothing: each is its own component, kept. A null key is a row of its own
-    (component null, kept); rows with equal keys are one node. An empty table gives no
-    rows. Only key and text are read, so extra or clashing columns do not matter.
+    (component null, kept). Rows that share a key but not the text are linked by their texts only, each on its own:
+    their key may have several components. An empty table gives no rows. Only key and text are
+    read, so extra or clashing columns do not matter.
     """
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    signed = settle(rows.mapInArrow(_sign(shingle), "key long, n_shingles long, mark binary, signature binary"), "signed")
-    found = signed.where("mark is not null and key is not null").groupBy("mark").agg(F.min(F.struct("key", "signature")).alias("m"))
-    classes = settle(found.select("mark", F.col("m.key").alias("rep"), F.col("m.signature").alias("signature")), "classes")
+    found = _grouped(docs, shingle, percent, key, text)
+    return found.select(
+        F.col("key").alias(key), "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, but of each component of ``near_duplicates`` only one document.
+
+    That is the one of the smallest key; of several texts under that key one stays. Rows that agree in key and text are one
+    document and stay or go together. Rows without a key or without shingles stay.
+    """
+    gone = _grouped(docs, shingle, percent, key, text).where("row <> first").select(F.col("row").alias("_gone")).distinct()
+    return docs.join(gone, _row(docs[key], docs[text]) == F.col("_gone"), "left_anti")
+
+
+def _row(key: Column, text: Column) -> Column:
+    """The name of a (key, text): rows that agree in both are one document."""
+    return F.xxhash64(key.cast("long"), text)
+
+
+def _grouped(docs: DataFrame, shingle: int, percent: int, key: str, text: str) -> DataFrame:
+    """(key, row, n_shingles, component_id, first) per row; ``first`` names the document that stands for the component."""
+    rows = docs.select(F.col(key).cast("long").alias("key"), _row(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text"))
+    signed = settle(rows.mapInArrow(_sign(shingle), "key long, row long, n_shingles long, mark binary, signature binary"), "signed")
+    found = signed.where("mark is not null and key is not null").groupBy("mark").agg(F.min(F.struct("key", "row", "signature")).alias("m"))
+    classes = settle(
+        found.select("mark", F.col("m.key").alias("key"), F.col("m.row").alias("rep"), F.col("m.signature").alias("signature")), "classes")
     labels = classes.select("rep", "signature").mapInArrow(_label, "tree int, region long, rest long, rep long")
     order = labels.repartitionByRange("tree", "region", "rest", "rep").sortWithinPartitions("tree", "region", "rest", "rep")
     near = settle(order.mapInArrow(_neighbours, "tree int, region long, rep long, other long"), "near")
 
-    met = near.select(F.explode(F.array("rep", "other")).alias("key")).distinct()
-    texts = rows.join(met, "key", "left_semi")
-    texts = settle(texts, "texts")
+    met = near.select(F.explode(F.array("rep", "other")).alias("row")).distinct()
+    # One text per name: repeated rows are the same text.
+    texts = settle(rows.select("row", "text").join(met, "row", "left_semi").groupBy("row").agg(F.first("text").alias("text")), "texts")
 
     def agreeing(pairs: DataFrame) -> DataFrame:
         sign = classes.select("rep", "signature")
@@ -259,8 +284,11 @@ def near_duplicates(
         _links_across(shingle, percent), "a long, b long")
     final = components(links.unionByName(settle(more, "links")))
     discard(placed)
-    homes = classes.select("mark", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "mark", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("key", "n_shingles", "mark").join(homes, "mark", "left").select(
-        F.col("key"), "n_shingles", F.coalesce(F.when(F.col("key").isNotNull(), F.col("component")), F.col("key")).alias("component_id"))
-    return out.select(F.col("key").alias(key), "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
+    homes = classes.select("mark", "key", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left").select(
+        "mark", "key", "rep", F.coalesce("component", "rep").alias("component"))
+    firsts = homes.groupBy("component").agg(F.min(F.struct("key", "rep")).alias("first"))
+    homes = homes.select("mark", "component").join(firsts, "component").select("mark", "first")
+    named = F.col("key").isNotNull()
+    return signed.select("key", "row", "n_shingles", "mark").join(homes, "mark", "left").select(
+        "key", "row", "n_shingles", F.coalesce(F.when(named, F.col("first.key")), F.col("key")).alias("component_id"),
+        F.coalesce(F.when(named, F.col("first.rep")), F.col("row")).alias("first"))

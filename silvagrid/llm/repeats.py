@@ -187,15 +187,20 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         row, first, last, gram, context = text_anchors(texts)
         names, once = np.unique(_in_row(row, context), return_index=True)
         once = once[np.isin(names, _wanted(part.column("contexts")))]
-        doc = part.column("doc").to_pylist()
-        out = [(int(gram[k]), int(context[k]), doc[row[k]], int(first[k]), texts[row[k]][first[k] : last[k] + SPAN]) for k in once.tolist()]
-        kinds = [("gram", pa.int64()), ("context", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("bytes", pa.binary())]
+        doc, tag = part.column("doc").to_pylist(), part.column("tag").to_pylist()
+        out = [
+            (int(gram[k]), int(context[k]), doc[row[k]], tag[row[k]], int(first[k]), texts[row[k]][first[k] : last[k] + SPAN])
+            for k in once.tolist()]
+        kinds = [(name, pa.int64()) for name in ("gram", "context", "doc", "tag", "at")] + [("bytes", pa.binary())]
         columns = zip(*out) if out else [[]] * len(kinds)
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, (_, k) in zip(columns, kinds)], schema=pa.schema(kinds))
 
 
-def repeated_starts(contexts: list[bytes], doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, place) of strings of SPAN bytes in these contexts that equal one at an earlier (doc, place) among them."""
+def repeated_starts(contexts: list[bytes], doc: np.ndarray, tag: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(doc, tag, place) of strings of SPAN bytes in these contexts that equal one of a smaller doc, or one before in the same text.
+
+    A text is a doc and a tag; texts of one doc do not repeat each other.
+    """
     lengths = np.array([len(x) for x in contexts])
     text = np.frombuffer(b"".join([x + b"\0" for x in contexts]), np.uint8).astype(np.int16) + 2
     ends = np.cumsum(lengths + 1) - 1
@@ -209,22 +214,32 @@ def repeated_starts(contexts: list[bytes], doc: np.ndarray, at: np.ndarray) -> t
     # Suffixes between two that share SPAN bytes share them too, so none was left out inside a group.
     group = np.cumsum(np.concatenate([[1], (shared[order[1:]] < SPAN)]).astype(np.int64)) if len(order) else order
     place = at[owner[order]] + order - (ends - lengths)[owner[order]]
-    home = doc[owner[order]]
-    ranked = np.lexsort((place, home, group))
-    lead = np.concatenate([[True], group[ranked][1:] != group[ranked][:-1]]) if len(order) else np.zeros(0, bool)
-    again = ranked[~lead]
-    return home[again], place[again]
+    home, text_tag = doc[owner[order]], tag[owner[order]]
+    ranked = np.lexsort((place, text_tag, home, group))
+    home, text_tag, place, group = home[ranked], text_tag[ranked], place[ranked], group[ranked]
+    if not len(ranked):
+        return home, text_tag, place
+
+    def first_of(new: np.ndarray) -> np.ndarray:
+        """Index of the row that opens the run of each row."""
+        return np.maximum.accumulate(np.where(np.concatenate([[True], new]), np.arange(len(ranked)), 0))
+
+    new_group = group[1:] != group[:-1]
+    new_text = new_group | (home[1:] != home[:-1]) | (text_tag[1:] != text_tag[:-1])
+    again = (home > home[first_of(new_group)]) | (place > place[first_of(new_text)])
+    return home[again], text_tag[again], place[again]
 
 
 def _sort_shard(group: pa.Table) -> pa.Table:
-    """Ranges of repeated bytes (doc, start, stop) among the contexts of a shard."""
-    doc, at = group.column("doc").to_numpy(), group.column("at").to_numpy()
-    home, place = repeated_starts(group.column("bytes").to_pylist(), doc, at)
-    order = np.lexsort((place, home))
-    home, place = home[order], place[order]
-    new = np.concatenate([[True], (home[1:] != home[:-1]) | (place[1:] > place[:-1] + SPAN)]) if len(home) else np.zeros(0, bool)
+    """Ranges of repeated bytes (doc, tag, start, stop) among the contexts of a shard."""
+    named = (group.column(c).to_numpy() for c in ("doc", "tag", "at"))
+    home, tag, place = repeated_starts(group.column("bytes").to_pylist(), *named)
+    order = np.lexsort((place, tag, home))
+    home, tag, place = home[order], tag[order], place[order]
+    other = (home[1:] != home[:-1]) | (tag[1:] != tag[:-1])
+    new = np.concatenate([[True], other | (place[1:] > place[:-1] + SPAN)]) if len(home) else np.zeros(0, bool)
     ends = place[np.append(np.flatnonzero(new)[1:] - 1, len(home) - 1)] if len(home) else place
-    return pa.table({"doc": home[new], "start": place[new], "stop": ends + SPAN})
+    return pa.table({"doc": home[new], "tag": tag[new], "start": place[new], "stop": ends + SPAN})
 
 
 def _covered(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -237,11 +252,25 @@ def _covered(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _inner(text: bytes, first: np.ndarray, last: np.ndarray, gram: np.ndarray, context: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of strings that repeat inside one text, among its contexts whose gram occurs in several of them."""
+    once = np.sort(np.unique(context, return_index=True)[1])
+    _, home, times = np.unique(gram[once], return_inverse=True, return_counts=True)
+    once = once[times[home] > 1]
+    if not len(once):
+        return []
+    zero = np.zeros(len(once), np.int64)
+    bounds = zip(first[once].tolist(), (last[once] + SPAN).tolist())
+    place = repeated_starts([text[a:b] for a, b in bounds], zero, zero, first[once])[2]
+    return [(p, p + SPAN) for p in place.tolist()]
+
+
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text's repeated ranges: later contexts, contexts repeated inside the text, and what the shards found."""
     for part in slices(batches, "text", BATCH_BYTES):
         texts = byte_rows(part, "text")
-        row, first, last, _, context = text_anchors(texts)
+        row, first, last, gram, context = text_anchors(texts)
+        nameless = part.column("doc").is_null().to_pylist()
         cuts = np.searchsorted(row, np.arange(len(texts) + 1))
         names = _in_row(row, context)
         again = np.isin(names, _wanted(part.column("later")))
@@ -252,6 +281,9 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, cut in enumerate(part.column("cut").to_pylist()):
             here = np.flatnonzero(again[cuts[i] : cuts[i + 1]]) + cuts[i]
             spans = list(zip(first[here].tolist(), (last[here] + SPAN).tolist()))
+            if nameless[i]:  # no shard has this row's contexts
+                mine = slice(cuts[i], cuts[i + 1])
+                spans += _inner(texts[i], first[mine], last[mine], gram[mine], context[mine])
             spans = _covered(spans + [(c["start"], c["stop"]) for c in cut or []])
             at, rest = 0, []
             for start, stop in spans:
@@ -277,19 +309,19 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     that meet two by two. (3) Documents join their ranges.
 
     Null and empty texts have no bytes; texts under ``SPAN`` bytes lose nothing; texts of any length are read whole. Rows
-    that share a key are one document to each other: what they have in common is not removed, but what
-    another document has is. A row with a null key keeps its repeats with other rows, and loses
-    those inside it. Other columns are not read; an empty table gives no rows.
+    that share a key stand beside each other, told apart by a digest of the text: what they have in common is
+    not removed, but what a smaller key has is, and what stands earlier in the row itself. A row with a null key keeps
+    its repeats with other rows, and loses those inside it. Other columns are not read; an empty table gives no rows.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(F.col(text)).alias("tag"), F.col(text).alias("text"))
     named = rows.where("doc is not null")
-    listed = named.mapInArrow(_list_contexts, "gram long, context long, doc long")
+    listed = named.select("doc", "text").mapInArrow(_list_contexts, "gram long, context long, doc long")
     sorted_ = listed.repartition("gram").sortWithinPartitions("gram", "context", "doc")
     chosen = settle(sorted_.mapInArrow(_select_contexts, "context long, doc long, first boolean"), "contexts")
 
     wanted = chosen.where("first").groupBy("doc").agg(F.collect_list("context").alias("contexts"))
-    cut = named.join(wanted, "doc").select("doc", "text", "contexts").mapInArrow(
-        _cut_contexts, "gram long, context long, doc long, at long, bytes binary")
+    cut = named.join(wanted, "doc").select("doc", "tag", "text", "contexts").mapInArrow(
+        _cut_contexts, "gram long, context long, doc long, tag long, at long, bytes binary")
     cut = settle(cut, "bytes")
     counts = cut.groupBy("gram").agg(F.count("*").alias("n"))
     shards = max(1, -(-(cut.agg(F.sum(F.length("bytes"))).first()[0] or 0) // SHARD_BYTES))
@@ -301,12 +333,13 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     dealt = dealt.select(
         F.when(whole, F.pmod(F.xxhash64("gram"), F.lit(shards))).otherwise(F.col("gram")).alias("shard"),
         F.when(whole, -1).otherwise(F.least("block", "other")).alias("i"),
-        F.when(whole, -1).otherwise(F.greatest("block", "other")).alias("j"), "doc", "at", "bytes")
-    found = settle(dealt.groupBy("shard", "i", "j").applyInArrow(_sort_shard, "doc long, start long, stop long"), "ranges")
+        F.when(whole, -1).otherwise(F.greatest("block", "other")).alias("j"), "doc", "tag", "at", "bytes")
+    found = settle(dealt.groupBy("shard", "i", "j").applyInArrow(_sort_shard, "doc long, tag long, start long, stop long"), "ranges")
 
     later = chosen.where("not first").groupBy("doc").agg(F.collect_list("context").alias("later"))
-    cuts = found.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("cut"))
-    both = rows.join(later.join(cuts, "doc", "full"), "doc", "left").select("doc", "text", "later", "cut")
+    cuts = found.groupBy("doc", "tag").agg(F.collect_set(F.struct("start", "stop")).alias("cut"))
+    listed_rows = named.select("doc", "tag").distinct().join(later, "doc").join(cuts, ["doc", "tag"], "full")
+    both = rows.join(listed_rows, ["doc", "tag"], "left").select("doc", "text", "later", "cut")
     done = both.mapInArrow(
         _ranges, "doc long, n_bytes long, spans array<struct<start:long,stop:long>>, kept_sha256 string")
     return done.withColumnRenamed("doc", key)
