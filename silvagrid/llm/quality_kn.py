@@ -1,4 +1,9 @@
-"""Quality classifier: interpolated modified Kneser-Ney model of trusted text, perplexity per document, language quantiles."""
+"""Quality classifier: interpolated modified Kneser-Ney model of trusted text, perplexity per document, language quantiles.
+
+The tokens are UTF-16 code units, so every script has its own letters and the table of grams grows with the corpus. It is
+never held in one place: grams are counted, discounted and interpolated by joins on gram, history and suffix, and a
+block of documents asks for its distinct grams once.
+"""
 
 from __future__ import annotations
 
@@ -6,17 +11,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from silvagrid.llm.common import byte_rows, settle, slices
 from silvagrid.session import lookup_join
 
-#: Length of the grams, and bits of a symbol: the whole table has at most 2 ** (ORDER * BITS) rows, whatever the input.
-ORDER, BITS = 4, 5
+#: Length of the grams and bits of a symbol: a gram is one long.
+ORDER, BITS = 4, 16
 SYMBOLS = 1 << BITS
-BATCH_BYTES = 4 << 20
+#: Text bytes of a block, which asks for its distinct grams once, and symbols that are looked up at a time.
+BLOCK_BYTES, CHUNK = 32 << 20, 1 << 20
 #: Symbols at the trusted mean that every document is given beforehand, so that a few odd words do not decide.
 PRIOR = 60
 #: Quantile of the trusted documents of a language beyond which a document is rejected.
@@ -25,75 +32,99 @@ ACCURACY = 100_000
 #: One trusted document in so many does not train the model but sets the limits, as text that the model saw looks too plain.
 APART = 5
 
-#: Symbol classes of UTF-8 bytes: white space 0, a-z 1 to 26, letters beyond ASCII 27 (once per character),
-#: A-Z 28, digits 29, punctuation of sentences 30, all else 31; continuation bytes are skipped (255).
-_CLASS = np.full(256, 31, np.uint8)
-_CLASS[[9, 10, 11, 12, 13, 32]] = 0
-_CLASS[97:123] = np.arange(1, 27)
-_CLASS[0xC0:] = 27
-_CLASS[65:91] = 28
-_CLASS[48:58] = 29
-_CLASS[list(b".,;:!?'\"()-")] = 30
-_CLASS[0x80:0xC0] = 255
-
-
-def _symbols(data: np.ndarray) -> np.ndarray:
-    found = _CLASS[data]
-    found[:-1][(data[:-1] == 0xC3) & (data[1:] < 0x9F)] = 28  # capital letters of Latin-1
-    return found[found != 255]
-
-
-def gram_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all grams of the texts (one per symbol; a text begins behind blanks), and symbols per text."""
-    symbols = [_symbols(np.frombuffer(t, np.uint8)) for t in texts]
-    lengths = np.array([len(x) for x in symbols])
-    lead = np.zeros(ORDER - 1, np.uint8)
-    line = np.concatenate([part for x in symbols for part in (lead, x)] + [lead[:0]]).astype(np.int32)
-    code = np.zeros(len(line), np.int32)
-    for back in range(ORDER):
-        code[back:] |= line[: len(line) - back] << (BITS * back)
-    inside = np.ones(len(line), bool)
-    starts = np.cumsum(lengths + ORDER - 1) - (lengths + ORDER - 1)
-    for i in range(ORDER - 1):
-        inside[starts + i] = False
-    return code[inside], lengths
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = np.zeros(1 << (ORDER * BITS), np.int64)
-    for part in slices(batches, "text", BATCH_BYTES):
-        held += np.bincount(gram_codes(byte_rows(part, "text"))[0], minlength=len(held))
-    code = np.flatnonzero(held)
-    yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(held[code])], ["code", "n"])
-
-
-def train(trusted: DataFrame, text: str = "text") -> dict[str, np.ndarray]:
-    """Discounted shares and back-off weights of every order, from counts sharded by gram and by history.
-
-    The highest order counts occurrences, lower ones the different symbols seen before. Every order joins its grams with
-    the totals of their histories. The result has a bounded number of rows and comes to the driver:
-    arrays ``share1`` ... and ``weight1`` ... over all codes.
-    """
-    table = trusted.select(F.col(text).alias("text")).mapInArrow(_count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    model: dict[str, np.ndarray] = {}
-    for order in range(ORDER, 0, -1):
-        table = settle(table, f"grams{order}")
-        ones = table.agg(*[F.count(F.when(F.col("n") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)]).first()
-        cut = discounts(*ones)
-        discount = F.when(F.col("n") == 1, cut[0]).when(F.col("n") == 2, cut[1]).otherwise(cut[2])
-        grams = table.select("code", "n", F.shiftright("code", BITS).alias("history"), discount.alias("cut"))
-        histories = grams.groupBy("history").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("weight"))
-        shares = grams.join(histories, "history").select("code", ((F.col("n") - F.col("cut")) / F.col("total")).alias("share"))
-        for name, rows, at, value, size in (
-            ("share", shares, "code", "share", 1 << (BITS * order)),
-            ("weight", histories, "history", "weight", 1 << (BITS * (order - 1))),
-        ):
-            got = rows.select(at, value).toArrow()
-            dense = np.zeros(size) if name == "share" else np.ones(size)  # an unseen history leaves all to the order below
-            dense[got.column(at).to_numpy()] = got.column(value).to_numpy()
-            model[f"{name}{order}"] = dense
-        table = table.groupBy(F.col("code").bitwiseAND((1 << (BITS * (order - 1))) - 1).alias("code")).agg(F.count("*").alias("n"))
-    return model
+#: What a document is to the model.
+OTHER, TRAINS, HELD = 0, 1, 2
+
+
+def _symbols(text: bytes) -> np.ndarray:
+    """UTF-16 code units, white space as blanks; a text begins behind ORDER - 1 zeros."""
+    units = np.frombuffer(text.decode("utf-8", "replace").encode("utf-16-le", "surrogatepass"), np.uint16)
+    units = np.where((units >= 9) & (units <= 13), np.uint16(32), units)
+    return np.concatenate([np.zeros(ORDER - 1, np.uint16), units])
+
+
+def gram_codes(symbols: np.ndarray) -> np.ndarray:
+    """Grams that end at each symbol behind the first ORDER - 1, the latest symbol in the lowest bits."""
+    wide = symbols.astype(np.uint64)
+    code = np.zeros(max(0, len(wide) - ORDER + 1), np.uint64)
+    for place in range(ORDER):
+        code = (code << np.uint64(BITS)) | wide[place : place + len(code)]
+    return code.view(np.int64)
+
+
+def _chunks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(codes, row of each) in portions of about CHUNK symbols; a long text comes in several."""
+    codes: list[np.ndarray] = []
+    rows: list[np.ndarray] = []
+    held = 0
+    for row, text in enumerate(texts):
+        line = _symbols(text)
+        for start in range(0, len(line) - ORDER + 1, CHUNK):
+            codes.append(gram_codes(line[start : start + CHUNK + ORDER - 1]))
+            rows.append(np.full(len(codes[-1]), row))
+            held += len(codes[-1])
+            if held >= CHUNK:
+                yield np.concatenate(codes), np.concatenate(rows)
+                codes, rows, held = [], [], 0
+    if held:
+        yield np.concatenate(codes), np.concatenate(rows)
+
+
+def _merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, with the sums of their counts."""
+    code = np.concatenate([np.zeros(0, np.int64), *codes])
+    count = np.concatenate([np.zeros(0, np.int64), *counts])
+    order = np.argsort(code, kind="stable")
+    code, count = code[order], count[order]
+    starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    return code[starts], np.add.reduceat(count, starts) if len(starts) else count
+
+
+def _pack(names: list[str]):
+    """Rows to blocks: (block, rows as a compressed Arrow stream, distinct grams, their occurrences in trusted rows)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home, made = TaskContext.get().partitionId() << 32, 0
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def block() -> pa.RecordBatch:
+            codes, counts = [], []
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for part in held:
+                    out.write_batch(part)
+            for part in held:
+                trust = part.column("_part").to_numpy() == TRAINS
+                for code, row in _chunks(byte_rows(part, "text")):
+                    for mine, weight in ((trust[row], 1), (~trust[row], 0)):
+                        found, times = np.unique(code[mine], return_counts=True)
+                        codes.append(found)
+                        counts.append(times * weight)
+                if sum(map(len, codes)) > 4 * CHUNK:
+                    codes, counts = ([x] for x in _merged(codes, counts))
+            code, count = _merged(codes, counts)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([home + made], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()),
+                 pa.array([code], pa.list_(pa.int64())), pa.array([count], pa.list_(pa.int64()))], ["block", "rows", "grams", "counts"])
+
+        for part in slices(batches, "text", BLOCK_BYTES):
+            held.append(part.select([*names, "_part"]))
+            size += part.column("text").nbytes
+            if size >= BLOCK_BYTES:
+                yield block()
+                held, size, made = [], 0, made + 1
+        if held:
+            yield block()
+
+    return run
+
+
+def _list_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        grams, block = batch.column("grams"), batch.column("block").to_numpy()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(block[grams.value_parent_indices().to_numpy()]), grams.flatten(), batch.column("counts").flatten()], ["block", "gram", "n"])
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -105,88 +136,121 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k - 0.05) for d, k in zip(raw, (1, 2, 3)))
 
 
-def surprise(model: dict[str, np.ndarray]) -> np.ndarray:
-    """-ln P(last symbol | those before) for every gram code."""
-    below = np.full(1, 1 / SYMBOLS)
-    for order in range(1, ORDER + 1):
-        codes = np.arange(1 << (BITS * order))
-        below = model[f"share{order}"] + model[f"weight{order}"][codes >> BITS] * below[codes & ((1 << (BITS * (order - 1))) - 1)]
-    return -np.log(np.maximum(below, 1e-12)).astype(np.float32)
-
+def probabilities(grams: DataFrame) -> DataFrame:
+    """(gram, p) for the grams of a table (gram, n): p of the last symbol behind the others.
 
-def _score(cost, names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", BATCH_BYTES):
-            codes, lengths = gram_codes(byte_rows(part, "text"))
-            full = np.flatnonzero(lengths)
-            sums = np.zeros(len(lengths))
-            if len(full):  # summed per document, so that the place in the batch does not show in the last digits
-                sums[full] = np.add.reduceat(cost.value[codes].astype(np.float64), (np.cumsum(lengths) - lengths)[full])
-            yield pa.RecordBatch.from_arrays(
-                [*(part.column(c) for c in names), pa.array(lengths), pa.array(sums)], [*names, "_symbols", "_cost"])
+    ``n`` are occurrences in trusted text, 0 for a gram that is only asked for. The highest order counts occurrences,
+    lower ones the different symbols seen before. Each order joins its grams with the totals of their histories and
+    with the probabilities of their suffixes.
+    """
+    orders: list[DataFrame] = []
+    table = grams
+    for order in range(ORDER, 0, -1):
+        table = settle(table, f"grams{order}")
+        ones = table.agg(*[F.count(F.when(F.col("n") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)]).first()
+        cut = discounts(*ones)
+        suffix = F.col("gram").bitwiseAND(F.lit((1 << (BITS * (order - 1))) - 1).cast("long"))
+        discount = F.when(F.col("n") == 0, 0.0).when(F.col("n") == 1, cut[0]).when(F.col("n") == 2, cut[1]).otherwise(cut[2])
+        rows = table.select("gram", "n", suffix.alias("suffix"), F.shiftrightunsigned("gram", BITS).alias("history"), discount.alias("cut"))
+        totals = rows.groupBy("history").agg(F.sum("n").alias("total"), F.sum("cut").alias("cuts"))
+        total = F.col("total")
+        # A history that trusted text lacks leaves all to the order below.
+        share = F.when(total > 0, (F.col("n") - F.col("cut")) / total).otherwise(0.0)
+        weight = F.when(total > 0, F.col("cuts") / total).otherwise(1.0)
+        orders.append(rows.join(totals, "history").select("gram", "suffix", share.alias("share"), weight.alias("weight")))
+        table = rows.groupBy("suffix").agg(F.count(F.when(F.col("n") > 0, 1)).alias("n")).withColumnRenamed("suffix", "gram")
+    below = None
+    for rows in reversed(orders):
+        if below is None:
+            found = rows.withColumn("p", F.col("share") + F.col("weight") / SYMBOLS)
+        else:
+            found = rows.join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("lower")), "suffix")
+            found = found.withColumn("p", F.col("share") + F.col("weight") * F.col("lower"))
+        below = settle(found.select("gram", "p"), "probabilities")
+    return below
+
+
+def _score(names: list[str]):
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        gram, cost = answers.column("gram").to_numpy(), -np.log(np.maximum(answers.column("p").to_numpy(), 1e-12))
+        order = np.argsort(gram)
+        gram, cost = gram[order], cost[order]
+        found = []
+        for data in blocks.column("rows"):
+            for part in pa.ipc.open_stream(data.as_buffer()):
+                symbols, sums = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows)
+                for code, row in _chunks(byte_rows(part, "text")):
+                    starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                    # Summed per document, so that the place in the block does not show in the last digits.
+                    sums[row[starts]] += np.add.reduceat(cost[np.searchsorted(gram, code)], starts)
+                    symbols[row[starts]] += np.diff(np.append(starts, len(row)))
+                found.append(pa.Table.from_arrays(
+                    [*[part.column(c) for c in names], part.column("_part"), pa.array(symbols), pa.array(sums)],
+                    [*names, "_part", "_symbols", "_cost"]))
+        return pa.concat_tables(found)
 
     return run
 
 
-def _scored(docs: DataFrame, cost, names: list[str]) -> DataFrame:
-    """The named columns with the symbols of the text and what they cost under the model."""
-    kept = [f for f in docs.schema.fields if f.name in names]
-    schema = StructType([*kept, StructField("_symbols", LongType()), StructField("_cost", DoubleType())])
-    return docs.mapInArrow(_score(cost, [f.name for f in kept]), schema)
-
-
-class Fitted:
-    """A trained model: broadcast costs, scores of all documents, trusted mean, limits of the languages and of all."""
-
-    def __init__(self, docs: DataFrame, labels: DataFrame, quantile: float):
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
-            F.min((F.col("quality") == 1) & F.coalesce(F.col("toxic") == 0, F.lit(False))).alias("good"))
-        good = good.where("good").select("doc_id")
-        apart = F.pmod(F.xxhash64("doc_id"), F.lit(APART)) == 0
-        # The hint keeps one plan at every size: the ids are never broadcast.
-        trusted = rows.join(good.where(~apart).hint("shuffle_hash"), "doc_id", "left_semi")
-        self.cost = docs.sparkSession.sparkContext.broadcast(surprise(train(trusted)))
-        self.scores = settle(_scored(docs.select("doc_id", "lang", "text"), self.cost, ["doc_id", "lang"]), "scores")
-        held = self.scores.where("_symbols > 0").join(good.where(apart), "doc_id", "left_semi")
-        self.mean = held.agg(F.sum("_cost") / F.sum("_symbols")).first()[0] or 0.0
-        held = held.select(F.coalesce("lang", F.lit("")).alias("_lang"), self.perplexity().alias("perplexity"))
-        limit = F.percentile_approx("perplexity", quantile, ACCURACY).alias("_limit")
-        self.overall = held.agg(limit).first()[0]
-        self.limits = settle(held.groupBy("_lang").agg(limit), "limits")
-
-    def perplexity(self) -> Column:
-        smooth = F.exp((F.col("_cost") + PRIOR * self.mean) / (F.col("_symbols") + PRIOR))
-        return F.when(F.col("_symbols") > 0, smooth)
-
-    def judged(self, scores: DataFrame) -> DataFrame:
-        """Rows with _symbols and _cost, with _perplexity, _threshold and _kept added."""
-        found = scores.withColumn("_lang", F.coalesce("lang", F.lit("")))
-        found = lookup_join(found, self.limits, ["_lang"], self.limits.count(), ["doc_id"], "left")
-        found = found.withColumn("_threshold", F.coalesce("_limit", F.lit(self.overall).cast("double")))
-        found = found.withColumn("_perplexity", self.perplexity())
-        fine = F.coalesce(F.col("_perplexity") <= F.col("_threshold"), F.lit(True))
-        return found.withColumn("_kept", F.col("_perplexity").isNotNull() & fine)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """(doc_id, part) of the documents whose labels all say quality 1 and toxic 0: one in ``APART`` is HELD, the rest TRAINS."""
+    good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
+        F.min((F.col("quality") == 1) & F.coalesce(F.col("toxic") == 0, F.lit(False))).alias("good"))
+    apart = F.pmod(F.xxhash64("doc_id"), F.lit(APART)) == 0
+    return good.where("good and doc_id is not null").select("doc_id", F.when(apart, HELD).otherwise(TRAINS).alias("part"))
+
+
+def scored(docs: DataFrame, labels: DataFrame, read: list[str], columns: list[str]) -> DataFrame:
+    """The named columns of every row (of those read) with _part, _symbols and _cost (the sum of -ln p under the model)."""
+    ids = settle(trusted_ids(labels), "trusted")
+    named = [F.col(f"`{c}`") for c in read]
+    marked = docs.select(*named, F.col("doc_id").cast("long").alias("_trust_id"))
+    marked = lookup_join(marked, ids.toDF("_trust_id", "_of"), ["_trust_id"], ids.count(), ["text"], "left")
+    marked = marked.select(*named, F.coalesce("_of", F.lit(OTHER)).alias("_part"))
+    blocks = settle(marked.mapInArrow(_pack(read), "block long, rows binary, grams array<long>, counts array<long>"), "blocks")
+    asked = blocks.select("block", "grams", "counts").mapInArrow(_list_grams, "block long, gram long, n long")
+    model = probabilities(asked.groupBy("gram").agg(F.sum("n").alias("n")))
+    answers = asked.select("block", "gram").join(model, "gram")
+    more = [StructField("_part", IntegerType()), StructField("_symbols", LongType()), StructField("_cost", DoubleType())]
+    return blocks.select("block", "rows").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        _score(columns), StructType([*[docs.schema[c] for c in columns], *more]))
+
+
+def _judged(docs: DataFrame, labels: DataFrame, quantile: float, read: list[str], columns: list[str]) -> DataFrame:
+    """The named columns with _symbols, _perplexity, _threshold and _kept."""
+    rows = settle(scored(docs, labels, read, columns), "scores")
+    held = rows.where((F.col("_symbols") > 0) & (F.col("_part") == HELD))
+    mean = held.agg(F.sum("_cost") / F.sum("_symbols")).first()[0] or 0.0
+    smooth = F.exp((F.col("_cost") + PRIOR * mean) / (F.col("_symbols") + PRIOR))
+    perplexity = F.when(F.col("_symbols") > 0, smooth)
+    held = held.select(F.coalesce("lang", F.lit("")).alias("_lang"), perplexity.alias("perplexity"))
+    limit = F.percentile_approx("perplexity", quantile, ACCURACY).alias("_limit")
+    overall = held.agg(limit).first()[0]
+    limits = settle(held.groupBy("_lang").agg(limit), "limits")
+    found = rows.withColumn("_lang", F.coalesce("lang", F.lit("")))
+    found = lookup_join(found, limits, ["_lang"], limits.count(), ["doc_id"], "left")
+    found = found.withColumn("_threshold", F.coalesce("_limit", F.lit(overall).cast("double"))).withColumn("_perplexity", perplexity)
+    fine = F.coalesce(F.col("_perplexity") <= F.col("_threshold"), F.lit(True))
+    return found.withColumn("_good", F.col("_perplexity").isNotNull() & fine)
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, n_symbols, perplexity, threshold and kept for every row of ``docs``.
 
     Trusted texts are those with a label of quality 1 and toxic 0, all of them: four fifths train the model, the rest
-    set the limits. A document's perplexity per symbol, smoothed by ``PRIOR`` symbols at the trusted mean, must not exceed
-    the ``quantile`` of the set-apart documents of its language; a language without any takes that of all. An empty or
-    null text is rejected, its perplexity null; null language is a language. Without trusted
+    set the limits. A document's perplexity per symbol (UTF-16 code unit), smoothed by ``PRIOR`` symbols at the trusted mean,
+    must not exceed the ``quantile`` of the set-apart documents of its language; a language without any takes that of all. An
+    empty or null text is rejected, its perplexity null; null language is a language. Without trusted
     text every document with symbols is kept. Repeated rows are judged alike; several labels of one id trust
     it if all do. Only doc_id, text and lang are read.
     """
-    fitted = Fitted(docs, labels, quantile)
-    return fitted.judged(fitted.scores).select(
+    return _judged(docs, labels, quantile, ["doc_id", "lang", "text"], ["doc_id", "lang"]).select(
         "doc_id", "lang", F.col("_symbols").alias("n_symbols"), F.col("_perplexity").alias("perplexity"),
-        F.col("_threshold").alias("threshold"), F.col("_kept").alias("kept"))
+        F.col("_threshold").alias("threshold"), F.col("_good").alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """The rows of ``docs``, all columns, that ``judge_quality`` keeps."""
-    fitted = Fitted(docs, labels, quantile)
-    found = fitted.judged(_scored(docs, fitted.cost, docs.columns))
-    return found.where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain = [c if c in ("doc_id", "lang", "text") else f"other{i}" for i, c in enumerate(docs.columns)]
+    found = _judged(docs.toDF(*plain), labels, quantile, plain, plain)
+    return found.where("_good").select(*plain).toDF(*docs.columns)

@@ -327,12 +327,6 @@ def test_quality(spark, docs, messy, none):
     assert quality_kn.judge_quality(none, labels).count() == 0
 
 
-def test_model_is_a_distribution(spark):
-    text = small_frame(ship_package(spark), [(prose(i, 40),) for i in range(20)], "text string")
-    share = np.exp(-quality_kn.surprise(quality_kn.train(text)).astype(float)).reshape(-1, quality_kn.SYMBOLS).sum(1)
-    assert np.allclose(share, 1, atol=1e-3)
-
-
 def test_discounts():
     assert quality_kn.discounts(0, 0, 0, 0) == (0.5, 0.5, 0.5)
     y = 100 / 180
