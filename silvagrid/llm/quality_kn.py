@@ -24,6 +24,8 @@ ORDER, BITS = 4, 16
 SYMBOLS = 1 << BITS
 #: Text bytes of a block, which asks for its distinct grams once, and symbols that are looked up at a time.
 BLOCK_BYTES, CHUNK = 32 << 20, 1 << 20
+#: zstd level of the waiting rows, which are written once and shuffled once.
+LEVEL = 9
 #: Symbols at the trusted mean that every document is given beforehand, so that a few odd words do not decide.
 PRIOR = 60
 #: Quantile of the trusted documents of a language beyond which a document is rejected.
@@ -91,7 +93,8 @@ def _pack(names: list[str]):
         def block() -> pa.RecordBatch:
             codes, counts = [], []
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            packing = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL), use_threads=False)
+            with pa.ipc.new_stream(sink, held[0].schema, options=packing) as out:
                 for part in held:
                     out.write_batch(part)
             for part in held:
