@@ -99,7 +99,9 @@ def build_packed(items: list[tuple[int, bytes]], width: int) -> bytes:
         for end, word in enumerate(words, 1):
             state = automaton.edges[state][word]
             if number and end >= size:
-                marks[automaton.suffix_state(state, size), size].add(item)
+                # The next window starts from this one's state, so each link is walked once.
+                state = automaton.suffix_state(state, size)
+                marks[state, size].add(item)
     pairs = sorted({p for _, words in coded for p in zip(words, words[1:])})
     edges = [(s, w, t) for s, e in enumerate(automaton.edges) for w, t in e.items()]
     spots = list(marks)
@@ -133,6 +135,11 @@ class Matcher:
         self.items = [items[e - n : e].tolist() for e, n in zip(cuts, counts)]
         for i, (s, n) in enumerate(zip(spot.tolist(), size.tolist())):
             self.marks[s].append((n, i))
+        #: The next marked state on the way of suffix links; windows are of at most ``width`` sizes, so few follow each other.
+        self.near = [0] * len(self.link)
+        for s in np.argsort(length, kind="stable").tolist()[1:]:
+            up = self.link[s]
+            self.near[s] = up if up in self.marks else self.near[up]
         self.least = int(size.min()) if len(size) else 0
         self.pairs = np.zeros(PAIR_SLOTS, bool)
         self.pairs[self._slot(first, second)] = True
@@ -173,13 +180,13 @@ class Matcher:
                     held += 1
                 else:
                     held = 0
-                up = state
+                up = state if state in self.marks else self.near[state]
                 while up > 0:
-                    for size, spot in self.marks.get(up, ()):
+                    for size, spot in self.marks[up]:
                         if size <= held:
                             spans.append((at + 1 - size, at + 1))
                             met.add(spot)
-                    up = self.link[up]
+                    up = self.near[up]
         return spans, {i for spot in met for i in self.items[spot]}
 
 
