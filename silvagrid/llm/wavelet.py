@@ -291,8 +291,8 @@ def write_tokens(
     text), sorted inside, and each task closes a file after ``shard_tokens`` tokens. A file is written aside and moved, so a
     repeated task replaces it by the same content. ``bits`` must hold the largest id.
 
-    Null keys come first; null text is empty and gives the end id alone; equal keys are ordered by text
-    and all kept; other columns are not read; an empty table writes no file.
+    Null keys come first; null text is empty and gives the end id alone; equal keys are ordered by the
+    hash of their texts, then by text, and all kept; other columns are not read; an empty table writes no file.
     """
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     dealt = rows.repartitionByRange("key", F.xxhash64("text")).sortWithinPartitions("key", F.xxhash64("text"), "text")
