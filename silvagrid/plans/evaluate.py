@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silvagrid.functions.text import BEST_RAND_LINE
-from silvagrid.operators import grid, metrics, segment
-from silvagrid.session import cut_lineage
+from silvagrid.operators import grid, metrics, rand_tiles, segment
+from silvagrid.session import cut_lineage, delete_shared, fits_broadcast, write_shared
 
 # Fixed search grid: start, step, end and the finest step.
 GRID_START, GRID_STEP, GRID_END, MIN_STEP = 0.5, 0.05, 1.2, 0.001
@@ -51,17 +51,48 @@ def segment_at(forest: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     return segment.marker_watershed(weak, markers, keys)
 
 
+@dataclass
+class RandInput:
+    """What every threshold reads: packed rows of bounded tiles; pixels, forest and truth of larger ones."""
+
+    packed: DataFrame
+    large: tuple[DataFrame, DataFrame, DataFrame] | None = None
+
+
+def rand_input(pixels: DataFrame, est: Sequence[str] = ("pred1", "pred2"), tile_pixels: int | None = None) -> RandInput:
+    """Split tiles by their number of pixels. ``pixels`` is read twice, so it should be a stored table."""
+    pixels = pixels.select("tile", "r", "c", "y1", "y2", *est).filter("tile IS NOT NULL")
+    most = rand_tiles.TILE_PIXELS if tile_pixels is None else tile_pixels
+    large = cut_lineage(pixels.groupBy("tile").count().filter(F.col("count") > most).select("tile"))  # a row per so many pixels
+    if not (found := large.count()):
+        return RandInput(rand_tiles.pack(pixels, est))
+    if not fits_broadcast(found):
+        raise ValueError("too many large tiles")
+    inside = pixels.join(F.broadcast(large), "tile", "left_semi")
+    rest = pixels.join(F.broadcast(large), "tile", "left_anti")
+    return RandInput(rand_tiles.pack(rest, est), (inside, maximin_forest(inside, est), truth_of(inside)))
+
+
 def rand_stats(pixels: DataFrame, thresholds: Sequence[float], est: Sequence[str] = ("pred1", "pred2"),
-               forest: DataFrame | None = None, truth: DataFrame | None = None) -> DataFrame:
+               given: RandInput | None = None) -> DataFrame:
     """Per tile and threshold the pair counts of the segmentation against the truth segments.
 
     Pairs are counted over the truth foreground. A tile whose estimates all lie on one side of
     a threshold has null statistics there.
     """
-    if forest is None and truth is None:
-        pixels = cut_lineage(pixels)
-    forest = forest if forest is not None else maximin_forest(pixels, est)
-    truth = truth if truth is not None else truth_of(pixels)
+    if given is None:
+        given = rand_input(write_shared(pixels.select("tile", "r", "c", "y1", "y2", *est), "pixels")[0], est)
+    counts = rand_tiles.score(given.packed, thresholds)
+    if given.large is not None:
+        counts = counts.unionByName(_large_counts(*given.large, thresholds, est))
+    split = (F.col("hi") > F.col("threshold")) & (F.col("lo") <= F.col("threshold"))
+    ri = (F.col("tp") + F.col("neg") - F.col("fp")) / F.nullif(F.col("pos") + F.col("neg"), F.lit(0.0))
+    return counts.select("tile", "threshold", F.when(split, 1 - ri).alias("err"),
+                         *[F.when(split, F.col(x)).alias(x) for x in ("tp", "fp", "pos", "neg")], "n")
+
+
+def _large_counts(pixels: DataFrame, forest: DataFrame, truth: DataFrame, thresholds: Sequence[float], est: Sequence[str]) -> DataFrame:
+    """The columns of ``rand_tiles.score`` for tiles that no task holds whole."""
     keys = ["tile", "threshold"]
     labels = segment_at(forest, thresholds).select(*keys, "node", F.col("comp").alias("seg"))
     wanted = truth.filter("comp >= 0").select("tile", "node", F.col("comp").alias("gt"))
@@ -71,10 +102,7 @@ def rand_stats(pixels: DataFrame, thresholds: Sequence[float], est: Sequence[str
     stats = metrics.rand_index(metrics.contingency(pairs, keys), keys)
     ranges = pixels.groupBy("tile").agg(
         F.min(F.least(*est)).alias("lo"), F.max(F.greatest(*est)).alias("hi"), F.count(F.lit(1)).alias("n"))
-    joined = stats.join(ranges, "tile")
-    split = (F.col("hi") > F.col("threshold")) & (F.col("lo") <= F.col("threshold"))
-    return joined.select(*keys, F.when(split, 1 - F.col("ri")).alias("err"),
-                         *[F.when(split, F.col(x)).alias(x) for x in ("tp", "fp", "pos", "neg")], "n")
+    return stats.join(ranges, "tile").select(*keys, "tp", "fp", "pos", "neg", "lo", "hi", "n")
 
 
 def truth_of(pixels: DataFrame) -> DataFrame:
@@ -102,13 +130,28 @@ def search_thresholds(pixels: DataFrame, kind: str = "pixel", est: Sequence[str]
     Every zoom level is one pooled Spark query; only its few rows reach the driver.
     """
     grid_now = list(thresholds or initial_grid())
-    shared, totals = {}, {}
-    pixels = cut_lineage(pixels)  # every zoom level reads it again
-    if kind == "rand":
-        shared = {"forest": maximin_forest(pixels, est), "truth": truth_of(pixels)}
+    # Every zoom level reads the pixels again, or the tiles that were packed from them.
+    used = [x for x in pixels.columns if x in {"tile", "y1", "y2", *est, *(("r", "c") if kind == "rand" else ())}]
+    pixels, stored = write_shared(pixels.select(*used), "pixels")
+    paths = [stored]
+    try:
+        given = None
+        if kind == "rand":
+            given = rand_input(pixels, est)
+            given.packed, packed = write_shared(given.packed, "tiles")
+            paths.append(packed)
+        return _zoom(pixels, kind, est, grid_now, min_step, given)
+    finally:
+        for path in paths:
+            delete_shared(pixels.sparkSession, path)
+
+
+def _zoom(pixels: DataFrame, kind: str, est: Sequence[str], grid_now: list[float], min_step: float, given: RandInput | None) -> Search:
+    """The levels of ``search_thresholds``."""
+    totals = {}
 
     def score(cuts: Sequence[float]) -> list[tuple]:
-        stats = rand_stats(pixels, cuts, est, **shared) if kind == "rand" else pixel_stats(pixels, cuts, est)
+        stats = rand_stats(pixels, cuts, est, given) if kind == "rand" else pixel_stats(pixels, cuts, est)
         rows = metrics.pool(stats, kind).select("threshold", "score", "tp", "fp", "pos", "neg").collect()
         by_cut = {row["threshold"]: tuple(row)[:4] for row in rows}
         totals.update({name: row[name] for row in rows for name in ("pos", "neg") if row[name] is not None})
