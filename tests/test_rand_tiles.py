@@ -40,6 +40,13 @@ def test_packed_tiles_count_as_the_joins_do(spark, seed, levels):
     assert sorted(map(tuple, evaluate.rand_stats(pixels, cuts, given=mixed).collect()), key=str) == want
 
 
+def test_thresholds_add_no_shuffle(spark):
+    """Pair counts come from one shuffle, of pixels by tile, however many thresholds there are."""
+    pixels = tiles(spark, 5, 10).cache()
+    plans = [evaluate.rand_stats(pixels, cuts)._jdf.queryExecution().executedPlan().toString() for cuts in ([0.5], [i / 20 for i in range(20)])]
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [1, 1] and not any("Join" in p for p in plans)
+
+
 def test_a_search_leaves_no_table_behind(spark):
     """All thresholds read one stored row per tile; before, every level left its edges times thresholds."""
     rng = np.random.default_rng(4)
