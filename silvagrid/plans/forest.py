@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
@@ -38,6 +39,9 @@ NODE_SCHEMA = T.StructType([
 #: Impurities at or below this part of a node's mean square count as pure: differences of sums are rarely exactly 0.
 PURE = 1e-12
 
+#: Rows with equal bins are summed before the levels when trees times possible bin vectors are at most so many.
+COMPACT_CELLS = 1 << 18
+
 #: Up to this many nodes in a tree, prediction is one generated CASE expression per tree.
 CASE_NODES = 64
 
@@ -265,7 +269,9 @@ def fit_forest(
 
 
 def fit_prepared(data: TrainingSet, cfg: TreeConfig, log: PhaseLog | None = None) -> ForestModel:
-    """Train on binned rows, held in memory and on disk while the levels pass over them."""
+    """Train on binned rows, held in memory and on disk while the levels pass over them (if they are not summed first)."""
+    if compacts(data, cfg):
+        return grow(replace(data, rows=spread(data.rows)), cfg, log=log)
     rows = spread(data.rows).persist()
     try:
         return grow(replace(data, rows=rows), cfg, log=log)
@@ -311,26 +317,42 @@ def histogram_bytes(rows: float, bins: Sequence[int], tried: int) -> int:
     return int(cells) * 8 * len(splits.imp.STATS)
 
 
+def compacts(data: TrainingSet, cfg: TreeConfig) -> bool:
+    """Whether so few bin vectors are possible that sums per tree and vector stand for the rows."""
+    bins = [data.categorical.get(f, len(cuts) + 1) for f, cuts in enumerate(data.thresholds)]
+    return cfg.num_trees * math.prod(bins) <= COMPACT_CELLS
+
+
 class RowLevels:
-    """Level state over binned rows: node slots are a projection of the bins."""
+    """Level state over binned rows: node slots are a projection of the bins.
+
+    Rows of one tree with equal bins take the same way to the same leaf. Where few bin vectors are possible the rows are
+    read once, into five sums per tree and vector, and the levels pass over these.
+    """
 
     def __init__(self, data: TrainingSet, cfg: TreeConfig) -> None:
         self.data, self.cfg = data, cfg
         self.state = data.rows.withColumn("slots", bag_slots(cfg))
+        self.weight, self.terms = "w", ["y1", "y2", "w"]
+        if compacts(data, cfg):
+            self.weight, self.terms = "n", list(splits.imp.STATS)
+            rows = self.state.filter("w > 0").select(F.explode("slots").alias("slot"), "bins", "y1", "y2", "w").filter("slot >= 0")
+            summed = splits.node_histogram(rows, ("slot", "bins"))
+            self.state = cut_lineage(summed.select(F.array("slot").alias("slots"), "bins", *self.terms))
 
     def histogram(self, group: NodeGroup) -> DataFrame:
         """Cells of a group of active nodes, of the features that each of them drew."""
-        if self.data.num_features > splits.WIDE_FEATURES:
+        if self.data.num_features > splits.WIDE_FEATURES and self.weight == "w":
             mine = F.transform("slots", lambda s: F.when(s.between(group.low, group.high - 1), s).otherwise(-1))
             inside = self.state.withColumn("slots", mine).filter(F.exists("slots", lambda s: s >= 0))
             return splits.node_histogram_wide(
                 inside, self.data.num_features, self.data.max_bins, self.cfg.max_memory_mb, group.drawn())
-        rows = self.state.select(F.explode("slots").alias("slot"), "bins", "y1", "y2", "w").filter(
-            F.col("slot").between(group.low, group.high - 1) & (F.col("w") > 0))
-        cells = splits.unpivot(rows)
+        rows = self.state.select(F.explode("slots").alias("slot"), "bins", *self.terms).filter(
+            F.col("slot").between(group.low, group.high - 1) & (F.col(self.weight) > 0))
+        cells = splits.unpivot(rows, keep=("slot", *self.terms))
         if group.draw is not None:
             cells = cells.join(F.broadcast(group.pairs(self.state.sparkSession)), ["slot", "feature"], "left_semi")
-        return splits.node_histogram(cells)
+        return splits.node_histogram(cells) if self.weight == "w" else splits.add_partials(cells)
 
     def advance(self, chosen: list, depth: int) -> None:
         self.state = self.state.withColumn("slots", route_slots(F.col("slots"), chosen))
@@ -340,7 +362,8 @@ class RowLevels:
 
     def finish(self, small: list[tuple[int, int]]) -> list:
         """Nodes below the ``small`` ones: their rows are shuffled by node once and each is grown in one group."""
-        rows = self.state.select(F.explode("slots").alias("slot"), "bins", "y1", "y2", "w").filter("slot < -1 and w > 0")
+        rows = self.state.select(F.explode("slots").alias("slot"), "bins", *self.terms).filter(
+            (F.col("slot") < -1) & (F.col(self.weight) > 0))
         finisher = subtree.Finisher(self.cfg, self.data.num_features, self.data.categorical, small)
         return rows.groupBy("slot").applyInArrow(lambda group: finisher(group), subtree.SUBTREE_DDL).collect()
 

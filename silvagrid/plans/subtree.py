@@ -9,6 +9,7 @@ import pyarrow as pa
 
 from silvagrid.config import TreeConfig, subset_size
 from silvagrid.functions import heap
+from silvagrid.functions.impurity import STATS
 from silvagrid.functions.sampling import FeatureDraw
 
 SUBTREE_DDL = ("tree int, node_id bigint, feature int, split_bin int, left_bins array<int>, "
@@ -26,7 +27,7 @@ def variance(sums: np.ndarray) -> np.ndarray:
 
 
 class Finisher:
-    """Grows the node of a group of rows (slot, bins, y1, y2, w); slot ``-2 - i`` is the i-th of ``nodes``."""
+    """Grows the node of a group of rows (slot, bins, and y1, y2, w or the five sums of equal rows); slot ``-2 - i`` is the i-th of ``nodes``."""
 
     def __init__(self, cfg: TreeConfig, num_features: int, categorical: Mapping[int, int], nodes: list[tuple[int, int]]) -> None:
         if cfg.impurity != "variance":
@@ -67,9 +68,12 @@ class Finisher:
 
         tree, root = (int(x) for x in self.nodes[-2 - group.column("slot")[0].as_py()])
         bins = group.column("bins").combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
-        y1, y2, w = (group.column(name).to_numpy() for name in ("y1", "y2", "w"))
-        terms = np.stack([w, w * y1, w * y2, w * y1 * y1, w * y2 * y2])
-        rows, waiting = [], [(root, np.arange(len(w)), terms.sum(axis=1))]
+        if "w" in group.column_names:
+            y1, y2, w = (group.column(name).to_numpy() for name in ("y1", "y2", "w"))
+            terms = np.stack([w, w * y1, w * y2, w * y1 * y1, w * y2 * y2])
+        else:
+            terms = np.stack([group.column(name).to_numpy() for name in STATS])
+        rows, waiting = [], [(root, np.arange(group.num_rows), terms.sum(axis=1))]
         while waiting:
             node_id, mine, sums = waiting.pop()
             n = float(sums[0])

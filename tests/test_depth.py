@@ -148,3 +148,16 @@ def test_phase_log(points):
         # Small and pure nodes have left the levels.
         assert 0 < phase.counters["rows"] <= sum(n.n for n in split if 1 << depth <= n.node_id < 2 << depth)
     assert levels[2].counters["groups"] == 2 and log.phases[-1].name == "small nodes" and "rows 900" in log.lines()[0]
+
+
+def test_equal_rows_are_summed_once(points, monkeypatch):
+    """Levels pass over one row per tree and bin vector, with the same trees; weights, bags, categories and small nodes included."""
+    coarse = replace(DEEP, max_bins=5, finish_rows=60)
+    many = points.select("*", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k")).withColumn("id", F.col("id") * 5 + F.col("k"))
+    data = forest.prepare(many, FEATURES, "y1", "y2", coarse, row_key=F.col("id"), weight=F.col("id") % 3)
+    levels = forest.RowLevels(data, coarse)
+    assert levels.state.count() <= 2 * 5**4 < many.count()
+    model = forest.fit_prepared(data, coarse)
+    monkeypatch.setattr(forest, "COMPACT_CELLS", 0)
+    assert forest.RowLevels(data, coarse).state.count() == many.count()
+    assert shape(forest.fit_prepared(data, coarse)) == shape(model) and len(model.nodes) > 20
