@@ -11,12 +11,13 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from silvagrid.llm.common import fresh_path, settle, slices, string_rows
+from silvagrid.llm.common import fresh_path, release_memory, settle, slices, string_rows
 from silvagrid.llm.packing import pack_arrays, unpack_arrays
 from silvagrid.llm.token_counts import tokenizer
 
@@ -211,13 +212,33 @@ class Encoder:
         return array("I", [t.id for piece, _ in pieces for t in self.tokenize(piece)]).tobytes()
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        look, out = self.known.__getitem__, []
-        for text in texts:
-            head, *words = text.split(" ")
-            ids = list(map(look, words))
-            whole = None in ids or (words and head[-1:].isspace())
-            first = [] if whole else [self._plain(head, "") or self._raw([head])[0]]
-            out.append(np.frombuffer(self._raw([text])[0] if whole else b"".join(first + ids), np.uint32))
+        """Ids of each text. A batch asks once for each distinct word; ids are laid out by word number."""
+        split = pa.compute.split_pattern(pa.array(texts, pa.large_string()), " ")
+        flat, ends = split.flatten().dictionary_encode(), split.offsets.to_numpy()
+        number, words = flat.indices.to_numpy().astype(np.int64), flat.dictionary.to_pylist()
+        first = ends[:-1]  # every text has a first word, which no space precedes
+        heads = [words[i] for i in number[first]]
+        number[first] = len(words) + np.arange(len(texts))
+        asked = np.bincount(number, minlength=len(words) + len(texts)) > 0
+        look = self.known.__getitem__
+        ids = [look(word) if here else b"" for word, here in zip(words, asked.tolist())]
+        odd = np.zeros(len(asked), bool)
+        odd[: len(words)] = [x is None for x in ids]
+        odd[len(words) :] = [head[-1:].isspace() for head in heads]
+        odd[len(words) :] &= np.diff(ends) > 1
+        whole = np.logical_or.reduceat(odd[number], first) if len(texts) else odd
+        ids = [x or b"" for x in ids] + [self._raw([t])[0] if w else self._plain(h, "") or self._raw([h])[0] for t, h, w in zip(texts, heads, whole.tolist())]
+        if whole.any():  # the words of such a text count no more
+            inside = np.repeat(whole, np.diff(ends))
+            inside[first] = False
+            number[inside] = len(ids)
+            ids.append(b"")
+        sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        table, length = np.frombuffer(b"".join(ids), np.uint32), sizes[number]
+        upto = np.cumsum(length)
+        line = table[np.repeat(starts[number] - (upto - length), length) + np.arange(int(length.sum()))]
+        out = np.split(line, upto[ends[1:-1] - 1]) if len(texts) else []
         if len(self.known) > 2 * CACHED_WORDS:  # the words met first are the frequent ones
             kept = [(w, x) for w, x in islice(self.known.items(), CACHED_WORDS) if len(w) <= CACHED_LENGTH]
             self.known.clear()
@@ -276,6 +297,8 @@ def _write(folder: str, path: str, bits: int, end_id: int, shard_tokens: int):
                     held, keys, tokens = [], [], 0
         if keys:
             yield index(save(next(numbers), held, keys))
+        held = []
+        release_memory()
 
     return run
 

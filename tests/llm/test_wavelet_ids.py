@@ -28,3 +28,19 @@ def test_shared_encoder(monkeypatch):
     for part in (given[:9], given[9:], given[::-1], given):
         want = [x.ids for x in plain.encode_batch(part, add_special_tokens=False)]
         assert [x.tolist() for x in shared(part)] == want
+
+
+def test_words_of_a_batch_are_asked_for_once():
+    encode, asked = wavelet.Encoder(public_tokenizers.path("byte_bpe_50k.json")), []
+
+    class Known(dict):
+        def __getitem__(self, word):
+            asked.append(word)
+            return encode._word(word)
+
+    encode.known = Known()
+    texts = ["lone", "", "one two one two, one", "é one  two", "two\n one", "a\n", " one", "one \ttwo one<|endoftext|>", "a. two"] * 20
+    got = encode(texts)
+    assert len(asked) == len(set(asked))
+    whole = encode.coder.encode_batch_fast(texts, add_special_tokens=False)
+    assert [x.tolist() for x in got] == [list(x.ids) for x in whole]
