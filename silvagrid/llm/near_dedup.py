@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from silvagrid.llm.common import byte_rows, discard, settle, slices
+from silvagrid.llm.common import byte_rows, discard, release_memory, settle, slices
 from silvagrid.llm.graph import components
 
 #: Sorted orders, signature values per order, and values that two neighbours must share at least.
@@ -70,6 +70,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 def _sign(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()  # of the stages before
         for part in slices(batches, "text", BATCH_BYTES):
             sets = [shingle_set(x, size) for x in byte_rows(part, "text")]
             full = [i for i, s in enumerate(sets) if len(s)]

@@ -16,14 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-from silvagrid.llm.common import byte_rows, settle, slices
+from silvagrid.llm.common import byte_rows, release_memory, settle, slices
 from silvagrid.session import lookup_join
 
 #: Length of the grams and bits of a symbol: a gram is one long.
 ORDER, BITS = 4, 16
 SYMBOLS = 1 << BITS
 #: Text bytes of a block, which asks for its distinct grams once, and symbols that are looked up at a time.
-BLOCK_BYTES, CHUNK = 32 << 20, 1 << 20
+BLOCK_BYTES, CHUNK = 32 << 20, 1 << 19
 #: zstd level of the waiting rows, which are written once and shuffled once.
 LEVEL = 9
 #: Symbols at the trusted mean that every document is given beforehand, so that a few odd words do not decide.
@@ -86,17 +86,13 @@ def _pack(names: list[str]):
     """Rows to blocks: (block, rows as a compressed Arrow stream, distinct grams, their occurrences in trusted rows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         home, made = TaskContext.get().partitionId() << 32, 0
         held: list[pa.RecordBatch] = []
         size = 0
 
         def block() -> pa.RecordBatch:
-            codes, counts = [], []
-            sink = pa.BufferOutputStream()
-            packing = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL), use_threads=False)
-            with pa.ipc.new_stream(sink, held[0].schema, options=packing) as out:
-                for part in held:
-                    out.write_batch(part)
+            codes, counts, merged = [], [], 0
             for part in held:
                 trust = part.column("_part").to_numpy() == TRAINS
                 for code, row in _chunks(byte_rows(part, "text")):
@@ -104,9 +100,16 @@ def _pack(names: list[str]):
                         found, times = np.unique(code[mine], return_counts=True)
                         codes.append(found)
                         counts.append(times * weight)
-                if sum(map(len, codes)) > 4 * CHUNK:
-                    codes, counts = ([x] for x in _merged(codes, counts))
+                    if sum(map(len, codes)) > 2 * max(CHUNK, merged):
+                        codes, counts = ([x] for x in _merged(codes, counts))
+                        merged = len(codes[0])
             code, count = _merged(codes, counts)
+            del codes, counts
+            sink = pa.BufferOutputStream()
+            packing = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL), use_threads=False)
+            with pa.ipc.new_stream(sink, held[0].schema, options=packing) as out:
+                for part in held:
+                    out.write_batch(part)
             return pa.RecordBatch.from_arrays(
                 [pa.array([home + made], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()),
                  pa.array([code], pa.list_(pa.int64())), pa.array([count], pa.list_(pa.int64()))], ["block", "rows", "grams", "counts"])
@@ -119,6 +122,8 @@ def _pack(names: list[str]):
                 held, size, made = [], 0, made + 1
         if held:
             yield block()
+        held = []
+        release_memory()
 
     return run
 
@@ -175,6 +180,7 @@ def probabilities(grams: DataFrame) -> DataFrame:
 
 def _score(names: list[str]):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        release_memory()  # of the group before
         gram, cost = answers.column("gram").to_numpy(), -np.log(np.maximum(answers.column("p").to_numpy(), 1e-12))
         order = np.argsort(gram)
         gram, cost = gram[order], cost[order]

@@ -119,3 +119,22 @@ def test_probabilities_sum_to_one(spark):
     sums = quality_kn.probabilities(table).withColumn("h", F.shiftrightunsigned("gram", 16))
     found = {r["h"]: r["p"] for r in sums.groupBy("h").agg(F.sum("p").alias("p")).where(F.col("h").isin(known, 0x4E2D4E2D4E2D)).collect()}
     assert found == {known: pytest.approx(1), 0x4E2D4E2D4E2D: pytest.approx(1)}
+
+
+def test_grams_of_a_block_are_merged_while_they_are_counted(monkeypatch):
+    """A worker holds a few portions of grams beyond the distinct ones, however many portions a batch has."""
+    import random
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(quality_kn, "CHUNK", 500)
+    monkeypatch.setattr(quality_kn, "TaskContext", type("Task", (), {"get": classmethod(lambda c: c), "partitionId": staticmethod(lambda: 0)}))
+    held, merged = [], quality_kn._merged
+    monkeypatch.setattr(quality_kn, "_merged", lambda codes, counts: held.append(sum(map(len, codes))) or merged(codes, counts))
+    pick = random.Random(3)
+    texts = ["".join(pick.choices("abc ", k=100)) for _ in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([quality_kn.TRAINS, quality_kn.OTHER] * 200, pa.int32())], ["text", "_part"])
+    (block,) = quality_kn._pack(["text"])(iter([batch]))
+    code, times = np.unique(np.concatenate([quality_kn.gram_codes(quality_kn._symbols(t.encode())) for t in texts]), return_counts=True)
+    assert block.column("grams")[0].as_py() == code.tolist() and sum(block.column("counts")[0].as_py()) == 200 * 100
+    assert max(held) <= 2 * max(500, len(code)) + 2 * 600 < times.sum() / 10
