@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import struct
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
-from itertools import count, islice
+from itertools import chain, count
 from zlib import crc32
 
 import numpy as np
@@ -24,7 +23,7 @@ from silvagrid.llm.token_counts import tokenizer
 #: Tokens after which a shard file is closed (a document is never cut).
 SHARD_TOKENS = 1 << 19
 #: Texts encoded at a time, in bytes.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 #: Words whose ids a worker remembers, and the longest such word.
 CACHED_WORDS, CACHED_LENGTH = 300_000, 48
 MAGIC = b"WVMX0001"
@@ -55,7 +54,7 @@ class WaveletMatrix:
         for level in range(bits - 1, -1, -1):
             bit = (now & np.array(1 << level, now.dtype)) != 0
             planes.append(np.packbits(bit))
-            now = np.concatenate([now[~bit], now[bit]])
+            now = np.concatenate([np.compress(~bit, now), np.compress(bit, now)])
         return cls(len(values), planes)
 
     def rank1(self, level: int, at: np.ndarray) -> np.ndarray:
@@ -119,8 +118,8 @@ class WaveletMatrix:
         for level in range(len(self.planes) - 1, -1, -1):
             bit = np.unpackbits(self.planes[level], count=self.length).astype(bool)
             up = np.empty(self.length, kind)
-            up[~bit] = now[: self.zeros[level]]
-            up[bit] = now[self.zeros[level] :] | np.array(1 << (len(self.planes) - 1 - level), kind)
+            up[np.flatnonzero(~bit)] = now[: self.zeros[level]]
+            up[np.flatnonzero(bit)] = now[self.zeros[level] :] | np.array(1 << (len(self.planes) - 1 - level), kind)
             now = up
         return now
 
@@ -150,14 +149,65 @@ _ALPHABET = {**{b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_P
 _START = {" ": "\u0120", "": ""}
 #: Punctuation that joins into one pre-token behind letters.
 _TAIL = ".,;:!?%&*$#|)]}"
+#: Letters below U+0250.
+_STEM = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+$"
+
+
+class _Memory:
+    """Strings and their ids, in the order in which they were met; compact, as a worker holds hundreds of thousands."""
+
+    def __init__(self):
+        self.words = pa.array([], pa.large_string())
+        self.flat, self.ends, self.odd = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def starts(self) -> np.ndarray:
+        return np.concatenate([[0], self.ends[:-1]])[: len(self.ends)]
+
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.ends, prepend=0)
+
+    def add(self, words: pa.Array, ids: Sequence[Sequence[int] | None]) -> None:
+        """Strings that are not here yet; None: the ids depend on the surroundings."""
+        sizes = np.fromiter((0 if x is None else len(x) for x in ids), np.int64, len(ids))
+        more = np.fromiter(chain.from_iterable(x for x in ids if x is not None), np.uint32, int(sizes.sum()))
+        self.words = pa.concat_arrays([self.words, words])
+        self.ends = np.concatenate([self.ends, len(self.flat) + np.cumsum(sizes)])
+        self.flat = np.concatenate([self.flat, more])
+        self.odd = np.concatenate([self.odd, [x is None for x in ids]]).astype(bool)
+
+    def find(self, words: pa.Array, encode: Callable[[pa.Array], Sequence[Sequence[int] | None]]) -> np.ndarray:
+        """The numbers of distinct strings; ``encode`` is asked for those not met before."""
+        at = pa.compute.index_in(words, self.words)
+        if at.null_count:
+            new, before = words.filter(at.is_null()), len(self.words)
+            self.add(new, encode(new))
+            at = at.to_numpy(zero_copy_only=False)
+            missing = np.isnan(at)
+            at[missing] = before + np.arange(len(new))
+        return np.asarray(at).astype(np.int64)
+
+    def trim(self, most: int, longest: int) -> None:
+        """Keep the strings met first, which are the frequent ones, without long ones."""
+        short = pa.compute.utf8_length(self.words.slice(0, most)).to_numpy() <= longest
+        chosen = np.flatnonzero(short)
+        self.flat, self.ends = _gather(self.flat, self.starts(), self.sizes(), chosen)
+        self.words, self.odd = self.words.take(pa.array(chosen)), self.odd[chosen]
+
+
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chosen runs of ``flat`` behind each other, and the end of each."""
+    length = sizes[chosen]
+    upto = np.cumsum(length)
+    total = int(upto[-1]) if len(upto) else 0
+    return flat[np.repeat(starts[chosen] - (upto - length), length) + np.arange(total)], upto
 
 
 class Encoder:
     """Ids of texts, as the library gives them, with a memory of frequent words.
 
     A single space between two other characters always starts a new pre-token of a byte-level
-    tokenizer, so the ids of " word" do not depend on its surroundings. A text with any other
-    white space beside a space is encoded whole.
+    tokenizer, so the ids of " word" do not depend on its surroundings. Letters and a tail of punctuation behind them are two
+    pre-tokens, so a word without its tail is remembered once. A text with any other white space beside a space is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -167,32 +217,33 @@ class Encoder:
         self.special = [t.content for t in self.coder.get_added_tokens_decoder().values()]
         self.tokenize = self.coder.model.tokenize
         self.line = self._raw(["\n"])[0]
-        self.tails: dict[str, bytes] = {}
-        self.stems: dict[str, dict[str, bytes]] = {" ": {}, "": {}}
-        self.known = _Known(self)
+        self.memory = _Memory()
+        self.tails: dict[str, list[int]] = {}
+        self.stems: dict[str, dict[str, list[int]]] = {" ": {}, "": {}}
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
+    def _raw(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _plain(self, word: str, lead: str) -> bytes | None:
+    def _tail(self, tail: str) -> list[int]:
+        if tail not in self.tails:
+            self.tails[tail] = self._raw([tail])[0] if tail else []
+        return self.tails[tail]
+
+    def _plain(self, word: str, lead: str) -> list[int] | None:
         """Ids of letters below U+0250 behind ``lead`` (a space or nothing) with a tail of punctuation: at most two pre-tokens."""
-        stem = word.rstrip(_TAIL)
+        stem, mine = word.rstrip(_TAIL), self.stems[lead]
         if not stem.isalpha() or not (stem.isascii() or max(stem) < "\u0250"):
             return None
-        if len(stem) == len(word):
-            return self._letters(stem, lead)
-        tail, mine = word[len(stem) :], self.stems[lead]
-        if tail not in self.tails:
-            self.tails[tail] = self._raw([tail])[0]
         if stem not in mine:
-            mine[stem] = self._letters(stem, lead)
-        return mine[stem] + self.tails[tail]
+            mine[stem] = self._letters([stem], lead)[0]
+        return mine[stem] + self._tail(word[len(stem) :])
 
-    def _letters(self, stem: str, lead: str) -> bytes:
-        piece = _START[lead] + stem if stem.isascii() else (lead + stem).encode().decode("latin-1").translate(_ALPHABET)
-        return array("I", [t.id for t in self.tokenize(piece)]).tobytes()
+    def _letters(self, stems: list[str], lead: str) -> list[list[int]]:
+        start, tokenize = _START[lead], self.tokenize
+        pieces = [start + w if w.isascii() else (lead + w).encode().decode("latin-1").translate(_ALPHABET) for w in stems]
+        return [[t.id for t in tokenize(piece)] for piece in pieces]
 
-    def _word(self, word: str) -> bytes | None:
+    def _word(self, word: str) -> list[int] | None:
         """Ids of " word" by the library's pre-tokeniser and model; None if its surroundings matter.
 
         A line end between two letter words is a pre-token of its own, as is each of the words.
@@ -209,40 +260,70 @@ class Encoder:
         if any(s in word for s in self.special):
             return self._raw([" " + word])[0]
         pieces = self.coder.pre_tokenizer.pre_tokenize_str(" " + word)
-        return array("I", [t.id for piece, _ in pieces for t in self.tokenize(piece)]).tobytes()
+        return [t.id for piece, _ in pieces for t in self.tokenize(piece)]
+
+    def _words(self, words: pa.Array) -> list[list[int] | None]:
+        """Ids of distinct words without tails."""
+        simple = pa.compute.match_substring_regex(words, _STEM).to_numpy(zero_copy_only=False)
+        out: list[list[int] | None] = [None] * len(words)
+        letters, others = np.flatnonzero(simple), np.flatnonzero(~simple)
+        for i, ids in zip(letters.tolist(), self._letters(words.take(pa.array(letters)).to_pylist(), " "), strict=True):
+            out[i] = ids
+        for i, word in zip(others.tolist(), words.take(pa.array(others)).to_pylist(), strict=True):
+            out[i] = self._word(word)
+        return out
+
+    def _numbers(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+        """Per word the number of what it has before its tail in the memory, that of its tail, and the ids of the tails."""
+        stems = pa.compute.utf8_rtrim(words, _TAIL)
+        plain = pa.compute.match_substring_regex(stems, _STEM)
+        keys = pa.compute.if_else(plain, stems, words).dictionary_encode()
+        found = self.memory.find(keys.dictionary, self._words)[keys.indices.to_numpy()]
+        cut = pa.compute.subtract(pa.compute.binary_length(words), pa.compute.binary_length(stems)).to_numpy()
+        cut = np.where(plain.to_numpy(zero_copy_only=False), cut, 0)
+        tails, one, more = np.zeros(len(words), np.int64), np.flatnonzero(cut == 1), np.flatnonzero(cut > 1)
+        last = pa.compute.utf8_slice_codeunits(words.take(pa.array(one)), -1).dictionary_encode()
+        number = {tail: i for i, tail in enumerate(["", *last.dictionary.to_pylist()])}
+        tails[one] = 1 + last.indices.to_numpy()
+        for i, word in zip(more.tolist(), words.take(pa.array(more)).to_pylist(), strict=True):
+            tails[i] = number.setdefault(word[-cut[i] :], len(number))
+        return found, tails, [self._tail(tail) for tail in number]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text. A batch asks once for each distinct word; ids are laid out by word number."""
+        """Ids of each text. A batch asks once for each distinct word without its tail; ids are laid out by word number."""
+        if not texts:
+            return []
         split = pa.compute.split_pattern(pa.array(texts, pa.large_string()), " ")
         flat, ends = split.flatten().dictionary_encode(), split.offsets.to_numpy()
-        number, words = flat.indices.to_numpy().astype(np.int64), flat.dictionary.to_pylist()
+        number, words = flat.indices.to_numpy().astype(np.int64), flat.dictionary
         first = ends[:-1]  # every text has a first word, which no space precedes
-        heads = [words[i] for i in number[first]]
+        heads = words.take(pa.array(number[first])).to_pylist()
         number[first] = len(words) + np.arange(len(texts))
-        asked = np.bincount(number, minlength=len(words) + len(texts)) > 0
-        look = self.known.__getitem__
-        ids = [look(word) if here else b"" for word, here in zip(words, asked.tolist())]
-        odd = np.zeros(len(asked), bool)
-        odd[: len(words)] = [x is None for x in ids]
-        odd[len(words) :] = [head[-1:].isspace() for head in heads]
-        odd[len(words) :] &= np.diff(ends) > 1
-        whole = np.logical_or.reduceat(odd[number], first) if len(texts) else odd
-        ids = [x or b"" for x in ids] + [self._raw([t])[0] if w else self._plain(h, "") or self._raw([h])[0] for t, h, w in zip(texts, heads, whole.tolist())]
+        asked = np.flatnonzero(np.bincount(number, minlength=len(words) + len(texts))[: len(words)])
+        odd, sizes, table = np.zeros(len(words) + len(texts), bool), np.zeros(len(words), np.int64), np.zeros(0, np.uint32)
+        if len(asked):
+            stem, tail, tails = self._numbers(words.take(pa.array(asked)))
+            known, size = self.memory, np.array([len(x) for x in tails], np.int64)
+            odd[asked] = known.odd[stem]
+            runs = np.stack([stem, len(known.ends) + tail], axis=1).ravel()
+            flat_ids = np.concatenate([known.flat, *(np.array(x, np.uint32) for x in tails)])
+            starts = np.concatenate([known.starts(), len(known.flat) + np.cumsum(size) - size])
+            table, upto = _gather(flat_ids, starts, np.concatenate([known.sizes(), size]), runs)
+            sizes[asked] = np.diff(upto[1::2], prepend=0)
+        odd[len(words) :] = [head[-1:].isspace() for head in heads] & (np.diff(ends) > 1)
+        whole = np.logical_or.reduceat(odd[number], first)
+        own = [self._raw([t])[0] if w else self._plain(h, "") or self._raw([h])[0] for t, h, w in zip(texts, heads, whole.tolist(), strict=True)]
+        sizes = np.concatenate([sizes, [len(x) for x in own], [0]]).astype(np.int64)
         if whole.any():  # the words of such a text count no more
             inside = np.repeat(whole, np.diff(ends))
             inside[first] = False
-            number[inside] = len(ids)
-            ids.append(b"")
-        sizes = np.array([len(x) // 4 for x in ids], np.int64)
-        starts = np.cumsum(sizes) - sizes
-        table, length = np.frombuffer(b"".join(ids), np.uint32), sizes[number]
-        upto = np.cumsum(length)
-        line = table[np.repeat(starts[number] - (upto - length), length) + np.arange(int(length.sum()))]
-        out = np.split(line, upto[ends[1:-1] - 1]) if len(texts) else []
-        if len(self.known) > 2 * CACHED_WORDS:  # the words met first are the frequent ones
-            kept = [(w, x) for w, x in islice(self.known.items(), CACHED_WORDS) if len(w) <= CACHED_LENGTH]
-            self.known.clear()
-            self.known.update(kept)
+            number[inside] = len(sizes) - 1
+        table = np.concatenate([table, *(np.array(x, np.uint32) for x in own)])
+        line, upto = _gather(table, np.cumsum(sizes) - sizes, sizes, number)
+        out = np.split(line, upto[ends[1:-1] - 1])
+        if len(self.memory.words) > 2 * CACHED_WORDS:  # the words met first are the frequent ones
+            self.memory.trim(CACHED_WORDS, CACHED_LENGTH)
+        if len(self.tails) + sum(map(len, self.stems.values())) > CACHED_WORDS:
             self.tails, self.stems = {}, {" ": {}, "": {}}
         return out
 
@@ -253,18 +334,6 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-class _Known(dict):
-    """Ids of words, asked of the encoder where they are missing."""
-
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, word: str) -> bytes | None:
-        ids = self[word] = self.encoder._word(word)
-        return ids
-
-
 def _write(folder: str, path: str, bits: int, end_id: int, shard_tokens: int):
     def save(number: int, held: list[np.ndarray], keys: list[int | None]) -> tuple[int, int, str, int]:
         task = TaskContext.get()

@@ -44,3 +44,14 @@ def test_words_of_a_batch_are_asked_for_once():
     assert len(asked) == len(set(asked))
     whole = encode.coder.encode_batch_fast(texts, add_special_tokens=False)
     assert [x.tolist() for x in got] == [list(x.ids) for x in whole]
+
+
+def test_a_word_is_encoded_once_with_any_tail():
+    encode, asked = wavelet.Encoder(public_tokenizers.path("byte_bpe_50k.json")), []
+    tokenize = encode.tokenize
+    encode.tokenize = lambda piece: asked.append(piece) or tokenize(piece)
+    texts = ["a lone word", "a lone, word. lone?) word!", "x y a lone", "é über, über über. ×, ɐ", "", "a lone word,"]
+    got = [[x.tolist() for x in encode(texts[:2])], [x.tolist() for x in encode(texts)]]
+    assert len(asked) == len(set(asked))
+    whole = [list(x.ids) for x in encode.coder.encode_batch_fast(texts, add_special_tokens=False)]
+    assert got == [whole[:2], whole]
