@@ -198,8 +198,9 @@ def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, chosen: np.
     """The chosen runs of ``flat`` behind each other, and the end of each."""
     length = sizes[chosen]
     upto = np.cumsum(length)
-    total = int(upto[-1]) if len(upto) else 0
-    return flat[np.repeat(starts[chosen] - (upto - length), length) + np.arange(total)], upto
+    at = np.repeat(starts[chosen] - (upto - length), length)
+    at += np.arange(len(at))
+    return flat[at], upto
 
 
 class Encoder:
