@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain, count
+from itertools import count
 from zlib import crc32
 
 import numpy as np
@@ -25,25 +25,38 @@ SHARD_TOKENS = 1 << 19
 #: Texts encoded at a time, in bytes.
 BATCH_BYTES = 8 << 20
 #: Words whose ids a worker remembers, and the longest such word.
-CACHED_WORDS, CACHED_LENGTH = 300_000, 48
-MAGIC = b"WVMX0001"
-#: Bits per entry of the rank directory.
+CACHED_WORDS, CACHED_LENGTH = 600_000, 48
+MAGIC = b"WVMX0002"
+#: Bits of a digit.
+DIGIT = 4
+#: Positions that fit beside a digit in 32 bits.
+NARROW = 1 << 32 - DIGIT
+#: Positions per entry of the rank directory.
 SPAN = 512
 
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+
+def _order(digits: np.ndarray) -> np.ndarray:
+    """Positions sorted by digit, then position."""
+    kind, room = (np.uint32, 32 - DIGIT) if len(digits) <= NARROW else (np.uint64, 64 - DIGIT)
+    keys = digits.astype(kind)
+    keys <<= kind(room)
+    keys |= np.arange(len(digits), dtype=kind)
+    keys.sort()
+    keys &= kind((1 << room) - 1)
+    return keys.astype(np.intp)
 
 
 class WaveletMatrix:
-    """Bit planes of a sequence, each stably sorted by the planes above it, with a rank directory per plane."""
+    """A sequence as digits of four bits, from the top: the digits of a level are stably sorted by the levels above it.
+
+    ``planes`` holds the bit planes of a level's digits, the highest first. A directory of counts per level is
+    made when it is first asked for.
+    """
 
     def __init__(self, length: int, planes: list[np.ndarray]):
         self.length, self.planes = length, planes
-        self.ones: list[np.ndarray] = []
-        for plane in planes:
-            padded = np.zeros(-(-max(1, len(plane)) // (SPAN // 8)) * (SPAN // 8), np.uint8)
-            padded[: len(plane)] = _ONES[plane]
-            self.ones.append(np.concatenate([[0], np.cumsum(padded.reshape(-1, SPAN // 8).sum(1, dtype=np.int64))]))
-        self.zeros = [length - int(x[-1]) for x in self.ones]
+        self.levels = len(planes) // DIGIT
+        self.directory: dict[int, np.ndarray] = {}
 
     @classmethod
     def build(cls, values: np.ndarray, bits: int) -> WaveletMatrix:
@@ -51,44 +64,79 @@ class WaveletMatrix:
             raise ValueError(f"{bits} planes do not hold the id {int(values.max())}")
         planes = []
         now = np.ascontiguousarray(values, np.uint32 if bits > 16 else np.uint16)
-        for level in range(bits - 1, -1, -1):
-            bit = (now & np.array(1 << level, now.dtype)) != 0
-            planes.append(np.packbits(bit))
-            now = np.concatenate([np.compress(~bit, now), np.compress(bit, now)])
+        for shift in range(-(-bits // DIGIT) * DIGIT - DIGIT, -1, -DIGIT):
+            digits = ((now >> np.array(shift, now.dtype)) & np.array((1 << DIGIT) - 1, now.dtype)).astype(np.uint8)
+            planes += [np.packbits(digits & np.uint8(1 << bit)) for bit in range(DIGIT - 1, -1, -1)]
+            if shift:
+                now = now.take(_order(digits))
         return cls(len(values), planes)
 
-    def rank1(self, level: int, at: np.ndarray) -> np.ndarray:
-        """Set bits of a plane before each position."""
+    def _level(self, level: int) -> list[np.ndarray]:
+        return self.planes[DIGIT * level : DIGIT * (level + 1)]
+
+    def _digits(self, level: int) -> np.ndarray:
+        digits = np.zeros(self.length, np.uint8)
+        for plane in self._level(level):
+            digits <<= 1
+            digits |= np.unpackbits(plane, count=self.length)
+        return digits
+
+    def _counts(self, level: int) -> np.ndarray:
+        """How often each digit occurs before each span, and in all."""
+        if level not in self.directory:
+            spans = -(-self.length // SPAN) + 1
+            cells = (np.arange(self.length) // SPAN + 1 << DIGIT) + self._digits(level)
+            self.directory[level] = np.cumsum(np.bincount(cells, minlength=spans << DIGIT).reshape(spans, -1), axis=0)
+        return self.directory[level]
+
+    def rank(self, level: int, digit: np.ndarray | int, at: np.ndarray) -> np.ndarray:
+        """How often the digit (one, or one per position) occurs in a level before each position."""
         at = np.asarray(at, np.int64)
-        plane, byte = self.planes[level], at >> 3
-        total = self.ones[level][at // SPAN].copy()
+        digit = np.broadcast_to(digit, at.shape)
+        byte, total = at >> 3, self._counts(level)[at // SPAN, digit]
+
+        def equal(here: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+            """Bits of the bytes where the digit is the chosen one."""
+            out = np.full(len(here), 255, np.uint8)
+            for i, plane in enumerate(self._level(level)):
+                out &= plane[here] ^ np.where(chosen >> (DIGIT - 1 - i) & 1, 0, 255).astype(np.uint8)
+            return out
+
         for back in range(SPAN // 8):  # whole bytes since the last directory entry
             here = (at // SPAN) * (SPAN // 8) + back
             inside = here < byte
             if not inside.any():
                 break
-            total[inside] += _ONES[plane[here[inside]]]
+            total[inside] += np.bitwise_count(equal(here[inside], digit[inside]))
         rest = (at & 7).astype(np.uint8)
         part = rest > 0
-        total[part] += _ONES[plane[byte[part]] >> (8 - rest[part])]
+        total[part] += np.bitwise_count(equal(byte[part], digit[part]) >> (8 - rest[part]))
         return total
 
+    def _down(self, level: int, digit: np.ndarray | int, at: np.ndarray) -> np.ndarray:
+        """Where positions of a level, read as the digit, lie in the next one."""
+        totals = self._counts(level)[-1]
+        return (np.cumsum(totals) - totals)[digit] + self.rank(level, digit, at)
+
     def access(self, at: np.ndarray) -> np.ndarray:
         """Values at positions."""
         at = np.asarray(at, np.int64)
         value = np.zeros(len(at), np.int64)
-        for level, plane in enumerate(self.planes):
-            bit = (plane[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-            ones = self.rank1(level, at)
-            at = np.where(bit == 1, self.zeros[level] + ones, at - ones)
-            value = value << 1 | bit
+        for level in range(self.levels):
+            digit = np.zeros(len(at), np.int64)
+            for plane in self._level(level):
+                digit = digit << 1 | (plane[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+            at = self._down(level, digit, at)
+            value = value << DIGIT | digit
         return value
 
+    def _digit(self, symbol: int, level: int) -> int:
+        return symbol >> DIGIT * (self.levels - 1 - level) & (1 << DIGIT) - 1
+
     def _range(self, symbol: int, low: int, high: int) -> tuple[int, int]:
         ends = np.array([low, high], np.int64)
-        for level in range(len(self.planes)):
-            ones = self.rank1(level, ends)
-            ends = self.zeros[level] + ones if symbol >> (len(self.planes) - 1 - level) & 1 else ends - ones
+        for level in range(self.levels):
+            ends = self._down(level, self._digit(symbol, level), ends)
         return int(ends[0]), int(ends[1])
 
     def count(self, symbol: int, low: int = 0, high: int | None = None) -> int:
@@ -99,28 +147,26 @@ class WaveletMatrix:
         return stop - start
 
     def find(self, symbol: int, low: int = 0, high: int | None = None) -> np.ndarray:
-        """Positions of ``symbol`` in [low, high), ascending: its run in the last plane, followed back up by select."""
+        """Positions of ``symbol`` in [low, high), ascending: its run behind the last level, followed back up by select."""
         if symbol < 0 or symbol >> len(self.planes):
             return np.zeros(0, np.int64)
         at = np.arange(*self._range(symbol, low, self.length if high is None else high), dtype=np.int64)
-        for level in range(len(self.planes) - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level], count=self.length).astype(bool)
-            if symbol >> (len(self.planes) - 1 - level) & 1:
-                at = np.flatnonzero(bit)[at - self.zeros[level]]
-            else:
-                at = np.flatnonzero(~bit)[at]
+        for level in range(self.levels - 1, -1, -1):
+            digit = self._digit(symbol, level)
+            at = np.flatnonzero(self._digits(level) == digit)[at - self._down(level, digit, [0])]
         return at
 
     def values(self) -> np.ndarray:
-        """The whole sequence: the stable sorts are undone from the last plane to the first."""
+        """The whole sequence: the stable sorts are undone from the last level to the first."""
         kind = np.uint32 if len(self.planes) > 16 else np.uint16
         now = np.zeros(self.length, kind)
-        for level in range(len(self.planes) - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level], count=self.length).astype(bool)
-            up = np.empty(self.length, kind)
-            up[np.flatnonzero(~bit)] = now[: self.zeros[level]]
-            up[np.flatnonzero(bit)] = now[self.zeros[level] :] | np.array(1 << (len(self.planes) - 1 - level), kind)
-            now = up
+        for level in range(self.levels - 1, -1, -1):
+            digits = self._digits(level)
+            if level < self.levels - 1:
+                up = np.empty(self.length, kind)
+                up[_order(digits)] = now
+                now = up
+            now |= digits.astype(kind) << kind(DIGIT * (self.levels - 1 - level))
         return now
 
 
@@ -144,13 +190,23 @@ def read_shard(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray
 #: The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for U+0100 and following.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _ALPHABET = {**{b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PLAIN)))}, **{b: b for b in _PLAIN}}
+#: What a space and a line end are in it.
+_LEADS = chr(_ALPHABET[32]) + chr(_ALPHABET[10])
+_SPELL = {**_ALPHABET, 32: f" {_LEADS[0]}", 10: f" {_LEADS[1]} "}
 
 
-_START = {" ": "\u0120", "": ""}
 #: Punctuation that joins into one pre-token behind letters.
 _TAIL = ".,;:!?%&*$#|)]}"
-#: Letters below U+0250.
-_STEM = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+$"
+#: Letters below U+0250, perhaps behind a line end.
+_STEM = "^\n?[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+$"
+#: All that Python or the library takes for white space.
+_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+#: Words whose ids depend on what is around them.
+_ODD = f"^$|^[{_SPACE.replace(chr(10), '')}]|[{_SPACE}]$"
+#: Words with line ends that are not just their first character.
+_LINES = f"(?s)^\n[{_SPACE}]|.\n"
+#: Words that the library encodes together.
+_TOGETHER = 10_000
 
 
 class _Memory:
@@ -166,25 +222,25 @@ class _Memory:
     def sizes(self) -> np.ndarray:
         return np.diff(self.ends, prepend=0)
 
-    def add(self, words: pa.Array, ids: Sequence[Sequence[int] | None]) -> None:
-        """Strings that are not here yet; None: the ids depend on the surroundings."""
-        sizes = np.fromiter((0 if x is None else len(x) for x in ids), np.int64, len(ids))
-        more = np.fromiter(chain.from_iterable(x for x in ids if x is not None), np.uint32, int(sizes.sum()))
+    def add(self, words: pa.Array, ids: np.ndarray, sizes: np.ndarray, odd: np.ndarray) -> None:
+        """Strings that are not here yet, their ids behind each other; odd: the ids depend on the surroundings."""
         self.words = pa.concat_arrays([self.words, words])
         self.ends = np.concatenate([self.ends, len(self.flat) + np.cumsum(sizes)])
-        self.flat = np.concatenate([self.flat, more])
-        self.odd = np.concatenate([self.odd, [x is None for x in ids]]).astype(bool)
+        self.flat = np.concatenate([self.flat, ids])
+        self.odd = np.concatenate([self.odd, odd])
 
-    def find(self, words: pa.Array, encode: Callable[[pa.Array], Sequence[Sequence[int] | None]]) -> np.ndarray:
+    def find(self, words: pa.Array, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
         """The numbers of distinct strings; ``encode`` is asked for those not met before."""
-        at = pa.compute.index_in(words, self.words)
-        if at.null_count:
-            new, before = words.filter(at.is_null()), len(self.words)
-            self.add(new, encode(new))
-            at = at.to_numpy(zero_copy_only=False)
-            missing = np.isnan(at)
-            at[missing] = before + np.arange(len(new))
-        return np.asarray(at).astype(np.int64)
+        at = pa.compute.fill_null(pa.compute.index_in(self.words, words), -1).to_numpy()
+        known = np.flatnonzero(at >= 0)
+        number = np.full(len(words), -1, np.int64)
+        number[at[known]] = known
+        missing = number < 0
+        if missing.any():
+            new, before = words.filter(pa.array(missing)), len(self.words)
+            self.add(new, *encode(new))
+            number[missing] = before + np.arange(len(new))
+        return number
 
     def trim(self, most: int, longest: int) -> None:
         """Keep the strings met first, which are the frequent ones, without long ones."""
@@ -203,12 +259,25 @@ def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, chosen: np.
     return flat[at], upto
 
 
+def _joined(words: pa.Array) -> str:
+    """Strings behind each other."""
+    return pa.compute.binary_join(pa.ListArray.from_arrays([0, len(words)], words), pa.scalar("", words.type))[0].as_py()
+
+
+def _blanks():
+    from tokenizers.pre_tokenizers import WhitespaceSplit
+
+    return WhitespaceSplit()
+
+
 class Encoder:
     """Ids of texts, as the library gives them, with a memory of frequent words.
 
     A single space between two other characters always starts a new pre-token of a byte-level
-    tokenizer, so the ids of " word" do not depend on its surroundings. Letters and a tail of punctuation behind them are two
-    pre-tokens, so a word without its tail is remembered once. A text with any other white space beside a space is encoded whole.
+    tokenizer, so the ids of " word" do not depend on its surroundings; nor do those of a line end and the word behind it.
+    Only the first id of such a word begins with a space or a line end, so many words are encoded together and cut apart
+    there. Letters and a tail of punctuation behind them are two pre-tokens, so a word without its tail is remembered
+    once. A text with any other white space beside a space, or with an added token, is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -216,63 +285,65 @@ class Encoder:
         if self.coder.normalizer is not None:
             raise ValueError("needs a byte-level tokenizer without a normaliser")
         self.special = [t.content for t in self.coder.get_added_tokens_decoder().values()]
-        self.tokenize = self.coder.model.tokenize
-        self.line = self._raw(["\n"])[0]
+        self.letters = type(self.coder)(self.coder.model)  # its pre-tokens are spelt in the byte-level alphabet
+        self.letters.pre_tokenizer = _blanks()
+        vocabulary = self.coder.get_vocab()
+        self.first = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.first[[i for token, i in vocabulary.items() if token[0] in _LEADS]] = True
         self.memory = _Memory()
         self.tails: dict[str, list[int]] = {}
-        self.stems: dict[str, dict[str, list[int]]] = {" ": {}, "": {}}
 
     def _raw(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def tokenize(self, spelt: str) -> list[int]:
+        """Ids of pre-tokens in the byte-level alphabet, between blanks."""
+        return self.letters.encode_batch_fast([spelt], add_special_tokens=False)[0].ids
+
     def _tail(self, tail: str) -> list[int]:
         if tail not in self.tails:
             self.tails[tail] = self._raw([tail])[0] if tail else []
         return self.tails[tail]
 
-    def _plain(self, word: str, lead: str) -> list[int] | None:
-        """Ids of letters below U+0250 behind ``lead`` (a space or nothing) with a tail of punctuation: at most two pre-tokens."""
-        stem, mine = word.rstrip(_TAIL), self.stems[lead]
-        if not stem.isalpha() or not (stem.isascii() or max(stem) < "\u0250"):
-            return None
-        if stem not in mine:
-            mine[stem] = self._letters([stem], lead)[0]
-        return mine[stem] + self._tail(word[len(stem) :])
-
-    def _letters(self, stems: list[str], lead: str) -> list[list[int]]:
-        start, tokenize = _START[lead], self.tokenize
-        pieces = [start + w if w.isascii() else (lead + w).encode().decode("latin-1").translate(_ALPHABET) for w in stems]
-        return [[t.id for t in tokenize(piece)] for piece in pieces]
-
-    def _word(self, word: str) -> list[int] | None:
-        """Ids of " word" by the library's pre-tokeniser and model; None if its surroundings matter.
-
-        A line end between two letter words is a pre-token of its own, as is each of the words.
-        """
-        above, line, below = word.partition("\n")
-        ids = self._plain(above, " ")
-        if ids is not None and not line:
-            return ids
-        rest = self._plain(below, "") if ids is not None else None
-        if rest is not None:
-            return ids + self.line + rest
-        if not word or word[0].isspace() or word[-1].isspace():
-            return None
-        if any(s in word for s in self.special):
-            return self._raw([" " + word])[0]
-        pieces = self.coder.pre_tokenizer.pre_tokenize_str(" " + word)
-        return [t.id for piece, _ in pieces for t in self.tokenize(piece)]
-
-    def _words(self, words: pa.Array) -> list[list[int] | None]:
-        """Ids of distinct words without tails."""
-        simple = pa.compute.match_substring_regex(words, _STEM).to_numpy(zero_copy_only=False)
-        out: list[list[int] | None] = [None] * len(words)
-        letters, others = np.flatnonzero(simple), np.flatnonzero(~simple)
-        for i, ids in zip(letters.tolist(), self._letters(words.take(pa.array(letters)).to_pylist(), " "), strict=True):
-            out[i] = ids
-        for i, word in zip(others.tolist(), words.take(pa.array(others)).to_pylist(), strict=True):
-            out[i] = self._word(word)
-        return out
+    def _together(self, words: pa.Array, encode: Callable[[str], list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words behind a space or a line end, and how many each has."""
+        ids = [np.zeros(0, np.uint32)]
+        for at in range(0, len(words), _TOGETHER):
+            ids.append(np.array(encode(_joined(words.slice(at, _TOGETHER))), np.uint32))
+        flat = np.concatenate(ids)
+        starts = np.flatnonzero(self.first[flat])
+        if len(starts) != len(words):
+            raise ValueError("needs a byte-level tokenizer that starts a pre-token at every space")
+        return flat, np.diff(starts, append=len(flat))
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words without tails, how many each has, and which words depend on their surroundings."""
+        odd = pa.compute.match_substring_regex(words, _ODD).to_numpy(zero_copy_only=False)
+        below = pa.compute.starts_with(words, "\n")
+        none, space = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
+        behind = pa.compute.binary_join_element_wise(pa.compute.if_else(below, none, space), words, none)
+        letters = pa.compute.match_substring_regex(words, _STEM).to_numpy(zero_copy_only=False)
+        ascii_only = np.equal(pa.compute.binary_length(words), pa.compute.utf8_length(words))
+        lines = pa.compute.match_substring_regex(words, _LINES).to_numpy(zero_copy_only=False)
+        groups = [
+            (letters & ascii_only, lambda text: self.tokenize(text.replace(" ", _SPELL[32]).replace("\n", _SPELL[10]))),
+            (letters & ~ascii_only, lambda text: self.tokenize(text.encode().decode("latin-1").translate(_SPELL))),
+            (~letters & ~odd & ~lines, lambda text: self._raw([text])[0]),
+        ]
+        sizes, order, flat = np.zeros(len(words), np.int64), [], []
+        for chosen, encode in groups:
+            at = np.flatnonzero(chosen)
+            ids, sizes[at] = self._together(behind.take(pa.array(at)), encode)
+            order.append(at)
+            flat.append(ids)
+        alone = np.flatnonzero(lines & ~odd)
+        own = self._raw(behind.take(pa.array(alone)).to_pylist())
+        sizes[alone] = [len(x) for x in own]
+        order = np.concatenate([*order, alone, np.flatnonzero(odd)])
+        table, length = np.concatenate([*flat, *(np.array(x, np.uint32) for x in own)]), sizes[order]
+        starts = np.empty(len(words), np.int64)
+        starts[order] = np.cumsum(length) - length
+        return _gather(table, starts, sizes, np.arange(len(words)))[0], sizes, odd
 
     def _numbers(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
         """Per word the number of what it has before its tail in the memory, that of its tail, and the ids of the tails."""
@@ -294,7 +365,12 @@ class Encoder:
         """Ids of each text. A batch asks once for each distinct word without its tail; ids are laid out by word number."""
         if not texts:
             return []
-        split = pa.compute.split_pattern(pa.array(texts, pa.large_string()), " ")
+        rows = pa.array(texts, pa.large_string())
+        marked = pa.compute.replace_substring(rows, "\n", " \n")  # a word starts at a line end, or the first of several
+        for _ in range(2):
+            marked = pa.compute.replace_substring(marked, "\n \n", "\n\n")
+        marked = pa.compute.replace_substring(marked, "\r \n", "\r\n")
+        split = pa.compute.split_pattern(marked, " ")
         flat, ends = split.flatten().dictionary_encode(), split.offsets.to_numpy()
         number, words = flat.indices.to_numpy().astype(np.int64), flat.dictionary
         first = ends[:-1]  # every text has a first word, which no space precedes
@@ -313,7 +389,9 @@ class Encoder:
             sizes[asked] = np.diff(upto[1::2], prepend=0)
         odd[len(words) :] = [head[-1:].isspace() for head in heads] & (np.diff(ends) > 1)
         whole = np.logical_or.reduceat(odd[number], first)
-        own = [self._raw([t])[0] if w else self._plain(h, "") or self._raw([h])[0] for t, h, w in zip(texts, heads, whole.tolist(), strict=True)]
+        for content in self.special:
+            whole |= pa.compute.match_substring(rows, content).to_numpy(zero_copy_only=False)
+        own = self._raw([t if w else h for t, h, w in zip(texts, heads, whole.tolist(), strict=True)])
         sizes = np.concatenate([sizes, [len(x) for x in own], [0]]).astype(np.int64)
         if whole.any():  # the words of such a text count no more
             inside = np.repeat(whole, np.diff(ends))
@@ -324,8 +402,8 @@ class Encoder:
         out = np.split(line, upto[ends[1:-1] - 1])
         if len(self.memory.words) > 2 * CACHED_WORDS:  # the words met first are the frequent ones
             self.memory.trim(CACHED_WORDS, CACHED_LENGTH)
-        if len(self.tails) + sum(map(len, self.stems.values())) > CACHED_WORDS:
-            self.tails, self.stems = {}, {" ": {}, "": {}}
+        if len(self.tails) > CACHED_WORDS:
+            self.tails = {}
         return out
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import sys
 import zlib
 from collections import defaultdict
 
@@ -373,6 +374,22 @@ def test_encoder_matches_the_library():
     assert all(w.ids == g.tolist() for w, g in zip(want, encoder(some)))
 
 
+def test_encoder_asks_the_library_for_many_words_at_once():
+    encoder = wavelet.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    syllables = ["an", "der", "is", "ou", "tion", "ß", "é", "un", "ly", "or"]
+    words = [a + b + c for a in syllables for b in syllables for c in syllables]
+    some = [" ".join(words), " ".join(w + "\n" + v for w in words[:40] for v in words[40:80]), "a\r\nb \nc\n\nd", "\nx\n\n\ny", "é\n\tz \n"]
+    asked = []
+    sys.setprofile(lambda frame, event, f: event == "c_call" and f.__name__ in ("tokenize", "encode_batch_fast") and asked.append(f))
+    try:
+        got = encoder(some)
+    finally:
+        sys.setprofile(None)
+    assert [x.tolist() for x in got] == [x.ids for x in encoder.coder.encode_batch_fast(some, add_special_tokens=False)]
+    assert len(asked) < 20  # once it was a call per word
+    assert len(encoder.memory.words) < 1200  # once it had each pair of words around a line end
+
+
 def test_raking_meets_the_targets(spark, docs, messy, none):
     rng = np.random.default_rng(4)
     rows = [(i, " ".join(["w"] * int(rng.integers(1, 40))) + (" | " if i % 7 == 0 else ""), ["en", "de"][i % 2], f"s{int(rng.integers(0, 3))}") for i in range(400)]

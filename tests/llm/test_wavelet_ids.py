@@ -55,3 +55,18 @@ def test_a_word_is_encoded_once_with_any_tail():
     assert len(asked) == len(set(asked))
     whole = [list(x.ids) for x in encode.coder.encode_batch_fast(texts, add_special_tokens=False)]
     assert got == [whole[:2], whole]
+
+
+@pytest.mark.parametrize("narrow", [wavelet.NARROW, 100])
+def test_sixteen_planes_take_three_sorts(monkeypatch, narrow):
+    monkeypatch.setattr(wavelet, "NARROW", narrow)
+    order, asked = wavelet._order, []
+    monkeypatch.setattr(wavelet, "_order", lambda digits: asked.append(len(digits)) or order(digits))
+    ids = np.random.default_rng(3).integers(0, 50257, 3000).astype(np.uint32)
+    matrix = wavelet.WaveletMatrix.build(ids, 16)
+    assert asked == [3000] * 3 and len(matrix.planes) == 16
+    assert (matrix.values() == ids).all() and asked == [3000] * 6
+    at = np.array([0, 1, 7, 8, 511, 512, 513, 2999, 3000])
+    top = ids >> 12
+    for digit in range(16):
+        assert matrix.rank(0, digit, at).tolist() == [int((top[:i] == digit).sum()) for i in at]
