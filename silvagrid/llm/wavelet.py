@@ -289,7 +289,7 @@ class Encoder:
         self.letters.pre_tokenizer = _blanks()
         vocabulary = self.coder.get_vocab()
         self.first = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.first[[i for token, i in vocabulary.items() if token[0] in _LEADS]] = True
+        self.first[[i for token, i in vocabulary.items() if token.startswith(tuple(_LEADS))]] = True
         self.memory = _Memory()
         self.tails: dict[str, list[int]] = {}
 
