@@ -7,8 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from silvagrid import session
 from silvagrid.llm import quality_kn
-from silvagrid.session import ship_package, small_frame
+from silvagrid.llm.common import settle
+from silvagrid.session import lookup_join, ship_package, small_frame
 
 from tests.llm.test_operators import prose
 
@@ -138,3 +140,13 @@ def test_grams_of_a_block_are_merged_while_they_are_counted(monkeypatch):
     code, times = np.unique(np.concatenate([quality_kn.gram_codes(quality_kn._symbols(t.encode())) for t in texts]), return_counts=True)
     assert block.column("grams")[0].as_py() == code.tolist() and sum(block.column("counts")[0].as_py()) == 200 * 100
     assert max(held) <= 2 * max(500, len(code)) + 2 * 600 < times.sum() / 10
+
+
+def test_copies_of_a_look_up_are_not_broadcast(spark, monkeypatch):
+    """Files of a few kB hold a look-up beyond the bound: Spark would send all sixteen copies through the driver."""
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 64 * 1000)
+    small = settle(spark.range(200_000).select("id", F.lit(1).alias("part")), "small")
+    big = spark.range(0, 400_000, 4).withColumn("text", F.lit("x"))
+    joined = lookup_join(big, small, ["id"], 200_000, ["text"], "left")
+    assert joined.count() == 100_000 and joined.where("part = 1").count() == 50_000
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
