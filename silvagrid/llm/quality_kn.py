@@ -7,7 +7,7 @@ block of documents asks for its distinct grams once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from silvagrid.llm.common import byte_rows, release_memory, settle, slices
-from silvagrid.session import lookup_join
+from silvagrid.session import fits_broadcast, lookup_join
 
 #: Length of the grams and bits of a symbol: a gram is one long.
 ORDER, BITS = 4, 16
@@ -82,52 +82,113 @@ def _merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return code[starts], np.add.reduceat(count, starts) if len(starts) else count
 
 
-def _pack(names: list[str]):
-    """Rows to blocks: (block, rows as a compressed Arrow stream, distinct grams, their occurrences in trusted rows)."""
+def _gram_counts(parts: Iterable[tuple[pa.RecordBatch, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of batches (each with a mask of its trusted rows) in order, with their occurrences in trusted rows."""
+    codes, counts, merged = [], [], 0
+    for part, trust in parts:
+        for code, row in _chunks(byte_rows(part, "text")):
+            for mine, weight in ((trust[row], 1), (~trust[row], 0)):
+                found, times = np.unique(code[mine], return_counts=True)
+                codes.append(found)
+                counts.append(times * weight)
+            if sum(map(len, codes)) > 2 * max(CHUNK, merged):
+                codes, counts = ([x] for x in _merged(codes, counts))
+                merged = len(codes[0])
+    return _merged(codes, counts)
+
+
+def _stream(held: list[pa.RecordBatch]) -> bytes:
+    """Rows as a compressed Arrow stream."""
+    sink = pa.BufferOutputStream()
+    packing = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL), use_threads=False)
+    with pa.ipc.new_stream(sink, held[0].schema, options=packing) as out:
+        for part in held:
+            out.write_batch(part)
+    return sink.getvalue().to_pybytes()
+
+
+def _in_blocks(block: Callable[[int, list[pa.RecordBatch]], pa.RecordBatch]):
+    """Rows to blocks of ``BLOCK_BYTES`` of text: what ``block`` makes of the number and the batches of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory()
         home, made = TaskContext.get().partitionId() << 32, 0
         held: list[pa.RecordBatch] = []
         size = 0
-
-        def block() -> pa.RecordBatch:
-            codes, counts, merged = [], [], 0
-            for part in held:
-                trust = part.column("_part").to_numpy() == TRAINS
-                for code, row in _chunks(byte_rows(part, "text")):
-                    for mine, weight in ((trust[row], 1), (~trust[row], 0)):
-                        found, times = np.unique(code[mine], return_counts=True)
-                        codes.append(found)
-                        counts.append(times * weight)
-                    if sum(map(len, codes)) > 2 * max(CHUNK, merged):
-                        codes, counts = ([x] for x in _merged(codes, counts))
-                        merged = len(codes[0])
-            code, count = _merged(codes, counts)
-            del codes, counts
-            sink = pa.BufferOutputStream()
-            packing = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL), use_threads=False)
-            with pa.ipc.new_stream(sink, held[0].schema, options=packing) as out:
-                for part in held:
-                    out.write_batch(part)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([home + made], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()),
-                 pa.array([code], pa.list_(pa.int64())), pa.array([count], pa.list_(pa.int64()))], ["block", "rows", "grams", "counts"])
-
         for part in slices(batches, "text", BLOCK_BYTES):
-            held.append(part.select([*names, "_part"]))
+            held.append(part)
             size += part.column("text").nbytes
             if size >= BLOCK_BYTES:
-                yield block()
+                yield block(home + made, held)
                 held, size, made = [], 0, made + 1
         if held:
-            yield block()
+            yield block(home + made, held)
         held = []
         release_memory()
 
     return run
 
 
+def _pack(names: list[str]):
+    """Rows to blocks: (block, rows as a compressed Arrow stream, distinct grams, their occurrences in trusted rows)."""
+
+    def block(number: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        code, count = _gram_counts((part, part.column("_part").to_numpy() == TRAINS) for part in held)
+        rows = _stream([part.select([*names, "_part"]) for part in held])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number], pa.int64()), pa.array([rows], pa.binary()),
+             pa.array([code], pa.list_(pa.int64())), pa.array([count], pa.list_(pa.int64()))], ["block", "rows", "grams", "counts"])
+
+    return _in_blocks(block)
+
+
+def _hold(names: list[str]):
+    """Rows to blocks whose trusted rows are not known yet: (block, rows as a compressed Arrow stream, ids of the rows)."""
+
+    def block(number: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ids = pa.chunked_array([part.column("_trust_id") for part in held]).combine_chunks()
+        lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number], pa.int64()), pa.array([_stream([part.select(names) for part in held])], pa.binary()), lists], ["block", "rows", "ids"])
+
+    return _in_blocks(block)
+
+
+def _flag(found: pa.Table) -> pa.Table:
+    """Places and parts of a block's trusted rows as two planes of bits: TRAINS, HELD."""
+    place, part = found.column("place").to_numpy(), found.column("part").to_numpy()
+    planes = np.zeros((2, int(place.max()) + 1), np.uint8)
+    planes[(part == HELD).astype(np.int64), place] = 1
+    return pa.table({"block": found.column("block")[:1], "flags": pa.array([np.packbits(planes, axis=1).tobytes()], pa.binary())})
+
+
+def _opened(rows: pa.Buffer, flags: bytes | None) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The batches of a block and the part of each row: a column, or what ``_flag`` wrote (rows behind its last are OTHER)."""
+    planes, start = np.frombuffer(flags, np.uint8).reshape(2, -1) if flags else np.zeros((2, 0), np.uint8), 0
+    bits = np.unpackbits(planes, axis=1)
+    for batch in pa.ipc.open_stream(rows):
+        if "_part" in batch.schema.names:
+            part = batch.column("_part").to_numpy()
+        else:
+            mine = bits[:, start : start + batch.num_rows]
+            part = np.full(batch.num_rows, OTHER, np.int32)
+            part[: mine.shape[1]] += TRAINS * mine[0] + HELD * mine[1]
+            start += batch.num_rows
+        yield batch, part
+
+
+def _count_held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks with their flags to (block, distinct grams, their occurrences in trusted rows)."""
+    for batch in batches:
+        for number, rows, flags in zip(*(batch.column(c) for c in ("block", "rows", "flags"))):
+            release_memory()
+            code, count = _gram_counts((part, of == TRAINS) for part, of in _opened(rows.as_buffer(), flags.as_py()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([number.as_py()], pa.int64()), pa.array([code], pa.list_(pa.int64())), pa.array([count], pa.list_(pa.int64()))],
+                ["block", "grams", "counts"])
+    release_memory()
+
+
 def _list_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         grams, block = batch.column("grams"), batch.column("block").to_numpy()
@@ -185,8 +246,8 @@ def _score(names: list[str]):
         order = np.argsort(gram)
         gram, cost = gram[order], cost[order]
         found = []
-        for data in blocks.column("rows"):
-            for part in pa.ipc.open_stream(data.as_buffer()):
+        for data, flags in zip(blocks.column("rows"), blocks.column("flags")):
+            for part, of in _opened(data.as_buffer(), flags.as_py()):
                 symbols, sums = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows)
                 for code, row in _chunks(byte_rows(part, "text")):
                     starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
@@ -194,7 +255,7 @@ def _score(names: list[str]):
                     sums[row[starts]] += np.add.reduceat(cost[np.searchsorted(gram, code)], starts)
                     symbols[row[starts]] += np.diff(np.append(starts, len(row)))
                 found.append(pa.Table.from_arrays(
-                    [*[part.column(c) for c in names], part.column("_part"), pa.array(symbols), pa.array(sums)],
+                    [*[part.column(c) for c in names], pa.array(of, pa.int32()), pa.array(symbols), pa.array(sums)],
                     [*names, "_part", "_symbols", "_cost"]))
         return pa.concat_tables(found)
 
@@ -210,18 +271,32 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def scored(docs: DataFrame, labels: DataFrame, read: list[str], columns: list[str]) -> DataFrame:
-    """The named columns of every row (of those read) with _part, _symbols and _cost (the sum of -ln p under the model)."""
+    """The named columns of every row (of those read) with _part, _symbols and _cost (the sum of -ln p under the model).
+
+    Trusted ids below the broadcast bound mark the rows before these are put into blocks. Beyond it blocks are made first and
+    list their ids; only these meet the trusted ones, and a block gets two bits per row back, so no text is shuffled.
+    """
     ids = settle(trusted_ids(labels), "trusted")
     named = [F.col(f"`{c}`") for c in read]
-    marked = docs.select(*named, F.col("doc_id").cast("long").alias("_trust_id"))
-    marked = lookup_join(marked, ids.toDF("_trust_id", "_of"), ["_trust_id"], ids.count(), ["text"], "left")
-    marked = marked.select(*named, F.coalesce("_of", F.lit(OTHER)).alias("_part"))
-    blocks = settle(marked.mapInArrow(_pack(read), "block long, rows binary, grams array<long>, counts array<long>"), "blocks")
-    asked = blocks.select("block", "grams", "counts").mapInArrow(_list_grams, "block long, gram long, n long")
+    keyed = docs.select(*named, F.col("doc_id").cast("long").alias("_trust_id"))
+    if fits_broadcast(trusted := ids.count()):
+        marked = lookup_join(keyed, ids.toDF("_trust_id", "_of"), ["_trust_id"], trusted, ["text"], "left")
+        marked = marked.select(*named, F.coalesce("_of", F.lit(OTHER)).alias("_part"))
+        grams = settle(marked.mapInArrow(_pack(read), "block long, rows binary, grams array<long>, counts array<long>"), "blocks")
+        blocks = grams.select("block", "rows", F.lit(None).cast("binary").alias("flags"))
+    else:
+        held = settle(keyed.mapInArrow(_hold(read), "block long, rows binary, ids array<long>"), "blocks")
+        places = held.select("block", F.posexplode("ids").alias("place", "doc_id"))
+        found = places.join(ids.hint("merge"), "doc_id").select("block", "place", "part")
+        flags = settle(found.groupBy("block").applyInArrow(_flag, "block long, flags binary"), "flags")
+        size = flags.agg(F.sum(F.octet_length("flags") + 64)).first()[0] or 0
+        blocks = lookup_join(held.select("block", "rows"), flags, ["block"], -(-size // 64), ["block"], "left").select("block", "rows", "flags")
+        grams = settle(blocks.mapInArrow(_count_held, "block long, grams array<long>, counts array<long>"), "grams")
+    asked = grams.select("block", "grams", "counts").mapInArrow(_list_grams, "block long, gram long, n long")
     model = probabilities(asked.groupBy("gram").agg(F.sum("n").alias("n")))
     answers = asked.select("block", "gram").join(model, "gram")
     more = [StructField("_part", IntegerType()), StructField("_symbols", LongType()), StructField("_cost", DoubleType())]
-    return blocks.select("block", "rows").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         _score(columns), StructType([*[docs.schema[c] for c in columns], *more]))
 
 
